@@ -16,7 +16,8 @@ result. Other columns are ignored, whatever they are called.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a lower-cased text: ASCII letters and digits, and all characters beyond ASCII.
@@ -55,13 +56,13 @@ def seeds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text")
     return b.select("item_id", "n", F.inline("s")).distinct()
 
 
-def _bitmap(items: DataFrame) -> str:
-    """SQL of a constant array of longs in which two bits stand for each hash; 2 ^ BITS bits at most."""
+def _bitmap(items: DataFrame) -> Column:
+    """A constant array of longs in which two bits stand for each hash; 2 ^ BITS bits, whatever the items."""
     words = 1 << (BITS - 6)
     probe = lambda h: F.expr(f"explode(array({h}, shiftrightunsigned({h}, 24)))")
     bits = items.select(probe("hash").alias("h")).select(F.expr(f"CAST(shiftright(h, 6) & {words - 1} AS INT)").alias("slot"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("bit"))
     table = dict(bits.groupBy("slot").agg(F.bit_or("bit")).collect())
-    return "CAST(split('" + ",".join(str(table.get(i, 0)) for i in range(words)) + "', ',') AS ARRAY<BIGINT>)"
+    return F.lit(np.array([table.get(i, 0) for i in range(words)], dtype=np.int64))
 
 
 def _may_hit(h: str) -> str:
@@ -75,11 +76,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = seeds(benchmark, item_col, item_text_col).cache()
     few = items.count() <= BROADCAST_SEEDS
     bitmap = _bitmap(items)
-    d = docs.select(F.col(id_col).alias("doc_id"), F.expr(_words(f"`{text_col}`")).alias("q_words"), F.expr(bitmap).alias("q_map"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.expr(_words(f"`{text_col}`")).alias("q_words"), bitmap.alias("q_map"))
     each = f"array({', '.join(_hash(m, k) for k, m in enumerate(MASKS))})"
     passing = f"transform(filter({each}, h -> {_may_hit('h')}), h -> named_struct('hash', h, 'd_words', {_around()}))"
     d = d.select("doc_id", F.expr(_places(f"flatten(transform(sequence(0, size(q_words) - {SPAN}), i -> {passing}))")).alias("s"))
-    hits = d.select("doc_id", F.inline("s")).join(F.broadcast(items) if few else items, "hash")
+    # inline() would make Spark test the array's size before it is laid down, and so build it a second time.
+    hits = d.select("doc_id", F.inline_outer("s")).where("hash IS NOT NULL").join(F.broadcast(items) if few else items, "hash")
 
     # Windows of the item that hold the hit; each starts at most WINDOW - SPAN words before it.
     size = f"least(n, {WINDOW})"
