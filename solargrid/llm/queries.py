@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from solargrid.llm import decontaminate, license_scan, quality_rules
+from solargrid.llm import decontaminate, license_scan, quality_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
@@ -26,12 +31,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_warc": op5_warc,
     "op7_quality_rules": op7_quality_rules,
     "op9_decontaminate": op9_decontaminate,
     "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_warc": warc.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_license_scan": license_scan.ORACLE,
