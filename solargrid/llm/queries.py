@@ -5,14 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from solargrid.llm import decontaminate, language_id, license_scan, lm_score, quality_classifier, quality_rules, warc
+from solargrid.llm import decontaminate, language_id, license_scan, lm_score, piece_codec, quality_classifier, quality_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and the digest of what they decode to; a giant text has a row for each chunk."""
+    decoded = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", "no", F.size("ids").alias("n_pieces"), "ids", F.sha2("text", 256).alias("decoded_sha256"), F.length("text").alias("n_chars"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +50,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_piece_codec": op3_piece_codec,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_warc": op5_warc,
     "op6_language_id": op6_language_id,
