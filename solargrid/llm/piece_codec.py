@@ -37,7 +37,7 @@ from solargrid.llm.storage import stored
 
 CHUNK = 20_000
 BLOCK = 64
-CACHE = 300_000
+CACHE = 600_000
 LOW = float("-inf")
 
 
@@ -55,6 +55,8 @@ class Codec:
         self.ids = {p.replace(V.SPACE, " "): i for p, i in v.ids.items()}
         self.text_of = [p.replace(V.SPACE, " ") if t in (V.NORMAL, V.USER_DEFINED) else None if t == V.BYTE else "" for p, t in zip(v.pieces, v.types, strict=True)]
         self.score = {p: float(prior[i]) for p, i in self.ids.items()}
+        # Every prefix of a piece: its score if it is a piece itself, else None.
+        self.prefixes: dict[str, float | None] = {p[:n]: None for p in self.ids for n in range(1, len(p))} | self.score
         self.longest = max(map(len, self.ids))
         self.byte_score = float(min(prior[i] for i in self.byte_ids))
         self.reach = self.longest - 1
@@ -65,15 +67,6 @@ class Codec:
     def bytes_of(self, c: str) -> list[int]:
         return [self.byte_ids[b] for b in c.encode("utf-8", "replace")]
 
-    def value(self, piece: str) -> float | None:
-        """A piece's score; for one character that is no piece, that of its bytes."""
-        s = self.score.get(piece)
-        return s if s is not None or len(piece) > 1 else self.byte_score * len(self.bytes_of(piece))
-
-    def id_list(self, piece: str) -> list[int]:
-        i = self.ids.get(piece)
-        return [i] if i is not None else self.bytes_of(piece)
-
     def best(self, s: str, start: int, stop: int, first: int = 0) -> tuple[list[float], list[int]]:
         """Best score of each place of s from `first`, and the length of the last piece there.
 
@@ -82,27 +75,35 @@ class Codec:
         n = len(s)
         score, back = [LOW] * (n + 1), [0] * (n + 1)
         score[first] = 0.0
-        get, longest = self.score.get, self.longest
+        get, longest = self.prefixes.get, self.longest
         for i in range(first, stop):
             base = score[i]
             if base == LOW:
                 continue
             for j in range(i + 1, min(n, i + longest) + 1):
-                v = get(s[i:j])
-                if v is None:
-                    if j > i + 1:
-                        continue
-                    v = self.value(s[i:j])
-                if base + v > score[j] or (base + v == score[j] and j - i < back[j]):
+                v = get(s[i:j], False)
+                if v is False:  # no piece starts like this
+                    break
+                if v is not None and (base + v > score[j] or (base + v == score[j] and j - i < back[j])):
                     score[j], back[j] = base + v, j - i
+            if s[i] not in self.score:
+                v = base + self.byte_score * len(self.bytes_of(s[i]))
+                if v > score[i + 1] or (v == score[i + 1] and back[i + 1] > 1):
+                    score[i + 1], back[i + 1] = v, 1
         return score, back
 
     def trace(self, s: str, back: list[int], stop: int, first: int = 0) -> list[int]:
-        parts = []
+        out: list[int] = []
         while stop > first:
-            parts.append(s[stop - back[stop] : stop])
-            stop -= back[stop]
-        return [i for p in reversed(parts) for i in self.id_list(p)]
+            at = stop - back[stop]
+            i = self.ids.get(s[at:stop])
+            if i is not None:
+                out.append(i)
+            else:
+                out += reversed(self.bytes_of(s[at]))
+            stop = at
+        out.reverse()
+        return out
 
     def stretch(self, s: str) -> tuple[float, list[int]]:
         """Score and ids of a stretch that stands alone."""
