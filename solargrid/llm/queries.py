@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solargrid.llm import decontaminate, language_id, license_scan, lm_score, ngram_jaccard, piece_codec, quality_classifier, quality_rules, warc
+from solargrid.llm import decontaminate, language_id, license_scan, lm_score, ngram_jaccard, piece_codec, quality_classifier, quality_rules, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the digest of what they decode to; a giant text has a row for each chunk."""
     decoded = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents")))
@@ -55,6 +59,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_piece_codec": op3_piece_codec,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_warc": op5_warc,
