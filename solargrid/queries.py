@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from solargrid.plans import grid
+
+PARTS = (grid,)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for p in PARTS for k, f in p.QUERIES.items()}
+ORACLES: dict[str, str] = {k: s for p in PARTS for k, s in p.ORACLES.items()}
