@@ -77,7 +77,8 @@ def recall_floor(recall: Column, floor: float = 0.05) -> Column:
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of a binomial rate; null for n = 0."""
-    p, zz = k / F.when(n > 0, n), z * z
+    n = F.when(n > 0, n)
+    p, zz = k / n, z * z
     mid, half = (p + zz / (2 * n)) / (1 + zz / n), z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n)
     return mid - half, mid + half
 

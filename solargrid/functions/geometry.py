@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from solargrid.schemas import POINT
 
 #: WGS84: semi-major axis and flattening; metres in a degree for box sizes.
 A, INVERSE_F = 6_378_137.0, 298.257223563
@@ -209,7 +212,7 @@ def _hull(p: np.ndarray) -> np.ndarray:
     return np.array(half)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def intersection_area(a: pd.Series, b: pd.Series) -> pd.Series:
     """Area shared by outer rings, in the units of their coordinates; b is taken as convex."""
     out = []
@@ -222,7 +225,7 @@ def intersection_area(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def long_axis_bearing(rings: pd.Series) -> pd.Series:
     """Bearing (0 to 180) of the longest side of the least rectangle around a polygon, by rotating over its hull."""
     out = []
@@ -242,7 +245,7 @@ def long_axis_bearing(rings: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("array<struct<x:double,y:double>>")
+@F.pandas_udf(T.ArrayType(POINT))
 def simplified(rings: pd.Series) -> pd.Series:
     """Douglas-Peucker on the outer ring with a tolerance of 0.03, three decimals."""
     out = []

@@ -94,7 +94,7 @@ def test_projection_round_trip(spark):
     back = G.from_utm(e, n, code)
     c, east, north, x, y = one(spark, code, e, n, *back)
     assert c == 32642 and 290_000 < east < 310_000 and 2_740_000 < north < 2_760_000
-    assert x == pytest.approx(67.0, abs=1e-9) and y == pytest.approx(24.86, abs=1e-9)
+    assert x == pytest.approx(67.0, abs=1e-8) and y == pytest.approx(24.86, abs=1e-8)  # a millimetre
 
 
 def test_kernels(spark):
