@@ -13,7 +13,7 @@ The chosen buckets of a set are also its sketch: a pair is compared only in the
 they chose SHARED buckets in common. With 20 runs a pair of similarity 0.8 chooses 20 common buckets on average; fewer
 than SHARED have a chance below 1e-6, so the target recall is above 0.999999 for a bucket that was not split. Pairs
 that pass are verified on the whole sets. Pairs never become rows: a task returns, for each set, its number of links
-and one edge to a smaller linked set, from which components are made.
+and one edge to a set that the task's links join it to, from which components are made.
 
 Shingle sets are kept as 40-bit hashes, of which two in a pair of documents of a thousand words collide once in a million.
 
@@ -184,6 +184,19 @@ def verified(n: np.ndarray, tokens: list[np.ndarray], a: np.ndarray, b: np.ndarr
     return a[keep], b[keep]
 
 
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n rows the least row that the pairs (a, b) join it to."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Runs of equal task in batches sorted by it; one run at a time is held."""
     held: list[pa.Table] = []
@@ -208,7 +221,7 @@ def _pairs(g: pa.Table) -> tuple:
 
 
 def compared(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-    """cls, links (documents linked to it in this task), partner (a smaller linked class, if any)."""
+    """cls, links (documents linked to it in this task), partner (a class that links in this task join it to, if any)."""
     spark = rows.sparkSession
     parts = input_partitions(spark)
     kind = rows.schema["first_id"].dataType.simpleString()
@@ -236,15 +249,9 @@ def compared(rows: DataFrame, tokens: DataFrame) -> DataFrame:
                 continue
             copies = g.column("copies").to_numpy()
             links = np.bincount(a, copies[b], len(n)) + np.bincount(b, copies[a], len(n))
-            order = sorted(range(len(n)), key=cls.__getitem__)
-            rank = np.empty(len(n), dtype=int)
-            rank[order] = np.arange(len(n))
-            swap = rank[a] > rank[b]
-            small, big = np.where(swap, b, a), np.where(swap, a, b)
-            least = np.full(len(n), len(n))
-            np.minimum.at(least, big, rank[small])
+            root = roots(len(n), a, b)
             on = np.flatnonzero(links > 0)
-            yield pa.RecordBatch.from_arrays([pa.array([cls[k] for k in on], pa.binary()), pa.array(links[on].astype(np.int64)), pa.array([cls[order[least[k]]] if least[k] < len(n) else None for k in on], pa.binary())], ["cls", "links", "partner"])
+            yield pa.RecordBatch.from_arrays([pa.array([cls[k] for k in on], pa.binary()), pa.array(links[on].astype(np.int64)), pa.array([cls[root[k]] if root[k] != k else None for k in on], pa.binary())], ["cls", "links", "partner"])
 
     dealt = tasks(rows).select(*names).repartition(parts, "task").sortWithinPartitions("task")
     near = stored(dealt.mapInArrow(involved, fields), "candidate-rows")

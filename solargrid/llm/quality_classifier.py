@@ -36,14 +36,14 @@ def held_out(id_col: str = "doc_id", folds: int = FOLDS) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def _share(a: str, b: str, k: int = 1000) -> Column:
-    return F.expr(f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) * {k} / {b} ELSE 0D END")
+def _share(a: str, b: str, k: int = 1000) -> str:
+    return f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) * {k} / {b} ELSE 0D END"
 
 
-#: The statistics that rules may use.
+#: The statistics that rules may use, as SQL over the base counts.
 STATISTICS = {
-    "words": F.col("n_words").cast("double"),
-    "lines": F.col("n_lines").cast("double"),
+    "words": "CAST(n_words AS DOUBLE)",
+    "lines": "CAST(n_lines AS DOUBLE)",
     "word_length": _share("word_chars", "n_words", 1),
     "symbols": _share("n_symbols", "n_words"),
     "upper": _share("n_upper", "word_chars"),
@@ -66,7 +66,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col(text_col).alias("text"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"),
     )
     base = base_statistics(d, id_col="own").select(F.col("doc_id.*"), *[c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")])
-    return base.select("doc_id", *[c.alias(k) for k, c in STATISTICS.items()])
+    return base.select("doc_id", *[F.expr(c).alias(k) for k, c in STATISTICS.items()])
 
 
 class Rule(NamedTuple):
