@@ -31,7 +31,7 @@ def likelihood_ratio(bin_no: Column, rates: tuple = GLINT_RATES, false_rate: flo
 
 
 def half_even(x: Column, digits: int) -> Column:
-    """Rounding as the reference results have it: half to even."""
+    """Round half to even."""
     return F.bround(x, digits)
 
 

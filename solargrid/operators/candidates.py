@@ -104,3 +104,42 @@ def veto(df: DataFrame, most_ndvi: float = 0.35, least_epoch: float = 0.5, most_
     if most_distance:
         reasons["far_from_building"] = ~B.within_distance(F.col("building_dist_m"), most_distance)
     return df.withColumn("veto", B.veto(reasons))
+
+
+def largest(df: DataFrame, by: str, n: int, least_m2: float, key: str, most_m2: float | None = None) -> DataFrame:
+    """The n largest rows of each kind above a floor (and up to a limit), with ids from kind and position."""
+    d = df.where(F.col("area_m2") >= least_m2)
+    d = d if most_m2 is None else d.where(F.col("area_m2") <= most_m2)
+    w = Window.partitionBy(by).orderBy(F.desc("area_m2"), key)
+    return d.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).withColumn("target", F.format_string("%s-%02d", F.col(by), F.col("k"))).drop("k")
+
+
+def random_targets(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """n rows in hash order, without replacement."""
+    return df.orderBy(hash_order(F.col(key), seed), key).limit(n)
+
+
+def best_examples(fits: DataFrame) -> DataFrame:
+    """The most convincing target of each size class."""
+    f = fits.withColumn("bucket", B.size_bin(F.col("area_m2"), True))
+    return f.groupBy("bucket").agg(F.max_by("pid", F.struct("n_consistent", "n_spikes", -F.col("pid"))).alias("pid"))
+
+
+def not_yet_scored(ranked_df: DataFrame, done: DataFrame, key: str = "cand_id") -> DataFrame:
+    """What a resumed study still has to look at, best rank first."""
+    return ranked_df.join(done.select(key).distinct(), key, "left_anti").orderBy("rank")
+
+
+def cell_strata(cells: DataFrame, dense: int = 15, middle: int = 10, empty: int = 15) -> DataFrame:
+    """Cells for a study: the fullest, some of 500 to 3000 m2 in hash order, and empty ones whose 3 x 3 block is empty.
+
+    cells has ix, iy and area_m2, with a row for every cell of the grid.
+    """
+    key = F.col("ix") * 10_000 + F.col("iy")
+    c = cells.withColumn("k", key)
+    full = c.where("area_m2 > 0").orderBy(F.desc("area_m2"), "k").limit(dense).withColumn("stratum", F.lit("dense"))
+    mid = c.join(full.select("k"), "k", "left_anti").where("area_m2 BETWEEN 500 AND 3000").orderBy(hash_order(F.col("k")), "k").limit(middle).withColumn("stratum", F.lit("mid"))
+    near = c.where("area_m2 > 0").select(F.explode(F.array(*[F.struct((F.col("ix") + i).alias("ix"), (F.col("iy") + j).alias("iy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("b")).select("b.*").distinct()
+    none = c.join(near, ["ix", "iy"], "left_anti").orderBy(hash_order(F.col("k")), "k").limit(empty).withColumn("stratum", F.lit("zero"))
+    cols = ["ix", "iy", "area_m2", "stratum"]
+    return full.select(cols).unionByName(mid.select(cols)).unionByName(none.select(cols))

@@ -205,3 +205,26 @@ def scored(windows_df: DataFrame, model_fn, input_col: str, batch: int = 64) ->
 
     udf = predict_batch_udf(model_fn, return_type=DoubleType(), batch_size=batch)
     return windows_df.withColumn("prob", F.greatest(F.lit(0.0), F.least(F.lit(1.0), udf(input_col))))
+
+
+def cube(readings: DataFrame, keys: list[str], bands: list[str]) -> DataFrame:
+    """Scene pixels with a column for each band; a scene and pixel that lacks one is dropped. readings: keys, band, v."""
+    wide = readings.groupBy(*keys).pivot("band", bands).agg(F.first("v"))
+    return wide.dropna(subset=bands)
+
+
+def around(targets: DataFrame, pixels: DataFrame, key: str, pad_px: int) -> DataFrame:
+    """Pixels of each target's tile within a margin of its box (x1, y1, x2, y2 in pixels), with truth: the box touches it."""
+    t = targets.select(key, *TILE, "x1", "y1", "x2", "y2")
+    j = pixels.join(t, TILE).where((F.col("c") >= F.floor("x1") - pad_px) & (F.col("c") <= F.floor("x2") + pad_px) & (F.col("r") >= F.floor("y1") - pad_px) & (F.col("r") <= F.floor("y2") + pad_px))
+    touch = (F.col("c") + 1 > F.col("x1")) & (F.col("c") < F.col("x2")) & (F.col("r") + 1 > F.col("y1")) & (F.col("r") < F.col("y2"))
+    seen = j.withColumn("truth", touch)
+    some = seen.where("truth").select(key).distinct()
+    return seen.join(some, key, "left_semi").drop("x1", "y1", "x2", "y2")
+
+
+def peak_offset(spike_pixels: DataFrame, centres: DataFrame, key: str, band: str, pixel_m: float = 10.0) -> DataFrame:
+    """Distance of each target's brightest pixel over its spikes from its centre (r0, c0). Ties: the first row, then column."""
+    top = spike_pixels.groupBy(key, "r", "c").agg(F.max(band).alias("v")).groupBy(key).agg(F.max_by(F.struct("r", "c"), F.struct("v", -F.col("r"), -F.col("c"))).alias("p"))
+    d = F.sqrt(F.pow(F.col("p.r") - F.col("r0"), 2) + F.pow(F.col("p.c") - F.col("c0"), 2)) * pixel_m
+    return top.join(centres, key).select(key, F.col("p.r").alias("r"), F.col("p.c").alias("c"), d.alias("offset_m"))

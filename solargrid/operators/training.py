@@ -62,3 +62,19 @@ def contaminated(index: DataFrame) -> DataFrame:
 def shifted_cells(cells: DataFrame, dx: int = 85, dy: int = 40) -> DataFrame:
     """Names of the same places on another grid."""
     return cells.withColumn("other", G.cell_key(F.col("ix") + dx, F.col("iy") + dy))
+
+
+def missed_and_controls(mapped: DataFrame, buildings: DataFrame, hits: DataFrame, signal: DataFrame, per_bin: int, least_kept_m2: float = 5000.0) -> DataFrame:
+    """Mapped features that no predicted pixel touches, sampled by size (large ones all kept), and buildings without signal.
+
+    hits has osm_id, signal has id; controls are of 50 to 5000 m2.
+    """
+    from solargrid.functions import business as B
+    from solargrid.operators.candidates import stratified
+
+    cols = ["key", "lon", "lat", "area_m2", "role"]
+    missed = mapped.join(hits.select("osm_id").distinct(), "osm_id", "left_anti").withColumn("key", F.col("osm_id")).withColumn("role", F.lit("missed")).select(cols)
+    large = missed.where(F.col("area_m2") >= least_kept_m2)
+    quiet = buildings.join(signal.select("id").distinct(), "id", "left_anti").where(F.col("area_m2").between(50, 5000)).withColumn("key", F.col("id")).withColumn("role", F.lit("control")).select(cols)
+    sampled = [stratified(d, B.size_bin(F.col("area_m2"), True), per_bin, "key").select(cols) for d in (missed.where(F.col("area_m2") < least_kept_m2), quiet)]
+    return large.unionByName(sampled[0]).unionByName(sampled[1])

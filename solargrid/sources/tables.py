@@ -184,3 +184,14 @@ def mapped_reference(*parts: DataFrame) -> DataFrame | None:
     for p in parts:
         out = p if out is None else out.unionByName(p, allowMissingColumns=True)
     return out
+
+
+def boundary(own: DataFrame | None, source_regions: DataFrame | None, level_one: DataFrame | None, name: str) -> DataFrame | None:
+    """The study area: its own polygon, else the source region's, else the admin polygon of that name; None means its box."""
+    named = None if level_one is None else level_one.where(B.folded(F.col("name")) == B.folded(F.lit(name)))
+    return first_available(lambda: own, lambda: source_regions, lambda: named)
+
+
+def scene_angles(spark: SparkSession, path: str, row_tag: str = "Values") -> DataFrame:
+    """Rows of node values from saved angle XML, one for each grid line."""
+    return spark.read.format("xml").option("rowTag", row_tag).load(path)

@@ -186,3 +186,40 @@ def test_chips_stay_in_coverage(spark):
     tiles = spark.createDataFrame([("t1", 60.0, 24.4, 60.15, 24.6), ("t2", 60.1, 24.4, 60.3, 24.6)], "file string, xmin double, ymin double, xmax double, ymax double")
     c = api.chips(labels, tiles, "id", ["t2"])
     assert c.where("lon < 60 OR lon > 60.3").count() == 0 and {r.split for r in c.collect()} == {"train", "val"}
+
+
+def test_samples_and_strata(spark):
+    from solargrid.operators import candidates as C
+
+    d = spark.createDataFrame([(1, "rooftop", 50.0), (2, "rooftop", 500.0), (3, "rooftop", 500.0), (4, "ground", 900.0)], "id long, kind string, area_m2 double")
+    assert sorted((r.id, r.target) for r in C.largest(d, "kind", 1, 100.0, "id").collect()) == [(2, "rooftop-01"), (4, "ground-01")]
+    assert C.random_targets(d, 2, "id").count() == 2
+    f = spark.createDataFrame([(1, 150.0, 2, 3), (2, 150.0, 2, 4)], "pid long, area_m2 double, n_consistent int, n_spikes int")
+    assert C.best_examples(f).first().pid == 2
+    cells = spark.range(100).select((F.col("id") % 10).cast("int").alias("ix"), F.floor(F.col("id") / 10).cast("int").alias("iy"), F.when(F.col("id") < 30, F.col("id") * 100.0).otherwise(0.0).alias("area_m2"))
+    s = C.cell_strata(cells, 3, 4, 5)
+    assert {r.stratum: r.n for r in s.groupBy("stratum").agg(F.count("*").alias("n")).collect()} == {"dense": 3, "mid": 4, "zero": 5}
+    assert s.where("stratum = 'zero' AND iy < 4").count() == 0
+
+
+def test_pixel_cubes_and_peaks(spark):
+    r = spark.createDataFrame([(1, 0, "a", 1.0), (1, 0, "b", 2.0), (1, 1, "a", 3.0)], "item int, r int, band string, v double")
+    assert list(map(tuple, pixels.cube(r, ["item", "r"], ["a", "b"]).collect())) == [(1, 0, 1.0, 2.0)]
+    px = spark.range(100).select(F.lit(0).alias("ix"), F.lit(0).alias("iy"), F.floor(F.col("id") / 10).cast("int").alias("r"), (F.col("id") % 10).cast("int").alias("c"))
+    t = spark.createDataFrame([(1, 0, 0, 3.5, 3.5, 4.5, 4.5), (2, 0, 0, 50.0, 50.0, 51.0, 51.0)], "pid long, ix int, iy int, x1 double, y1 double, x2 double, y2 double")
+    got = pixels.around(t, px, "pid", 2)
+    assert {x.pid for x in got.collect()} == {1} and got.where("truth").count() == 4
+    peak = pixels.peak_offset(px.withColumn("pid", F.lit(1)).withColumn("v", F.col("r") * 1.0), spark.createDataFrame([(1, 9.0, 0.0)], "pid int, r0 double, c0 double"), "pid", "v").first()
+    assert (peak.r, peak.c, peak.offset_m) == (9, 0, 0.0)
+
+
+def test_missed_targets_and_controls(spark):
+    m = squares(spark, [(1, 60.0, 24.0, 6000.0), (2, 60.0, 24.0, 300.0), (3, 60.0, 24.0, 300.0)], "osm_id")
+    b = squares(spark, [(7, 60.0, 24.0, 300.0), (8, 60.0, 24.0, 10.0)], "id")
+    got = training.missed_and_controls(m, b, m.where("osm_id = 3").select("osm_id"), b.limit(0).select("id"), 5)
+    assert sorted((r.key, r.role) for r in got.collect()) == [(1, "missed"), (2, "missed"), (7, "control")]
+
+
+def test_boundary_by_folded_name(spark):
+    a = spark.createDataFrame([("Málaga",), ("Other",)], "name string")
+    assert tables.boundary(None, None, a, "malaga").first().name == "Málaga" and tables.boundary(None, None, a, "none") is None
