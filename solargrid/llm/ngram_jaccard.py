@@ -48,9 +48,8 @@ MULTIPLIERS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(P)) | np.uint64(
 
 
 def pack(tokens: np.ndarray) -> bytes:
-    """Sorted 64-bit hashes, of which the upper 40 bits are kept."""
-    t = tokens >> np.uint64(24)
-    return (t >> np.uint64(8)).astype(np.uint32).tobytes() + (t & np.uint64(255)).astype(np.uint8).tobytes()
+    """Five bytes for each 40-bit hash."""
+    return (tokens >> np.uint64(8)).astype(np.uint32).tobytes() + (tokens & np.uint64(255)).astype(np.uint8).tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -80,8 +79,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, words: int, runs: int) ->
         for b in batches:
             data, offsets = texts(b.column(1))
             for i, j in blocks(offsets):
-                part = [t >> np.uint64(24) for t in shingles(data, offsets[i : j + 1], words)]
-                part = [np.unique(t) for t in part]
+                part = [np.unique(t >> np.uint64(24)) for t in shingles(data, offsets[i : j + 1], words)]
                 cls = [mix(t).sum(dtype=np.uint64).tobytes() + mix(t ^ np.uint64(P)).sum(dtype=np.uint64).tobytes() for t in part]
                 chosen = [choose(t, 0, runs).view(np.int32) for t in part]
                 yield pa.RecordBatch.from_arrays(

@@ -73,6 +73,21 @@ def test_jaccard_join_is_complete(spark, docs, monkeypatch, large, block):
     assert got == brute_groups([(r.doc_id, r.text) for r in all_docs.collect()])
 
 
+def test_packed_hashes_come_back_whole():
+    t = np.unique(np.random.default_rng(2).integers(0, 1 << 40, 1000, dtype=np.uint64))
+    assert (ngram_jaccard.unpack(ngram_jaccard.pack(t)) == t).all()
+
+
+def test_similarity_is_exact_at_the_threshold(spark):
+    """Sets of 100 shingles that share 89 (0.8018) link; those that share 88 (0.786) do not."""
+    words = [f"w{k}" for k in range(104)]
+    rows = [(0, " ".join(words))]
+    for k, n in ((1, 11), (2, 12)):
+        rows.append((k, " ".join(words[: 104 - n] + [f"z{k}{i}" for i in range(n)])))
+    got = {r.doc_id: r.n_links for r in ngram_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: n for d, (_, n) in brute_groups(rows).items()} and got[1] == 1 and got[2] == 0
+
+
 def test_jaccard_join_on_odd_input(odd):
     got = ngram_jaccard.join(odd).collect()
     assert len(got) == odd.count()
