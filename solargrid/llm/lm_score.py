@@ -10,7 +10,7 @@ p(w | h) = (c(h, w) + WEIGHT p(w)) / (c(h) + WEIGHT), p(w) = (c(w) + 1) / (N + V
 
 Bigrams are counted and used in one shuffle: tasks deal every occurrence, packed in blocks of four bytes each with its
 document, by the bigram's hash. A part holds all occurrences of its bigrams in all documents, so it counts them and scores
-them at once and returns partial sums for its documents. A bigram repeated in one document stays four bytes, no group
+them at once and returns sums for its documents, packed again by the blocks they came in, and a block's sums are added up. A bigram repeated in one document stays four bytes, no group
 becomes rows, and no count table is broadcast; only the vocabulary with its counts is, which VOCABULARY bounds.
 
 Nulls and odd input: a null text has no tokens; texts without tokens score 0. Rows with the same doc_id (null included) are
@@ -36,8 +36,8 @@ UNKNOWN, START = 0, 65_535
 WEIGHT = 50.0
 #: Target ids are broadcast up to so many; beyond it both sides are shuffled.
 BROADCAST_IDS = 2_000_000
-BLOCK_TOKENS = 1_500_000
-CACHE = 500_000
+BLOCK_TOKENS = 800_000
+CACHE = 300_000
 WORDS = re.compile(r"[\w']+|[^\w\s]")
 
 
@@ -86,9 +86,9 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def dealt(rows: DataFrame, ids, parts: int) -> DataFrame:
-    """part, docs, targets, sizes, keys: blocks of bigram occurrences, each document's together."""
+    """part, block, docs, nulls, targets, sizes, keys: blocks of bigram occurrences, each document's together."""
 
-    def block(doc_ids: list, flags: list, keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def block(name: int, doc_ids: list, flags: list, keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         lengths = np.array([len(k) for k in keys], dtype=np.int64)
         doc = np.repeat(np.arange(len(keys)), lengths)
         flat = np.concatenate(keys) if keys else np.zeros(0, np.uint32)
@@ -101,16 +101,18 @@ def dealt(rows: DataFrame, ids, parts: int) -> DataFrame:
         for p in np.nonzero(np.diff(bounds))[0]:
             at = order[bounds[p] : bounds[p + 1]]
             mine, sizes = np.unique(doc[at], return_counts=True)
-            out.append((int(p), known[mine].tobytes(), nulls[mine].tobytes(), flags[mine].tobytes(), sizes.astype(np.int32).tobytes(), flat[at].tobytes()))
+            out.append((int(p), name, known[mine].tobytes(), nulls[mine].tobytes(), flags[mine].tobytes(), sizes.astype(np.int32).tobytes(), flat[at].tobytes()))
         bare = np.nonzero(lengths == 0)[0]
         if len(bare):
-            out.append((int(part_of(known[bare[:1]], parts)[0]), known[bare].tobytes(), nulls[bare].tobytes(), flags[bare].tobytes(), np.zeros(len(bare), np.int32).tobytes(), b""))
+            out.append((int(part_of(known[bare[:1]], parts)[0]), name, known[bare].tobytes(), nulls[bare].tobytes(), flags[bare].tobytes(), np.zeros(len(bare), np.int32).tobytes(), b""))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], ["part", "docs", "nulls", "targets", "sizes", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], ["part", "block", "docs", "nulls", "targets", "sizes", "keys"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         get = ids.value[0].get
-        doc_ids, flags, keys, n = [], [], [], 0
+        doc_ids, flags, keys, n, name = [], [], [], 0, TaskContext.get().partitionId() << 32
         for b in batches:
             for doc_id, text, is_target in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 w = np.array([START, *[get(x, UNKNOWN) for x in tokens(text)]], dtype=np.uint32)
@@ -119,11 +121,11 @@ def dealt(rows: DataFrame, ids, parts: int) -> DataFrame:
                 keys.append((w[:-1] << np.uint32(16)) | w[1:])
                 n += len(w)
                 if n > BLOCK_TOKENS:
-                    yield from block(doc_ids, flags, keys)
-                    doc_ids, flags, keys, n = [], [], [], 0
-        yield from block(doc_ids, flags, keys)
+                    yield from block(name, doc_ids, flags, keys)
+                    doc_ids, flags, keys, n, name = [], [], [], 0, name + 1
+        yield from block(name, doc_ids, flags, keys)
 
-    return rows.mapInArrow(deal, "part int, docs binary, nulls binary, targets binary, sizes binary, keys binary")
+    return rows.mapInArrow(deal, "part int, block long, docs binary, nulls binary, targets binary, sizes binary, keys binary")
 
 
 def losses(keys: np.ndarray, is_target: np.ndarray, unigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,21 +160,46 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         unigrams[k, UNKNOWN] = (total[k] or 0) - top[name].sum()
         unigrams[2, k] = n_rows[k]
     ids = spark.sparkContext.broadcast(({w: i for i, w in enumerate(top["word"], 1)}, unigrams))
-    parts = input_partitions(spark)
+    parts = 2 * input_partitions(spark)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_part: dict[int, list] = {}
         for b in batches:
-            for part, *rest in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for part, *rest in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 by_part.setdefault(part, []).append(rest)
         for blocks in by_part.values():
-            join = lambda i, t: np.concatenate([np.frombuffer(x[i], dtype=t) for x in blocks])  # noqa: B023, E731
-            doc, null, is_target, sizes, keys = join(0, np.int64), join(1, bool), join(2, np.int8), join(3, np.int32), join(4, np.uint32)
-            owner = np.repeat(np.arange(len(doc)), sizes)
-            t, b = losses(keys, is_target[owner], ids.value[1]) if len(keys) else (np.zeros(0), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=null), pa.array(sizes.astype(np.int64)), pa.array(np.bincount(owner, t, len(doc))), pa.array(np.bincount(owner, b, len(doc)))], ["doc_id", "n", "t", "b"])
-
-    blocks = dealt(rows, ids, parts).repartition(parts, "part")
-    sums = blocks.mapInArrow(counted, "doc_id long, n long, t double, b double").groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+            keys = np.concatenate([np.frombuffer(x[5], np.uint32) for x in blocks])
+            sizes = [np.frombuffer(x[4], np.int32) for x in blocks]
+            flags = np.repeat(np.concatenate([np.frombuffer(x[3], np.int8) for x in blocks]), np.concatenate(sizes))
+            t, b = losses(keys, flags, ids.value[1]) if len(keys) else (np.zeros(0), np.zeros(0))
+            at = 0
+            for (name, docs, nulls, *_), n in zip(blocks, sizes, strict=True):
+                owner, upto = np.repeat(np.arange(len(n)), n), at + int(n.sum())
+                sums = [np.bincount(owner, x[at:upto], len(n)).tobytes() for x in (t, b)]
+                at = upto
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, docs, nulls, n.tobytes(), *sums)], ["block", "docs", "nulls", "sizes", "t", "b"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def total(parts: list) -> pa.RecordBatch:
+            join = lambda i, kind: np.concatenate([np.frombuffer(x[i], kind) for x in parts])
+            doc, null = join(0, np.int64), join(1, bool)
+            who, at = np.unique(np.stack([doc, null.astype(np.int64)]), axis=1, return_inverse=True)
+            sums = [np.bincount(at.ravel(), join(i, kind), who.shape[1]) for i, kind in ((2, np.int32), (3, np.float64), (4, np.float64))]
+            return pa.RecordBatch.from_arrays([pa.array(who[0], mask=who[1] == 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "n", "t", "b"])
+
+        held, last = [], None
+        for b in batches:
+            for name, *rest in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if held and name != last:
+                    yield total(held)
+                    held = []
+                held.append(rest)
+                last = name
+        if held:
+            yield total(held)
+
+    packed = dealt(rows, ids, parts).repartition(parts, "part").mapInArrow(counted, "block long, docs binary, nulls binary, sizes binary, t binary, b binary")
+    sums = packed.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(merged, "doc_id long, n long, t double, b double")
+    sums = sums.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
     mean = lambda x: F.when(F.col("n_tokens") > 0, F.col(x) / F.col("n_tokens")).otherwise(0.0)
     return sums.select("doc_id", "n_tokens", mean("t").alias("loss_target"), mean("b").alias("loss_background")).withColumn("score", F.col("loss_background") - F.col("loss_target"))
