@@ -143,7 +143,9 @@ class Codec:
             score, _ = self.best(s[b:], 0, length - b)
             tail = score
         for state in range(min(k, length + 1)):
-            if a >= 0 and state <= a:
+            if a >= 0 and state > a:
+                break  # no piece reaches over a cut
+            if a >= 0:
                 head, _ = self.best(s[:a], state, a, state)
                 if head[a] == LOW:
                     continue
