@@ -86,7 +86,11 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def dealt(rows: DataFrame, ids, parts: int) -> DataFrame:
-    """part, block, docs, nulls, targets, sizes, keys: blocks of bigram occurrences, each document's together."""
+    """part, block, index, sizes, keys: blocks of bigram occurrences, each document's together.
+
+    index is a document's place in its block; sizes holds twice its occurrences, plus one in the target. Part -1 has one
+    row for each block: its doc_ids (index), which of them are null (sizes) and their numbers of tokens (keys).
+    """
 
     def block(name: int, doc_ids: list, flags: list, keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         lengths = np.array([len(k) for k in keys], dtype=np.int64)
@@ -95,18 +99,15 @@ def dealt(rows: DataFrame, ids, parts: int) -> DataFrame:
         part = part_of(flat, parts)
         order = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(parts + 1))
-        known, nulls = np.array([0 if x is None else x for x in doc_ids], dtype=np.int64), np.array([x is None for x in doc_ids])
-        flags = np.array(flags, dtype=np.int8)
-        out = []
+        flags = np.array(flags, dtype=np.int64)
+        known, nulls = np.array([0 if x is None else x for x in doc_ids], dtype=np.int64), np.array([x is None for x in doc_ids], dtype=bool)
+        out = [(-1, name, known.tobytes(), nulls.tobytes(), lengths.astype(np.int32).tobytes())] if doc_ids else []
         for p in np.nonzero(np.diff(bounds))[0]:
             at = order[bounds[p] : bounds[p + 1]]
             mine, sizes = np.unique(doc[at], return_counts=True)
-            out.append((int(p), name, known[mine].tobytes(), nulls[mine].tobytes(), flags[mine].tobytes(), sizes.astype(np.int32).tobytes(), flat[at].tobytes()))
-        bare = np.nonzero(lengths == 0)[0]
-        if len(bare):
-            out.append((int(part_of(known[bare[:1]], parts)[0]), name, known[bare].tobytes(), nulls[bare].tobytes(), flags[bare].tobytes(), np.zeros(len(bare), np.int32).tobytes(), b""))
+            out.append((int(p), name, mine.astype(np.uint32).tobytes(), (sizes * 2 + flags[mine]).astype(np.uint32).tobytes(), flat[at].tobytes()))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], ["part", "block", "docs", "nulls", "targets", "sizes", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["part", "block", "index", "sizes", "keys"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -125,7 +126,7 @@ def dealt(rows: DataFrame, ids, parts: int) -> DataFrame:
                     doc_ids, flags, keys, n, name = [], [], [], 0, name + 1
         yield from block(name, doc_ids, flags, keys)
 
-    return rows.mapInArrow(deal, "part int, block long, docs binary, nulls binary, targets binary, sizes binary, keys binary")
+    return rows.mapInArrow(deal, "part int, block long, index binary, sizes binary, keys binary")
 
 
 def losses(keys: np.ndarray, is_target: np.ndarray, unigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,36 +161,45 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         unigrams[k, UNKNOWN] = (total[k] or 0) - top[name].sum()
         unigrams[2, k] = n_rows[k]
     ids = spark.sparkContext.broadcast(({w: i for i, w in enumerate(top["word"], 1)}, unigrams))
-    parts = 2 * input_partitions(spark)
+    parts = input_partitions(spark)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["block", "index", "nulls", "t", "d"]
+        row = lambda *x: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(x, (pa.int64(), *[pa.binary()] * 4), strict=True)], names)
         by_part: dict[int, list] = {}
         for b in batches:
-            for part, *rest in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                by_part.setdefault(part, []).append(rest)
-        for blocks in by_part.values():
-            keys = np.concatenate([np.frombuffer(x[5], np.uint32) for x in blocks])
-            sizes = [np.frombuffer(x[4], np.int32) for x in blocks]
-            flags = np.repeat(np.concatenate([np.frombuffer(x[3], np.int8) for x in blocks]), np.concatenate(sizes))
-            t, b = losses(keys, flags, ids.value[1]) if len(keys) else (np.zeros(0), np.zeros(0))
+            for part, name, index, sizes, keys in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if part < 0:  # what a block is: its ids, nulls and numbers of tokens
+                    yield row(name, index, sizes, keys, None)
+                else:
+                    by_part.setdefault(part, []).append((name, index, np.frombuffer(sizes, np.uint32), keys))
+        for part in list(by_part):
+            blocks = by_part.pop(part)
+            keys = np.concatenate([np.frombuffer(x[3], np.uint32) for x in blocks])
+            sizes = np.concatenate([x[2] for x in blocks]).astype(np.int64)
+            t, b = losses(keys, np.repeat((sizes & 1).astype(np.int8), sizes >> 1), ids.value[1])
             at = 0
-            for (name, docs, nulls, *_), n in zip(blocks, sizes, strict=True):
+            for name, index, size, _ in blocks:
+                n = (size >> 1).astype(np.int64)
                 owner, upto = np.repeat(np.arange(len(n)), n), at + int(n.sum())
-                sums = [np.bincount(owner, x[at:upto], len(n)).tobytes() for x in (t, b)]
+                sums = np.bincount(owner, t[at:upto], len(n)).astype(np.float32), np.bincount(owner, b[at:upto] - t[at:upto], len(n))
+                yield row(name, index, None, *[x.tobytes() for x in sums])
                 at = upto
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, docs, nulls, n.tobytes(), *sums)], ["block", "docs", "nulls", "sizes", "t", "b"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def total(parts: list) -> pa.RecordBatch:
-            join = lambda i, kind: np.concatenate([np.frombuffer(x[i], kind) for x in parts])
-            doc, null = join(0, np.int64), join(1, bool)
-            who, at = np.unique(np.stack([doc, null.astype(np.int64)]), axis=1, return_inverse=True)
-            sums = [np.bincount(at.ravel(), join(i, kind), who.shape[1]) for i, kind in ((2, np.int32), (3, np.float64), (4, np.float64))]
-            return pa.RecordBatch.from_arrays([pa.array(who[0], mask=who[1] == 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "n", "t", "b"])
+            doc, null, n = next((np.frombuffer(i, np.int64), np.frombuffer(z, bool), np.frombuffer(t, np.int32)) for i, z, t, d in parts if d is None)
+            sums = np.zeros(len(doc)), np.zeros(len(doc))  # of the target's losses, and of the differences
+            for index, _, t, d in parts:
+                if d is not None:
+                    at = np.frombuffer(index, np.uint32)
+                    sums[0][at] += np.frombuffer(t, np.float32)
+                    sums[1][at] += np.frombuffer(d, np.float64)
+            return pa.RecordBatch.from_arrays([pa.array(doc, mask=null), pa.array(n.astype(np.int64)), *map(pa.array, sums)], ["doc_id", "n", "t", "d"])
 
         held, last = [], None
-        for b in batches:
-            for name, *rest in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+        for batch in batches:
+            for name, *rest in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if held and name != last:
                     yield total(held)
                     held = []
@@ -198,8 +208,9 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         if held:
             yield total(held)
 
-    packed = dealt(rows, ids, parts).repartition(parts, "part").mapInArrow(counted, "block long, docs binary, nulls binary, sizes binary, t binary, b binary")
-    sums = packed.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(merged, "doc_id long, n long, t double, b double")
-    sums = sums.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
-    mean = lambda x: F.when(F.col("n_tokens") > 0, F.col(x) / F.col("n_tokens")).otherwise(0.0)
-    return sums.select("doc_id", "n_tokens", mean("t").alias("loss_target"), mean("b").alias("loss_background")).withColumn("score", F.col("loss_background") - F.col("loss_target"))
+    dealt_rows = dealt(rows, ids, parts).withColumn("to", F.when(F.col("part") < 0, F.col("block")).otherwise(F.col("part")))
+    packed = dealt_rows.repartition(parts, "to").drop("to").mapInArrow(counted, "block long, index binary, nulls binary, t binary, d binary")
+    sums = packed.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(merged, "doc_id long, n long, t double, d double")
+    sums = sums.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("t").alias("t"), F.sum("d").alias("d"))
+    mean = lambda x: F.when(F.col("n_tokens") > 0, F.expr(x) / F.col("n_tokens")).otherwise(0.0)
+    return sums.select("doc_id", "n_tokens", mean("t").alias("loss_target"), mean("t + d").alias("loss_background"), mean("d").alias("score"))
