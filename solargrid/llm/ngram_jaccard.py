@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solargrid.llm.components import components
+from solargrid.llm.key_filter import passing
 from solargrid.llm.shingles import P, blocks, mix, shingles, texts
 from solargrid.llm.storage import input_partitions, stored
 
@@ -253,7 +254,9 @@ def compared(rows: DataFrame, tokens: DataFrame) -> DataFrame:
 
     dealt = tasks(rows).select(*names).repartition(parts, "task").sortWithinPartitions("task")
     near = stored(dealt.mapInArrow(involved, fields), "candidate-rows")
-    t = tokens.select(F.col("cls").alias("t_cls"), "doc_id", "tokens")
+    # Only the sets that the tasks need are shuffled.
+    t = tokens.select(F.col("cls").alias("t_cls"), "doc_id", "tokens", F.xxhash64("cls").alias("q_key"))
+    t = passing(t, near.select(F.xxhash64("cls").alias("q_key")).distinct()).where("q_hit")
     with_tokens = near.join(t, (near["cls"] == t["t_cls"]) & near["first_id"].eqNullSafe(t["doc_id"])).select(*names, "tokens")
     return with_tokens.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(verify, "cls binary, links long, partner binary")
 
