@@ -4,14 +4,15 @@ Two bigram models are matched: the same order, smoothing and vocabulary; one cou
 document's score is the mean, over its tokens, of the background model's loss minus the target model's: above 0 if the
 target explains the text better.
 
-The vocabulary is the VOCABULARY most frequent words of all rows; every other word is one unknown token, which both models
-count and score. A token then fits 16 bits and a bigram 32. Each model interpolates its bigrams with its unigrams:
-p(w | h) = (c(h, w) + WEIGHT p(w)) / (c(h) + WEIGHT), p(w) = (c(w) + 1) / (N + V), each without the occurrence scored.
+The vocabulary is every word of all rows. A word is known by 64 bits of a hash, a pair by 64 bits made of both; two of a
+billion words or pairs agree by chance with a probability below 3 %, and would then be counted as one. Each model
+interpolates its bigrams with its unigrams: p(w | h) = (c(h, w) + WEIGHT p(w)) / (c(h) + WEIGHT),
+p(w) = (c(w) + 1) / (N + V + 1), each without the occurrence scored.
 
-Bigrams are counted and used in one shuffle: tasks deal every occurrence, packed in blocks of four bytes each with its
-document, by the bigram's hash. A part holds all occurrences of its bigrams in all documents, so it counts them and scores
-them at once and returns sums for its documents, packed again by the blocks they came in, and a block's sums are added up. A bigram repeated in one document stays four bytes, no group
-becomes rows, and no count table is broadcast; only the vocabulary with its counts is, which VOCABULARY bounds.
+Tasks count bigrams by blocks, and Spark sums the counts. Words are the sums over bigrams that end in them. A bigram's row
+is joined to the counts of both its words and gives the losses of one occurrence; each document's distinct bigrams are
+joined to these. What makes up more than one part in HOT_KEYS of all is joined by broadcast (fewer than HOT_KEYS rows
+can be), and only the rest is shuffled, so that no key fills a task. Nothing else has a bound.
 
 Nulls and odd input: a null text has no tokens; texts without tokens score 0. Rows with the same doc_id (null included) are
 scored as one text. Without target rows the target model is uniform. Empty tables give an empty result. Other columns are
@@ -20,23 +21,24 @@ ignored, whatever they are called.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from solargrid.llm.storage import input_partitions, stored
+from solargrid.llm.storage import stored
 
-VOCABULARY = 65_000
-UNKNOWN, START = 0, 65_535
+START = 65_535
 WEIGHT = 50.0
 #: Target ids are broadcast up to so many; beyond it both sides are shuffled.
 BROADCAST_IDS = 2_000_000
 BLOCK_TOKENS = 800_000
+#: Words and bigrams with more than one part in so many of all tokens are joined by broadcast.
+HOT_KEYS = 1_000_000
 CACHE = 300_000
 WORDS = re.compile(r"[\w']+|[^\w\s]")
 
@@ -53,87 +55,114 @@ def flagged(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> D
     return d.join(F.broadcast(ids) if few else ids, d["doc_id"] == F.col("t_id"), "left").select("doc_id", "text", F.col("t_id").isNotNull().alias("is_target"))
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """word, n_target, n: over all rows."""
+class Hashes(dict):
+    """64-bit hashes of words; the empty word stands for a text's start."""
 
-    def emit(seen: list[Counter]) -> Iterator[pa.RecordBatch]:
-        words = list(seen[1].keys())
-        for i in range(0, len(words), 100_000):
-            part = words[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[0][w] for w in part], pa.int64()), pa.array([seen[1][w] for w in part], pa.int64())], ["word", "n_target", "n"])
+    def __missing__(self, word: str) -> int:
+        if len(self) > CACHE:
+            self.clear()
+        self[word] = h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+        return h
+
+    def of(self, text: str) -> np.ndarray:
+        """The hashes of a text's tokens after that of its start."""
+        return np.array([self[""], *map(self.__getitem__, tokens(text))], dtype=np.int64)
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    w = second.view(np.uint64)
+    return (first.view(np.uint64) ^ ((w << np.uint64(1)) | (w >> np.uint64(63)))).view(np.int64)
+
+
+def pair_key() -> Column:
+    """pair_keys of columns h and w."""
+    return F.col("h").bitwiseXOR(F.shiftleft("w", 1).bitwiseOR(F.shiftrightunsigned("w", 63)))
+
+
+def bigram_counts(rows: DataFrame) -> DataFrame:
+    """h, w, n_target, n: over all rows."""
+
+    def block(held: list[np.ndarray], flags: list[bool]) -> pa.RecordBatch:
+        first, second = np.concatenate([x[:-1] for x in held]), np.concatenate([x[1:] for x in held])
+        own = np.repeat(np.array(flags, dtype=np.float64), [len(x) - 1 for x in held])
+        _, at, kind = np.unique(pair_keys(first, second), return_index=True, return_inverse=True)
+        n_target, n = np.bincount(kind, own, len(at)).astype(np.int64), np.bincount(kind, minlength=len(at))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (first[at], second[at], n_target, n)], ["h", "w", "n_target", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [Counter(), Counter()]
+        hashes, held, flags, n = Hashes(), [], [], 0
         for b in batches:
             for text, is_target in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = tokens(text)
-                seen[1].update(words)
-                if is_target:
-                    seen[0].update(words)
-            if len(seen[1]) > CACHE:
-                yield from emit(seen)
-                seen = [Counter(), Counter()]
-        yield from emit(seen)
+                held.append(hashes.of(text))
+                flags.append(is_target)
+                n += len(held[-1])
+                if n > BLOCK_TOKENS:
+                    yield block(held, flags)
+                    held, flags, n = [], [], 0
+        if held:
+            yield block(held, flags)
 
-    return rows.select("text", "is_target").mapInArrow(count, "word string, n_target long, n long").groupBy("word").agg(F.sum("n_target").alias("n_target"), F.sum("n").alias("n"))
+    return rows.select("text", "is_target").mapInArrow(count, "h long, w long, n_target long, n long").groupBy("h", "w").agg(F.sum("n_target").alias("n_target"), F.sum("n").alias("n"))
 
 
-def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return ((h >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+def with_counts(df: DataFrame, counts: DataFrame, on: str, n: str, total: int) -> DataFrame:
+    """df with the columns of counts (one row for each value of on; n sums to total at most)."""
+    hot, cold = counts.where(F.col(n) * HOT_KEYS > total), counts.where(F.col(n) * HOT_KEYS <= total)
+    far = df.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on)
+    return df.join(F.broadcast(hot), on).unionByName(far)
 
 
-def dealt(rows: DataFrame, ids, parts: int) -> DataFrame:
-    """part, block, index, sizes, keys: blocks of bigram occurrences, each document's together.
+def document_bigrams(rows: DataFrame, hot) -> DataFrame:
+    """doc_id, key, m, t, d: a row for each distinct bigram of a text, with its occurrences m (below 0 in the target).
 
-    index is a document's place in its block; sizes holds twice its occurrences, plus one in the target. Part -1 has one
-    row for each block: its doc_ids (index), which of them are null (sizes) and their numbers of tokens (keys).
+    A text's hot bigrams are one row, with their number m and the sums of their losses in the target model (t) and of the
+    differences (d). Its key is any number, so that these rows spread.
     """
 
-    def block(name: int, doc_ids: list, flags: list, keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        lengths = np.array([len(k) for k in keys], dtype=np.int64)
-        doc = np.repeat(np.arange(len(keys)), lengths)
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.uint32)
-        part = part_of(flat, parts)
-        order = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(parts + 1))
-        flags = np.array(flags, dtype=np.int64)
-        known, nulls = np.array([0 if x is None else x for x in doc_ids], dtype=np.int64), np.array([x is None for x in doc_ids], dtype=bool)
-        out = [(-1, name, known.tobytes(), nulls.tobytes(), lengths.astype(np.int32).tobytes())] if doc_ids else []
-        for p in np.nonzero(np.diff(bounds))[0]:
-            at = order[bounds[p] : bounds[p + 1]]
-            mine, sizes = np.unique(doc[at], return_counts=True)
-            out.append((int(p), name, mine.astype(np.uint32).tobytes(), (sizes * 2 + flags[mine]).astype(np.uint32).tobytes(), flat[at].tobytes()))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["part", "block", "index", "sizes", "keys"])
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def block(doc_ids: list, flags: list[bool], held: list[tuple[np.ndarray, np.ndarray]], name: int) -> pa.RecordBatch:
+        keys, m = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+        doc = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
+        own = np.array(flags, dtype=bool)
+        hot_keys, loss_in, loss_out, loss_all = hot.value
+        at = np.minimum(np.searchsorted(hot_keys, keys), max(len(hot_keys) - 1, 0))
+        hit = hot_keys[at] == keys if len(hot_keys) else np.zeros(len(keys), dtype=bool)
+        at, of, k = at[hit], doc[hit], m[hit]
+        t = np.where(own[of], loss_in[at], loss_out[at])
+        total = lambda x: np.bincount(of, x * k, len(held))
+        doc, keys, m = doc[~hit], keys[~hit], m[~hit]
+        spread = (np.arange(name, name + len(held), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        ids, none = np.array([0 if x is None else x for x in doc_ids], dtype=np.int64), np.array([x is None for x in doc_ids], dtype=bool)
+        owner, blank = np.concatenate([np.arange(len(held)), doc]), np.arange(len(held) + len(doc)) >= len(held)
+        sums = lambda x: pa.array(np.concatenate([x, np.zeros(len(doc))]), mask=blank)
+        signed = np.concatenate([np.bincount(of, k, len(held)).astype(np.int64), np.where(own[doc], -m, m)])
+        return pa.RecordBatch.from_arrays([pa.array(ids[owner], mask=none[owner]), pa.array(np.concatenate([spread, keys])), pa.array(signed), sums(total(t)), sums(total(loss_all[at] - t))], ["doc_id", "key", "m", "t", "d"])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        get = ids.value[0].get
-        doc_ids, flags, keys, n, name = [], [], [], 0, TaskContext.get().partitionId() << 32
+        hashes, doc_ids, flags, held, n, name = Hashes(), [], [], [], 0, TaskContext.get().partitionId() << 32
         for b in batches:
             for doc_id, text, is_target in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                w = np.array([START, *[get(x, UNKNOWN) for x in tokens(text)]], dtype=np.uint32)
+                w = hashes.of(text)
+                held.append(np.unique(pair_keys(w[:-1], w[1:]), return_counts=True))
                 doc_ids.append(doc_id)
                 flags.append(is_target)
-                keys.append((w[:-1] << np.uint32(16)) | w[1:])
                 n += len(w)
                 if n > BLOCK_TOKENS:
-                    yield from block(name, doc_ids, flags, keys)
-                    doc_ids, flags, keys, n, name = [], [], [], 0, name + 1
-        yield from block(name, doc_ids, flags, keys)
+                    yield block(doc_ids, flags, held, name)
+                    name += len(held)
+                    doc_ids, flags, held, n = [], [], [], 0
+        if held:
+            yield block(doc_ids, flags, held, name)
 
-    return rows.mapInArrow(deal, "part int, block long, index binary, sizes binary, keys binary")
+    return rows.mapInArrow(emit, "doc_id long, key long, m long, t double, d double")
 
 
 def losses(keys: np.ndarray, is_target: np.ndarray, unigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each occurrence's loss in the target and in the background model; keys holds all occurrences of its bigrams.
 
     An occurrence that a model has counted is left out of the counts that score it, so that target rows gain nothing
-    from being in the target.
+    from being in the target. This is what bigram_losses computes, on arrays; a word is an index of 16 bits here.
     """
     kinds, at = np.unique(keys, return_inverse=True)
     first, second = keys >> np.uint32(16), keys & np.uint32(0xFFFF)
@@ -146,71 +175,41 @@ def losses(keys: np.ndarray, is_target: np.ndarray, unigrams: np.ndarray) -> tup
     return out[0], out[1]
 
 
-def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
+def bigram_losses(bigrams: DataFrame, words: DataFrame, sizes: tuple[int, int, int], texts_in: tuple[int, int]) -> DataFrame:
+    """key, and the losses of one occurrence: target model, in the target and not, and background model.
+
+    sizes: tokens of the target, of all, and words. texts_in: texts of the target, and of all.
+    """
+    spark = bigrams.sparkSession
+    start = spark.createDataFrame([(Hashes()[""], *texts_in)], "h long, c_target long, c long")
+    contexts = words.select(F.col("w").alias("h"), F.col("u_target").alias("c_target"), F.col("u").alias("c")).unionByName(start)
+    both = with_counts(with_counts(bigrams, words, "w", "u", sizes[1]), contexts, "h", "c", sizes[1] + texts_in[1])
+
+    def loss(tail: str, total: int, own: int) -> Column:
+        p = (F.col(f"u{tail}") - own + 1) / F.lit(float(total - own + sizes[2] + 1))
+        return -F.log((F.col(f"n{tail}") - own + WEIGHT * p) / (F.col(f"c{tail}") - own + WEIGHT))
+
+    loss_in, loss_out = F.when(F.col("n_target") > 0, loss("_target", sizes[0], 1)), F.when(F.col("n") > F.col("n_target"), loss("_target", sizes[0], 0))
+    return both.select(pair_key().alias("key"), loss_in.alias("loss_in"), loss_out.alias("loss_out"), loss("", sizes[1], 1).alias("loss_all"))
+
+
+def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background (means over tokens) and score for every doc_id. target: its doc_ids."""
     spark = docs.sparkSession
     rows = flagged(docs, target, id_col, text_col)
-    counts = stored(word_counts(rows), "word-counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(min(vocabulary, START - 1)).toPandas()  # bounded by the vocabulary
-    total = counts.agg(F.sum("n_target"), F.sum("n")).first()
-    n_rows = rows.agg(F.count_if("is_target"), F.count("*")).first()
-    # unigrams[model, id]; row 2 holds how often each model sees a text's start.
-    unigrams = np.zeros((3, START + 1))
-    for k, name in enumerate(("n_target", "n")):
-        unigrams[k, 1 : len(top) + 1] = top[name]
-        unigrams[k, UNKNOWN] = (total[k] or 0) - top[name].sum()
-        unigrams[2, k] = n_rows[k]
-    ids = spark.sparkContext.broadcast(({w: i for i, w in enumerate(top["word"], 1)}, unigrams))
-    parts = input_partitions(spark)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "index", "nulls", "t", "d"]
-        row = lambda *x: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(x, (pa.int64(), *[pa.binary()] * 4), strict=True)], names)
-        by_part: dict[int, list] = {}
-        for b in batches:
-            for part, name, index, sizes, keys in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if part < 0:  # what a block is: its ids, nulls and numbers of tokens
-                    yield row(name, index, sizes, keys, None)
-                else:
-                    by_part.setdefault(part, []).append((name, index, np.frombuffer(sizes, np.uint32), keys))
-        for part in list(by_part):
-            blocks = by_part.pop(part)
-            keys = np.concatenate([np.frombuffer(x[3], np.uint32) for x in blocks])
-            sizes = np.concatenate([x[2] for x in blocks]).astype(np.int64)
-            t, b = losses(keys, np.repeat((sizes & 1).astype(np.int8), sizes >> 1), ids.value[1])
-            at = 0
-            for name, index, size, _ in blocks:
-                n = (size >> 1).astype(np.int64)
-                owner, upto = np.repeat(np.arange(len(n)), n), at + int(n.sum())
-                sums = np.bincount(owner, t[at:upto], len(n)).astype(np.float32), np.bincount(owner, b[at:upto] - t[at:upto], len(n))
-                yield row(name, index, None, *[x.tobytes() for x in sums])
-                at = upto
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def total(parts: list) -> pa.RecordBatch:
-            doc, null, n = next((np.frombuffer(i, np.int64), np.frombuffer(z, bool), np.frombuffer(t, np.int32)) for i, z, t, d in parts if d is None)
-            sums = np.zeros(len(doc)), np.zeros(len(doc))  # of the target's losses, and of the differences
-            for index, _, t, d in parts:
-                if d is not None:
-                    at = np.frombuffer(index, np.uint32)
-                    sums[0][at] += np.frombuffer(t, np.float32)
-                    sums[1][at] += np.frombuffer(d, np.float64)
-            return pa.RecordBatch.from_arrays([pa.array(doc, mask=null), pa.array(n.astype(np.int64)), *map(pa.array, sums)], ["doc_id", "n", "t", "d"])
-
-        held, last = [], None
-        for batch in batches:
-            for name, *rest in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if held and name != last:
-                    yield total(held)
-                    held = []
-                held.append(rest)
-                last = name
-        if held:
-            yield total(held)
-
-    dealt_rows = dealt(rows, ids, parts).withColumn("to", F.when(F.col("part") < 0, F.col("block")).otherwise(F.col("part")))
-    packed = dealt_rows.repartition(parts, "to").drop("to").mapInArrow(counted, "block long, index binary, nulls binary, t binary, d binary")
-    sums = packed.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(merged, "doc_id long, n long, t double, d double")
-    sums = sums.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.sum("t").alias("t"), F.sum("d").alias("d"))
+    bigrams = stored(bigram_counts(rows), "bigram-counts")
+    words = stored(bigrams.groupBy("w").agg(F.sum("n_target").alias("u_target"), F.sum("n").alias("u")), "word-counts")
+    sizes = tuple(x or 0 for x in words.agg(F.sum("u_target"), F.sum("u"), F.count("*")).first())
+    texts_in = tuple(rows.agg(F.count_if("is_target"), F.count("*")).first())
+    losses_of = lambda x: bigram_losses(x, words, sizes, texts_in)
+
+    hot = losses_of(bigrams.where(F.col("n") * HOT_KEYS > sizes[1])).toPandas().sort_values("key")  # fewer than HOT_KEYS rows
+    hot = spark.sparkContext.broadcast(tuple(hot[c].to_numpy(k) for c, k in zip(hot.columns, ("int64", *["float64"] * 3), strict=True)))
+    cold = losses_of(bigrams.where(F.col("n") * HOT_KEYS <= sizes[1]))
+    j = document_bigrams(rows, hot).join(cold, "key", "left")
+    t = F.when(F.col("m") < 0, F.col("loss_in")).otherwise(F.col("loss_out"))
+    times = F.abs("m")
+    j = j.select("doc_id", times.alias("m"), F.coalesce("t", times * t).alias("t"), F.coalesce("d", times * (F.col("loss_all") - t)).alias("d"))
+    sums = j.groupBy("doc_id").agg(F.sum("m").alias("n_tokens"), F.sum("t").alias("t"), F.sum("d").alias("d"))
     mean = lambda x: F.when(F.col("n_tokens") > 0, F.expr(x) / F.col("n_tokens")).otherwise(0.0)
     return sums.select("doc_id", "n_tokens", mean("t").alias("loss_target"), mean("t + d").alias("loss_background"), mean("d").alias("score"))

@@ -336,6 +336,35 @@ def test_lm_scores_against_brute_force(spark, sf_dir, docs):
         assert got[d].n_tokens == len(w) and got[d].loss_target == pytest.approx(loss[0] / len(w)) and got[d].score == pytest.approx((loss[1] - loss[0]) / len(w))
 
 
+def lm_by_hand(rows, good):
+    """n_tokens, loss_target and score of every text, by counters over all words."""
+    uni, bi, heads = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()], [0, 0]
+    for d, w in rows:
+        for k in (0, 1) if d in good else (1,):
+            uni[k].update(w)
+            bi[k].update(zip([None, *w], w, strict=False))
+            heads[k] += 1
+    size, n, out = len(uni[1]) + 1, [sum(c.values()) for c in uni], {}
+    for d, w in rows:
+        loss = [0.0, 0.0]
+        for h, x in zip([None, *w], w, strict=False):
+            for k in (0, 1):
+                own = 1 if k or d in good else 0
+                p = (uni[k][x] - own + 1) / (n[k] - own + size)
+                c = (heads[k] if h is None else uni[k][h]) - own
+                loss[k] -= np.log((bi[k][h, x] - own + lm_score.WEIGHT * p) / (c + lm_score.WEIGHT))
+        out[d] = (len(w), loss[0] / len(w), (loss[1] - loss[0]) / len(w))
+    return out
+
+
+def test_lm_scores_know_every_word(spark):
+    """More words than 16 bits can name, rare ones told apart by the target."""
+    rows = [(k, " ".join(f"w{(k // 2 * 300 + i) % 75_000}" for i in range(300))) for k in range(500)]
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.range(0, 500, 4).withColumnRenamed("id", "doc_id")).collect()}
+    want = lm_by_hand([(d, lm_score.tokens(t)) for d, t in rows], set(range(0, 500, 4)))
+    assert {d: (r.n_tokens, r.loss_target, r.score) for d, r in got.items()} == {d: pytest.approx(x) for d, x in want.items()}
+
+
 def test_lm_scores_on_odd_input(spark, odd):
     got = {r.doc_id: r for r in lm_score.score(odd, spark.createDataFrame([(5,), (5,), (None,)], "doc_id long")).collect()}
     assert set(got) == {None, 1, 2, 3, 4, 5, 6, 7, 8} and got[1].n_tokens == 0 and got[1].score == 0
