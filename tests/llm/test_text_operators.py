@@ -365,6 +365,23 @@ def test_lm_scores_know_every_word(spark):
     assert {d: (r.n_tokens, r.loss_target, r.score) for d, r in got.items()} == {d: pytest.approx(x) for d, x in want.items()}
 
 
+@pytest.mark.parametrize("hot_keys", [1, 40, 2000])
+def test_lm_scores_with_a_bigram_of_a_third_of_all_tokens(spark, monkeypatch, hot_keys):
+    """Scores are the same wherever the line between broadcast and shuffle lies, and beyond it no key has many rows."""
+    monkeypatch.setattr(lm_score, "HOT_KEYS", hot_keys)
+    emitted = []
+    real = lm_score.document_bigrams
+    monkeypatch.setattr(lm_score, "document_bigrams", lambda *x: emitted.append(real(*x)) or emitted[-1])
+    dice = random.Random(8)
+    rows = [(k, "a b " * 80 + " ".join(f"w{dice.randrange(4) * dice.randrange(40)}" for _ in range(80))) for k in range(60)]
+    good = spark.range(0, 60, 3).withColumnRenamed("id", "doc_id")
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), good).collect()}
+    want = lm_by_hand([(d, lm_score.tokens(t)) for d, t in rows], set(range(0, 60, 3)))
+    assert {d: (r.n_tokens, r.loss_target, r.score) for d, r in got.items()} == {d: pytest.approx(x) for d, x in want.items()}
+    alone = emitted[0].where("t IS NULL").groupBy("key").agg(F.sum(F.abs("m")).alias("n")).agg(F.max("n")).first()[0]
+    assert alone <= 60 * 240 / hot_keys
+
+
 def test_lm_scores_on_odd_input(spark, odd):
     got = {r.doc_id: r for r in lm_score.score(odd, spark.createDataFrame([(5,), (5,), (None,)], "doc_id long")).collect()}
     assert set(got) == {None, 1, 2, 3, 4, 5, 6, 7, 8} and got[1].n_tokens == 0 and got[1].score == 0
