@@ -1,11 +1,13 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. Its token set is joined to the templates' token sets: a block matches a template when it holds at
+A block is a line, or a window of words across lines, so that a wrapped notice is found: windows are a quarter (at a
+threshold of 0.8) longer than the template, which leaves room for words between, as of comments. A block's token set is joined to the templates' token sets: a block matches a template when it holds at
 least `threshold` of the template's tokens (containment). Tokens are ordered by how many blocks of the whole corpus hold
 them, rarest first. By the prefix filter, a block that matches must hold one of the first |T| - need + 1 tokens of the
 template; by the length filter it holds need template tokens at least; by the positional filter the tokens left after
 a common one must suffice. What passes is verified, so the result is exact. Only tokens of templates can count towards
-containment, so blocks carry only those, and their frequencies are at most as many as the templates have tokens.
+containment, so blocks carry only those, and their frequencies are at most as many as the templates have tokens. Windows
+are only looked at around the places of prefix tokens, each with as many neighbours as the longest window holds.
 
 The base scan counts the places where the words of a fixed phrase stand consecutively.
 
@@ -56,12 +58,21 @@ def needed(size: int, threshold: float) -> int:
     return max(1, math.ceil(size * threshold - 1e-9))
 
 
+def width(text: str, threshold: float) -> int:
+    """Words of a window for a template."""
+    return math.ceil(len(re.findall(WORD, text)) / threshold - 1e-9)
+
+
+def _list(items) -> str:
+    return ", ".join(f"'{x}'" for x in items)
+
+
 def _array(items) -> str:
-    return "array(" + ", ".join(f"'{x}'" for x in items) + ")"
+    return f"array({_list(items)})"
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[str]) -> DataFrame:
-    """For each row: its words, base places and the template tokens of each of its blocks."""
+    """For each row: its words, base places, the template tokens of each of its lines and, of several lines, their places."""
     d = docs.select(
         F.monotonically_increasing_id().alias("q_row"),
         F.col(id_col).alias("doc_id"),
@@ -82,9 +93,22 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[str])
         F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
         F.array_sort(F.array_compact(F.array(*[label(i, name) for i, (_, name) in enumerate(PHRASES)]))).alias("base"),
         F.expr(f"filter(transform(q_lines, x -> array_intersect(x, {_array(vocabulary)})), x -> size(x) > 0)").alias("blocks"),
+        F.expr(f"CASE WHEN size(q_lines) > 1 THEN array_compact(transform(flatten(q_lines), (x, i) -> CASE WHEN x IN ({_list(vocabulary)}) THEN struct(i AS pos, x AS token) END)) END").alias("marks"),
     )
 
 
+def _windows(rows: DataFrame, prefixes: DataFrame, wholes: DataFrame, tokens: list[str], mapping: str, longest: int) -> DataFrame:
+    """q_row, label, contained: matches of windows of words, whatever lines these are on. tokens: those of prefixes."""
+    near = f"transform(slice(marks, greatest(j - {longest - 2}, 1), {2 * longest - 1}), m -> struct(m.pos AS pos, {mapping}[m.token] AS rank))"
+    places = f"filter(sequence(0, size(marks) - 1), j -> marks[j].token IN ({_list(tokens)}))"
+    at = rows.where("size(marks) > 0").select("q_row", F.explode(F.expr(f"transform({places}, j -> struct(marks[j].pos AS p, {mapping}[marks[j].token] AS rank, {near} AS near))")).alias("at"))
+    j = at.select("q_row", "at.*").join(F.broadcast(prefixes.select("rank", "template")), "rank").join(F.broadcast(wholes), "template")
+    j = j.withColumn("near", F.expr("filter(near, m -> abs(m.pos - p) < width AND array_contains(t_ranks, m.rank))")).where("size(array_distinct(near.rank)) >= need")
+    held = "size(array_distinct(transform(filter(near, b -> b.pos >= a.pos AND b.pos < a.pos + width), b -> b.rank)))"
+    j = j.withColumn("held", F.expr(f"array_max(transform(filter(near, a -> a.pos <= p), a -> {held}))"))
+    return j.where("held >= need").select("q_row", "label", (F.col("held") / F.size("t_ranks")).alias("contained"))
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base places, labels and score of every document; see the module's text."""
     spark = docs.sparkSession
@@ -98,11 +122,11 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_
     index, whole = [], []
     for no, (label, tokens) in enumerate(sets):
         order, need = sorted(rank[t] for t in tokens), needed(len(tokens), threshold)
-        whole.append((no, label, need, order))
+        whole.append((no, label, need, order, width(templates[no][1], threshold)))
         index += [(order[i], no, i) for i in range(len(order) - need + 1)]
-    least = min(need for _, _, need, _ in whole)
+    least = min(x[2] for x in whole)
     prefixes = spark.createDataFrame(index, "rank int, template int, t_pos int")
-    wholes = spark.createDataFrame(whole, "template int, label string, need int, t_ranks array<int>")
+    wholes = spark.createDataFrame(whole, "template int, label string, need int, t_ranks array<int>, width int")
 
     mapping = "map(" + ", ".join(f"'{t}', {r}" for t, r in rank.items()) + ")"
     long_enough = rows.select("q_row", F.posexplode("blocks").alias("block", "tokens")).where(F.size("tokens") >= least)
@@ -110,7 +134,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_
     found = blocks.select("q_row", "ranks", F.posexplode("ranks").alias("b_pos", "rank")).join(F.broadcast(prefixes), "rank").join(F.broadcast(wholes), "template")
     reach = F.expr("least(t_pos, b_pos) + 1 + least(size(t_ranks) - t_pos, size(ranks) - b_pos) - 1 >= need")
     found = found.where(reach).where(F.size(F.array_intersect("ranks", "t_ranks")) >= F.col("need"))
-    best = found.groupBy("q_row").agg(F.collect_set("label").alias("own"), F.max(F.size(F.array_intersect("ranks", "t_ranks")) / F.size("t_ranks")).alias("contained"))
+    found = found.select("q_row", "label", (F.size(F.array_intersect("ranks", "t_ranks")) / F.size("t_ranks")).alias("contained"))
+    rare = {r for r, _, _ in index}
+    found = found.unionByName(_windows(rows, prefixes, wholes, [t for t in vocabulary if rank[t] in rare], mapping, max(x[4] for x in whole)))
+    best = found.groupBy("q_row").agg(F.collect_set("label").alias("own"), F.max("contained").alias("contained"))
 
     j = rows.join(best, "q_row", "left")
     both = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("own", F.array().cast("array<string>")))))

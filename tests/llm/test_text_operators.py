@@ -426,6 +426,18 @@ def test_license_labels(spark):
     assert (got[1].n_base, got[1].first_word, got[2].n_base, got[5].first_word) == (1, 5, 1, None) and got[3].score >= 0.8 and got[3].base_labels == ""
 
 
+def test_wrapped_licenses_are_found(spark):
+    """Notices over several lines, in comments, and with words between; not their words far apart."""
+    by_label = dict(license_scan.TEMPLATES)
+    wrapped = lambda label, n, lead: "\n".join(lead + " ".join(by_label[label].split()[i : i + n]) for i in range(0, len(by_label[label].split()), n))
+    want = {1: "mit", 2: "bsd", 3: "isc", 4: "mpl-2.0", 5: "unlicense", 6: "bsd"}
+    texts = {k: wrapped(label, 5, (" * ", "# ")[k % 2]) for k, label in want.items()} | {6: wrapped("bsd", 9, "REM "), 7: "\n\n".join(f"{w} " + "other " * 40 for w in by_label["bsd"].split()), 8: "mit " * 3000 + "\nend"}
+    texts[2] = "first line\n" * 500 + texts[2] + "\nlast line" * 500
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {k: r.labels for k, r in got.items()} == want | {7: "", 8: ""}
+    assert all(got[k].score == 1 for k in (1, 2, 3, 4, 5)) and got[6].score >= 0.8 and got[7].score == got[8].score == 0
+
+
 def test_license_scan_on_odd_input(odd):
     got = license_scan.scan(odd)
     assert got.count() == odd.count() and got.where("doc_id <= 3").where("n_words > 0 OR labels <> ''").count() == 0
