@@ -198,34 +198,59 @@ def searched(parts: DataFrame, length: int, limit: int) -> DataFrame:
     return parts.repartition(input_partitions(spark), "shard").sortWithinPartitions("shard").mapInArrow(run, SPANS)
 
 
+ITEM = "group long, q_key long, pos long, start long, bytes binary, low long, high long, reach long"
+ITEMS = [x.split()[0] for x in ITEM.split(", ")]
+
+
+def occurrences(regions: DataFrame, length: int, size: int) -> DataFrame:
+    """ITEM of every occurrence of the anchor in each region. regions: group, q_key, pos (one of them), start, bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for group, q_key, pos, start, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                anchor, last = data[pos - start : pos - start + size], None
+                p = data.find(anchor)
+                while p >= 0:
+                    first = max(p - (length - size), 0)
+                    reach = length - size if last is None else min(length - size, p - last - 1)
+                    out.append((group, q_key, start + p, start + first, data[first : p + length], 0, length - size, reach))
+                    last, p = p, data.find(anchor, p + 1)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 4, pa.binary(), *[pa.int64()] * 3), strict=True)], ITEMS)
+
+    return regions.select("group", "q_key", "pos", "start", "bytes").mapInArrow(run, ITEM)
+
+
 def hot_spans(items: DataFrame, length: int, size: int, hot: int, limit: int) -> DataFrame:
     """Spans among anchors with too many regions for one task.
 
-    items: group, q_key, pos, start, bytes (the region, from start on), low and high (window offsets before the anchor).
+    items: group, q_key, pos, start, bytes (the region, from start on), low and high (the group's window offsets before the
+    anchor) and reach: windows that start further before it hold an occurrence of the anchor before this one. A window is
+    named by its first occurrence only, so equal windows have equal names, whichever anchors were kept.
     """
 
     def refine(width: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out = []
-                for group, q_key, pos, start, data, low, high in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                for group, q_key, pos, start, data, low, high, reach in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
                     for a in range(low - low % width, high + 1, width):
                         # Windows that start x to z bytes before the anchor: all hold the bytes between, in whatever text.
                         x, z = max(a, low), min(a + width - 1, high)
-                        if max(x, pos - start + length - len(data)) > min(z, pos - start):
-                            continue  # none of them lies in this text
+                        if max(x, pos - start + length - len(data)) > min(z, pos - start, reach):
+                            continue  # none of them lies in this text and has its first anchor here
                         core = data[pos - start - x : pos - start - z + length]
                         code = hashlib.blake2b(b"%d %d %d " % (group, x, z) + core, digest_size=8).digest()
-                        out.append((int.from_bytes(code, "little", signed=True), q_key, pos, start, data, x, z))
+                        out.append((int.from_bytes(code, "little", signed=True), q_key, pos, start, data, x, z, reach))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 4, pa.binary(), pa.int64(), pa.int64()), strict=True)], ["group", "q_key", "pos", "start", "bytes", "low", "high"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 4, pa.binary(), *[pa.int64()] * 3), strict=True)], ITEMS)
 
         return run
 
-    kind = "group long, q_key long, pos long, start long, bytes binary, low long, high long"
     done = []
     for width in LEVELS:
-        items = stored(items.mapInArrow(refine(width), kind), "hot-windows")
+        items = stored(items.mapInArrow(refine(width), ITEM), "hot-windows")
         sizes = items.groupBy("group").agg(F.count("*").alias("k")).where("k > 1")
         items = items.join(sizes, "group")
         if width == 1:
@@ -259,7 +284,8 @@ def spans(docs: DataFrame, length: int, size: int, hot: int, family: int, limit:
         regions_text = pieces(docs, many, length, size).select("q_key", F.col("shard").alias("group"), "start", "bytes")
         own = many.select("q_key", F.col("shard").alias("group"), "pos")
         at = regions_text.join(own, ["q_key", "group"]).where("pos >= start AND pos < start + octet_length(bytes)")
-        out = out.unionByName(hot_spans(at.select("group", "q_key", "pos", "start", "bytes", F.lit(0).cast("long").alias("low"), F.lit(length - size).cast("long").alias("high")), length, size, hot, limit))
+        at = at.groupBy("group", "q_key", "start").agg(F.min("pos").alias("pos"), F.first("bytes").alias("bytes"))
+        out = out.unionByName(hot_spans(occurrences(at, length, size), length, size, hot, limit))
     return out
 
 

@@ -155,6 +155,19 @@ def test_suffix_dedup_removes_exactly_the_repeats(docs, settings):
     assert got == brute_removed(rows, 400)
 
 
+def test_suffix_dedup_of_hot_periodic_text(spark):
+    """Lines repeated more or less often before a shared tail, on the path for anchors with many regions."""
+    rows = []
+    for seed, n_tail in ((0, 100), (3, 30), (7, 30), (11, 30)):
+        dice = random.Random(seed)
+        letters = lambda n: "".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))  # noqa: B023, E731
+        line, tail = letters(60), letters(n_tail)
+        rows += [letters(50) + (line * 99)[:n] + tail + (line * 99)[:2400] + letters(50) for n in (600, 660, 720, 780)]
+    rows = list(enumerate(rows))
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot=2, family=1, limit=3000)
+    assert sorted((tuple(r[c] for c in COLS) for r in got.collect()), key=str) == brute_removed(rows, 400)
+
+
 def test_suffix_dedup_on_odd_input(odd):
     got = sorted((tuple(r[c] for c in COLS) for r in suffix_dedup.dedup(odd).collect()), key=str)
     assert got == brute_removed([(r.doc_id, r.text) for r in odd.collect()], 400)
