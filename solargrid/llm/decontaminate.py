@@ -1,111 +1,122 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words are runs of word characters, lower-cased. A fixed mask of SPAN positions ignores some of them; the words at the
-others are hashed at every place of every benchmark item and of every document. Where a document's hash equals an
-item's, both texts are aligned there and a window of WINDOW words around the hit (the whole item, if it is shorter) is
-compared word by word: it is a leak when at least MATCH of its words are equal. Substituted words thus do not hide a copy.
+Words are runs of word characters, lower-cased, and each is known by a 64-bit hash. A fixed mask of SPAN positions ignores
+some of them; the words at the others are hashed at every place of every benchmark item and of every document. Where a
+document's hash equals an item's, both texts are aligned there and a window of WINDOW words around the hit (the whole item,
+if it is shorter) is compared word by word: it is a leak when at least MATCH of its words are equal. Substituted words thus
+do not hide a copy: of the 4845 ways to spread four substitutions over a window of 20 words, the masks find 4830 (0.997).
 
-Documents are never shuffled for this: a fixed bitmap of the items' hashes (BITS bits, whatever the number of items)
-lets through the few places of a document that may hit, and only those, with the words around them, go to the join.
-The items' seeds are broadcast if they are fewer than BROADCAST_SEEDS, else both sides are shuffled by hash.
+Documents are never shuffled for this: their places meet the items' seeds in a broadcast join inside generated code. Up to
+BROADCAST_SEEDS seeds are broadcast; a larger benchmark is cut by hash into slices of about that many, and each slice is
+joined in a pass of its own, so memory stays bounded whatever the benchmark.
 
 Nulls and odd input: null texts have no words. Items of fewer than SPAN words are not tested: they are too short to be
 evidence. Rows with a null doc_id can be reported with it; repeated rows are reported once. Empty tables give an empty
-result. Other columns are ignored, whatever they are called.
+result. Other columns are ignored, whatever they are called. without_leaks judges each row by its own text, also where
+rows share a doc_id.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a lower-cased text: ASCII letters and digits, and all characters beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+from solargrid.llm.storage import input_partitions, stored
+
+#: Words of a lower-cased text are ASCII letters and digits, and all characters beyond ASCII; this is what lies between.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed masks: 1 is compared, 0 is ignored.
 MASKS = ("110100111", "111001011", "101110101")
 SPAN = 9
 WINDOW = 20
 MATCH = 80  # per cent of a window's words
-BITS = 18
-BROADCAST_SEEDS = 200_000
+BROADCAST_SEEDS = 2_000_000
+#: Rows found to leak are broadcast up to so many; beyond it both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def _words(text: str) -> str:
-    return f"regexp_extract_all(lower(coalesce({text}, '')), '{WORD}', 0)".replace("\\", "\\\\")
-
-
-def _hash(mask: str, no: int) -> str:
-    return f"xxhash64({no}, " + ", ".join(f"q_words[i + {j}]" for j, x in enumerate(mask) if x == "1") + ")"
+    """Hashes of a text's words. Splitting costs a fifth of extracting them, which copies the whole text for each match."""
+    words = f"array_remove(split(lower(coalesce({text}, '')), '{BETWEEN}'), '')".replace("\\", "\\\\")
+    return f"transform({words}, w -> xxhash64(w))"
 
 
-def _around(at: str = "i") -> str:
-    """Words from WINDOW - SPAN before a place to WINDOW after it; where the text has none, null."""
-    return f"transform(sequence({SPAN - WINDOW}, {WINDOW - 1}), k -> get(q_words, {at} + k))"
+def _places(d: DataFrame, *keep: str) -> DataFrame:
+    """The columns in keep and i, hash: a row for each place and mask of q_words."""
+    # With the outer forms Spark does not test an array's size before it is laid down, which would build it a second time.
+    first = F.expr(f"explode_outer(CASE WHEN size(q_words) >= {SPAN} THEN sequence(0, size(q_words) - {SPAN}) END)")
+    d = d.select(*keep, "q_words", first.alias("i")).where("i IS NOT NULL")
+    each = [f"xxhash64({k}, " + ", ".join(f"get(q_words, i + {j})" for j, x in enumerate(m) if x == "1") + ")" for k, m in enumerate(MASKS)]
+    return d.select(*keep, "q_words", "i", F.expr(f"explode_outer(array({', '.join(each)}))").alias("hash"))
 
 
-def _places(hashes: str) -> str:
-    return f"CASE WHEN size(q_words) < {SPAN} THEN NULL ELSE {hashes} END"
-
-
-def seeds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """hash, item_id, at, n (the item's words), b_words (the words around): a row for each mask and place."""
+def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item, item_id, b_words: the distinct items that can be tested; item stands for an id and its words."""
     b = benchmark.select(F.col(id_col).alias("item_id"), F.expr(_words(f"`{text_col}`")).alias("q_words")).where(F.size("q_words") >= SPAN)
-    rows = ", ".join(f"named_struct('hash', {_hash(m, k)}, 'at', i, 'b_words', {_around()})" for k, m in enumerate(MASKS))
-    b = b.select("item_id", F.size("q_words").alias("n"), F.expr(_places(f"flatten(transform(sequence(0, size(q_words) - {SPAN}), i -> array({rows})))")).alias("s"))
-    return b.select("item_id", "n", F.inline("s")).distinct()
-
-
-def _bitmap(items: DataFrame) -> Column:
-    """A constant array of longs in which two bits stand for each hash; 2 ^ BITS bits, whatever the items."""
-    words = 1 << (BITS - 6)
-    probe = lambda h: F.expr(f"explode(array({h}, shiftrightunsigned({h}, 24)))")
-    bits = items.select(probe("hash").alias("h")).select(F.expr(f"CAST(shiftright(h, 6) & {words - 1} AS INT)").alias("slot"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("bit"))
-    table = dict(bits.groupBy("slot").agg(F.bit_or("bit")).collect())
-    return F.lit(np.array([table.get(i, 0) for i in range(words)], dtype=np.int64))
-
-
-def _may_hit(h: str) -> str:
-    words = (1 << (BITS - 6)) - 1
-    test = lambda x: f"(shiftrightunsigned(get(q_map, CAST(shiftright({x}, 6) & {words} AS INT)), CAST({x} & 63 AS INT)) & 1) = 1"
-    return f"{test(h)} AND {test(f'shiftrightunsigned({h}, 24)')}"
+    b = b.select(F.xxhash64("item_id", "q_words").alias("item"), "item_id", F.col("q_words").alias("b_words"))
+    return stored(b.dropDuplicates(["item"]), "benchmark-items")
+
+
+def seeds_of(items: DataFrame) -> DataFrame:
+    """hash, item, at: the distinct seeds of items."""
+    places = _places(items.select("item", F.col("b_words").alias("q_words")), "item")
+    return stored(places.select("hash", "item", F.col("i").alias("at")), "benchmark-seeds")
+
+
+def hits(d: DataFrame, items: DataFrame, seeds: DataFrame, *keep: str) -> DataFrame:
+    """The columns in keep, item_id, matched (equal words of a window), compared (its words): a row for each window around a seed that leaks. d has q_words."""
+    n = seeds.count()
+    slices = -(-n // BROADCAST_SEEDS) or 1
+    small = items.agg(F.coalesce(F.sum(F.size("b_words")), F.lit(0))).first()[0] <= BROADCAST_SEEDS
+    b = F.broadcast(items) if small else items
+    # Bit k says whether the words k - (WINDOW - SPAN) from the hit are equal; the rest is counting bits.
+    ahead = WINDOW - SPAN
+    equal = lambda k: f"(get(q_words, i + {k}) = get(b_words, at + {k}) AND i + {k} >= 0 AND at + {k} >= 0)"
+    bits = " | ".join(f"shiftleft(CAST(coalesce({equal(k)}, false) AS BIGINT), {k + ahead})" for k in range(-ahead, WINDOW))
+    size = f"least(size(b_words), {WINDOW})"
+    # Windows of the item that hold the hit; each starts at most WINDOW - SPAN words before it.
+    inside = lambda o: f"{o} BETWEEN greatest({SPAN} - compared, -at) AND least(0, n_words - compared - at)"
+    best = ", ".join(f"CASE WHEN {inside(o)} THEN bit_count(shiftright(bits, {o + ahead}) & (shiftleft(1L, compared) - 1)) END" for o in range(-ahead, 1))
+    out = []
+    for k in range(slices):
+        part = seeds.where(F.pmod(F.xxhash64("hash"), F.lit(slices)) == k) if slices > 1 else seeds
+        met = _places(d, *keep).join(F.broadcast(part), "hash")
+        # Only the words around a hit leave the scan; hits are dealt out, so that a text full of them does not hold up a task.
+        around = F.expr(f"slice(q_words, greatest(i - {ahead}, 0) + 1, {ahead + WINDOW})")
+        met = met.select(*keep, "item", "at", F.expr(f"least(i, {ahead})").alias("i"), around.alias("q_words"))
+        met = met.repartition(input_partitions(d.sparkSession), *keep, "item", "at").join(b, "item")
+        met = met.select(*keep, "item_id", "at", F.expr(size).alias("compared"), F.size("b_words").alias("n_words"), F.expr(bits).alias("bits"))
+        windows = met.select(*keep, "item_id", "compared", F.expr(f"explode_outer(array({best}))").alias("matched"))
+        out.append(windows.where(f"matched * 100 >= compared * {MATCH}"))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, matched (equal words in the best window), compared (words of that window) for every leak."""
-    items = seeds(benchmark, item_col, item_text_col).cache()
-    few = items.count() <= BROADCAST_SEEDS
-    bitmap = _bitmap(items)
-    d = docs.select(F.col(id_col).alias("doc_id"), F.expr(_words(f"`{text_col}`")).alias("q_words"), bitmap.alias("q_map"))
-    each = f"array({', '.join(_hash(m, k) for k, m in enumerate(MASKS))})"
-    passing = f"transform(filter({each}, h -> {_may_hit('h')}), h -> named_struct('hash', h, 'd_words', {_around()}))"
-    d = d.select("doc_id", F.expr(_places(f"flatten(transform(sequence(0, size(q_words) - {SPAN}), i -> {passing}))")).alias("s"))
-    # inline() would make Spark test the array's size before it is laid down, and so build it a second time.
-    hits = d.select("doc_id", F.inline_outer("s")).where("hash IS NOT NULL").join(F.broadcast(items) if few else items, "hash")
-
-    # Windows of the item that hold the hit; each starts at most WINDOW - SPAN words before it.
-    size = f"least(n, {WINDOW})"
-    first, last = f"greatest({SPAN} - {size}, -at)", f"least(0, n - {size} - at)"
-    equal = "zip_with(b_words, d_words, (x, y) -> CAST(x <=> y AND x IS NOT NULL AS INT))"
-    hits = hits.select("doc_id", "item_id", F.expr(size).alias("compared"), F.expr(first).alias("q_first"), F.expr(last).alias("q_last"), F.expr(equal).alias("q_equal"))
-    hits = hits.where("q_first <= q_last")
-    best = f"array_max(transform(sequence(q_first, q_last), o -> aggregate(slice(q_equal, o + {WINDOW - SPAN + 1}, compared), 0, (a, x) -> a + x)))"
-    hits = hits.withColumn("matched", F.expr(best)).where(f"matched * 100 >= compared * {MATCH}")
-    return hits.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.first("compared").alias("compared"))
+    items = items_of(benchmark, item_col, item_text_col)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.expr(_words(f"`{text_col}`")).alias("q_words"))
+    found = hits(d, items, seeds_of(items), "doc_id")
+    return found.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("compared").alias("compared"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents that hold no passage of a benchmark item, with their own columns."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("k_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["k_id"]), "left_anti")
+    items = items_of(benchmark)
+    text = F.xxhash64(F.col("text"))
+    d = docs.select(F.col("doc_id").alias("k_id"), text.alias("k_text"), F.expr(_words("text")).alias("q_words"))
+    bad = stored(hits(d, items, seeds_of(items), "k_id", "k_text").select("k_id", "k_text").distinct(), "leaking-rows")
+    few = bad.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"].eqNullSafe(bad["k_id"]) & (text == bad["k_text"]), "left_anti")
 
 
 def _oracle() -> str:
     gram = lambda m, i: " || ' ' || ".join(f"words[{i} + {j + 1}]" for j, x in enumerate(m) if x == "1")
     rows = lambda t, key: " UNION ALL ".join(f"SELECT {key}, {k} AS mask, i, {gram(m, 'i')} AS gram FROM {t}" for k, m in enumerate(MASKS))
     return rf"""
-WITH b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS words FROM benchmark),
-d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS words FROM documents),
+WITH b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{BETWEEN.replace('[', '[^')}') AS words FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{BETWEEN.replace('[', '[^')}') AS words FROM documents),
 bp AS (SELECT item_id, words, unnest(range(0, len(words) - {SPAN} + 1)) AS i FROM b WHERE len(words) >= {SPAN}),
 dp AS (SELECT doc_id, words, unnest(range(0, len(words) - {SPAN} + 1)) AS i FROM d WHERE len(words) >= {SPAN}),
 bs AS ({rows("bp", "item_id")}), ds AS ({rows("dp", "doc_id")}),
