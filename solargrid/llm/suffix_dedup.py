@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from solargrid.llm.key_filter import passing
+from solargrid.llm.row_ids import row_id
 from solargrid.llm.shingles import blocks, mix, powers, prefix_sums, texts
 from solargrid.llm.storage import input_partitions, stored
 from solargrid.llm.suffix_array import repeated
@@ -323,10 +324,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of documents, with their own columns, without repeated strings in their texts.
 
     Bytes of a character that was cut in two go with it. n_chars, if there, is set to the new length. A text that loses
-    everything stays as an empty one.
+    everything stays as an empty one. Each row is cut by its own text, also where rows share a doc_id.
     """
-    shorter = dedup(docs).where("n_removed > 0").select(F.col("doc_id").alias("k_id"), F.expr("replace(make_valid_utf8(CAST(kept AS STRING)), '\ufffd', '')").alias("k_text")).dropDuplicates(["k_id"])
-    j = docs.join(shorter, docs["doc_id"].eqNullSafe(shorter["k_id"]), "left")
-    text = F.when(F.col("k_text").isNotNull(), F.col("k_text")).otherwise(F.col("text"))
-    cols = {"text": text} | ({"n_chars": F.when(F.col("k_text").isNotNull(), F.length("k_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return j.select(*[cols.get(c, docs[c]).alias(c) for c in docs.columns])
+    d = docs.withColumn("q_id", row_id(docs))
+    shorter = dedup(d, id_col="q_id").where("n_removed > 0").select(F.col("doc_id").alias("k_id"), F.expr("replace(make_valid_utf8(CAST(kept AS STRING)), '\ufffd', '')").alias("k_text")).dropDuplicates(["k_id"])
+    j = d.join(shorter, d["q_id"] == shorter["k_id"], "left")
+    cols = {"text": F.coalesce("k_text", "text")}
+    if "n_chars" in docs.columns:
+        cols["n_chars"] = F.when(F.col("k_text").isNotNull(), F.length("k_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return j.select(*[cols.get(c, F.col(c)).alias(c) for c in docs.columns])
