@@ -10,9 +10,9 @@ that does not fall apart (its largest child holds half of it, so its sets are al
 What is left is compared by brute force, a bucket of more than BLOCK sets in pairs of blocks.
 
 The chosen buckets of a set are also its sketch: a pair is compared only in the first bucket that both chose, and only if
-they chose SHARED buckets in common. With 20 runs a pair of similarity 0.8 chooses 20 common buckets on average; fewer
-than SHARED have a chance below 1e-6, so the target recall is above 0.999999 for a bucket that was not split. Pairs
-that pass are verified on the whole sets. Pairs never become rows: a task returns, for each set, its number of links
+they chose SHARED buckets in common. With 14 runs a pair of similarity 0.8 chooses 14 common buckets or more on average;
+fewer than SHARED have a chance of 1.2e-5, which meets the target recall of 0.9999; each level of splitting misses 1e-6
+more. Pairs that pass are verified on the whole sets. Pairs never become rows: a task returns, for each set, its number of links
 and one edge to a set that the task's links join it to, from which components are made.
 
 Shingle sets are kept as 40-bit hashes, of which two in a pair of documents of a thousand words collide once in a million.
@@ -34,16 +34,19 @@ from pyspark.sql import functions as F
 
 from solargrid.llm.components import components
 from solargrid.llm.key_filter import passing
+from solargrid.llm.row_ids import row_id
 from solargrid.llm.shingles import P, blocks, mix, shingles, texts
 from solargrid.llm.storage import input_partitions, stored
 
 WORDS = 5
 THRESHOLD = 0.8
-RUNS = 20
-SHARED = 3
+RUNS = 14
+SHARED = 2
 LARGE = 4096
 LEVELS = 3
-BLOCK = 512
+BLOCK = 1024
+#: Shingles or buckets that are compared at once in a task.
+COLUMNS = 2048
 #: A multiplier for each run.
 MULTIPLIERS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(P)) | np.uint64(1)
 
@@ -123,7 +126,9 @@ def leaves(classes: DataFrame, tokens: DataFrame, runs: int) -> DataFrame:
             break
         done.append(full.where(~large))
         parents = stored(full.where(large), "large-buckets")
-        mine = parents.join(tokens.select("cls", "doc_id", "tokens"), (parents["cls"] == tokens["cls"]) & parents["first_id"].eqNullSafe(tokens["doc_id"])).drop(tokens["cls"]).dropDuplicates(["bucket", "cls"])
+        t = passing(tokens.select("cls", "doc_id", "tokens", F.xxhash64("cls").alias("q_key")), parents.select(F.xxhash64("cls").alias("q_key")).distinct())
+        t = t.where("q_hit").select("cls", "doc_id", "tokens")  # only the sets to split are shuffled
+        mine = parents.join(t, (parents["cls"] == t["cls"]) & parents["first_id"].eqNullSafe(t["doc_id"])).drop(t["cls"]).dropDuplicates(["bucket", "cls"])
         mine = mine.select("tokens", "cls", "first_id", "n", "copies", "sigs", F.col("bucket").alias("above"), F.col("m").alias("m_above"), "path")
         chosen = mine.mapInArrow(split, f"cls binary, first_id {kind}, n int, copies long, sigs array<array<int>>, above long, m_above long, path array<int>, chosen array<int>")
         rows = stored(chosen.withColumn("sigs", F.array_append("sigs", F.col("chosen"))).drop("chosen"), "split-buckets")
@@ -153,13 +158,20 @@ def candidates(n: np.ndarray, sigs: list, path: list, side: np.ndarray, apart: b
         kinds, at = np.unique(np.concatenate([s[level] for s in sigs]), return_inverse=True)
         common = np.bincount(at, minlength=len(kinds)) > 1
         column = np.cumsum(common) - 1
-        held = np.zeros((size, int(common.sum())), dtype=np.float32)
-        on = common[at]
-        held[rows[on], column[at[on]]] = 1
+        rows, column, width = rows[common[at]], column[at[common[at]]], int(common.sum())
         before = int(np.searchsorted(kinds[common], here))
-        ok &= held[:, :before] @ held[:, :before].T == 0
+        shared = np.zeros((size, size), dtype=np.float32)
+        for start, stop in [(k, min(k + COLUMNS, before)) for k in range(0, before, COLUMNS)] + [(k, min(k + COLUMNS, width)) for k in range(before, width, COLUMNS)]:
+            if start == before:
+                ok &= shared == 0  # no bucket before this one is common
+                if level:
+                    break
+            on = (column >= start) & (column < stop)
+            held = np.zeros((size, stop - start), dtype=np.float32)
+            held[rows[on], column[on] - start] = 1
+            shared += held @ held.T
         if not level:
-            ok &= held @ held.T >= SHARED
+            ok &= shared >= SHARED
     return np.nonzero(ok)
 
 
@@ -173,9 +185,9 @@ def verified(n: np.ndarray, tokens: list[np.ndarray], a: np.ndarray, b: np.ndarr
         common = np.bincount(at, minlength=len(kinds)) > 1
         column = np.cumsum(common) - 1
         total, width = np.zeros((len(n), len(n)), dtype=np.float32), int(common.sum())
-        for start in range(0, width, 4096):
-            on = common[at] & (column[at] >= start) & (column[at] < start + 4096)
-            held = np.zeros((len(n), min(4096, width - start)), dtype=np.float32)
+        for start in range(0, width, COLUMNS):
+            on = common[at] & (column[at] >= start) & (column[at] < start + COLUMNS)
+            held = np.zeros((len(n), min(COLUMNS, width - start)), dtype=np.float32)
             held[rows[on], column[at[on]] - start] = 1
             total += held @ held.T
         shared = total[a, b]
@@ -279,6 +291,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of documents, with their own columns, of which each group of linked documents keeps its smallest doc_id."""
-    kept = join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("k_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["k_id"]), "left_semi")
+    """The rows of documents, with their own columns, of which each group of linked documents keeps the one with its smallest doc_id.
+
+    Rows are told apart by all their columns; of rows that are equal throughout one stays, as they are copies of each other.
+    """
+    d = docs.withColumn("q_id", row_id(docs))
+    found = stored(join(d, id_col="q_id"), "groups")
+    own = found.select("doc_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("q_first")).groupBy("doc_id").agg(F.max("q_first").alias("q_first"), F.count("*").alias("q_n"))
+    own = stored(own.where("q_first").select(F.col("doc_id").alias("k_id"), "q_n"), "kept-rows")
+    kept = d.join(own, d["q_id"] == own["k_id"])
+    if own.where("q_n > 1").isEmpty():
+        return kept.select(*docs.columns)
+    once, again = kept.where("q_n = 1"), kept.where("q_n > 1").dropDuplicates(["q_id"])
+    return once.unionByName(again).select(*docs.columns)
