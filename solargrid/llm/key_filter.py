@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 BITS_PER_KEY, MOST_BITS = 12, 27
 
 
-def bitmap(keys: DataFrame) -> tuple[np.ndarray, int]:
-    """A bitmap of the keys (column q_key), of BITS_PER_KEY bits for each but 2 ^ MOST_BITS at most; it lets through all keys."""
+def bitmap(keys: DataFrame, hashed: bool = False) -> tuple[np.ndarray, int]:
+    """A bitmap of the keys (column q_key), of BITS_PER_KEY bits for each but 2 ^ MOST_BITS at most; it lets through all keys.
+
+    A key's bit is named by the top bits of its hash, or of the key itself if that is a hash.
+    """
     n = keys.count()
     bits = min(MOST_BITS, max(12, (n * BITS_PER_KEY).bit_length()))
-    slot = F.expr(f"shiftrightunsigned(xxhash64(q_key), {64 - bits})")
+    slot = F.expr(f"shiftrightunsigned({'q_key' if hashed else 'xxhash64(q_key)'}, {64 - bits})")
     found = keys.select(slot.alias("b")).groupBy(F.expr("CAST(shiftright(b, 5) AS INT)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 31 AS INT))")).alias("bits")).toPandas()
     out = np.zeros(1 << (bits - 5), dtype=np.uint32)
     out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).astype(np.uint32)

@@ -9,207 +9,303 @@ billion words or pairs agree by chance with a probability below 3 %, and would t
 interpolates its bigrams with its unigrams: p(w | h) = (c(h, w) + WEIGHT p(w)) / (c(h) + WEIGHT),
 p(w) = (c(w) + 1) / (N + V + 1), each without the occurrence scored.
 
-Tasks count bigrams by blocks, and Spark sums the counts. Words are the sums over bigrams that end in them. A bigram's row
-is joined to the counts of both its words and gives the losses of one occurrence; each document's distinct bigrams are
-joined to these. What makes up more than one part in HOT_KEYS of all is joined by broadcast (fewer than HOT_KEYS rows
-can be), and only the rest is shuffled, so that no key fills a task. Nothing else has a bound.
-
-Nulls and odd input: a null text has no tokens; texts without tokens score 0. Rows with the same doc_id (null included) are
-scored as one text. Without target rows the target model is uniform. Empty tables give an empty result. Other columns are
-ignored, whatever they are called.
+An occurrence's loss is a sum of three parts: log(c(h) + WEIGHT) of its first word, -log(WEIGHT p(w)) of its second, and
+-log(1 + c(h, w) / (WEIGHT p(w))) of the pair, which is 0 unless the pair stands elsewhere too. So only pairs that occur
+twice in all need a lookup, and a bitmap of them (of bounded size: beyond that it lets more through, and the result is
+the same) keeps the others out of the shuffle.
+
+Tasks count words and pairs by blocks, and Spark sums the counts. The HOT_ROWS most frequent words and pairs at most are
+broadcast, and what a text owes to them is summed where the text is read. The rest of a text's words and pairs is joined
+to the counts by a shuffle; being rare, none of these keys fills a task. Nothing else has a bound.
+
+Nulls and odd input: a null text has no tokens; texts without tokens score 0. A row of the result stands for each row of
+the input, whose doc_id may be of any type; rows that repeat a doc_id are in the target together. Without target rows the
+target model is uniform. Empty tables give an empty result. Other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from solargrid.llm.key_filter import bitmap
+from solargrid.llm.shingles import Q, mix, powers
 from solargrid.llm.storage import stored
 
-START = 65_535
 WEIGHT = 50.0
 #: Target ids are broadcast up to so many; beyond it both sides are shuffled.
 BROADCAST_IDS = 2_000_000
-BLOCK_TOKENS = 800_000
-#: Words and bigrams with more than one part in so many of all tokens are joined by broadcast.
-HOT_KEYS = 1_000_000
-CACHE = 300_000
+#: Words, and pairs, that are broadcast at most.
+HOT_ROWS = 400_000
+#: Characters and tokens that a task handles at once.
+BLOCK_CHARS, BLOCK_TOKENS = 1 << 20, 3_000_000
 WORDS = re.compile(r"[\w']+|[^\w\s]")
+#: Stands for a text's start.
+START = np.uint64(0x6A09E667F3BCC909)
+#: Kinds of code points.
+SPACE, OTHER, WORD = 0, 1, 2
 
 
 def tokens(text: str) -> list[str]:
     return WORDS.findall(text)
 
 
+def _kind(c: str) -> int:
+    return WORD if c == "'" or re.match(r"\w", c) else SPACE if re.match(r"\s", c) else OTHER
+
+
+@functools.lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """The kinds of the first 65,536 code points."""
+    return np.array([_kind(chr(k)) for k in range(1 << 16)], dtype=np.uint8)
+
+
+def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all tokens of a block of texts, and each one's text; what `tokens` finds, by numpy."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if not len(codes):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    kind = _kinds()[np.minimum(codes, 0xFFFF)]
+    if len(far := np.flatnonzero(codes > 0xFFFF)):
+        which, at = np.unique(codes[far], return_inverse=True)
+        kind[far] = np.array([_kind(chr(c)) for c in which], dtype=np.uint8)[at]
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    edge = np.zeros(len(codes) + 1, dtype=bool)
+    edge[np.cumsum(lengths)] = True  # a text's end
+    edge[0] = True
+    word = kind == WORD
+    start = (kind != SPACE) & (~word | edge[:-1] | np.concatenate(([True], ~word[:-1])))
+    stop = (kind != SPACE) & (~word | edge[1:] | np.concatenate((~word[1:], [True])))
+    start, stop = np.flatnonzero(start), np.flatnonzero(stop) + 1
+    c = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers(len(codes))[0][: len(codes)], out=c[1:])
+    h = mix((c[stop] - c[start]) * powers(len(codes) + 1)[1][start])
+    return h, np.repeat(np.arange(len(texts)), lengths)[start]
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first ^ ((second << np.uint64(1)) | (second >> np.uint64(63))))
+
+
+def paired(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's pair with the one before it (or the start), and whether it is its text's last."""
+    new = np.concatenate(([True], text[1:] != text[:-1]))[: len(h)]
+    before = np.where(new, START, np.concatenate(([START], h[:-1]))[: len(h)])
+    return pair_keys(before, h), np.concatenate((new[1:], [True]))[: len(h)]
+
+
+def text_blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches of about BLOCK_CHARS characters, with their texts; a longer text is a slice of its own."""
+    for b in batches:
+        texts = [t or "" for t in b.column(column).to_pylist()]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BLOCK_CHARS, side="right")))
+            yield b.slice(i, j - i), texts[i:j]
+            i = j
+
+
 def flagged(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, is_target."""
+    """q_row, doc_id, text, is_target."""
     ids = target.select(F.col("doc_id").alias("t_id")).where("t_id IS NOT NULL").distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return d.join(F.broadcast(ids) if few else ids, d["doc_id"] == F.col("t_id"), "left").select("doc_id", "text", F.col("t_id").isNotNull().alias("is_target"))
+    d = docs.select(F.monotonically_increasing_id().alias("q_row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return d.join(F.broadcast(ids) if few else ids, d["doc_id"] == F.col("t_id"), "left").select("q_row", "doc_id", "text", F.col("t_id").isNotNull().alias("is_target"))
 
 
-class Hashes(dict):
-    """64-bit hashes of words; the empty word stands for a text's start."""
+def counts(rows: DataFrame) -> DataFrame:
+    """word, key, n_target, n: of every word, and of every pair that occurs twice."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-        return h
+    def sums(word: bool, keys: list[np.ndarray], own: list[np.ndarray]) -> pa.RecordBatch:
+        kinds, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        n_target = np.bincount(at, np.concatenate(own), len(kinds)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), word)), pa.array(kinds.view(np.int64)), pa.array(n_target), pa.array(n.astype(np.int64))], ["word", "key", "n_target", "n"])
 
-    def of(self, text: str) -> np.ndarray:
-        """The hashes of a text's tokens after that of its start."""
-        return np.array([self[""], *map(self.__getitem__, tokens(text))], dtype=np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs, own, n = [], [], [], 0
+        for b, texts in text_blocks(batches, 0):
+            h, text = hashed(texts)
+            words.append(h)
+            pairs.append(paired(h, text)[0])
+            own.append(b.column(1).to_numpy(zero_copy_only=False)[text])
+            n += len(h)
+            if n > BLOCK_TOKENS:
+                yield sums(True, words, own)
+                yield sums(False, pairs, own)
+                words, pairs, own, n = [], [], [], 0
+        if n:
+            yield sums(True, words, own)
+            yield sums(False, pairs, own)
 
+    emitted = rows.select("text", "is_target").mapInArrow(count, "word boolean, key long, n_target long, n long")
+    return emitted.groupBy("word", "key").agg(F.sum("n_target").alias("n_target"), F.sum("n").alias("n")).where("word OR n > 1")
 
-def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    w = second.view(np.uint64)
-    return (first.view(np.uint64) ^ ((w << np.uint64(1)) | (w >> np.uint64(63)))).view(np.int64)
 
+def hot_limit(of: DataFrame) -> int:
+    """The least count above which no more than HOT_ROWS rows of `of` lie; counts are looked at by logarithmic buckets."""
+    bucket = F.expr("CAST(ceil(log2(n) * 16) AS INT)")  # counts above 2 ^ (k / 16) lie in buckets above k
+    rows, total, least = of.groupBy(bucket.alias("k")).count().orderBy(F.desc("k")).collect(), 0, 1 << 62
+    for r in rows:
+        total += r["count"]
+        if total > HOT_ROWS:
+            break
+        least = int(2 ** ((r["k"] - 1) / 16))
+    return least
 
-def pair_key() -> Column:
-    """pair_keys of columns h and w."""
-    return F.col("h").bitwiseXOR(F.shiftleft("w", 1).bitwiseOR(F.shiftrightunsigned("w", 63)))
 
+def hot_table(of: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order, counts in the target, counts: of rows with n above limit, which are HOT_ROWS at most."""
+    t = of.where(F.col("n") > limit).select("key", "n_target", "n").toPandas()
+    keys = t["key"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], t["n_target"].to_numpy(dtype=np.int64)[order], t["n"].to_numpy(dtype=np.int64)[order]
 
-def bigram_counts(rows: DataFrame) -> DataFrame:
-    """h, w, n_target, n: over all rows."""
 
-    def block(held: list[np.ndarray], flags: list[bool]) -> pa.RecordBatch:
-        first, second = np.concatenate([x[:-1] for x in held]), np.concatenate([x[1:] for x in held])
-        own = np.repeat(np.array(flags, dtype=np.float64), [len(x) - 1 for x in held])
-        _, at, kind = np.unique(pair_keys(first, second), return_index=True, return_inverse=True)
-        n_target, n = np.bincount(kind, own, len(at)).astype(np.int64), np.bincount(kind, minlength=len(at))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (first[at], second[at], n_target, n)], ["h", "w", "n_target", "n"])
+def look_up(table: tuple[np.ndarray, np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each key is in a table, and its counts (0 if not)."""
+    if not len(table[0]):
+        return np.zeros(len(keys), dtype=bool), np.zeros(len(keys)), np.zeros(len(keys))
+    at = np.searchsorted(table[0], keys)
+    at[at == len(table[0])] = 0
+    hit = table[0][at] == keys
+    return hit, np.where(hit, table[1][at], 0).astype(np.float64), np.where(hit, table[2][at], 0).astype(np.float64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, flags, n = Hashes(), [], [], 0
-        for b in batches:
-            for text, is_target in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held.append(hashes.of(text))
-                flags.append(is_target)
-                n += len(held[-1])
-                if n > BLOCK_TOKENS:
-                    yield block(held, flags)
-                    held, flags, n = [], [], 0
-        if held:
-            yield block(held, flags)
 
-    return rows.select("text", "is_target").mapInArrow(count, "h long, w long, n_target long, n long").groupBy("h", "w").agg(F.sum("n_target").alias("n_target"), F.sum("n").alias("n"))
+class Model:
+    """The parts of a loss in one model. total: tokens; size: words of the vocabulary."""
 
+    def __init__(self, total: int, size: int):
+        self.total, self.size = total, size
 
-def with_counts(df: DataFrame, counts: DataFrame, on: str, n: str, total: int) -> DataFrame:
-    """df with the columns of counts (one row for each value of on; n sums to total at most)."""
-    hot, cold = counts.where(F.col(n) * HOT_KEYS > total), counts.where(F.col(n) * HOT_KEYS <= total)
-    far = df.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on)
-    return df.join(F.broadcast(hot), on).unionByName(far)
+    def word(self, u: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return (u - own + 1) / (self.total - own + self.size + 1)
 
+    def first(self, c: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return np.log(c - own + WEIGHT)
 
-def document_bigrams(rows: DataFrame, hot) -> DataFrame:
-    """doc_id, key, m, t, d: a row for each distinct bigram of a text, with its occurrences m (below 0 in the target).
+    def second(self, u: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return -np.log(WEIGHT * self.word(u, own))
 
-    A text's hot bigrams are one row, with their number m and the sums of their losses in the target model (t) and of the
-    differences (d). Its key is any number, so that these rows spread.
-    """
+    def pair(self, n: np.ndarray, u: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return -np.log1p(np.maximum(n - own, 0) / (WEIGHT * self.word(u, own)))
 
-    def block(doc_ids: list, flags: list[bool], held: list[tuple[np.ndarray, np.ndarray]], name: int) -> pa.RecordBatch:
-        keys, m = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-        doc = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
-        own = np.array(flags, dtype=bool)
-        hot_keys, loss_in, loss_out, loss_all = hot.value
-        at = np.minimum(np.searchsorted(hot_keys, keys), max(len(hot_keys) - 1, 0))
-        hit = hot_keys[at] == keys if len(hot_keys) else np.zeros(len(keys), dtype=bool)
-        at, of, k = at[hit], doc[hit], m[hit]
-        t = np.where(own[of], loss_in[at], loss_out[at])
-        total = lambda x: np.bincount(of, x * k, len(held))
-        doc, keys, m = doc[~hit], keys[~hit], m[~hit]
-        spread = (np.arange(name, name + len(held), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-        ids, none = np.array([0 if x is None else x for x in doc_ids], dtype=np.int64), np.array([x is None for x in doc_ids], dtype=bool)
-        owner, blank = np.concatenate([np.arange(len(held)), doc]), np.arange(len(held) + len(doc)) >= len(held)
-        sums = lambda x: pa.array(np.concatenate([x, np.zeros(len(doc))]), mask=blank)
-        signed = np.concatenate([np.bincount(of, k, len(held)).astype(np.int64), np.where(own[doc], -m, m)])
-        return pa.RecordBatch.from_arrays([pa.array(ids[owner], mask=none[owner]), pa.array(np.concatenate([spread, keys])), pa.array(signed), sums(total(t)), sums(total(loss_all[at] - t))], ["doc_id", "key", "m", "t", "d"])
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        hashes, doc_ids, flags, held, n, name = Hashes(), [], [], [], 0, TaskContext.get().partitionId() << 32
-        for b in batches:
-            for doc_id, text, is_target in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                w = hashes.of(text)
-                held.append(np.unique(pair_keys(w[:-1], w[1:]), return_counts=True))
-                doc_ids.append(doc_id)
-                flags.append(is_target)
-                n += len(w)
-                if n > BLOCK_TOKENS:
-                    yield block(doc_ids, flags, held, name)
-                    name += len(held)
-                    doc_ids, flags, held, n = [], [], [], 0
-        if held:
-            yield block(doc_ids, flags, held, name)
-
-    return rows.mapInArrow(emit, "doc_id long, key long, m long, t double, d double")
-
-
-def losses(keys: np.ndarray, is_target: np.ndarray, unigrams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each occurrence's loss in the target and in the background model; keys holds all occurrences of its bigrams.
-
-    An occurrence that a model has counted is left out of the counts that score it, so that target rows gain nothing
-    from being in the target. This is what bigram_losses computes, on arrays; a word is an index of 16 bits here.
-    """
-    kinds, at = np.unique(keys, return_inverse=True)
-    first, second = keys >> np.uint32(16), keys & np.uint32(0xFFFF)
-    size, out = (unigrams[1] > 0).sum() + 1, []
-    for k, own in enumerate((is_target.astype(np.float64), np.ones(len(keys)))):
-        n = np.bincount(at, own, len(kinds))[at] - own
-        context = np.where(first == START, unigrams[2, k], unigrams[k, first]) - own
-        p = (n + WEIGHT * (unigrams[k, second] - own + 1) / (unigrams[k].sum() - own + size)) / (context + WEIGHT)
-        out.append(-np.log(p))
-    return out[0], out[1]
+    # The same as SQL over columns u, n (those of this model) and own.
+    def sql_word(self, u: str, own: str) -> str:
+        return f"(({u} - {own} + 1) / ({self.total} - {own} + {self.size} + 1D))"
 
+    def sql_text(self, u: str, m: str, m_first: str, own: str) -> str:
+        return f"({m_first} * ln({u} - {own} + {WEIGHT}D) - {m} * ln({WEIGHT}D * {self.sql_word(u, own)}))"
 
-def bigram_losses(bigrams: DataFrame, words: DataFrame, sizes: tuple[int, int, int], texts_in: tuple[int, int]) -> DataFrame:
-    """key, and the losses of one occurrence: target model, in the target and not, and background model.
+    def sql_pair(self, n: str, u: str, m: str, own: str) -> str:
+        return f"(-{m} * log1p(greatest({n} - {own}, 0) / ({WEIGHT}D * {self.sql_word(u, own)})))"
 
-    sizes: tokens of the target, of all, and words. texts_in: texts of the target, and of all.
-    """
-    spark = bigrams.sparkSession
-    start = spark.createDataFrame([(Hashes()[""], *texts_in)], "h long, c_target long, c long")
-    contexts = words.select(F.col("w").alias("h"), F.col("u_target").alias("c_target"), F.col("u").alias("c")).unionByName(start)
-    both = with_counts(with_counts(bigrams, words, "w", "u", sizes[1]), contexts, "h", "c", sizes[1] + texts_in[1])
 
-    def loss(tail: str, total: int, own: int) -> Column:
-        p = (F.col(f"u{tail}") - own + 1) / F.lit(float(total - own + sizes[2] + 1))
-        return -F.log((F.col(f"n{tail}") - own + WEIGHT * p) / (F.col(f"c{tail}") - own + WEIGHT))
+#: Kinds of emitted rows: a text's own sums, a rare word, a rare pair whose second word is frequent, another rare pair.
+BASE, RARE_WORD, RARE_PAIR, RARE_BOTH = 0, 1, 2, 3
+EMITTED = "kind byte, key long, word long, own byte, m int, m_first int, u_target int, u int, n_tokens long, t double, b double"
+
 
-    loss_in, loss_out = F.when(F.col("n_target") > 0, loss("_target", sizes[0], 1)), F.when(F.col("n") > F.col("n_target"), loss("_target", sizes[0], 0))
-    return both.select(pair_key().alias("key"), loss_in.alias("loss_in"), loss_out.alias("loss_out"), loss("", sizes[1], 1).alias("loss_all"))
+def emitted(rows: DataFrame, shared, only_rare: bool) -> DataFrame:
+    """q_row, doc_id (of BASE rows) and EMITTED of every text: its sums over what is broadcast, and a row for each other word and pair.
+
+    shared: the models, hot words, hot pairs, texts (of the target, of all), and the bitmap of pairs. Rows of RARE_BOTH
+    are emitted if only_rare is set, and else all others. m: occurrences; m_first: those followed by another word.
+    """
+    names = ["q_row", "doc_id", *[x.split()[0] for x in EMITTED.split(", ")]]
+    kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int8(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
+
+    def per_text(text: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the first of each distinct key of a text, its index, and how often it stands there."""
+        _, at, kind, m = np.unique(mix(keys * Q + mix(text.astype(np.uint64) + np.uint64(1))), return_index=True, return_inverse=True, return_counts=True)
+        return at, kind, m
+
+    def batch(q_row, doc_id, kind, key=None, word=None, own=None, m=None, m_first=None, u_target=None, u=None, n_tokens=None, t=None, b=None) -> pa.RecordBatch:
+        n = len(q_row)
+        cols = (np.full(n, kind, np.int8), None if key is None else key.view(np.int64), None if word is None else word.view(np.int64), own, m, m_first, u_target, u, n_tokens, t, b)
+        rest = [pa.nulls(n, k) if c is None else pa.array(np.asarray(c)).cast(k, safe=False) for c, k in zip(cols, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(q_row), pa.nulls(n, doc_id) if isinstance(doc_id, pa.DataType) else doc_id, *rest], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, every, hot_words, hot_pairs, texts_in, (bits, width) = shared.value
+        for b, texts in text_blocks(batches, 2):
+            q_row, none, own_text = b.column(0).to_numpy(), b.schema.types[1], b.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+            h, text = hashed(texts)
+            pair, last = paired(h, text)
+            # Distinct pairs of each text; a pair tells its second word.
+            at, _, m = per_text(text, pair)
+            p_key, p_word, p_text, p_own = pair[at], h[at], text[at], own_text[text[at]]
+            hot_w, w_target, w_all = look_up(hot_words, p_word)
+            hot_p, n_target, n_all = look_up(hot_pairs, p_key)
+            slot = p_key >> np.uint64(64 - width)
+            may = ~hot_p & ((bits[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & 1 == 1)
+            if only_rare:
+                on = may & ~hot_w
+                if on.any():
+                    yield batch(q_row[p_text[on]], none, RARE_BOTH, key=p_key[on], word=p_word[on], own=p_own[on], m=m[on])
+                continue
+            size = len(texts)
+            with np.errstate(divide="ignore", invalid="ignore"):  # in rows that are left out
+                t = np.bincount(p_text, np.where(hot_p, m * target.pair(n_target, w_target, p_own), 0), size)
+                a = np.bincount(p_text, np.where(hot_p, m * every.pair(n_all, w_all, 1), 0), size)
+            on = may & hot_w
+            if on.any():
+                yield batch(q_row[p_text[on]], none, RARE_PAIR, key=p_key[on], own=p_own[on], m=m[on], u_target=w_target[on], u=w_all[on])
+            # Distinct words of each text.
+            at, kind, m = per_text(text, h)
+            m_first = m - np.bincount(kind, last, len(at)).astype(np.int64)
+            w_text, w_own = text[at], own_text[text[at]]
+            hit, w_target, w_all = look_up(hot_words, h[at])
+            t = t + np.bincount(w_text, np.where(hit, m_first * target.first(w_target, np.where(hit, w_own, 0)) + m * target.second(w_target, np.where(hit, w_own, 0)), 0), size)
+            a = a + np.bincount(w_text, np.where(hit, m_first * every.first(w_all, 1) + m * every.second(np.maximum(w_all, 1), 1), 0), size)
+            n_tokens = np.bincount(text, minlength=size)
+            some = n_tokens > 0  # its start is the first word of a pair
+            t = t + np.where(some, target.first(np.full(size, texts_in[0]), own_text), 0)
+            a = a + np.where(some, every.first(np.full(size, texts_in[1]), 1), 0)
+            spread = mix(q_row.view(np.uint64))
+            yield batch(q_row, b.column(1), BASE, key=spread, n_tokens=n_tokens, t=t, b=a)
+            if (on := ~hit).any():
+                yield batch(q_row[w_text[on]], none, RARE_WORD, key=h[at][on], own=w_own[on], m=m[on], m_first=m_first[on])
+
+    return rows.select("q_row", "doc_id", "text", "is_target").mapInArrow(run, f"q_row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, {EMITTED}")
 
 
 def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, loss_target, loss_background (means over tokens) and score for every doc_id. target: its doc_ids."""
+    """doc_id, n_tokens, loss_target, loss_background (means over tokens) and score for every row. target: its doc_ids."""
     spark = docs.sparkSession
     rows = flagged(docs, target, id_col, text_col)
-    bigrams = stored(bigram_counts(rows), "bigram-counts")
-    words = stored(bigrams.groupBy("w").agg(F.sum("n_target").alias("u_target"), F.sum("n").alias("u")), "word-counts")
-    sizes = tuple(x or 0 for x in words.agg(F.sum("u_target"), F.sum("u"), F.count("*")).first())
+    counted = stored(counts(rows), "word-and-pair-counts")
+    words, pairs = counted.where("word").drop("word"), counted.where("NOT word").drop("word")
+    total = words.agg(F.sum("n_target"), F.sum("n"), F.count("*")).first()
+    of_target, of_all = Model(total[0] or 0, total[2]), Model(total[1] or 0, total[2])
     texts_in = tuple(rows.agg(F.count_if("is_target"), F.count("*")).first())
-    losses_of = lambda x: bigram_losses(x, words, sizes, texts_in)
-
-    hot = losses_of(bigrams.where(F.col("n") * HOT_KEYS > sizes[1])).toPandas().sort_values("key")  # fewer than HOT_KEYS rows
-    hot = spark.sparkContext.broadcast(tuple(hot[c].to_numpy(k) for c, k in zip(hot.columns, ("int64", *["float64"] * 3), strict=True)))
-    cold = losses_of(bigrams.where(F.col("n") * HOT_KEYS <= sizes[1]))
-    j = document_bigrams(rows, hot).join(cold, "key", "left")
-    t = F.when(F.col("m") < 0, F.col("loss_in")).otherwise(F.col("loss_out"))
-    times = F.abs("m")
-    j = j.select("doc_id", times.alias("m"), F.coalesce("t", times * t).alias("t"), F.coalesce("d", times * (F.col("loss_all") - t)).alias("d"))
-    sums = j.groupBy("doc_id").agg(F.sum("m").alias("n_tokens"), F.sum("t").alias("t"), F.sum("d").alias("d"))
+    word_limit = hot_limit(words)
+    pair_limit = max(word_limit, hot_limit(pairs))  # so that a hot pair's second word is hot
+    cold = pairs.where(F.col("n") <= pair_limit)
+    shared = spark.sparkContext.broadcast((of_target, of_all, hot_table(words, word_limit), hot_table(pairs, pair_limit), texts_in, bitmap(cold.select(F.col("key").alias("q_key")), hashed=True)))
+
+    # Rare pairs and words find their counts by one join; a text's own sums go along under a key of their own.
+    known = words.where(F.col("n") <= word_limit).unionByName(cold).select(F.col("key").alias("k"), F.col("n_target").alias("c_target"), F.col("n").alias("c"))
+    e = emitted(rows, shared, False)
+    j = e.join(known, e["key"] == known["k"], "left")
+    of = lambda kind, x: F.when(F.col("kind") == kind, F.expr(x))
+    t = F.coalesce(of(RARE_WORD, of_target.sql_text("c_target", "m", "m_first", "own")), of(RARE_PAIR, of_target.sql_pair("c_target", "u_target", "m", "own")), "t", F.lit(0.0))
+    b = F.coalesce(of(RARE_WORD, of_all.sql_text("c", "m", "m_first", "1")), of(RARE_PAIR, of_all.sql_pair("c", "u", "m", "1")), "b", F.lit(0.0))
+    parts = j.select("q_row", "doc_id", "n_tokens", t.alias("t"), b.alias("b"))
+    if not words.where((F.col("n") > 1) & (F.col("n") <= word_limit)).isEmpty():
+        # Pairs that end in a rare word: first the word's counts, then the pair's.
+        r = emitted(rows, shared, True).select("q_row", "key", "word", "own", "m")
+        w = words.where((F.col("n") > 1) & (F.col("n") <= word_limit)).select(F.col("key").alias("w"), F.col("n_target").alias("u_target"), F.col("n").alias("u"))
+        k = cold.select(F.col("key").alias("k"), F.col("n_target").alias("c_target"), F.col("n").alias("c"))
+        r = r.join(w, r["word"] == w["w"])
+        r = r.join(k, r["key"] == k["k"])
+        parts = parts.unionByName(r.select("q_row", F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), F.expr(of_target.sql_pair("c_target", "u_target", "m", "own")).alias("t"), F.expr(of_all.sql_pair("c", "u", "m", "1")).alias("b")))
+    out = parts.groupBy("q_row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
     mean = lambda x: F.when(F.col("n_tokens") > 0, F.expr(x) / F.col("n_tokens")).otherwise(0.0)
-    return sums.select("doc_id", "n_tokens", mean("t").alias("loss_target"), mean("t + d").alias("loss_background"), mean("d").alias("score"))
+    return out.select("doc_id", "n_tokens", mean("t").alias("loss_target"), mean("b").alias("loss_background"), mean("b - t").alias("score"))
