@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from solargrid.functions import business as B
 from solargrid.operators import spatial as S
+from solargrid.operators.components import cut_lineage
 
 ROOF_SHARE, BESIDE_M, REACH_M = 0.3, 30.0, 200.0
+#: Distinct values whose counts are summed in one window.
+RANK_BLOCK = 100_000
 
 
 def place_on_buildings(candidates: DataFrame, buildings: DataFrame, reach_m: float = REACH_M) -> DataFrame:
@@ -55,9 +58,22 @@ def ranked(candidates: DataFrame) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """df with rank: 1, 2, ... in an order of all rows, without a task that sees them all.
+
+    Rows are split into ranges of the order, numbered within each, and moved on by the number of rows in the ranges before.
+    """
+    parts = cut_lineage(df.repartitionByRange(*order).withColumn("q_part", F.spark_partition_id()))
+    w = Window.partitionBy("q_part").orderBy(*order)
+    # A row for each partition: so many as the session's setting allows.
+    before = parts.groupBy("q_part").count().withColumn("q_before", F.sum("count").over(Window.orderBy("q_part").rowsBetween(Window.unboundedPreceding, -1))).select("q_part", "q_before")
+    out = parts.withColumn("q_no", F.row_number().over(w)).join(F.broadcast(before), "q_part")
+    return out.withColumn("rank", (F.col("q_no") + F.coalesce("q_before", F.lit(0))).cast("int")).drop("q_part", "q_no", "q_before")
+
+
 def with_rank(df: DataFrame, score: Column, prefix: str, key: str = "cand_id") -> DataFrame:
-    """rank (1 is best; ties by key) and candidate_id. Ranks are global by nature: this sorts on few columns only."""
-    ids = df.select(key, score.alias("s")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), key)))
+    """rank (1 is best; ties by key) and candidate_id."""
+    ids = numbered(df.select(key, score.alias("s")), F.desc("s"), F.asc(key))
     return df.join(ids.select(key, "rank"), key).withColumn("candidate_id", F.format_string(f"{prefix}-pv-%06d", F.col("rank") - 1))
 
 
@@ -67,15 +83,23 @@ def budget(df: DataFrame, skip_top: int, top_n: int, least_ratio: float = 1.2) -
     return able.orderBy("rank").limit(top_n)
 
 
-def suspicion(df: DataFrame, key: str = "cand_id") -> DataFrame:
-    """Average rank of confidence upwards plus average rank of distance downwards."""
+def average_ranks(df: DataFrame, col: str, up: bool = True) -> DataFrame:
+    """r_<col> for each distinct value: the mean of the ranks of the rows that share it. Rows are counted by value first."""
+    n = numbered(df.groupBy(col).agg(F.count("*").alias("n")), F.asc(col) if up else F.desc(col))
+    # Ranges again: rows before a value are those of the ranges before it and of the values before it in its own.
+    parts = n.withColumn("q_part", F.floor((F.col("rank") - 1) / RANK_BLOCK))
+    before = parts.groupBy("q_part").agg(F.sum("n").alias("q_n")).withColumn("q_before", F.sum("q_n").over(Window.orderBy("q_part").rowsBetween(Window.unboundedPreceding, -1))).select("q_part", "q_before")
+    own = F.sum("n").over(Window.partitionBy("q_part").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    out = parts.withColumn("q_own", own).join(F.broadcast(before), "q_part")
+    return out.select(F.col(col).alias(f"k_{col}"), (F.coalesce("q_before", F.lit(0)) + F.col("q_own") - F.col("n") + 1 + (F.col("n") - 1) / 2).alias(f"r_{col}"))
 
-    def average(col: str, up: bool) -> Column:
-        order = Window.orderBy(F.asc(col) if up else F.desc(col))
-        return F.rank().over(order) + (F.count("*").over(Window.partitionBy(col)) - 1) / 2
 
-    s = df.select(key, "confidence", "dist_m")
-    return s.withColumn("suspicion", average("confidence", True) + average("dist_m", False))
+def suspicion(df: DataFrame, key: str = "cand_id") -> DataFrame:
+    """Average rank of confidence upwards plus average rank of distance downwards."""
+    s = cut_lineage(df.select(key, "confidence", "dist_m"))
+    c, d = average_ranks(s, "confidence"), average_ranks(s, "dist_m", False)
+    j = s.join(c, s["confidence"].eqNullSafe(c["k_confidence"])).join(d, s["dist_m"].eqNullSafe(d["k_dist_m"]))
+    return j.select(key, "confidence", "dist_m", (F.col("r_confidence") + F.col("r_dist_m")).alias("suspicion"))
 
 
 def hash_order(key: Column, seed: int = 0) -> Column:

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder of spark.checkpoint.dir; a local session gets a folder of its own."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
 

@@ -18,7 +18,8 @@ from solargrid.sources import tables
 from solargrid.sources.fixtures import fixture, with_views
 
 PX = 0.1 / 64
-TWO_TILES = "ix < 4 AND iy < 3"
+#: Roofs that can be hard negatives.
+HARD_NEGATIVE_M2 = 400.0
 
 
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +27,8 @@ def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("prob", F.col("prob_u8") / 255.0).withColumn("id", (F.col("iy") * 64 + F.col("r")).cast("long") * 100_000 + F.col("ix") * 64 + F.col("c"))
 
 
-def _footprints(spark, sf_dir) -> DataFrame:
-    b = S.with_box(fixture(spark, sf_dir, "fx_buildings").where("area_m2 >= 2000"))
+def _footprints(spark, sf_dir, least_m2: float = 0.0) -> DataFrame:
+    b = S.with_box(fixture(spark, sf_dir, "fx_buildings").where(F.col("area_m2") >= least_m2))
     # A pixel of the grid is larger than a roof; boxes are grown so that some hold several centres.
     wide = b.withColumns({"xmin": F.col("xmin") - PX, "ymin": F.col("ymin") - PX, "xmax": F.col("xmax") + PX, "ymax": F.col("ymax") + PX})
     return P.footprints_to_pixels(wide, PX, 60.0, 24.0, ["id"])
@@ -45,7 +46,7 @@ def zonal_single_owner(spark, sf_dir):
 
 
 def centroid_fallback(spark, sf_dir):
-    b = fixture(spark, sf_dir, "fx_buildings").where("area_m2 >= 2000")
+    b = fixture(spark, sf_dir, "fx_buildings")
     own = b.select("id", "area_m2", F.floor((F.col("lon") - 60) / PX).alias("gx"), F.floor((F.col("lat") - 24) / PX).alias("gy"))
     own = own.select("id", "area_m2", F.floor(F.col("gx") / 64).cast("int").alias("ix"), F.floor(F.col("gy") / 64).cast("int").alias("iy"), (F.col("gy") % 64).cast("int").alias("r"), (F.col("gx") % 64).cast("int").alias("c"))
     px = _pixels(spark, sf_dir).drop("id")
@@ -53,12 +54,12 @@ def centroid_fallback(spark, sf_dir):
     return scale(out, "exp_m2", "max_prob", by=1000)
 
 
-def pixel_components_small(spark, sf_dir):
-    return P.polygonised(_pixels(spark, sf_dir).where(TWO_TILES), 0.6).select(F.col("component"), "n_px", scaled("confidence", 1000).alias("confidence"))
+def pixel_components(spark, sf_dir):
+    return P.polygonised(_pixels(spark, sf_dir), 0.6).select(F.col("component"), "n_px", scaled("confidence", 1000).alias("confidence"))
 
 
 def hysteresis(spark, sf_dir):
-    return P.hysteresis(_pixels(spark, sf_dir).where(TWO_TILES), 0.5, 0.9).select("component", "n_px", scaled("peak", 1000).alias("peak"))
+    return P.hysteresis(_pixels(spark, sf_dir), 0.5, 0.9).select("component", "n_px", scaled("peak", 1000).alias("peak"))
 
 
 def _masked(spark, sf_dir) -> DataFrame:
@@ -121,7 +122,7 @@ def class_mask(spark, sf_dir):
 
 
 def hard_negatives(spark, sf_dir):
-    z = P.zonal(_footprints(spark, sf_dir), _pixels(spark, sf_dir).drop("id"), "id")
+    z = P.zonal(_footprints(spark, sf_dir, HARD_NEGATIVE_M2), _pixels(spark, sf_dir).drop("id"), "id")
     now, old = z.withColumn("max_prob", F.col("max_prob") * (F.col("id") % 3) / 20), z.where("id % 7 > 0").withColumn("max_prob", F.col("max_prob") * (F.col("id") % 5) / 30)
     return T.hard_negatives(now, old, "id").select("id", "verdict")
 
@@ -161,14 +162,15 @@ def cell_summary(spark, sf_dir):
 _PIX = "px AS (SELECT *, prob_u8/255.0E0 AS prob, CAST(iy*64+r AS BIGINT)*100000 + ix*64 + c AS id FROM fx_pixels)"
 _HX, _HY = "sqrt(area_m2)/2/101500.0E0", "sqrt(area_m2)/2/111320.0E0"
 _P = "(0.1E0/64)"
-_FEET = f"""bx AS (SELECT id, area_m2, lon, lat, lon - {_HX} - {_P} AS xmin, lon + {_HX} + {_P} AS xmax, lat - {_HY} - {_P} AS ymin, lat + {_HY} + {_P} AS ymax FROM fx_buildings WHERE area_m2 >= 2000),
+_FEET = f"""bx AS (SELECT id, area_m2, lon, lat, lon - {_HX} - {_P} AS xmin, lon + {_HX} + {_P} AS xmax, lat - {_HY} - {_P} AS ymin, lat + {_HY} + {_P} AS ymax FROM fx_buildings WHERE area_m2 >= 0),
 fs AS (SELECT id, unnest(range(CAST(ceil((xmin-60)/{_P}-0.5E0) AS BIGINT), CAST(ceil((xmax-60)/{_P}-0.5E0) AS BIGINT))) AS gx, ymin, ymax FROM bx), ft AS (SELECT id, gx, unnest(range(CAST(ceil((ymin-24)/{_P}-0.5E0) AS BIGINT), CAST(ceil((ymax-24)/{_P}-0.5E0) AS BIGINT))) AS gy FROM fs),
 fp AS (SELECT f.id, p.prob, p.ix, p.iy, p.r, p.c FROM ft f JOIN px p ON p.ix = f.gx//64 AND p.iy = f.gy//64 AND p.r = f.gy%64 AND p.c = f.gx%64)"""
 _FLOOR = "CASE WHEN prob >= 0.05E0 THEN prob ELSE 0 END"
 _Z = f"z AS (SELECT id, sum({_FLOOR})*100 AS exp_m2, count(*) AS n_px, max(prob) AS max_prob FROM fp GROUP BY id)"
 _M = "CASE WHEN (r+c)%5 = 0 THEN 1 WHEN (r*c)%7 = 0 THEN -1 ELSE 0 END"
-_CC = """m AS (SELECT id, ix*64+c AS x, iy*64+r AS y, prob FROM px WHERE {0} AND prob >= {1}),
-e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON abs(a.x-b.x)+abs(a.y-b.y) = 1),
+_CC = """m AS (SELECT id, ix*64+c AS x, iy*64+r AS y, prob FROM px WHERE prob >= {0}),
+e0 AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON b.x = a.x + 1 AND b.y = a.y UNION ALL SELECT a.id, b.id FROM m a JOIN m b ON b.x = a.x AND b.y = a.y + 1),
+e AS (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0),
 l AS (SELECT id, id AS l FROM m UNION SELECT e.b, l.l FROM l JOIN e ON e.a = l.id), k AS (SELECT id, min(l) AS component FROM l GROUP BY id)"""
 _BIN = "CASE WHEN area_m2 < 100 THEN 0 WHEN area_m2 < 500 THEN 1 WHEN area_m2 < 1000 THEN 2 WHEN area_m2 < 5000 THEN 3 WHEN area_m2 < 50000 THEN 4 ELSE 5 END"
 _W = "greatest(0.5E0-0.5E0*cos(2*pi()*({0}+0.5E0)/32), 0.001E0)"
@@ -184,8 +186,8 @@ ORACLES = {
     "zonal_expected": with_views("fx_pixels", "fx_buildings", sql=f"WITH {_PIX}, {_FEET}, {_Z} SELECT id, {sql_scaled('exp_m2', 'exp_m2', '1E3')}, n_px, {sql_scaled('max_prob', 'max_prob', '1E3')} FROM z"),
     "zonal_single_owner": with_views("fx_pixels", "fx_buildings", sql=f"WITH {_PIX}, {_FEET}, o AS (SELECT max(id) AS id, any_value(prob) AS prob FROM fp GROUP BY ix, iy, r, c) SELECT id, count(*) AS n_px, {sql_scaled(f'sum({_FLOOR})*100', 'exp_m2', '1E3')} FROM o GROUP BY id"),
     "centroid_fallback": with_views("fx_pixels", "fx_buildings", sql=f"WITH {_PIX}, {_FEET}, {_Z}, n AS (SELECT b.id, area_m2, coalesce(p.prob, 0) AS prob FROM bx b LEFT JOIN px p ON p.ix = CAST(floor((lon-60)/{_P}) AS BIGINT)//64 AND p.iy = CAST(floor((lat-24)/{_P}) AS BIGINT)//64 AND p.r = CAST(floor((lat-24)/{_P}) AS BIGINT)%64 AND p.c = CAST(floor((lon-60)/{_P}) AS BIGINT)%64 WHERE b.id NOT IN (SELECT id FROM z)), u AS (SELECT id, exp_m2, n_px, max_prob FROM z UNION ALL SELECT id, {_FLOOR}*area_m2, 0, prob FROM n) SELECT id, {sql_scaled('exp_m2', 'exp_m2', '1E3')}, n_px, {sql_scaled('max_prob', 'max_prob', '1E3')} FROM u"),
-    "pixel_components_small": with_views("fx_pixels", sql=f"WITH RECURSIVE {_PIX}, {_CC.format('ix < 4 AND iy < 3', '0.6E0')} SELECT component, count(*) AS n_px, {sql_scaled('max(prob)', 'confidence', '1E3')} FROM k JOIN m USING (id) GROUP BY component").replace("WITH fx_pixels", "WITH RECURSIVE fx_pixels", 1).replace(", RECURSIVE px", ", px"),
-    "hysteresis": with_views("fx_pixels", sql=f"WITH RECURSIVE {_PIX}, {_CC.format('ix < 4 AND iy < 3', '0.5E0')} SELECT component, count(*) AS n_px, {sql_scaled('max(prob)', 'peak', '1E3')} FROM k JOIN m USING (id) GROUP BY component HAVING max(prob) >= 0.9E0").replace("WITH fx_pixels", "WITH RECURSIVE fx_pixels", 1).replace(", RECURSIVE px", ", px"),
+    "pixel_components": with_views("fx_pixels", sql=f"WITH RECURSIVE {_PIX}, {_CC.format('0.6E0')} SELECT component, count(*) AS n_px, {sql_scaled('max(prob)', 'confidence', '1E3')} FROM k JOIN m USING (id) GROUP BY component").replace("WITH fx_pixels", "WITH RECURSIVE fx_pixels", 1).replace(", RECURSIVE px", ", px"),
+    "hysteresis": with_views("fx_pixels", sql=f"WITH RECURSIVE {_PIX}, {_CC.format('0.5E0')} SELECT component, count(*) AS n_px, {sql_scaled('max(prob)', 'peak', '1E3')} FROM k JOIN m USING (id) GROUP BY component HAVING max(prob) >= 0.9E0").replace("WITH fx_pixels", "WITH RECURSIVE fx_pixels", 1).replace(", RECURSIVE px", ", px"),
     "confusion": with_views("fx_pixels", sql=f"WITH {_PIX}, q AS (SELECT ix, prob >= 0.5E0 AS p, {_M} = 1 AS t FROM px WHERE {_M} <> -1), g AS (SELECT ix, count(*) FILTER (p AND t) AS tp, count(*) FILTER (p AND NOT t) AS fp, count(*) FILTER (NOT p AND t) AS fn FROM q GROUP BY ix) SELECT ix, tp, fp, fn, {sql_scaled('tp/nullif(tp+fp+fn, 0)', 'iou')}, {sql_scaled('2*tp/nullif(2*tp+fp+fn, 0)', 'f1')} FROM g"),
     "window_iou": with_views("fx_pixels", "fx_bins", sql=f"WITH {_PIX}, s AS (SELECT label AS strategy, prob >= 0.2E0 + bin/10 AND c >= bin*8 AS p, {_M} = 1 AS t FROM px, fx_bins WHERE {_M} <> -1) SELECT strategy, count(*) FILTER (p AND t) AS shared, count(*) FILTER (p OR t) AS either, {sql_scaled('count(*) FILTER (p AND t)/nullif(count(*) FILTER (p OR t), 0)', 'iou')} FROM s GROUP BY strategy"),
     "recall_by_size": with_views("fx_pixels", "fx_mapped", sql=f"WITH b AS (SELECT osm_id, area_m2, lon - {_HX} AS xmin, lon + {_HX} AS xmax, lat - {_HY} AS ymin, lat + {_HY} AS ymax FROM fx_mapped), s AS (SELECT osm_id, ymin, ymax, unnest(range(CAST(ceil((xmin-60)/{_P}-0.5E0) AS BIGINT), CAST(ceil((xmax-60)/{_P}-0.5E0) AS BIGINT))) AS gx FROM b), t AS (SELECT osm_id, gx, unnest(range(CAST(ceil((ymin-24)/{_P}-0.5E0) AS BIGINT), CAST(ceil((ymax-24)/{_P}-0.5E0) AS BIGINT))) AS gy FROM s), h AS (SELECT DISTINCT osm_id FROM t JOIN fx_pixels p ON prob_u8 >= 100 AND ix = gx//64 AND iy = gy//64 AND r = gy%64 AND c = gx%64) SELECT CASE WHEN area_m2 >= 1000 THEN '1000+' WHEN area_m2 >= 500 THEN '500-1000' WHEN area_m2 >= 250 THEN '250-500' ELSE '0-250' END AS bucket, count(*) AS n, count(h.osm_id) AS found FROM b LEFT JOIN h USING (osm_id) GROUP BY 1"),
@@ -196,7 +198,7 @@ ORACLES = {
     "seasonal_composite": with_views("fx_scenes", sql=f"WITH s AS (SELECT {_SC}, list_extract(['dry','wet','cool'], 1 + item % 3) AS season FROM fx_scenes), c AS ({_MC.format('pid, season', 's', 5)}), y AS (SELECT pid, floor(median(CASE WHEN dn > 0 THEN dn END)) AS annual FROM c GROUP BY pid) SELECT pid, " + ", ".join(f"CAST(coalesce(max(CASE WHEN season='{x}' AND dn > 0 THEN dn END), any_value(annual), 0) AS INT) AS {x}" for x in ("dry", "wet", "cool")) + ", CAST(coalesce(any_value(annual), 0) AS INT) AS annual FROM c JOIN y USING (pid) GROUP BY pid"),
     "pixel_anomalies": with_views("fx_scenes", sql=f"WITH {_RF}, m AS (SELECT pid, npx, count(*) AS n, median(b03) AS m3, median(b08) AS m8 FROM b03 GROUP BY ALL), d AS (SELECT pid, npx, greatest(1.4826E0*median(abs(b03-m3)), 0.015E0) AS s3, greatest(1.4826E0*median(abs(b08-m8)), 0.015E0) AS s8 FROM b03 JOIN m USING (pid, npx) GROUP BY ALL) SELECT pid, npx, any_value(n) AS n, count(*) FILTER (b03 > m3+5*s3 AND b08 > m8+5*s8) AS events FROM b03 JOIN m USING (pid, npx) JOIN d USING (pid, npx) WHERE n >= 10 GROUP BY pid, npx"),
     "class_mask": with_views("fx_mapped", sql=f"WITH b AS (SELECT osm_id, area_m2, lon - {_HX} - {_P} AS xmin, lon + {_HX} + {_P} AS xmax, lat - {_HY} AS ymin, lat + {_HY} AS ymax FROM fx_mapped), s AS (SELECT area_m2, ymin, ymax, unnest(range(CAST(ceil((xmin-60)/{_P}-0.5E0) AS BIGINT), CAST(ceil((xmax-60)/{_P}-0.5E0) AS BIGINT))) AS gx FROM b), t AS (SELECT area_m2, gx, unnest(range(CAST(ceil((ymin-24)/{_P}-0.5E0) AS BIGINT), CAST(ceil((ymax-24)/{_P}-0.5E0) AS BIGINT))) AS gy FROM s) SELECT CAST(gx//64 AS INT) AS ix, CAST(gy//64 AS INT) AS iy, CAST(gy%64 AS INT) AS r, CAST(gx%64 AS INT) AS c, max(CASE WHEN area_m2 >= 400 THEN 1 ELSE -1 END) AS mask FROM t GROUP BY 1, 2, 3, 4"),
-    "hard_negatives": with_views("fx_pixels", "fx_buildings", sql=f"WITH {_PIX}, {_FEET}, {_Z}, n AS (SELECT id, max_prob*(id%3)/20 AS p, CASE WHEN id % 7 > 0 THEN max_prob*(id%5)/30 END AS o FROM z) SELECT id, CASE WHEN o IS NULL THEN 'no_old_data' WHEN p < 0.1E0 AND o < 0.1E0 THEN 'confirmed' WHEN p >= 0.1E0 AND o < 0.1E0 THEN 'lead' ELSE 'ambiguous' END AS verdict FROM n"),
+    "hard_negatives": with_views("fx_pixels", "fx_buildings", sql=f"WITH {_PIX}, {_FEET.replace('area_m2 >= 0', 'area_m2 >= 400')}, {_Z}, n AS (SELECT id, max_prob*(id%3)/20 AS p, CASE WHEN id % 7 > 0 THEN max_prob*(id%5)/30 END AS o FROM z) SELECT id, CASE WHEN o IS NULL THEN 'no_old_data' WHEN p < 0.1E0 AND o < 0.1E0 THEN 'confirmed' WHEN p >= 0.1E0 AND o < 0.1E0 THEN 'lead' ELSE 'ambiguous' END AS verdict FROM n"),
     "oversample_union": with_views("fx_candidates", sql="WITH a AS (SELECT cand_id, CASE WHEN cand_id % 9 IN (3, 5) THEN 'val' ELSE 'train' END AS split FROM fx_candidates), u AS (SELECT *, 1 AS times, 'base' AS source FROM a UNION ALL SELECT *, 3, 'extra' FROM a WHERE cand_id % 4 = 0) SELECT cand_id, split, CAST(unnest(range(1, CASE WHEN split = 'train' THEN times ELSE 1 END + 1)) AS INT) AS copy, source FROM u"),
     "osm_labels": with_views("fx_osm", "fx_mapped", "fx_buildings", sql=f"""WITH t AS (SELECT el_id, CASE WHEN json_extract_string(tags, '$."plant:source"') = 'solar' THEN 'plant' ELSE 'generator' END AS kind, CASE WHEN json_extract_string(tags, '$.location') IN ('roof','rooftop') OR json_extract_string(tags, '$."generator:place"') IN ('roof','rooftop') THEN 'rooftop' WHEN json_extract_string(tags, '$."plant:source"') = 'solar' THEN 'ground' ELSE 'unknown' END AS p FROM fx_osm),
  c AS (SELECT a.osm_id, sum({_SHARED})/any_value(a.area_m2) AS share FROM fx_mapped a JOIN fx_buildings b ON {_CLOSE} GROUP BY a.osm_id) SELECT m.osm_id, kind, CASE WHEN p <> 'unknown' THEN p WHEN share >= 0.5E0 THEN 'rooftop' ELSE 'ground' END AS placement FROM t JOIN fx_mapped m ON m.osm_id = el_id LEFT JOIN c ON c.osm_id = m.osm_id"""),

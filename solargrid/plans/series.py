@@ -73,9 +73,10 @@ def adoption_rate(spark, sf_dir):
 
 
 def scene_match(spark, sf_dir):
-    """Bright scenes with the nearest dark one of the target within an hour."""
-    s = fixture(spark, sf_dir, "fx_scenes").select("pid", "item", "time")
-    m = S.as_of(s.where("item % 23 = 0"), s.where("item % 29 = 0"), "pid", "time", "time", 36_000)
+    """Scenes that are bright over the target with the nearest scene of a hazy ring within ten hours."""
+    s = fixture(spark, sf_dir, "fx_scenes")
+    bright, hazy = s.where("p98_b03 > 4000").select("pid", "item", "time"), s.where("ring_b03 > 4000").select("pid", "item", "time")
+    m = S.as_of(bright, hazy, "pid", "time", "time", 36_000)
     return m.select("pid", "item", "r_item", scaled("gap_s", 1000).alias("gap_ms"))
 
 
@@ -140,7 +141,7 @@ ORACLES = {
     "annual_ndvi": with_views("fx_scenes", sql="WITH s AS (SELECT pid, cloud, 1 + item % 12 IN (6,7,8,9) AS bad, (1 + item % 12) IN (6,7,8,9) AS wet, CASE WHEN p98_b08 + p98_b04 > 0 THEN (p98_b08 - p98_b04)/greatest(p98_b08 + p98_b04, 1E-6) END AS v FROM fx_scenes), "
         f"g AS (SELECT pid, count(v) AS n_clear, count(*) FILTER (wet AND v IS NOT NULL) AS n_monsoon, quantile_cont(v, 0.95) AS p95, max(v) AS mx, median(v) AS md, quantile_cont(v, 0.95) FILTER (wet) AS mp FROM s WHERE cloud <= 60 GROUP BY pid) SELECT pid, coalesce(n_clear, 0) AS n_clear, coalesce(n_monsoon, 0) AS n_monsoon, {sql_scaled('round_even(p95, 3)', 'ndvi_p95', '1E2')}, {sql_scaled('round_even(mx, 3)', 'ndvi_max', '1E2')}, {sql_scaled('round_even(md, 3)', 'ndvi_med', '1E2')}, {sql_scaled('round_even(mp, 3)', 'ndvi_monsoon_p95', '1E2')} FROM (SELECT DISTINCT pid FROM s) LEFT JOIN g USING (pid)"),
     "adoption_rate": with_views("fx_scenes", "fx_candidates", "fx_bins", sql=f"WITH {_annotated(True)}, {_fit('a')}, y AS (SELECT {_BIN} AS bin, count(*) AS n, count(*) FILTER (n_consistent >= 2) AS k FROM z JOIN fx_candidates f ON f.cand_id = z.pid GROUP BY 1), u AS (SELECT {_BIN} AS bin, count(*) AS population FROM fx_candidates GROUP BY 1), t AS (SELECT y.*, population, sens_k/sens_n AS d FROM y JOIN u USING (bin) JOIN fx_bins USING (bin)) SELECT bin, n, k, population, {sql_scaled('d', 'd', '1E4')}, {sql_scaled('k/n', 'rate', '1E4')}, {sql_scaled(_INV.format('k/n'), 'adopted', '1E4')}, {sql_scaled(_INV.format(f'({_MID} - {_HALF})'), 'adopted_lo', '1E4')}, {sql_scaled(_INV.format(f'({_MID} + {_HALF})'), 'adopted_hi', '1E4')} FROM t"),
-    "scene_match": with_views("fx_scenes", sql="WITH p AS (SELECT a.pid, a.item, b.item AS r_item, b.time AS bt, abs(epoch_us(a.time) - epoch_us(b.time)) AS gap FROM fx_scenes a JOIN fx_scenes b ON a.pid = b.pid AND a.item % 23 = 0 AND b.item % 29 = 0) SELECT pid, item, r_item, CAST(floor(gap/1E3 + 0.5E0) AS BIGINT) AS gap_ms FROM p WHERE gap <= 36000000000 QUALIFY row_number() OVER (PARTITION BY item ORDER BY gap, bt) = 1"),
+    "scene_match": with_views("fx_scenes", sql="WITH p AS (SELECT a.pid, a.item, b.item AS r_item, b.time AS bt, abs(epoch_us(a.time) - epoch_us(b.time)) AS gap FROM fx_scenes a JOIN fx_scenes b ON a.pid = b.pid AND a.p98_b03 > 4000 AND b.ring_b03 > 4000) SELECT pid, item, r_item, CAST(floor(gap/1E3 + 0.5E0) AS BIGINT) AS gap_ms FROM p WHERE gap <= 36000000000 QUALIFY row_number() OVER (PARTITION BY item ORDER BY gap, bt) = 1"),
     "run_agreement": with_views("fx_scenes", sql=f"WITH x AS (WITH {_annotated(True)}, {_fit('a')} SELECT * FROM z), y AS (WITH {_annotated(True).replace('FROM fx_scenes', 'FROM fx_scenes WHERE item % 5 > 0')}, {_fit('a')} SELECT * FROM z) SELECT count(*) AS n, {sql_scaled('avg(CASE WHEN (x.n_spikes >= 1) = (y.n_spikes >= 1) THEN 1 ELSE 0 END)', 'detected_agree')}, {sql_scaled('avg(CASE WHEN (x.n_consistent >= 2) = (y.n_consistent >= 2) THEN 1 ELSE 0 END)', 'validated_agree')}, {sql_scaled('avg(abs(x.n_scenes - y.n_scenes))', 'scene_diff')}, max(abs(x.n_scenes - y.n_scenes)) AS scene_diff_max FROM x JOIN y USING (pid)"),
     "posterior_mixture": with_views("fx_candidates", "fx_bins", "fx_regions", sql=f"WITH c AS (SELECT {_BIN} AS bin, count(*) AS n, count(*) FILTER (glint_consistent >= 2) AS k FROM fx_candidates GROUP BY 1), d AS (SELECT bin, n, k, sens_k/sens_n AS s, CAST(region_id + CASE WHEN level = 'county' THEN 5 ELSE 0 END AS INT) AS draw FROM c JOIN fx_bins USING (bin), fx_regions), g AS (SELECT *, unnest(range(201)) AS g FROM d), q AS (SELECT *, greatest(1E-9, least(1-1E-9, g/200*s + (1-g/200)*0.087E0)) AS q FROM g), l AS (SELECT *, k*ln(q) + (n-k)*ln(1-q) AS ll FROM q), w AS (SELECT *, exp(ll - max(ll) OVER (PARTITION BY bin, draw)) AS w FROM l), f AS (SELECT *, sum(w) OVER (PARTITION BY bin, draw ORDER BY g) / sum(w) OVER (PARTITION BY bin, draw) AS cdf FROM w) SELECT bin, draw, {sql_scaled('min(g)/200', 'p')} FROM f WHERE cdf >= (draw + 0.5E0)/31 GROUP BY bin, draw"),
 }
