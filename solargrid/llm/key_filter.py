@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from solargrid.llm.storage import input_partitions
+
 #: Bits for each key, and the most bits in all (16 MB); beyond that the bitmap lets through more, but never loses a key.
 BITS_PER_KEY, MOST_BITS = 12, 27
 
@@ -21,9 +23,14 @@ def bitmap(keys: DataFrame, hashed: bool = False) -> tuple[np.ndarray, int]:
     n = keys.count()
     bits = min(MOST_BITS, max(12, (n * BITS_PER_KEY).bit_length()))
     slot = F.expr(f"shiftrightunsigned({'q_key' if hashed else 'xxhash64(q_key)'}, {64 - bits})")
-    found = keys.select(slot.alias("b")).groupBy(F.expr("CAST(shiftright(b, 5) AS INT)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(b & 31 AS INT))")).alias("bits")).toPandas()
-    out = np.zeros(1 << (bits - 5), dtype=np.uint32)
-    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    # Blocks of 4 KB, each made whole by one task, are all that reaches the driver.
+    block = F.expr("bitmap_bucket_number(b + 1)")
+    dealt = keys.select(slot.alias("b")).select("b", block.alias("block")).repartition(input_partitions(keys.sparkSession), "block")
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for r in dealt.groupBy("block").agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b + 1))").alias("bits")).toLocalIterator():
+        part = np.frombuffer(r["bits"], dtype=np.uint8)[: len(out)]
+        out[(r["block"] - 1) * 4096 : (r["block"] - 1) * 4096 + len(part)] = part
+    out = out.view(np.uint32)
     return out, bits
 
 
