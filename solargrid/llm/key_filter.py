@@ -27,7 +27,7 @@ def bitmap(keys: DataFrame, hashed: bool = False) -> tuple[np.ndarray, int]:
     block = F.expr("bitmap_bucket_number(b + 1)")
     dealt = keys.select(slot.alias("b")).select("b", block.alias("block")).repartition(input_partitions(keys.sparkSession), "block")
     out = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    for r in dealt.groupBy("block").agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b + 1))").alias("bits")).toLocalIterator():
+    for r in dealt.groupBy("block").agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b + 1))").alias("bits")).collect():
         part = np.frombuffer(r["bits"], dtype=np.uint8)[: len(out)]
         out[(r["block"] - 1) * 4096 : (r["block"] - 1) * 4096 + len(part)] = part
     out = out.view(np.uint32)

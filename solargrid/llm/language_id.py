@@ -9,8 +9,10 @@ under a prior that all languages share (forward and backward pass), and smoothed
 compute expected counts for each distinct word once, and emit one row for each language and piece at most, so what is
 shuffled and collected is bounded by vocabulary times languages.
 
-Words are runs of letters of the lower-cased text, marked as a word's start. A character that no piece covers counts as
-one unknown piece. Words are handled in batches of equal length, all languages at once.
+Words are letters with the letters and combining marks that follow them in the lower-cased text, marked as a word's start. A
+run of more than STRETCH letters (text that is written without spaces, say) is taken by stretches of that length, so a text
+costs in proportion to its length whatever it holds. A character that no piece covers counts as one unknown piece. Words
+are handled in batches of equal length, all languages at once.
 
 Nulls and odd input: `und` and score 0 if the text is null or has no letter, or if nothing could be learned. Rows
 without lang or text teach nothing. Rows are predicted one by one, so repeated rows repeat their result; a null doc_id
@@ -19,19 +21,20 @@ hashes as the empty string and is kept. Empty tables give an empty result. Other
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from solargrid.llm import vocabulary as V
 
 FOLDS, HELD = 3, 1
-LETTERS = re.compile(r"[^\W\d_]+")
+STRETCH = 256
+LETTERS = regex.compile(rf"\p{{L}}[\p{{L}}\p{{M}}]{{0,{STRETCH - 1}}}")
 #: Pseudo-counts of the prior in each language.
 PRIOR_COUNT = 20_000.0
 BATCH_CHARS = 400_000
