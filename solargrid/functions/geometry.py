@@ -43,19 +43,24 @@ def _ring_sum(rings: Column, term) -> Column:
 def geodesic_area_m2(rings: Column) -> Column:
     """Area on the ellipsoid by the equal-area projection's shoelace; holes subtract if wound the other way. 0 for null."""
 
+    # Coordinates count from the first point, so that the products of a small polygon keep their digits.
+    ox, oy = equal_area(rings[0][0]["x"], rings[0][0]["y"])
+
     def term(ax, ay, bx, by):
         (x1, y1), (x2, y2) = equal_area(ax, ay), equal_area(bx, by)
-        return (x1 * y2 - x2 * y1) / 2
+        return ((x1 - ox) * (y2 - oy) - (x2 - ox) * (y1 - oy)) / 2
 
     return F.coalesce(F.abs(_ring_sum(rings, term)), F.lit(0.0))
 
 
 def centroid(rings: Column) -> tuple[Column, Column]:
     """Shoelace centroid in degrees."""
-    area = _ring_sum(rings, lambda ax, ay, bx, by: ax * by - bx * ay)
-    cx = _ring_sum(rings, lambda ax, ay, bx, by: (ax + bx) * (ax * by - bx * ay))
-    cy = _ring_sum(rings, lambda ax, ay, bx, by: (ay + by) * (ax * by - bx * ay))
-    return cx / (3 * area), cy / (3 * area)
+    ox, oy = rings[0][0]["x"], rings[0][0]["y"]
+    cross = lambda ax, ay, bx, by: (ax - ox) * (by - oy) - (bx - ox) * (ay - oy)
+    area = _ring_sum(rings, cross)
+    cx = _ring_sum(rings, lambda ax, ay, bx, by: (ax + bx - 2 * ox) * cross(ax, ay, bx, by))
+    cy = _ring_sum(rings, lambda ax, ay, bx, by: (ay + by - 2 * oy) * cross(ax, ay, bx, by))
+    return ox + cx / (3 * area), oy + cy / (3 * area)
 
 
 def bounds(rings: Column) -> dict[str, Column]:
@@ -79,16 +84,21 @@ def representative_point(rings: Column) -> tuple[Column, Column]:
     return F.array_max(spans)["x"], mid
 
 
-def box_rings(lon: Column, lat: Column, area: Column, lon_m: float = 101_500.0) -> Column:
+def lon_metres(lat: Column) -> Column:
+    """Metres in a degree of longitude."""
+    return DEGREE_M * F.cos(F.radians(lat))
+
+
+def box_rings(lon: Column, lat: Column, area: Column) -> Column:
     """A square of an area around a point, as rings."""
-    h = half_sides(area, lon_m)
+    h = half_sides(area, lat)
     corner = lambda i, j: F.struct((lon + i * h[0]).alias("x"), (lat + j * h[1]).alias("y"))
     return F.array(F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1), corner(-1, -1)))
 
 
-def half_sides(area: Column, lon_m: float = 101_500.0) -> tuple[Column, Column]:
-    """Half the side of a square of an area, in degrees of longitude and latitude."""
-    return F.sqrt(area) / 2 / lon_m, F.sqrt(area) / 2 / DEGREE_M
+def half_sides(area: Column, lat: Column) -> tuple[Column, Column]:
+    """Half the side of a square of an area at a latitude, in degrees of longitude and latitude."""
+    return F.sqrt(area) / 2 / lon_metres(lat), F.sqrt(area) / 2 / DEGREE_M
 
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = 6_371_008.8) -> Column:
@@ -220,8 +230,9 @@ def intersection_area(a: pd.Series, b: pd.Series) -> pd.Series:
         if x is None or y is None:
             out.append(None)
             continue
-        clip = _points(y)
-        out.append(abs(_shoelace(_clip(_points(x), clip if _shoelace(clip) > 0 else clip[::-1]))))
+        subject, clip = _points(x), _points(y)
+        subject, clip = subject - subject[0], clip - subject[0]  # small polygons keep their digits
+        out.append(abs(_shoelace(_clip(subject, clip if _shoelace(clip) > 0 else clip[::-1]))))
     return pd.Series(out, dtype="float64")
 
 

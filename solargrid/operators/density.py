@@ -98,3 +98,19 @@ def intervals(sums: DataFrame, keys: list[str]) -> DataFrame:
     """5th and 95th percentile over draws."""
     p = F.percentile("m2", F.array(F.lit(0.05), F.lit(0.95)))
     return sums.groupBy(*keys).agg(p.alias("p")).select(*keys, F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+
+
+def with_signal(buildings: DataFrame, least_exp_m2: float = 10.0) -> DataFrame:
+    """Buildings worth keeping: something was detected, or enough is expected. All areas are capped by the roof."""
+    capped = buildings.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.col(c), F.col("area_m2"))) for c in ("det_m2", "cal_m2", "exp_m2") if c in buildings.columns})
+    return capped.where((F.col("det_m2") > 0) | (F.col("exp_m2") >= least_exp_m2))
+
+
+def backfilled(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
+    """Calibrated columns (keys) that are missing or null take the detected ones (values)."""
+    return df.withColumns({new: F.coalesce(F.col(new), F.col(old)) if new in df.columns else F.col(old) for new, old in pairs.items()})
+
+
+def top_cells(labels: DataFrame, n: int, least_m2: float = 400.0) -> DataFrame:
+    """The n cells with most labels of a size (ties: the smallest cell)."""
+    return with_cell(labels.where(F.col("area_m2") >= least_m2)).groupBy("ix", "iy").agg(F.count("*").alias("n_labels")).orderBy(F.desc("n_labels"), "ix", "iy").limit(n)

@@ -133,15 +133,34 @@ def strongest(annotated_series: DataFrame, band: str, n_spikes: int = 6, n_base:
 
 
 def nearest_pass(spikes: DataFrame, passes: DataFrame, days: float = 2.0, tolerance: float = TOLERANCE) -> DataFrame:
-    """Per spike the nearest pass of its target; a hit if it is near in time and aligned."""
+    """Per spike the nearest pass of its target within some days (ties: the earlier one); a hit if it is aligned.
+
+    Time is cut into buckets of that width; a pass goes to its own and both neighbours, so the join is an equi-join.
+    """
     day = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 86_400e6
-    p = passes.select(F.col("pid").alias("p_pid"), F.col("time").alias("p_time"), F.col("misalignment"))
-    j = spikes.join(p, F.col("pid") == F.col("p_pid")).withColumn("gap", F.abs(day("time") - day("p_time")))
+    p = passes.select(F.col("pid").alias("p_pid"), F.col("time").alias("p_time"), "misalignment", F.floor(day("time") / days).alias("p_at"))
+    p = p.withColumn("p_at", F.explode(F.array(F.col("p_at") - 1, F.col("p_at"), F.col("p_at") + 1)))
+    s = spikes.withColumn("s_at", F.floor(day("time") / days))
+    j = s.join(p, (F.col("pid") == F.col("p_pid")) & (F.col("s_at") == F.col("p_at"))).withColumn("gap", F.abs(day("time") - day("p_time"))).where(F.col("gap") <= days)
     best = j.groupBy("pid", "item").agg(F.min_by(F.struct("gap", "misalignment"), F.struct("gap", "p_time")).alias("b"))
-    return best.select("pid", "item", "b.gap", ((F.col("b.gap") <= days) & (F.col("b.misalignment") <= tolerance)).alias("hit"))
+    return best.select("pid", "item", "b.gap", (F.col("b.misalignment") <= tolerance).alias("hit"))
 
 
 def calendar(passes: DataFrame, tilt: float, azimuth: float, tolerance: float = TOLERANCE) -> DataFrame:
     """Passes of a given table that would glint off a panel."""
     off = solar.misalignment(tilt, azimuth, solar.unit_enu("sun_zen", "sun_az"), solar.unit_enu("view_zen", "view_az"))
     return passes.withColumn("misalignment", off).where(off <= tolerance)
+
+
+def batch_series(targets: DataFrame, scene_pixels: DataFrame, share: float = 0.98) -> DataFrame:
+    """Series of many targets from scene pixels (tile, item, time, r, c, v) in one shuffle by tile.
+
+    targets: pid, ix, iy, r0, c0 and half (pixels). Inside lie the pixels within half of the centre, the ring beyond up to
+    three times that. Of scenes in one minute the one with most pixels inside stays; targets without scenes have no row.
+    """
+    dr, dc = F.abs(F.col("r") - F.col("r0")), F.abs(F.col("c") - F.col("c0"))
+    far = F.greatest(dr, dc)
+    j = scene_pixels.join(targets, ["ix", "iy"]).where(far <= 3 * F.col("half"))
+    inside, ring = F.when(far <= F.col("half"), F.col("v")), F.when(far > F.col("half"), F.col("v"))
+    s = j.groupBy("pid", "item", "time").agg(F.percentile(inside, F.lit(share)).alias("p98"), F.median(ring).alias("ring"), F.count(inside).alias("npx"))
+    return best_per(s.where("npx > 0"), "minute")

@@ -24,7 +24,7 @@ def footprints_to_pixels(df: DataFrame, pixel_deg: float, x0: float, y0: float,
     last = lambda a, o: F.ceil((F.col(f"{a}max") - o) / pixel_deg - 0.5) - 1
     d = df.select(*keep, first("x", x0).alias("x1"), last("x", x0).alias("x2"), first("y", y0).alias("y1"), last("y", y0).alias("y2")).where("x1 <= x2 AND y1 <= y2")
     d = d.withColumn("py", F.explode(F.sequence("y1", "y2"))).withColumn("px", F.explode(F.sequence("x1", "x2")))
-    return d.select(*keep, F.floor(F.col("px") / SIDE).cast("int").alias("ix"), F.floor(F.col("py") / SIDE).cast("int").alias("iy"), (F.col("py") % SIDE).cast("int").alias("r"), (F.col("px") % SIDE).cast("int").alias("c"))
+    return d.select(*keep, F.floor(F.col("px") / SIDE).cast("int").alias("ix"), F.floor(F.col("py") / SIDE).cast("int").alias("iy"), F.pmod("py", F.lit(SIDE)).cast("int").alias("r"), F.pmod("px", F.lit(SIDE)).cast("int").alias("c"))
 
 
 def zonal(footprints: DataFrame, pixels: DataFrame, key: str, by_order: str | None = None, least: float = 0.05) -> DataFrame:
@@ -119,7 +119,7 @@ def coverage_fraction(boxes: DataFrame, pixel_deg: float, x0: float, y0: float,
     fine = footprints_to_pixels(boxes, pixel_deg / parts, x0, y0, keep)
     gx, gy = F.col("ix") * SIDE + F.col("c"), F.col("iy") * SIDE + F.col("r")
     px, py = F.floor(gx / parts).cast("int"), F.floor(gy / parts).cast("int")
-    cells = fine.select(*keep, px.alias("px"), py.alias("py"), (gx % parts).alias("sx"), (gy % parts).alias("sy"))
+    cells = fine.select(*keep, px.alias("px"), py.alias("py"), F.pmod(gx, F.lit(parts)).alias("sx"), F.pmod(gy, F.lit(parts)).alias("sy"))
     return cells.groupBy("px", "py").agg((F.count_distinct("sx", "sy") / (parts * parts)).alias("fraction"))
 
 
@@ -228,3 +228,43 @@ def peak_offset(spike_pixels: DataFrame, centres: DataFrame, key: str, band: str
     top = spike_pixels.groupBy(key, "r", "c").agg(F.max(band).alias("v")).groupBy(key).agg(F.max_by(F.struct("r", "c"), F.struct("v", -F.col("r"), -F.col("c"))).alias("p"))
     d = F.sqrt(F.pow(F.col("p.r") - F.col("r0"), 2) + F.pow(F.col("p.c") - F.col("c0"), 2)) * pixel_m
     return top.join(centres, key).select(key, F.col("p.r").alias("r"), F.col("p.c").alias("c"), d.alias("offset_m"))
+
+
+def zonal_mean(footprints: DataFrame, pixels: DataFrame, areas: DataFrame, key: str) -> DataFrame:
+    """Every area with the mean probability of an earlier epoch in it, whether a pixel was read at all, and the epoch prior."""
+    z = footprints.join(pixels, [*TILE, "r", "c"]).groupBy(key).agg(F.avg("prob").alias("old_prob"))
+    out = areas.join(z, key, "left").withColumn("epoch_checked", F.col("old_prob").isNotNull())
+    return out.withColumn("epoch_prior", F.when(F.col("epoch_checked"), B.epoch_prior(F.col("old_prob"))))
+
+
+def oriented(anomalous: DataFrame, key: str, least: int = 2) -> DataFrame:
+    """Pixels whose bright scenes (time, item, required orientation, angles) agree on one orientation: `least` of them or more."""
+    from solargrid.operators.glint import best_orientation
+
+    many = anomalous.groupBy(key).agg(F.count("*").alias("n_events")).where(F.col("n_events") >= least)
+    fit = best_orientation(anomalous.join(many.select(key), key, "left_semi"), key).where(F.col("n_consistent") >= least)
+    return many.join(fit, key)
+
+
+def class_masked(pixels: DataFrame, classes: DataFrame, clear: tuple[int, ...] = (4, 5, 6, 7), least: int = 10) -> DataFrame:
+    """Readings (tile, r, c, item) under a clear class of the grid of twice the pixel size, of pixels with enough of them."""
+    half = classes.select(*TILE, "item", F.col("r").alias("h_r"), F.col("c").alias("h_c"), "scl")
+    j = pixels.withColumn("h_r", F.floor(F.col("r") / 2).cast("int")).withColumn("h_c", F.floor(F.col("c") / 2).cast("int")).join(half, [*TILE, "item", "h_r", "h_c"]).where(F.col("scl").isin(*clear)).drop("h_r", "h_c", "scl")
+    enough = j.groupBy(*TILE, "r", "c").agg(F.count_distinct("item").alias("n_valid")).where(F.col("n_valid") >= least)
+    return j.join(enough, [*TILE, "r", "c"])
+
+
+def clusters(mask: DataFrame, least: int = 2) -> DataFrame:
+    """Components over edges and corners of at least so many pixels: component, n_px."""
+    return labelled(mask, eight=True).groupBy("component").agg(F.count("*").alias("n_px")).where(F.col("n_px") >= least)
+
+
+def pixel_points(pixels: DataFrame, pixel_deg: float, x0: float, y0: float) -> DataFrame:
+    """Pixels with the longitude and latitude of their centres."""
+    at = lambda o, tile, k: o + (F.col(tile) * SIDE + F.col(k) + 0.5) * pixel_deg
+    return pixels.withColumn("lon", at(x0, "ix", "c")).withColumn("lat", at(y0, "iy", "r"))
+
+
+def max_composite(scenes: DataFrame, keys: list[str], band: str) -> DataFrame:
+    """Largest value of a band over scenes and the scene that has it (ties: the smallest item)."""
+    return scenes.groupBy(*keys).agg(F.max(band).alias("peak"), F.max_by("item", F.struct(F.col(band), -F.col("item"))).alias("peak_item"))

@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from solargrid.functions import geometry as G
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
-#: Metres in a degree of longitude and latitude in the study area.
-LON_M, LAT_M = 101_500.0, 111_320.0
+#: Metres in a degree of latitude; of longitude, see geometry.lon_metres.
+LAT_M = G.DEGREE_M
 
 
 def with_box(df: DataFrame, prefix: str = "", reach_m: float = 0.0) -> DataFrame:
     """Adds <prefix>xmin.. for the square of area_m2 around (lon, lat), grown by reach_m."""
-    hx, hy = G.half_sides(F.col("area_m2"), LON_M)
-    hx, hy = hx + reach_m / LON_M, hy + reach_m / LAT_M
+    hx, hy = G.half_sides(F.col("area_m2"), F.col("lat"))
+    hx, hy = hx + reach_m / G.lon_metres(F.col("lat")), hy + reach_m / LAT_M
     return df.withColumns({f"{prefix}xmin": F.col("lon") - hx, f"{prefix}ymin": F.col("lat") - hy, f"{prefix}xmax": F.col("lon") + hx, f"{prefix}ymax": F.col("lat") + hy})
 
 
@@ -48,7 +48,7 @@ def renamed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame
 def box_gap_m(l_lon: Column, l_lat: Column, l_area: Column, r_lon: Column, r_lat: Column, r_area: Column) -> Column:
     """Distance between two squares, in metres; 0 if they touch."""
     half = (F.sqrt(l_area) + F.sqrt(r_area)) / 2
-    dx = F.greatest(F.abs(l_lon - r_lon) * LON_M - half, F.lit(0.0))
+    dx = F.greatest(F.abs(l_lon - r_lon) * G.lon_metres(l_lat) - half, F.lit(0.0))
     dy = F.greatest(F.abs(l_lat - r_lat) * LAT_M - half, F.lit(0.0))
     return F.sqrt(dx * dx + dy * dy)
 
@@ -56,11 +56,11 @@ def box_gap_m(l_lon: Column, l_lat: Column, l_area: Column, r_lon: Column, r_lat
 def box_overlap_m2(l_lon: Column, l_lat: Column, l_area: Column, r_lon: Column, r_lat: Column, r_area: Column) -> Column:
     """Area shared by two squares."""
 
-    def shared(d: Column, metres: float) -> Column:
+    def shared(d: Column, metres: Column | float) -> Column:
         h1, h2 = F.sqrt(l_area) / 2, F.sqrt(r_area) / 2
         return F.greatest(F.least(h1, d * metres + h2) - F.greatest(-h1, d * metres - h2), F.lit(0.0))
 
-    return shared(r_lon - l_lon, LON_M) * shared(r_lat - l_lat, LAT_M)
+    return shared(r_lon - l_lon, G.lon_metres(l_lat)) * shared(r_lat - l_lat, LAT_M)
 
 
 def _near(left: DataFrame, right: DataFrame, reach_m: float) -> DataFrame:
@@ -157,3 +157,34 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
     j = a.join(b, (a[key] == b[f"r_{key}"]) & (a["s_b"] == b["s_b"])).drop("s_b").withColumn("s_gap", F.abs(sec(left_time) - sec(f"r_{right_time}"))).where(F.col("s_gap") <= within_s)
     best = j.groupBy("s_row").agg(F.min_by(F.struct(*[c for c in j.columns if c != "s_row"]), F.struct("s_gap", f"r_{right_time}")).alias("b"))
     return best.select("b.*").withColumnRenamed("s_gap", "gap_s")
+
+
+def in_polygons(points: DataFrame, polygons: DataFrame, key: str, polygon_id: str, size: float = 0.1) -> DataFrame:
+    """key and polygon_id of every point (key, lon, lat) inside a polygon (polygon_id, rings), by grid cells of the polygons' bounds."""
+    b = G.bounds(F.col("r_rings"))
+    r = polygons.select(F.col(polygon_id).alias("r_id"), F.col("rings").alias("r_rings")).select("r_id", "r_rings", *[c.alias(f"r_{n}") for n, c in b.items()])
+    p = points.select(F.col(key).alias("p_key"), F.col("lon").alias("l_xmin"), F.col("lat").alias("l_ymin"), F.col("lon").alias("l_xmax"), F.col("lat").alias("l_ymax"))
+    return box_pairs(p, r, size, G.contains_xy(F.col("r_rings"), F.col("l_xmin"), F.col("l_ymin"))).select(F.col("p_key").alias(key), F.col("r_id").alias(polygon_id))
+
+
+def first_polygon(points: DataFrame, polygons: DataFrame, key: str, polygon_id: str, how: str = "left") -> DataFrame:
+    """Points with the polygon that holds them; of several, the one with the smallest id."""
+    one = in_polygons(points, polygons, key, polygon_id).groupBy(key).agg(F.min(polygon_id).alias(polygon_id))
+    return points.join(one, key, how)
+
+
+def polygon_sums(points: DataFrame, polygons: DataFrame, key: str, polygon_id: str, measure: str) -> DataFrame:
+    """Sum of a measure over the points in each polygon; 0 where none lies."""
+    own = in_polygons(points, polygons, key, polygon_id).join(points.select(key, measure), key).groupBy(polygon_id).agg(F.sum(measure).alias(measure))
+    return polygons.select(polygon_id).join(own, polygon_id, "left").fillna(0, [measure])
+
+
+def polygon_overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float = 0.01) -> DataFrame:
+    """left_id, right_id and shared area (in the squared units of the coordinates) of polygons that overlap; right ones are convex."""
+
+    def boxed(df: DataFrame, key: str, side: str) -> DataFrame:
+        return df.select(F.col(key).alias(f"{side}_id"), F.col("rings").alias(f"{side}_rings"), *[c.alias(f"{side}_{n}") for n, c in G.bounds(F.col("rings")).items()])
+
+    pairs = box_pairs(boxed(left, left_id, "l"), boxed(right, right_id, "r"), size)
+    out = pairs.select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id), G.intersection_area("l_rings", "r_rings").alias("shared"))
+    return out.where("shared > 0")

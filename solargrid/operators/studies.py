@@ -129,3 +129,22 @@ def terciles(df: DataFrame, cap: int, key: str) -> DataFrame:
     q = df.agg(F.percentile("area_m2", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
     t = df.join(F.broadcast(q), F.lit(True))  # one row
     return stratified(t, (F.col("area_m2") > F.col("q")[0]).cast("int") + (F.col("area_m2") > F.col("q")[1]).cast("int"), cap // 3, key).drop("q")
+
+
+def box_against_country(box_fits: DataFrame, country: DataFrame) -> DataFrame:
+    """Validated percent by size class in a box beside the country's. country: bucket, pct (six rows)."""
+    b = box_fits.groupBy(B.size_bin(F.col("area_m2"), True).alias("bucket")).agg(F.count("*").alias("n"), F.avg((F.col("n_consistent") >= 2).cast("int") * 100).alias("box_pct"))
+    return b.join(F.broadcast(country.select("bucket", F.col("pct").alias("country_pct"))), "bucket", "left").withColumn("difference", F.col("box_pct") - F.col("country_pct"))
+
+
+def in_both(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys that both tables have."""
+    return a.select(key).intersect(b.select(key))
+
+
+def required(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df, or an error that names the columns it lacks."""
+    lacking = [c for c in columns if c not in df.columns]
+    if lacking:
+        raise ValueError(f"columns are missing: {', '.join(lacking)}")
+    return df

@@ -18,10 +18,20 @@ def chip_centers(labels: DataFrame, key: str, seed: int = 0, jitter_m: float = 9
     """Positives near labels, half as many negatives not far off, with chip_id and kind."""
     k = F.col(key)
     shift = lambda n, m: (uniform(k, seed + n) * 2 - 1) * jitter_m / m
-    pos = labels.select((F.col("lon") + shift(1, 101_500.0)).alias("lon"), (F.col("lat") + shift(2, 111_320.0)).alias("lat"), F.lit("positive").alias("kind"))
+    pos = labels.select((F.col("lon") + shift(1, G.lon_metres(F.col("lat")))).alias("lon"), (F.col("lat") + shift(2, 111_320.0)).alias("lat"), F.lit("positive").alias("kind"))
     side = lambda n: F.when(uniform(k, seed + n) < 0.5, -1).otherwise(1)
     neg = labels.where(uniform(k, seed + 3) < 0.5).select((F.col("lon") + side(4) * (0.03 + 0.03 * uniform(k, seed + 5))).alias("lon"), (F.col("lat") + side(6) * (0.02 + 0.02 * uniform(k, seed + 7))).alias("lat"), F.lit("near_negative").alias("kind"))
-    both = pos.unionByName(neg)
+    return _named_chips(pos.unionByName(neg))
+
+
+def background_centers(n: int, box: dict[str, float], labels: DataFrame, seed: int = 0) -> DataFrame:
+    """n points over a box, by a fixed sequence, as chips of kind background."""
+    k = F.col("id")
+    p = labels.sparkSession.range(n).select((box["xmin"] + uniform(k, seed + 8) * (box["xmax"] - box["xmin"])).alias("lon"), (box["ymin"] + uniform(k, seed + 9) * (box["ymax"] - box["ymin"])).alias("lat"), F.lit("background").alias("kind"))
+    return _named_chips(p)
+
+
+def _named_chips(both: DataFrame) -> DataFrame:
     return both.withColumn("chip_id", G.chip_id(F.col("lon"), F.col("lat")))
 
 
@@ -78,3 +88,24 @@ def missed_and_controls(mapped: DataFrame, buildings: DataFrame, hits: DataFrame
     quiet = buildings.join(signal.select("id").distinct(), "id", "left_anti").where(F.col("area_m2").between(50, 5000)).withColumn("key", F.col("id")).withColumn("role", F.lit("control")).select(cols)
     sampled = [stratified(d, B.size_bin(F.col("area_m2"), True), per_bin, "key").select(cols) for d in (missed.where(F.col("area_m2") < least_kept_m2), quiet)]
     return large.unionByName(sampled[0]).unionByName(sampled[1])
+
+
+def one_per_place(chips: DataFrame, key: str, step_deg: float = 0.02, seed: int = 0) -> DataFrame:
+    """One chip of each rounded cell (half to even), the first in hash order."""
+    k = F.col(key)
+    best = chips.groupBy(F.bround(F.col("lon") / step_deg).alias("kx"), F.bround(F.col("lat") / step_deg).alias("ky")).agg(F.min_by(F.struct(*chips.columns), F.struct(hash_order(k, seed), k)).alias("b"))
+    return best.select("b.*")
+
+
+def chip_counts(chip_pixels: DataFrame) -> DataFrame:
+    """pv_pixels, their sum of coverage fractions and the split of every chip. chip_pixels: chip_id, split, mask, fraction."""
+    pv = F.col("mask") == 1
+    return chip_pixels.groupBy("chip_id", "split").agg(F.count_if(pv).alias("pv_pixels"), F.sum(F.when(pv, F.col("fraction")).otherwise(0.0)).alias("pv_frac_sum"))
+
+
+def labels_in_chips(labels: DataFrame, chips: DataFrame) -> DataFrame:
+    """chip_id and osm_id of labels (with boxes) that cross a chip's box, edges included."""
+    from solargrid.operators import spatial as S
+
+    pairs = S.box_pairs(S.renamed(labels.select("osm_id", *S.BOX), "l_"), S.renamed(chips.select("chip_id", *S.BOX), "r_"), 0.1)
+    return pairs.select(F.col("r_chip_id").alias("chip_id"), F.col("l_osm_id").alias("osm_id"))

@@ -161,7 +161,7 @@ def growth_delta(spark, sf_dir):
     return D.growth(now, old, ["ix", "iy"], ["n_buildings"]).select("ix", "iy", F.col("n_buildings_delta").cast("long").alias("n_delta"))
 
 
-_GAP_X = "greatest(abs(a.lon - b.lon)*101500.0E0 - (sqrt(a.area_m2)+sqrt(b.area_m2))/2, 0.0E0)"
+_GAP_X = "greatest(abs(a.lon - b.lon)*111320.0E0*cos(radians(a.lat)) - (sqrt(a.area_m2)+sqrt(b.area_m2))/2, 0.0E0)"
 _GAP_Y = "greatest(abs(a.lat - b.lat)*111320.0E0 - (sqrt(a.area_m2)+sqrt(b.area_m2))/2, 0.0E0)"
 _GAP = f"sqrt({_GAP_X}*{_GAP_X} + {_GAP_Y}*{_GAP_Y})"
 
@@ -170,7 +170,7 @@ def _side(d: str) -> str:
     return f"greatest(least(sqrt(a.area_m2)/2, {d} + sqrt(b.area_m2)/2) - greatest(-sqrt(a.area_m2)/2, {d} - sqrt(b.area_m2)/2), 0.0E0)"
 
 
-_SHARED = f"{_side('(b.lon-a.lon)*101500.0E0')} * {_side('(b.lat-a.lat)*111320.0E0')}"
+_SHARED = f"{_side('(b.lon-a.lon)*111320.0E0*cos(radians(a.lat))')} * {_side('(b.lat-a.lat)*111320.0E0')}"
 _CLOSE = "abs(a.lon-b.lon) < 0.01E0 AND abs(a.lat-b.lat) < 0.01E0"
 _IX, _IY = "CAST(floor((lon - 60.0E0)/0.1E0) AS INT)", "CAST(floor((lat - 24.0E0)/0.1E0) AS INT)"
 _BIN = "CASE WHEN area_m2 < 100 THEN 0 WHEN area_m2 < 500 THEN 1 WHEN area_m2 < 1000 THEN 2 WHEN area_m2 < 5000 THEN 3 WHEN area_m2 < 50000 THEN 4 ELSE 5 END"

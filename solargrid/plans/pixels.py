@@ -160,7 +160,7 @@ def cell_summary(spark, sf_dir):
 
 
 _PIX = "px AS (SELECT *, prob_u8/255.0E0 AS prob, CAST(iy*64+r AS BIGINT)*100000 + ix*64 + c AS id FROM fx_pixels)"
-_HX, _HY = "sqrt(area_m2)/2/101500.0E0", "sqrt(area_m2)/2/111320.0E0"
+_HX, _HY = "sqrt(area_m2)/2/(111320.0E0*cos(radians(lat)))", "sqrt(area_m2)/2/111320.0E0"
 _P = "(0.1E0/64)"
 _FEET = f"""bx AS (SELECT id, area_m2, lon, lat, lon - {_HX} - {_P} AS xmin, lon + {_HX} + {_P} AS xmax, lat - {_HY} - {_P} AS ymin, lat + {_HY} + {_P} AS ymax FROM fx_buildings WHERE area_m2 >= 0),
 fs AS (SELECT id, unnest(range(CAST(ceil((xmin-60)/{_P}-0.5E0) AS BIGINT), CAST(ceil((xmax-60)/{_P}-0.5E0) AS BIGINT))) AS gx, ymin, ymax FROM bx), ft AS (SELECT id, gx, unnest(range(CAST(ceil((ymin-24)/{_P}-0.5E0) AS BIGINT), CAST(ceil((ymax-24)/{_P}-0.5E0) AS BIGINT))) AS gy FROM fs),
@@ -177,7 +177,7 @@ _W = "greatest(0.5E0-0.5E0*cos(2*pi()*({0}+0.5E0)/32), 0.001E0)"
 _SC = "*, CAST(item % 9 AS INT) AS scl"
 _MC = "SELECT {0}, coalesce(CAST(floor(median(CASE WHEN scl IN (4,5,6,7) THEN p98_b08 END)) AS INT), 0) AS dn FROM (SELECT *, row_number() OVER (PARTITION BY {0} ORDER BY cloud, item) AS k FROM {1}) WHERE k <= {2} GROUP BY ALL"
 _SIDE = lambda d: f"greatest(least(sqrt(a.area_m2)/2, {d} + sqrt(b.area_m2)/2) - greatest(-sqrt(a.area_m2)/2, {d} - sqrt(b.area_m2)/2), 0.0E0)"
-_SHARED = f"{_SIDE('(b.lon-a.lon)*101500.0E0')} * {_SIDE('(b.lat-a.lat)*111320.0E0')}"
+_SHARED = f"{_SIDE('(b.lon-a.lon)*111320.0E0*cos(radians(a.lat))')} * {_SIDE('(b.lat-a.lat)*111320.0E0')}"
 _CLOSE = "abs(a.lon-b.lon) < 0.01E0 AND abs(a.lat-b.lat) < 0.01E0"
 _IX, _IY = "CAST(floor((lon - 60.0E0)/0.1E0) AS INT)", "CAST(floor((lat - 24.0E0)/0.1E0) AS INT)"
 _RF = "b03 AS (SELECT pid, npx, greatest((p98_b03-1000)/10000, 0) AS b03, greatest((p98_b08-1000)/10000, 0) AS b08 FROM fx_scenes WHERE cloud <= 80)"
@@ -197,7 +197,7 @@ ORACLES = {
     "median_composite": with_views("fx_scenes", sql=f"WITH s AS (SELECT {_SC} FROM fx_scenes) {_MC.format('pid, npx', 's', 12)}"),
     "seasonal_composite": with_views("fx_scenes", sql=f"WITH s AS (SELECT {_SC}, list_extract(['dry','wet','cool'], 1 + item % 3) AS season FROM fx_scenes), c AS ({_MC.format('pid, season', 's', 5)}), y AS (SELECT pid, floor(median(CASE WHEN dn > 0 THEN dn END)) AS annual FROM c GROUP BY pid) SELECT pid, " + ", ".join(f"CAST(coalesce(max(CASE WHEN season='{x}' AND dn > 0 THEN dn END), any_value(annual), 0) AS INT) AS {x}" for x in ("dry", "wet", "cool")) + ", CAST(coalesce(any_value(annual), 0) AS INT) AS annual FROM c JOIN y USING (pid) GROUP BY pid"),
     "pixel_anomalies": with_views("fx_scenes", sql=f"WITH {_RF}, m AS (SELECT pid, npx, count(*) AS n, median(b03) AS m3, median(b08) AS m8 FROM b03 GROUP BY ALL), d AS (SELECT pid, npx, greatest(1.4826E0*median(abs(b03-m3)), 0.015E0) AS s3, greatest(1.4826E0*median(abs(b08-m8)), 0.015E0) AS s8 FROM b03 JOIN m USING (pid, npx) GROUP BY ALL) SELECT pid, npx, any_value(n) AS n, count(*) FILTER (b03 > m3+5*s3 AND b08 > m8+5*s8) AS events FROM b03 JOIN m USING (pid, npx) JOIN d USING (pid, npx) WHERE n >= 10 GROUP BY pid, npx"),
-    "class_mask": with_views("fx_mapped", sql=f"WITH b AS (SELECT osm_id, area_m2, lon - {_HX} - {_P} AS xmin, lon + {_HX} + {_P} AS xmax, lat - {_HY} AS ymin, lat + {_HY} AS ymax FROM fx_mapped), s AS (SELECT area_m2, ymin, ymax, unnest(range(CAST(ceil((xmin-60)/{_P}-0.5E0) AS BIGINT), CAST(ceil((xmax-60)/{_P}-0.5E0) AS BIGINT))) AS gx FROM b), t AS (SELECT area_m2, gx, unnest(range(CAST(ceil((ymin-24)/{_P}-0.5E0) AS BIGINT), CAST(ceil((ymax-24)/{_P}-0.5E0) AS BIGINT))) AS gy FROM s) SELECT CAST(gx//64 AS INT) AS ix, CAST(gy//64 AS INT) AS iy, CAST(gy%64 AS INT) AS r, CAST(gx%64 AS INT) AS c, max(CASE WHEN area_m2 >= 400 THEN 1 ELSE -1 END) AS mask FROM t GROUP BY 1, 2, 3, 4"),
+    "class_mask": with_views("fx_mapped", sql=f"WITH b AS (SELECT osm_id, area_m2, lon - {_HX} - {_P} AS xmin, lon + {_HX} + {_P} AS xmax, lat - {_HY} AS ymin, lat + {_HY} AS ymax FROM fx_mapped), s AS (SELECT area_m2, ymin, ymax, unnest(range(CAST(ceil((xmin-60)/{_P}-0.5E0) AS BIGINT), CAST(ceil((xmax-60)/{_P}-0.5E0) AS BIGINT))) AS gx FROM b), t AS (SELECT area_m2, gx, unnest(range(CAST(ceil((ymin-24)/{_P}-0.5E0) AS BIGINT), CAST(ceil((ymax-24)/{_P}-0.5E0) AS BIGINT))) AS gy FROM s) SELECT CAST(floor(gx/64.0E0) AS INT) AS ix, CAST(floor(gy/64.0E0) AS INT) AS iy, CAST((gy%64+64)%64 AS INT) AS r, CAST((gx%64+64)%64 AS INT) AS c, max(CASE WHEN area_m2 >= 400 THEN 1 ELSE -1 END) AS mask FROM t GROUP BY 1, 2, 3, 4"),
     "hard_negatives": with_views("fx_pixels", "fx_buildings", sql=f"WITH {_PIX}, {_FEET.replace('area_m2 >= 0', 'area_m2 >= 400')}, {_Z}, n AS (SELECT id, max_prob*(id%3)/20 AS p, CASE WHEN id % 7 > 0 THEN max_prob*(id%5)/30 END AS o FROM z) SELECT id, CASE WHEN o IS NULL THEN 'no_old_data' WHEN p < 0.1E0 AND o < 0.1E0 THEN 'confirmed' WHEN p >= 0.1E0 AND o < 0.1E0 THEN 'lead' ELSE 'ambiguous' END AS verdict FROM n"),
     "oversample_union": with_views("fx_candidates", sql="WITH a AS (SELECT cand_id, CASE WHEN cand_id % 9 IN (3, 5) THEN 'val' ELSE 'train' END AS split FROM fx_candidates), u AS (SELECT *, 1 AS times, 'base' AS source FROM a UNION ALL SELECT *, 3, 'extra' FROM a WHERE cand_id % 4 = 0) SELECT cand_id, split, CAST(unnest(range(1, CASE WHEN split = 'train' THEN times ELSE 1 END + 1)) AS INT) AS copy, source FROM u"),
     "osm_labels": with_views("fx_osm", "fx_mapped", "fx_buildings", sql=f"""WITH t AS (SELECT el_id, CASE WHEN json_extract_string(tags, '$."plant:source"') = 'solar' THEN 'plant' ELSE 'generator' END AS kind, CASE WHEN json_extract_string(tags, '$.location') IN ('roof','rooftop') OR json_extract_string(tags, '$."generator:place"') IN ('roof','rooftop') THEN 'rooftop' WHEN json_extract_string(tags, '$."plant:source"') = 'solar' THEN 'ground' ELSE 'unknown' END AS p FROM fx_osm),

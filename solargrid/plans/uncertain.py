@@ -56,15 +56,11 @@ def labels_with_region(spark, sf_dir):
     return api.build_labels(m, fixture(spark, sf_dir, "fx_buildings"), fixture(spark, sf_dir, "fx_regions").where("level = 'county'")).select("osm_id", "placement", "region_id")
 
 
-def compose_cells(spark, sf_dir):
-    return api.compose(fixture(spark, sf_dir, "fx_buildings"), fixture(spark, sf_dir, "fx_mapped").where("placement = 'ground'"), 70)
-
-
 def glint_chain(spark, sf_dir):
     f = api.glint_test(fixture(spark, sf_dir, "fx_scenes"), ["b03", "b08"])
     return f.select("pid", "n_scenes", "n_clear", "n_spikes", "n_consistent")
 
 
-QUERIES = {f.__name__: f for f in (posterior_intervals, density_draws, export_chain, review_sample, density_chain, labels_with_region, compose_cells, glint_chain)}
+QUERIES = {f.__name__: f for f in (posterior_intervals, density_draws, export_chain, review_sample, density_chain, labels_with_region, glint_chain)}
 #: Draws are seeded random numbers and the chains are compositions whose parts have SQL; tests check them.
 ORACLES: dict[str, str] = {}
