@@ -18,7 +18,7 @@ from solargrid.operators import studies as T
 from solargrid.operators import training as N
 from solargrid.plans import api, series
 from solargrid.plans.common import scale, scaled, sql_scaled
-from solargrid.plans.grid import _BIN, _IX, _IY
+from solargrid.plans.grid import _BIN, _CLOSE, _GAP, _IX, _IY, _SHARED
 from solargrid.plans.pixels import PX, _pixels
 from solargrid.sources import tables
 from solargrid.sources.fixtures import fixture, with_views
@@ -177,6 +177,25 @@ def polygon_overlap(spark, sf_dir):
     return S.polygon_overlaps(rings(_candidates(spark, sf_dir)), rings(_buildings(spark, sf_dir)), "cand_id", "id").select("cand_id", "id", scaled("shared", 100_000_000_000).alias("shared"))
 
 
+@query(f"WITH s AS (SELECT a.cand_id, b.id, {_SHARED}/a.area_m2 AS share FROM fx_candidates a JOIN fx_buildings b ON {_CLOSE} WHERE {_SHARED} > 0), t AS (SELECT cand_id, max(share) AS share, arg_max(id, {{'s': share, 'i': -id}}) AS building_id FROM s GROUP BY cand_id) SELECT c.cand_id, building_id, CASE WHEN share >= 0.3E0 THEN 'rooftop' WHEN share IS NOT NULL THEN 'ground_adjacent' ELSE 'no_building' END AS placement FROM fx_candidates c LEFT JOIN t USING (cand_id)", "fx_candidates", "fx_buildings")
+def best_overlap_building(spark, sf_dir):
+    """The building that shares most with each candidate."""
+    return C.best_overlap(_candidates(spark, sf_dir), _buildings(spark, sf_dir)).select("cand_id", "building_id", "placement")
+
+
+@query(f"WITH m AS (SELECT osm_id, lon, lat, area_m2 FROM fx_mapped), n AS (SELECT a.osm_id, arg_min(b.cand_id, {{'d': {_GAP}, 'i': b.cand_id}}) AS near_id, min({_GAP}) AS gap FROM m a JOIN fx_candidates b ON {_CLOSE} AND {_GAP} <= 15 GROUP BY a.osm_id) SELECT m.osm_id, gap IS NOT NULL AS is_matched, near_id FROM m LEFT JOIN n USING (osm_id)", "fx_candidates", "fx_mapped")
+def ground_truth_match(spark, sf_dir):
+    """The nearest candidate within 15 m of each mapped feature, and whether there is one."""
+    m = fixture(spark, sf_dir, "fx_mapped")
+    n = S.nearest(m, _candidates(spark, sf_dir), "osm_id", "cand_id", 15.0)
+    return m.select("osm_id").join(n.select("osm_id", "near_id"), "osm_id", "left").withColumn("is_matched", F.col("near_id").isNotNull())
+
+
+@query(f"WITH n AS (SELECT a.cand_id, min({_GAP}) AS d FROM fx_candidates a JOIN fx_buildings b ON {_CLOSE} AND {_GAP} <= 60 GROUP BY a.cand_id) SELECT cand_id, {sql_scaled('d', 'dist_m', '1E3')} FROM n", "fx_candidates", "fx_buildings")
+def roof_within_60m(spark, sf_dir):
+    return scale(S.nearest(_candidates(spark, sf_dir), _buildings(spark, sf_dir), "cand_id", "id", 60.0).select("cand_id", "dist_m"), "dist_m", by=1000)
+
+
 # Places and tiles
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from solargrid.functions import business as B
 from solargrid.operators import calibration as K
-from solargrid.plans import api
+from solargrid.plans import api, series
 from solargrid.plans.common import scaled
-from solargrid.sources.fixtures import fixture
+from solargrid.plans.grid import _BIN, _CLOSE, _GAP, _NEAREST, _SHARED
+from solargrid.sources.fixtures import fixture, with_views
 
 
 def _draws(spark, sf_dir, n_draws: int):
@@ -62,5 +63,15 @@ def glint_chain(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (posterior_intervals, density_draws, export_chain, review_sample, density_chain, labels_with_region, glint_chain)}
-#: Draws are seeded random numbers and the chains are compositions whose parts have SQL; tests check them.
-ORACLES: dict[str, str] = {}
+_CHAIN = f"""n AS ({_NEAREST}), p0 AS (SELECT c.cand_id, c.lon, c.lat, c.area_m2, c.confidence, glint_consistent, CASE WHEN dist = 0 THEN least(ov/c.area_m2, 1.0E0) ELSE 0.0E0 END AS share, coalesce(dist, -1.0E0) AS d FROM fx_candidates c LEFT JOIN n USING (cand_id)),
+p1 AS (SELECT *, CASE WHEN share >= 0.3E0 THEN 'rooftop' WHEN d >= 0 AND d <= 30 THEN 'ground_adjacent' ELSE 'no_building' END AS placement, greatest(least(1.0E0, round_even(share, 3)/0.5E0), 0.5E0*exp(-CASE WHEN d < 0 THEN 1E6 ELSE round_even(d, 1) END/30), 0.15E0) AS prior, list_extract([0.025E0,0.088E0,0.162E0,0.306E0,0.293E0,0.261E0], {_BIN} + 1)/0.087E0 AS r FROM p0),
+p2 AS (SELECT *, round_even(round_even(confidence*(0.5E0+0.5E0*prior), 4) * CASE WHEN glint_consistent < 2 THEN 1.0E0 ELSE 1 + (greatest(1.0E0, least(4.0E0, r)) - 1)*greatest(0.0E0, least(1.0E0, glint_consistent/4)) END, 4) AS score FROM p1),
+p3 AS (SELECT *, row_number() OVER (ORDER BY score DESC, cand_id) AS k FROM p2)"""
+
+ORACLES: dict[str, str] = {
+    "export_chain": with_views("fx_candidates", "fx_buildings", "fx_mapped", sql=f"WITH {_CHAIN} SELECT cand_id, CAST(k AS INT) AS rank, 'fx-pv-' || lpad(CAST(k - 1 AS VARCHAR), 6, '0') AS candidate_id, placement, '' AS note, printf('https://www.openstreetmap.org/#map=19/%.5f/%.5f', lat, lon) AS link FROM p3 a WHERE NOT EXISTS (SELECT 1 FROM fx_mapped b WHERE {_CLOSE} AND {_GAP} <= 100)"),
+    "review_sample": with_views("fx_candidates", "fx_mapped", "fx_bins", sql=f"WITH u AS (SELECT *, {_BIN} AS bin FROM fx_candidates a WHERE NOT EXISTS (SELECT 1 FROM fx_mapped b WHERE {_CLOSE} AND {_GAP} <= 0)), k AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY (cand_id*7919) % 10007, cand_id) AS pick, count(*) OVER (PARTITION BY bin) AS pool FROM u) SELECT label || '-' || CAST(pick AS VARCHAR) AS sample_uid, label AS bin_label, round(area_m2, 1) AS area_m2, round(lon, 6) AS lon, round(lat, 6) AS lat, '' AS verdict, pool FROM k JOIN fx_bins USING (bin) WHERE pick <= 20"),
+    "labels_with_region": with_views("fx_mapped", "fx_buildings", "fx_regions", sql=f"WITH c AS (SELECT a.osm_id, sum({_SHARED})/any_value(a.area_m2) AS share FROM fx_mapped a JOIN fx_buildings b ON {_CLOSE} GROUP BY a.osm_id) SELECT m.osm_id, CASE WHEN placement <> 'small' THEN placement WHEN share >= 0.5E0 THEN 'rooftop' ELSE 'ground' END AS placement, (SELECT min(region_id) FROM fx_regions WHERE level = 'county' AND lon >= xmin AND lon < xmax AND lat >= ymin AND lat < ymax) AS region_id FROM fx_mapped m LEFT JOIN c USING (osm_id)"),
+    "glint_chain": with_views("fx_scenes", sql=f"WITH one AS (SELECT * FROM fx_scenes QUALIFY row_number() OVER (PARTITION BY pid, date_trunc('minute', time) ORDER BY npx DESC, item) = 1), {series._annotated(True).replace('FROM fx_scenes', 'FROM one')}, {series._fit('a')} SELECT pid, n_scenes, n_clear, n_spikes, n_consistent FROM z"),
+}
+#: Draws are seeded random numbers, and the density chain is a composition whose parts have SQL; tests check them.
