@@ -1,12 +1,12 @@
 """WARC archives with one record per page, and their capture index.
 
 Writing: every task streams its rows into one archive of its own in the shared folder, a gzip member for each record, so
-that a record can be read from its offset and length. The task also returns the archive's index rows, sorted by URL key
-and timestamp: a capture run. Archive names hold a fresh id for each task attempt, and only the rows of attempts that
+that a record can be read from its offset and length. The task also returns the archive's index rows, RUN_ROWS at a time
+and sorted by URL key and timestamp: capture runs. Archive names hold a fresh id for each task attempt, and only the rows of attempts that
 succeed reach the run table, so a lost executor leaves at most a file that no index row names.
 
 Index: the runs are dealt by ranges of (URL key, timestamp, page, archive, offset) and each range is merged from its runs by
-a loser tree. Ranges follow one another, so the merged rows are in global order; `position` numbers them. The range key
+a loser tree that streams them from disk. Ranges follow one another, so the merged rows are in global order; `position` numbers them. The range key
 goes down to single records, so a URL that holds a third of all captures is spread over many ranges.
 
 Reading: index rows are grouped by archive and stretch of it, read in offset order and parsed.
@@ -23,10 +23,13 @@ empty result. Other columns are ignored, whatever they are called.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import mmap
 import re
+import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import urlsplit
 
@@ -41,8 +44,10 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: Rows without a capture time get one second after another from here, by page_id.
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 STRETCH = 8 << 20
+#: Captures that a task sorts as one run, and rows that a merge reads of each run at once.
+RUN_ROWS, READ_ROWS = 100_000, 1000
 
-RUN = "url_key string, ts string, page_id long, archive string, offset long, length long"
+RUN = "url_key string, ts string, page_id long, archive string, offset long, length long, run int"
 
 
 def url_key(url: str | None) -> str:
@@ -114,7 +119,7 @@ def write(pages: DataFrame, folder: str, **columns: str) -> DataFrame:
     """Archives in folder; returns the capture runs, one for each archive."""
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, offset, out, uri = [], 0, None, f"{folder}/{uuid.uuid4().hex}.warc.gz"
+        rows, offset, run, out, uri = [], 0, 0, None, f"{folder}/{uuid.uuid4().hex}.warc.gz"
         for b in batches:
             for page_id, url, html, digest, refers_to in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if out is None:
@@ -124,12 +129,14 @@ def write(pages: DataFrame, folder: str, **columns: str) -> DataFrame:
                 z = zlib.compressobj(4, zlib.DEFLATED, 31)
                 data = z.compress(record(page_id, url, html.encode("utf-8", "replace"), digest, refers_to)) + z.flush()
                 out.write(data)
-                rows.append((url_key(url), timestamp(page_id), page_id, uri, offset, len(data)))
+                rows.append((url_key(url), timestamp(page_id), page_id, uri, offset, len(data), run))
                 offset += len(data)
+                if len(rows) >= RUN_ROWS:
+                    yield from _batches(sorted(rows, key=sort_key))
+                    rows, run = [], run + 1
         if out is not None:
             out.close()
-            rows.sort(key=sort_key)
-            yield from _batches(rows)
+            yield from _batches(sorted(rows, key=sort_key))
 
     return decisions(pages, **columns).mapInArrow(archive, RUN)
 
@@ -138,15 +145,23 @@ def sort_key(r: tuple):
     return r[0], r[1], r[2] is not None, r[2] or 0, r[3], r[4]
 
 
-def _batches(rows: list[tuple], position: int | None = None) -> Iterator[pa.RecordBatch]:
-    names, types = ["url_key", "ts", "page_id", "archive", "offset", "length"], [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-    for i in range(0, len(rows), 10_000):
-        part = rows[i : i + 10_000]
-        cols = [pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)]
-        yield pa.RecordBatch.from_arrays(cols if position is None else [*cols, pa.array(range(position + i, position + i + len(part)), pa.int64())], names if position is None else [*names, "position"])
+NAMES = [x.split()[0] for x in RUN.split(", ")]
+TYPES = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
 
 
-def loser_tree(runs: list[list[tuple]]) -> Iterator[tuple]:
+def _batches(rows: Iterable[tuple], position: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows in batches; with position, each gets its place from there on."""
+    rows = iter(rows)
+    while part := list(itertools.islice(rows, 10_000)):
+        cols = [pa.array(c, t) for c, t in zip(zip(*part, strict=True), TYPES, strict=True)]
+        if position is None:
+            yield pa.RecordBatch.from_arrays(cols, NAMES)
+        else:
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(range(position, position + len(part)), pa.int64())], [*NAMES, "position"])
+            position += len(part)
+
+
+def loser_tree(runs: list[Iterable[tuple]]) -> Iterator[tuple]:
     """Merge sorted runs: each inner node holds the loser of its match, so a step replays one path from leaf to root."""
     k = len(runs)
     its = [iter(r) for r in runs]
@@ -174,22 +189,50 @@ def loser_tree(runs: list[list[tuple]]) -> Iterator[tuple]:
         tree[0] = who
 
 
+def _spilled(batches: Iterator[pa.RecordBatch], file) -> list[int]:
+    """Write rows that are sorted by run and key to a file, a stream for each run; where these start."""
+    starts, writer, last = [], None, None
+    for b in batches:
+        runs = list(zip(b.column(3).to_pylist(), b.column(6).to_pylist(), strict=True))
+        edges = [0, *[i for i in range(1, len(runs)) if runs[i] != runs[i - 1]], len(runs)]
+        for i, j in zip(edges, edges[1:], strict=False):
+            if runs[i] != last:
+                if writer is not None:
+                    writer.close()
+                starts.append(file.tell())
+                writer, last = pa.ipc.new_stream(file, b.schema), runs[i]
+            for k in range(i, j, READ_ROWS):
+                writer.write_batch(b.slice(k, min(READ_ROWS, j - k)))
+    if writer is not None:
+        writer.close()
+    return starts
+
+
+def _run(data: pa.Buffer, start: int) -> Iterator[tuple]:
+    for b in pa.ipc.open_stream(pa.BufferReader(data.slice(start))):
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+
 def merged_index(runs: DataFrame) -> DataFrame:
-    """The runs in global order of URL key and timestamp, with position."""
+    """The runs in global order of URL key and timestamp, with position.
+
+    A range's rows come sorted by run, by Spark's own spilling sort; the task lays the runs down in one unnamed file and
+    merges them from there, with READ_ROWS rows of each in memory.
+    """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        by_run: dict[str, list[tuple]] = {}
-        for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                by_run.setdefault(r[3], []).append(r)
-        for rows in by_run.values():
-            rows.sort(key=sort_key)  # a run's blocks may arrive out of order; they are sorted already, so this is linear
-        yield from _batches(list(loser_tree(list(by_run.values()))), TaskContext.get().partitionId() << 40)
+        with tempfile.TemporaryFile() as file:
+            starts = _spilled(batches, file)
+            if starts:
+                file.flush()
+                data = pa.py_buffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
+                yield from _batches(loser_tree([_run(data, s) for s in starts]), TaskContext.get().partitionId() << 40)
 
     spark = runs.sparkSession
-    return runs.repartitionByRange(input_partitions(spark), "url_key", "ts", "page_id", "archive", "offset").mapInArrow(merge, f"{RUN}, position long")
+    key = ["url_key", "ts", "page_id", "archive", "offset"]
+    return runs.repartitionByRange(input_partitions(spark), *key).sortWithinPartitions("archive", "run", *key).mapInArrow(merge, f"{RUN}, position long")
 
 
 def read(index: DataFrame) -> DataFrame:

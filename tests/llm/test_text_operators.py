@@ -236,6 +236,59 @@ def test_quality_classifier_on_held_out_rows(spark):
     assert r[0] > 0.93 and r[1] >= 0 and r[2] <= 1
 
 
+def plain_statistics(t):
+    """The statistics of a text, one by one."""
+    w = re.findall("[^ \t-\r]+", t)
+    lines = [x for x in t.split("\n") if re.search("[^ \t-\r]", x)]
+    seen = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    again = {k + j for k in range(len(w) - 2) if seen[tuple(w[k : k + 3])] > 1 for j in range(3)}
+    chars = sum(map(len, w))
+    per = lambda a, b, k=1000: a * k / b if b else 0.0
+    return {
+        "words": len(w), "lines": len(lines), "word_length": per(chars, len(w), 1), "symbols": per(sum(c in "#*$%&|<>" for c in t), len(w)), "upper": per(sum("A" <= c <= "Z" for c in t), chars),
+        "dup_lines": per(len(lines) - len(set(lines)), len(lines)), "repeats": per(len(again), len(w)), "line_words": per(len(w), len(lines), 1), "shouts": per(t.count("!"), len(w)), "bars": per(t.count("|"), len(w)),
+        "digits": per(sum("0" <= c <= "9" for c in t), chars), "stops": per(t.count("."), len(w)),
+    }
+
+
+def test_quality_scores_against_brute_force(spark, docs, sf_dir):
+    """The whole query: statistics by hand, rules one by one."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_classifier.train(quality_classifier.statistics(docs), labels)
+    names = list(quality_classifier.STATISTICS)
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = quality_classifier.score(docs, labels).collect()
+    assert len(got) == len(text) and len(model.rules) > 1
+    for r in got:
+        x = plain_statistics(text[r.doc_id])
+        total = model.bias + sum(rule.weight for rule in model.rules if all((x[names[k]] > cut) == above for k, above, cut in rule.terms))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-total))) and r.predicted == int(r.score >= 0.3)
+
+
+def test_lasso_weights_are_optimal_and_splits_are_the_best():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 3))
+    y = (x[:, 0] + 0.3 * rng.normal(size=300) > 0.4).astype(float)
+    rules = quality_classifier.tree_rules(x, y)
+    r = np.stack([quality_classifier.matches(x, t) for t in rules], axis=1).astype(float)
+    b, w = quality_classifier.lasso(r, y)
+    slope = r.T @ (1 / (1 + np.exp(-(r @ w + b))) - y) / len(y)
+    on = np.abs(w) > 1e-6
+    assert on.any() and np.abs(slope[on] + quality_classifier.PENALTY * np.sign(w[on])).max() < 1e-3 and np.abs(slope[~on]).max() < quality_classifier.PENALTY + 1e-3
+    g, h = 1 / (1 + np.exp(0)) - y, np.full(300, 0.25)
+    found, step = [], np.zeros(300)
+    cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, 9)[:-1])) for k in range(3)]
+    quality_classifier.grow(x, g, h, np.arange(300), cuts, 1, (), found, step)
+
+    def gain(k, c):
+        low = x[:, k] <= c
+        if min(low.sum(), (~low).sum()) < quality_classifier.LEAST:
+            return -1
+        return sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (low, ~low)) - g.sum() ** 2 / (h.sum() + 1)
+
+    assert found[0][0][::2] == max(((k, float(c)) for k in range(3) for c in cuts[k]), key=lambda kc: gain(*kc))
+
+
 def test_quality_classifier_on_odd_input(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality_classifier.score(odd, none).collect()} == {0.5}
@@ -255,7 +308,9 @@ def test_loser_tree_merges():
         assert list(warc.loser_tree(runs)) == sorted(sum(runs, []), key=warc.sort_key)
 
 
-def test_warc_on_odd_pages(spark):
+@pytest.mark.parametrize("run_rows", [100_000, 2])
+def test_warc_on_odd_pages(spark, monkeypatch, run_rows):
+    monkeypatch.setattr(warc, "RUN_ROWS", run_rows)
     big = "<p>" + "é" * 800
     rows = [(1, None, None, "x"), (2, "http://www.A.example.com:80/Q?b=1#f", big, "x"), (3, "bad\r\nurl", big, "x"), (None, "http://a.example.com/", big, "x"), (3, "http://b.example.com/", big, "x"), (5, "", "", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
@@ -449,6 +504,14 @@ def test_lm_scores_on_odd_input(spark, odd):
 # 9
 
 
+def test_masks_find_nearly_all_ways_to_substitute_four_of_twenty_words():
+    import itertools
+
+    masks = [[j for j, x in enumerate(m) if x == "1"] for m in decontaminate.MASKS]
+    seen = [any(all(i + j not in gone for j in m) for m in masks for i in range(12)) for gone in map(set, itertools.combinations(range(20), 4))]
+    assert len(seen) == 4845 and sum(seen) == 4830
+
+
 def test_leaks_bear_substitutions_and_leave_others(spark):
     item = " ".join(f"term{k}" for k in range(40))
     w = item.split()
