@@ -148,3 +148,11 @@ def in_window(time: Column, window: str) -> Column:
 def folded(name: Column) -> Column:
     """A name under a collation that ignores case and accents."""
     return F.collate(name, "UNICODE_CI_AI")
+
+
+def annual_window(end: str, days: int = 365) -> str:
+    """The window of so many days up to an ISO date, for in_window; "now" is the caller's."""
+    from datetime import date, timedelta
+
+    last = date.fromisoformat(end)
+    return f"{last - timedelta(days=days)}:{last}"

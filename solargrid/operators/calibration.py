@@ -100,8 +100,10 @@ def register_by_area(units: DataFrame, cutoff: str) -> DataFrame:
     return live.groupBy("ags").agg(total(roof).alias("kw_roof"), total(roof & (F.col("kw") <= 100)).alias("kw_roof_small"), total(F.col("art") == "ground").alias("kw_ground"), F.count("*").alias("n_units"))
 
 
-def completeness(labels_by_area: DataFrame, register: DataFrame, kwp_per_m2: float = B.KWP_PER_M2) -> DataFrame:
-    """How much of the register the labels hold; well mapped at 0.6 and 50 kW."""
+def completeness(labels_by_area: DataFrame, register: DataFrame, kwp_per_m2: float = B.KWP_PER_M2, areas: DataFrame | None = None) -> DataFrame:
+    """How much of the register the labels hold; well mapped at 0.6 and 50 kW. With areas (ags), each of these has a row."""
+    if areas is not None:
+        register = areas.select("ags").distinct().join(register, "ags", "left").fillna(0.0, ["kw_roof"])
     j = register.join(labels_by_area, "ags", "left").fillna(0.0, ["label_m2"])
     j = j.withColumn("completeness", B.half_even(F.col("label_m2") * kwp_per_m2 / F.greatest(F.col("kw_roof"), F.lit(1e-6)), 4))
     return j.withColumn("well_mapped", (F.col("completeness") >= 0.6) & (F.col("kw_roof") >= 50))

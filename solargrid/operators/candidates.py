@@ -167,3 +167,9 @@ def cell_strata(cells: DataFrame, dense: int = 15, middle: int = 10, empty: int
     none = c.join(near, ["ix", "iy"], "left_anti").orderBy(hash_order(F.col("k")), "k").limit(empty).withColumn("stratum", F.lit("zero"))
     cols = ["ix", "iy", "area_m2", "stratum"]
     return full.select(cols).unionByName(mid.select(cols)).unionByName(none.select(cols))
+
+
+def in_band(df: DataFrame, least_m2: float, most_m2: float, confidence: tuple[str, float] | None = None) -> DataFrame:
+    """Rows of a size band (edges included) and, if asked for, of a least confidence in a column."""
+    d = df.where(F.col("area_m2").between(least_m2, most_m2))
+    return d if confidence is None else d.where(F.col(confidence[0]) >= confidence[1])

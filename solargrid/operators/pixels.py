@@ -57,25 +57,23 @@ def local_labels(mask: DataFrame, eight: bool = False) -> DataFrame:
     """Components within each tile (id, label): the smallest id of a component. A tile is one raster, so a bounded group."""
 
     def label(f: pd.DataFrame) -> pd.DataFrame:
-        ids = f["id"].to_numpy()
-        place = {(r, c): k for k, (r, c) in enumerate(zip(f["r"], f["c"], strict=True))}
+        f = f.sort_values("id")  # so that a component's smallest place is its smallest id
+        ids, r, c = f["id"].to_numpy(), f["r"].to_numpy() - f["r"].min(), f["c"].to_numpy() - f["c"].min()
+        place = np.full((r.max() + 2, c.max() + 3), -1)
+        place[r, c + 1] = np.arange(len(ids))
+        edges = []
+        for dr, dc in ((0, 1), (1, 0), *(((1, 1), (1, -1)) if eight else ())):
+            to = place[r + dr, c + 1 + dc]
+            edges.append(np.stack([np.flatnonzero(to >= 0), to[to >= 0]]))
+        a, b = np.concatenate(edges, axis=1)
         up = np.arange(len(ids))
-
-        def root(k):
-            while up[k] != k:
-                up[k] = up[up[k]]
-                k = up[k]
-            return k
-
-        for (r, c), k in place.items():
-            for dr, dc in ((0, 1), (1, 0), *(((1, 1), (1, -1)) if eight else ())):
-                o = place.get((r + dr, c + dc))
-                if o is not None:
-                    a, b = root(k), root(o)
-                    if ids[a] > ids[b]:
-                        a, b = b, a
-                    up[b] = a
-        return pd.DataFrame({"id": ids, "label": [ids[root(k)] for k in range(len(ids))]})
+        while True:  # hook the larger root below the smaller one, then shorten all paths
+            low, high = np.minimum(up[a], up[b]), np.maximum(up[a], up[b])
+            if (low == high).all():
+                return pd.DataFrame({"id": ids, "label": ids[up]})
+            np.minimum.at(up, high, low)
+            while (up[up] != up).any():
+                up = up[up]
 
     return mask.groupBy(*TILE).applyInPandas(label, "id long, label long")
 

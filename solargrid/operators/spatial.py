@@ -188,3 +188,9 @@ def polygon_overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id:
     pairs = box_pairs(boxed(left, left_id, "l"), boxed(right, right_id, "r"), size)
     out = pairs.select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id), G.intersection_area("l_rings", "r_rings").alias("shared"))
     return out.where("shared > 0")
+
+
+def away_from(points: DataFrame, tiles: DataFrame, known: DataFrame, key: str, distance_m: float) -> DataFrame:
+    """Squares whose centre lies in the coverage and that no known feature comes up to within the distance."""
+    covered = in_coverage(points, tiles, key)
+    return covered.join(matched(covered, known, key, distance_m), key, "left_anti")

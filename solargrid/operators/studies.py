@@ -10,9 +10,13 @@ from solargrid.functions import business as B
 
 def by_size(fits: DataFrame, right_closed: bool = True) -> DataFrame:
     """Detected and validated share and medians by size class (right-closed, as the studies have it)."""
-    f = fits.withColumn("bucket", B.size_bin(F.col("area_m2"), right_closed))
+    return by_group(fits.withColumn("bucket", B.size_bin(F.col("area_m2"), right_closed)), "bucket")
+
+
+def by_group(fits: DataFrame, group: str) -> DataFrame:
+    """The same by any column, such as the kind of a target."""
     found = F.col("n_spikes") >= 1
-    return f.groupBy("bucket").agg(
+    return fits.groupBy(group).agg(
         F.count("*").alias("n"), F.median("area_m2").alias("med_area"), F.median("n_scenes").alias("med_scenes"), F.avg(found.cast("int") * 100).alias("pct_detected"),
         F.avg((F.col("n_consistent") >= 2).cast("int") * 100).alias("pct_validated"), F.median(F.when(found, F.col("n_spikes"))).alias("med_spikes"),
     )
@@ -148,3 +152,12 @@ def required(df: DataFrame, columns: list[str]) -> DataFrame:
     if lacking:
         raise ValueError(f"columns are missing: {', '.join(lacking)}")
     return df
+
+
+def sun_check(scenes: DataFrame) -> DataFrame:
+    """Median, 95th percentile and largest difference between a scene's sun angles and those computed for lat, lon and time."""
+    from solargrid.functions import solar
+
+    zen, az = solar.sun_position("lat", "lon", "time")
+    d = scenes.select(F.abs(zen - F.col("sun_zen")).alias("zen"), F.abs(solar.circular_difference(az, "sun_az")).alias("az"))
+    return d.agg(*[f(c).alias(f"{n}_{c}") for c in ("zen", "az") for n, f in (("med", F.median), ("p95", lambda x: F.percentile(x, F.lit(0.95))), ("max", F.max))])

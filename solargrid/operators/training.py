@@ -109,3 +109,14 @@ def labels_in_chips(labels: DataFrame, chips: DataFrame) -> DataFrame:
 
     pairs = S.box_pairs(S.renamed(labels.select("osm_id", *S.BOX), "l_"), S.renamed(chips.select("chip_id", *S.BOX), "r_"), 0.1)
     return pairs.select(F.col("r_chip_id").alias("chip_id"), F.col("l_osm_id").alias("osm_id"))
+
+
+def vegetation_negatives(vetoed: DataFrame) -> DataFrame:
+    """Candidates that only their greenness speaks against; those of other vetoes teach nothing here."""
+    return vetoed.where(F.col("veto").isin("vegetation", "vegetation_annual"))
+
+
+def linked_cells(cells: DataFrame, other: DataFrame, dx: int = 85, dy: int = 40) -> DataFrame:
+    """Cells joined to the same places of another grid, whose cells are numbered further by dx and dy (columns o_...)."""
+    o = other.select(*[F.col(c).alias(f"o_{c}") for c in other.columns])
+    return cells.join(o, (F.col("ix") + dx == F.col("o_ix")) & (F.col("iy") + dy == F.col("o_iy")))

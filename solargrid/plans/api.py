@@ -108,3 +108,27 @@ def glint_study(series: DataFrame, targets: DataFrame, bands: list[str]) -> Data
 
 def infer(predictions: DataFrame, size: int) -> DataFrame:
     return pixels.blended(predictions, size)
+
+
+def evaluate_run(predicted: DataFrame, threshold: float, installations: DataFrame, hits: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Pixel confusion, and the recall of installations by size. hits: installations that some predicted pixel touches."""
+    return evaluate.confusion(predicted, threshold), evaluate.recall_by_size(installations, hits, key)
+
+
+def calibrate(zones: DataFrame, labels_by_area: DataFrame, units: DataFrame, areas: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]:
+    """Completeness of every municipality, and how the expected areas (zones: ags, exp_m2) fit the register where it is well mapped."""
+    r = calibration.register_by_area(units, cutoff)
+    full = calibration.completeness(labels_by_area, r, areas=areas)
+    fit = zones.join(r, "ags").join(full.select("ags", "well_mapped"), "ags")
+    return full, calibration.fit_stats(fit, "exp_m2", "kw_roof", "well_mapped")
+
+
+def pv_yield(regions: DataFrame, yields: DataFrame) -> DataFrame:
+    return density.yearly_yield(regions, yields)
+
+
+def atlas(cells: DataFrame, regions: DataFrame, calibrated: bool = True) -> DataFrame:
+    """The one-row payload of a map."""
+    from solargrid.sources import sinks
+
+    return sinks.atlas_payload(cells, regions, calibrated)

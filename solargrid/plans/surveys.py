@@ -620,6 +620,89 @@ def provider_offsets(spark, sf_dir):
     return s.select("item", solar.with_provider_offset("p98_b03", F.col("item") % 2 == 0).cast("long").alias("dn"), scaled(solar.circular_difference("sun_az", "view_az"), 10).alias("turn"))
 
 
+@query(f"WITH {_FITS}, q AS (SELECT *, CASE WHEN pid % 3 = 0 THEN 'plant' ELSE 'generator' END AS kind FROM f) SELECT kind, count(*) AS n, {sql_scaled('median(area_m2)', 'med_area', '10')}, {sql_scaled('median(n_scenes)', 'med_scenes', '10')}, {sql_scaled('avg(CASE WHEN n_spikes >= 1 THEN 100 ELSE 0 END)', 'pct_detected', '10')}, {sql_scaled('avg(CASE WHEN n_consistent >= 2 THEN 100 ELSE 0 END)', 'pct_validated', '10')}, {sql_scaled('median(CASE WHEN n_spikes >= 1 THEN n_spikes END)', 'med_spikes', '10')} FROM q GROUP BY kind", "fx_candidates")
+def study_by_kind(spark, sf_dir):
+    f = _fits(spark, sf_dir).withColumn("kind", F.when(F.col("pid") % 3 == 0, "plant").otherwise("generator"))
+    return scale(T.by_group(f, "kind"), "med_area", "med_scenes", "pct_detected", "pct_validated", "med_spikes", by=10)
+
+
+@query("SELECT id FROM fx_buildings WHERE area_m2 BETWEEN 80 AND 2000 AND bf_confidence >= 0.75E0", "fx_buildings")
+def size_band(spark, sf_dir):
+    return C.in_band(_buildings(spark, sf_dir), 80.0, 2000.0, ("bf_confidence", 0.75)).select("id")
+
+
+@query(f"WITH {_TILES} SELECT id FROM fx_buildings a WHERE area_m2 >= 400 AND EXISTS (SELECT 1 FROM t WHERE {_IN_TILE}) AND NOT EXISTS (SELECT 1 FROM fx_mapped b WHERE {_CLOSE} AND {_GAP} <= 75)", "fx_buildings", "fx_tiles", "fx_mapped")
+def free_large_roofs(spark, sf_dir):
+    """Large roofs in the coverage and away from mapped features."""
+    return S.away_from(_buildings(spark, sf_dir).where("area_m2 >= 400"), _tiles(spark, sf_dir), fixture(spark, sf_dir, "fx_mapped"), "id", 75.0).select("id")
+
+
+@query("SELECT cand_id FROM fx_candidates WHERE (cand_id % 50)/100.0E0 > 0.35E0 OR (cand_id % 70)/100.0E0 > 0.35E0", "fx_candidates")
+def vegetation_negatives(spark, sf_dir):
+    """Candidates vetoed by their greenness in composites or over the year."""
+    c = _candidates(spark, sf_dir).select("cand_id", (F.col("cand_id") % 50 / 100).alias("max_ndvi"), (F.col("cand_id") % 70 / 100).alias("ndvi_p95"), (F.col("cand_id") % 100 / 100).alias("epoch_prior"))
+    return N.vegetation_negatives(C.veto(c)).select("cand_id")
+
+
+@query(f"WITH a AS (SELECT {_IX} AS ix, {_IY} AS iy, count(*) AS n FROM fx_buildings GROUP BY 1, 2), b AS (SELECT {_IX} AS ix, {_IY} AS iy, count(*) AS k FROM fx_candidates GROUP BY 1, 2) SELECT a.ix, a.iy, n, k FROM a JOIN b ON b.ix = a.ix + 3 AND b.iy = a.iy + 2", "fx_buildings", "fx_candidates")
+def linked_cells(spark, sf_dir):
+    """Cells with those of a grid that is numbered further by three and two."""
+    count = lambda df, n: D.with_cell(df).groupBy("ix", "iy").agg(F.count("*").alias(n))
+    return N.linked_cells(count(_buildings(spark, sf_dir), "n"), count(_candidates(spark, sf_dir), "k"), 3, 2).select("ix", "iy", "n", F.col("o_k").alias("k"))
+
+
+@query("WITH r AS (SELECT ags, sum(CASE WHEN art='building' THEN kw ELSE 0 END) AS kw_roof FROM fx_register WHERE commissioned <= DATE '1996-01-01' AND (status = 'operating' OR coalesce(decommissioned > DATE '1996-01-01', false)) GROUP BY ags), g AS (SELECT DISTINCT lpad(CAST(region_id + CASE WHEN level = 'county' THEN 5 ELSE 0 END AS VARCHAR), 8, '0') AS ags FROM fx_regions), l AS (SELECT lpad(CAST(osm_id % 25 AS VARCHAR), 8, '0') AS ags, sum(area_m2) AS m2 FROM fx_mapped WHERE placement = 'rooftop' GROUP BY 1), j AS (SELECT ags, coalesce(kw_roof, 0) AS kw_roof, coalesce(m2, 0) AS m2 FROM g LEFT JOIN r USING (ags) LEFT JOIN l USING (ags)) SELECT ags, round_even(m2*0.2E0/greatest(kw_roof, 1E-6), 4) >= 0.6E0 AND kw_roof >= 50 AS well_mapped, " + sql_scaled("kw_roof", "kw_roof", "1E3") + " FROM j", "fx_register", "fx_regions", "fx_mapped")
+def completeness_everywhere(spark, sf_dir):
+    """Completeness of all municipalities, also of those without units."""
+    from solargrid.operators import calibration as K
+
+    areas = fixture(spark, sf_dir, "fx_regions").select(F.lpad((F.col("region_id") + F.when(F.col("level") == "county", 5).otherwise(0)).cast("int").cast("string"), 8, "0").alias("ags"))
+    labels = fixture(spark, sf_dir, "fx_mapped").where("placement = 'rooftop'").groupBy(F.lpad((F.col("osm_id") % 25).cast("string"), 8, "0").alias("ags")).agg(F.sum("area_m2").alias("label_m2"))
+    c = K.completeness(labels, K.register_by_area(fixture(spark, sf_dir, "fx_register"), "1996-01-01"), areas=areas)
+    return c.select("ags", "well_mapped", scaled("kw_roof", 1000).alias("kw_roof"))
+
+
+_AXIS = "least(abs(((r*7+c)%180+90)%360-180), abs(((r*7+c)%180+270)%360-180))"
+
+
+@query(f"WITH {_PX}, q AS (SELECT prob, {_AXIS} AS gap, CASE WHEN (r+c)%5 = 0 THEN 1 ELSE 0 END AS t FROM px), s AS (SELECT label, 0.2E0 + bin/10 AS threshold FROM fx_bins) SELECT label AS strategy, count(*) FILTER (prob >= threshold AND gap <= 35 AND t = 1) AS shared, count(*) FILTER ((prob >= threshold AND gap <= 35) OR t = 1) AS either FROM q, s GROUP BY label", "fx_pixels", "fx_bins")
+def roof_axis_iou(spark, sf_dir):
+    """IoU of thresholds on pixels whose roof axis lets a side face south within 35 degrees."""
+    axis = ((F.col("r") * 7 + F.col("c")) % 180).cast("double")
+    m = _pixels(spark, sf_dir).withColumn("mask", F.when((F.col("r") + F.col("c")) % 5 == 0, 1).otherwise(0)).withColumn("gate", 35 - G.south_gap(axis))
+    s = fixture(spark, sf_dir, "fx_bins").select(F.col("label").alias("strategy"), (F.lit(0.2) + F.col("bin") / 10).alias("threshold"), F.lit(0.0).alias("gate"))
+    return E.strategy_iou(m, s).select("strategy", "shared", "either")
+
+
+@query(f"WITH {_ANNOTATED}, {series._fit('a')}, d AS (SELECT a.pid, median(CASE WHEN is_spike THEN p98_b03-ring_b03 END) AS amp FROM a GROUP BY a.pid) SELECT z.pid, n_spikes, n_consistent, {sql_scaled('amp', 'amplitude')} FROM z JOIN d USING (pid)".replace(", d AS (SELECT a.pid, median(CASE", ", dd AS (SELECT a.pid, median(CASE").replace("FROM z JOIN d USING", "FROM z JOIN dd USING"), "fx_scenes")
+def fit_diagnostics(spark, sf_dir):
+    return glint.fit_diagnostics(_annotated(spark, sf_dir), "b03").select("pid", "n_spikes", "n_consistent", scaled("amplitude").alias("amplitude"))
+
+
+@query(f"WITH {_ANNOTATED}, {series._fit('a')}, e AS (SELECT pid, count(*) AS n_events FROM a WHERE is_spike GROUP BY pid HAVING count(*) >= 2) SELECT pid, n_events, z.n_consistent FROM e JOIN z USING (pid) WHERE z.n_consistent >= 2", "fx_scenes")
+def oriented_pixels(spark, sf_dir):
+    """Pixels (a series each) whose anomalies agree on one orientation."""
+    return P.oriented(_annotated(spark, sf_dir).where("is_spike"), "pid").select("pid", "n_events", "n_consistent")
+
+
+@query("WITH t AS (SELECT printf('%04d_%04d', ix, iy) AS tile, r, c, max(prob_u8) AS v FROM fx_pixels GROUP BY ALL), p AS (SELECT tile, arg_max({'r': r, 'c': c}, {'v': v, 'r': -r, 'c': -c}) AS p FROM t GROUP BY tile) SELECT tile, CAST(p.r AS INT) AS r, CAST(p.c AS INT) AS c, " + sql_scaled("sqrt((p.r-32)*(p.r-32) + (p.c-32)*(p.c-32))*10", "offset_m", "10") + " FROM p", "fx_pixels")
+def peak_offsets(spark, sf_dir):
+    """The brightest pixel of each tile and its distance from the centre."""
+    p = fixture(spark, sf_dir, "fx_pixels").withColumn("tile", G.cell_key(F.col("ix"), F.col("iy")))
+    centres = p.select("tile").distinct().select("tile", F.lit(32).alias("r0"), F.lit(32).alias("c0"))
+    return P.peak_offset(p, centres, "tile", "prob_u8").select("tile", "r", "c", scaled("offset_m", 10).alias("offset_m"))
+
+
+@query("SELECT region_id, 1 AS n_rings, " + sql_scaled("xmin", "xmin", "1E4") + ", " + sql_scaled("ymax", "ymax", "1E4") + " FROM fx_regions WHERE level = 'county'", "fx_regions")
+def geojson_regions(spark, sf_dir):
+    """Regions as GeoJSON texts, read back as rings."""
+    r = fixture(spark, sf_dir, "fx_regions").where("level = 'county'")
+    text = F.format_string('{"type":"Polygon","coordinates":[[[%s,%s],[%s,%s],[%s,%s],[%s,%s],[%s,%s]]]}', *[F.col(f"{a}{m}").cast("string") for x, y in (("min", "min"), ("max", "min"), ("max", "max"), ("min", "max"), ("min", "min")) for a, m in (("x", x), ("y", y))])
+    rings = tables.geojson_rings(text)
+    box = G.bounds(rings)
+    return r.select("region_id", F.size(rings).alias("n_rings"), scaled(box["xmin"], 10_000).alias("xmin"), scaled(box["ymax"], 10_000).alias("ymax"))
+
+
 # Training
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from solargrid.functions import business as B
 from solargrid.functions import geometry as G
+from solargrid.schemas import POINT
 
 
 def bbox_filter(box: dict[str, float], col: str = "bbox") -> Column:
@@ -81,7 +85,7 @@ def osm_elements(spark: SparkSession, path: str) -> DataFrame:
     ring = lambda g: F.transform(g, lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
     closed = (F.size("geometry") >= 4) & (F.element_at("geometry", 1) == F.element_at("geometry", -1))
     middle = F.get("geometry", F.floor(F.size("geometry") / 2).cast("int"))
-    outer = F.transform(F.filter("members", lambda m: (m["role"] == "outer") & (F.size(m["geometry"]) >= 2)), lambda m: ring(m["geometry"]))
+    outer = stitched(F.transform(F.filter("members", lambda m: (m["role"] == "outer") & (F.size(m["geometry"]) >= 2)), lambda m: ring(m["geometry"])))
     rings = F.when(F.col("type") == "node", F.array(F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")))))
     rings = rings.when((F.col("type") == "way") & closed, F.array(ring(F.col("geometry")))).when((F.col("type") == "way") & (F.size("geometry") >= 2), F.array(ring(F.array(middle)))).when(F.col("type") == "relation", outer)
     kind = F.when((F.col("type") == "relation") | ((F.col("type") == "way") & closed), "polygon").otherwise("point")
@@ -98,6 +102,47 @@ def labels_of(curated: DataFrame, other: DataFrame, least_m2: float = 400.0) ->
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
+def geojson_rings(geometry: Column) -> Column:
+    """Rings of a GeoJSON polygon or multipolygon in a string; null for other kinds."""
+    kind, coordinates = F.get_json_object(geometry, "$.type"), F.get_json_object(geometry, "$.coordinates")
+    one = F.from_json(coordinates, "array<array<array<double>>>")
+    many = F.flatten(F.from_json(coordinates, "array<array<array<array<double>>>>"))
+    rings = F.when(kind == "Polygon", one).when(kind == "MultiPolygon", many)
+    return F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+
+
+def reviews(spark: SparkSession, path: str) -> DataFrame:
+    """bin_label and verdict of a manual review, from CSV or GeoJSON by the file's name."""
+    if path.endswith(".csv"):
+        return spark.read.csv(path, header=True).select("bin_label", "verdict")
+    f = spark.read.schema("features array<struct<properties:struct<bin_label:string,verdict:string>>>").json(path, multiLine=True)
+    return f.select(F.explode("features.properties").alias("p")).select("p.bin_label", "p.verdict")
+
+
+def stitched(pieces: Column) -> Column:
+    """Lines (arrays of points) joined end to end into closed rings; what does not close is left out."""
+    return _stitched(F.to_json(pieces))  # lines differ in length, which nested arrays do not bear on their way to pandas
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(POINT)))
+def _stitched(pieces: pd.Series) -> pd.Series:
+    def rings(text: str | None) -> list:
+        left, out = [[(p["x"], p["y"]) for p in line] for line in json.loads(text or "[]") if len(line) > 1], []
+        while left:
+            ring = left.pop()
+            while ring[0] != ring[-1]:
+                at = next((k for k, line in enumerate(left) if ring[-1] in (line[0], line[-1])), None)
+                if at is None:
+                    break
+                line = left.pop(at)
+                ring += line[1:] if line[0] == ring[-1] else line[-2::-1]
+            if ring[0] == ring[-1] and len(ring) > 3:
+                out.append([{"x": x, "y": y} for x, y in ring])
+        return out
+
+    return pd.Series([rings(x) for x in pieces])
+
+
 def divisions(spark: SparkSession, path: str, country: str, subtype: str, name: str | None = None) -> DataFrame:
     """Admin areas of a level, or those with a name in any language."""
     df = spark.read.parquet(path).where((F.col("country") == country) & (F.col("subtype") == subtype))
@@ -107,11 +152,14 @@ def divisions(spark: SparkSession, path: str, country: str, subtype: str, name:
 def admin_geojson(spark: SparkSession, path: str, iso3: str) -> DataFrame:
     schema = "features array<struct<properties:struct<shapeID:string,shapeName:string,shapeGroup:string>,geometry:string>>"
     f = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
-    return f.select(F.col("f.properties.shapeID").alias("region_id"), F.col("f.properties.shapeName").alias("name"), F.coalesce("f.properties.shapeGroup", F.lit(iso3)).alias("country"), F.col("f.geometry").alias("geometry"))
+    return f.select(F.col("f.properties.shapeID").alias("region_id"), F.col("f.properties.shapeName").alias("name"), F.coalesce("f.properties.shapeGroup", F.lit(iso3)).alias("country"), geojson_rings(F.col("f.geometry")).alias("rings"))
 
 
-def municipalities(df: DataFrame) -> DataFrame:
-    """Rings by AGS: only land areas if the table marks them; keys are padded to eight digits."""
+def municipalities(df: DataFrame | None, districts: DataFrame | None = None) -> DataFrame:
+    """Rings by AGS: only land areas if the table marks them; keys are padded to eight digits. Without municipalities the
+    districts stand in, by keys of five digits."""
+    if df is None:
+        return districts.withColumn("ags", F.lpad(F.col("ags").cast("string"), 5, "0")).groupBy("ags").agg(F.flatten(F.collect_list("rings")).alias("rings"))
     if "GF" in df.columns and not df.where("GF = 4").isEmpty():
         df = df.where("GF = 4")
     return df.withColumn("ags", F.lpad(F.col("ags").cast("string"), 8, "0")).groupBy("ags").agg(F.flatten(F.collect_list("rings")).alias("rings"))
@@ -122,7 +170,7 @@ def hexagons(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema("name string, value array<double>, geojson string").json(path, multiLine=True)
     v = F.coalesce(F.get("value", F.lit(0)), F.lit(0.0))
     total = F.sum("value").over(Window.partitionBy())  # some thousand hexagons at most
-    return rows.withColumn("value", v).withColumn("share", 100 * F.col("value") / total)
+    return rows.withColumn("value", v).withColumn("share", 100 * F.col("value") / total).withColumn("rings", geojson_rings(F.col("geojson")))
 
 
 def scene_series(series: DataFrame, pulled: DataFrame) -> DataFrame:

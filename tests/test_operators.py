@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from solargrid.functions import business
 from solargrid.operators import components, density, evaluate, glint, pixels, spatial, studies, training
 from solargrid.plans import api
 from solargrid.sources import sinks, tables
@@ -223,3 +224,64 @@ def test_missed_targets_and_controls(spark):
 def test_boundary_by_folded_name(spark):
     a = spark.createDataFrame([("Málaga",), ("Other",)], "name string")
     assert tables.boundary(None, None, a, "malaga").first().name == "Málaga" and tables.boundary(None, None, a, "none") is None
+
+
+def test_relation_pieces_are_stitched_into_rings(spark):
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    line = lambda *p: [{"x": x, "y": y} for x, y in p]
+    pieces = [line(square[0], square[1]), line(square[3], square[2], square[1]), line(square[3], square[0]), line((5.0, 5.0), (6.0, 6.0))]
+    d = spark.createDataFrame([(pieces,), (None,)], "p array<array<struct<x:double,y:double>>>")
+    got = [r[0] for r in d.select(tables.stitched(F.col("p"))).collect()]
+    assert len(got[0]) == 1 and {(q.x, q.y) for q in got[0][0]} == set(square) and got[0][0][0] == got[0][0][-1] and got[1] == []
+
+
+def test_geojson_kinds_and_review_files(spark, tmp_path):
+    texts = [('{"type":"MultiPolygon","coordinates":[[[[0,0],[2,0],[2,2],[0,0]]],[[[5,5],[6,5],[6,6],[5,5]]]]}',), ('{"type":"Point","coordinates":[1,2]}',), (None,)]
+    d = spark.createDataFrame(texts, "g string").select(tables.geojson_rings(F.col("g")).alias("r")).collect()
+    assert [len(d[0].r), d[1].r, d[2].r] == [2, None, None] and d[0].r[1][1].x == 6
+    (tmp_path / "r.csv").write_text("sample_uid,bin_label,verdict\n1,<100,yes\n2,>50k,\n")
+    (tmp_path / "r.geojson").write_text('{"features":[{"properties":{"bin_label":"<100","verdict":"no"}}]}')
+    assert [tuple(r) for r in tables.reviews(spark, str(tmp_path / "r.csv")).collect()] == [("<100", "yes"), (">50k", None)]
+    assert [tuple(r) for r in tables.reviews(spark, str(tmp_path / "r.geojson")).collect()] == [("<100", "no")]
+
+
+def test_tile_labels_by_brute_force(spark):
+    """Winding components, corners apart or joined, against a flood fill."""
+    import random
+
+    dice = random.Random(2)
+    for eight in (False, True):
+        cells = {(r, c) for r in range(24) for c in range(24) if dice.random() < 0.55} | {(30, c) for c in range(40)}
+        left, want = set(cells), {}
+        while left:
+            todo, part = [left.pop()], set()
+            while todo:
+                r, c = todo.pop()
+                part.add((r, c))
+                near = {(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if eight or not (i and j)} & left
+                left -= near
+                todo += near
+            want |= {p: min(100 * r + c for r, c in part) for p in part}
+        mask = spark.createDataFrame([(100 * r + c, 0, 0, r, c) for r, c in cells], "id long, ix int, iy int, r int, c int")
+        assert {r.id: r.label for r in pixels.local_labels(mask, eight).collect()} == {100 * r + c: k for (r, c), k in want.items()}
+
+
+def test_sun_angles_agree_with_a_scene(spark):
+    s = spark.sql("SELECT 52.0D AS lat, 13.0D AS lon, TIMESTAMP'2024-06-21 11:09:00' AS time, 28.6D AS sun_zen, 180.0D AS sun_az")
+    r = studies.sun_check(s).first()
+    assert r.max_zen < 0.5 and r.max_az < 2 and r.med_zen == r.p95_zen
+
+
+def test_windows_end_where_they_are_asked_to():
+    assert business.annual_window("2024-03-01") == "2023-03-02:2024-03-01"
+
+
+def test_overlap_of_tilted_polygons(spark):
+    """A diamond over a square: a quarter of it in each corner is outside."""
+    ring = lambda *p: [[{"x": x, "y": y} for x, y in p]]
+    diamond, square = ring((10.0, 49.0), (11.0, 50.0), (10.0, 51.0), (9.0, 50.0), (10.0, 49.0)), ring((9.5, 49.5), (10.5, 49.5), (10.5, 50.5), (9.5, 50.5), (9.5, 49.5))
+    a, b = spark.createDataFrame([(1, diamond)], "a long, rings array<array<struct<x:double,y:double>>>"), spark.createDataFrame([(7, square)], "b long, rings array<array<struct<x:double,y:double>>>")
+    assert spatial.polygon_overlaps(a, b, "a", "b").first().shared == pytest.approx(1.0)
+    p = spark.createDataFrame([(1, 10.0, 50.0), (2, 9.2, 49.2), (3, 9.5, 50.4)], "k long, lon double, lat double")
+    assert {r.k for r in spatial.in_polygons(p, a, "k", "a").collect()} == {1, 3}
+    assert spatial.first_polygon(p, a, "k", "a").where("a IS NULL").count() == 1
