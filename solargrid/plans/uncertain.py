@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from solargrid.functions import business as B
 from solargrid.operators import calibration as K
 from solargrid.plans import api, series
-from solargrid.plans.common import scaled
-from solargrid.plans.grid import _BIN, _CLOSE, _GAP, _NEAREST, _SHARED
+from solargrid.plans.common import scaled, sql_scaled
+from solargrid.plans.grid import _ALL, _BIN, _CLOSE, _GAP, _HIST, _IX, _IY, _NEAREST, _SHARED, _TABLE
 from solargrid.sources.fixtures import fixture, with_views
 
 
@@ -72,6 +72,7 @@ ORACLES: dict[str, str] = {
     "export_chain": with_views("fx_candidates", "fx_buildings", "fx_mapped", sql=f"WITH {_CHAIN} SELECT cand_id, CAST(k AS INT) AS rank, 'fx-pv-' || lpad(CAST(k - 1 AS VARCHAR), 6, '0') AS candidate_id, placement, '' AS note, printf('https://www.openstreetmap.org/#map=19/%.5f/%.5f', lat, lon) AS link FROM p3 a WHERE NOT EXISTS (SELECT 1 FROM fx_mapped b WHERE {_CLOSE} AND {_GAP} <= 100)"),
     "review_sample": with_views("fx_candidates", "fx_mapped", "fx_bins", sql=f"WITH u AS (SELECT *, {_BIN} AS bin FROM fx_candidates a WHERE NOT EXISTS (SELECT 1 FROM fx_mapped b WHERE {_CLOSE} AND {_GAP} <= 0)), k AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY (cand_id*7919) % 10007, cand_id) AS pick, count(*) OVER (PARTITION BY bin) AS pool FROM u) SELECT label || '-' || CAST(pick AS VARCHAR) AS sample_uid, label AS bin_label, round(area_m2, 1) AS area_m2, round(lon, 6) AS lon, round(lat, 6) AS lat, '' AS verdict, pool FROM k JOIN fx_bins USING (bin) WHERE pick <= 20"),
     "labels_with_region": with_views("fx_mapped", "fx_buildings", "fx_regions", sql=f"WITH c AS (SELECT a.osm_id, sum({_SHARED})/any_value(a.area_m2) AS share FROM fx_mapped a JOIN fx_buildings b ON {_CLOSE} GROUP BY a.osm_id) SELECT m.osm_id, CASE WHEN placement <> 'small' THEN placement WHEN share >= 0.5E0 THEN 'rooftop' ELSE 'ground' END AS placement, (SELECT min(region_id) FROM fx_regions WHERE level = 'county' AND lon >= xmin AND lon < xmax AND lat >= ymin AND lat < ymax) AS region_id FROM fx_mapped m LEFT JOIN c USING (osm_id)"),
+    "density_chain": with_views(*_ALL, "fx_buildings", "fx_pixels", "fx_regions", sql=f"WITH {_TABLE}, h AS ({_HIST}), ct AS (SELECT {_IX} AS ix, {_IY} AS iy, sum(area_m2) AS dt FROM fx_candidates GROUP BY 1, 2), rcx AS (SELECT {_IX} AS ix, {_IY} AS iy, sum(area_m2*p_real/recall_used) AS rc FROM pc GROUP BY 1, 2), k AS (SELECT ix, iy FROM h UNION SELECT ix, iy FROM ct UNION SELECT ix, iy FROM fx_pixels) SELECT g.region_id, g.name AS region_name, count(*) AS n_cells, CAST(sum(coalesce(n_buildings, 0)) AS BIGINT) AS n_buildings, {sql_scaled('round_even(sum(coalesce(dt, 0))*0.2E0/1000, 4)', 'det_mwp', '1E3')}, {sql_scaled('sum(coalesce(rc, 0))', 'rc_m2', '10')} FROM k LEFT JOIN h USING (ix, iy) LEFT JOIN ct USING (ix, iy) LEFT JOIN rcx USING (ix, iy) JOIN fx_regions g ON g.level = 'county' AND 60.0E0+(ix+0.5E0)*0.1E0 >= xmin AND 60.0E0+(ix+0.5E0)*0.1E0 < xmax AND 24.0E0+(iy+0.5E0)*0.1E0 >= ymin AND 24.0E0+(iy+0.5E0)*0.1E0 < ymax GROUP BY ALL"),
     "glint_chain": with_views("fx_scenes", sql=f"WITH one AS (SELECT * FROM fx_scenes QUALIFY row_number() OVER (PARTITION BY pid, date_trunc('minute', time) ORDER BY npx DESC, item) = 1), {series._annotated(True).replace('FROM fx_scenes', 'FROM one')}, {series._fit('a')} SELECT pid, n_scenes, n_clear, n_spikes, n_consistent FROM z"),
 }
-#: Draws are seeded random numbers, and the density chain is a composition whose parts have SQL; tests check them.
+#: Draws are seeded random numbers; tests check what must hold of them.
