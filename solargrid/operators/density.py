@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,20 +11,26 @@ from solargrid.functions import business as B
 from solargrid.functions import geometry as G
 from solargrid.operators import spatial as S
 
-X0, Y0 = 60.0, 24.0
+
+class Grid(NamedTuple):
+    """Lower left corner and cell size of a study area's grid, in degrees."""
+
+    x0: float
+    y0: float
+    size: float = B.CELL_DEG
 
 
-def with_cell(df: DataFrame, x0: float = X0, y0: float = Y0) -> DataFrame:
-    return df.withColumn("ix", G.cell(F.col("lon"), x0)).withColumn("iy", G.cell(F.col("lat"), y0))
+def with_cell(df: DataFrame, grid: Grid) -> DataFrame:
+    return df.withColumn("ix", G.cell(F.col("lon"), grid.x0, grid.size)).withColumn("iy", G.cell(F.col("lat"), grid.y0, grid.size))
 
 
-def cell_histogram(buildings: DataFrame) -> DataFrame:
-    return with_cell(buildings).groupBy("ix", "iy").agg(F.count("*").alias("n_buildings"), F.sum("area_m2").alias("roof_area_m2"))
+def cell_histogram(buildings: DataFrame, grid: Grid) -> DataFrame:
+    return with_cell(buildings, grid).groupBy("ix", "iy").agg(F.count("*").alias("n_buildings"), F.sum("area_m2").alias("roof_area_m2"))
 
 
-def select_cells(histogram: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+def select_cells(histogram: DataFrame, labels: DataFrame, least: int, grid: Grid) -> DataFrame:
     """Cells dense enough or with a label; label cells come first, then the fuller ones."""
-    with_label = with_cell(labels).groupBy("ix", "iy").agg(F.count("*").alias("n_labels"))
+    with_label = with_cell(labels, grid).groupBy("ix", "iy").agg(F.count("*").alias("n_labels"))
     j = histogram.select("ix", "iy", "n_buildings").join(with_label, ["ix", "iy"], "full_outer").fillna(0, ["n_buildings", "n_labels"])
     return j.where((F.col("n_buildings") >= least) | (F.col("n_labels") > 0))
 
@@ -50,11 +58,11 @@ def detected_on_buildings(candidates: DataFrame, buildings: DataFrame) -> DataFr
     )
 
 
-def cell_summary(buildings: DataFrame, on_buildings: DataFrame, candidates: DataFrame, expected: DataFrame) -> DataFrame:
+def cell_summary(buildings: DataFrame, on_buildings: DataFrame, candidates: DataFrame, expected: DataFrame, grid: Grid) -> DataFrame:
     """Counts and areas by cell from buildings (with their detected area), candidates (by their own point) and pixels."""
-    b = with_cell(buildings).join(on_buildings, "id", "left").fillna(0.0, ["det_m2", "cal_m2"])
+    b = with_cell(buildings, grid).join(on_buildings, "id", "left").fillna(0.0, ["det_m2", "cal_m2"])
     roofs = b.groupBy("ix", "iy").agg(F.count("*").alias("n_buildings"), F.sum("area_m2").alias("roof_area_m2"), F.count_if(F.col("det_m2") > 0).alias("n_pv"), F.sum("det_m2").alias("det_roof_m2"), F.sum("cal_m2").alias("cal_roof_m2"))
-    c = with_cell(candidates).groupBy("ix", "iy").agg(F.sum("area_m2").alias("det_total_m2"), F.sum(F.col("area_m2") * F.col("p_real")).alias("cal_total_m2"))
+    c = with_cell(candidates, grid).groupBy("ix", "iy").agg(F.sum("area_m2").alias("det_total_m2"), F.sum(F.col("area_m2") * F.col("p_real")).alias("cal_total_m2"))
     out = roofs.join(c, ["ix", "iy"], "full_outer").join(expected, ["ix", "iy"], "full_outer")
     return out.fillna(0).withColumn("cell", G.cell_key(F.col("ix"), F.col("iy")))
 
@@ -67,9 +75,9 @@ def mwp(area: Column, kwp_per_m2: float = B.KWP_PER_M2) -> Column:
     return B.half_even(area * kwp_per_m2 / 1000, 4)
 
 
-def region_rollup(cells: DataFrame, regions: DataFrame, measures: list[str]) -> DataFrame:
+def region_rollup(cells: DataFrame, regions: DataFrame, measures: list[str], grid: Grid) -> DataFrame:
     """Sums of additive columns over the regions that hold the cells' centres; a centre in none is dropped."""
-    centred = cells.withColumn("lon", X0 + (F.col("ix") + 0.5) * B.CELL_DEG).withColumn("lat", Y0 + (F.col("iy") + 0.5) * B.CELL_DEG)
+    centred = cells.withColumn("lon", grid.x0 + (F.col("ix") + 0.5) * grid.size).withColumn("lat", grid.y0 + (F.col("iy") + 0.5) * grid.size)
     return S.attach_region(centred.withColumn("id", F.concat_ws("_", "ix", "iy")), regions).groupBy("region_id", "region_name").agg(F.count("*").alias("n_cells"), *[F.sum(m).alias(m) for m in measures])
 
 
@@ -111,6 +119,6 @@ def backfilled(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
     return df.withColumns({new: F.coalesce(F.col(new), F.col(old)) if new in df.columns else F.col(old) for new, old in pairs.items()})
 
 
-def top_cells(labels: DataFrame, n: int, least_m2: float = 400.0) -> DataFrame:
+def top_cells(labels: DataFrame, n: int, grid: Grid, least_m2: float = 400.0) -> DataFrame:
     """The n cells with most labels of a size (ties: the smallest cell)."""
-    return with_cell(labels.where(F.col("area_m2") >= least_m2)).groupBy("ix", "iy").agg(F.count("*").alias("n_labels")).orderBy(F.desc("n_labels"), "ix", "iy").limit(n)
+    return with_cell(labels.where(F.col("area_m2") >= least_m2), grid).groupBy("ix", "iy").agg(F.count("*").alias("n_labels")).orderBy(F.desc("n_labels"), "ix", "iy").limit(n)

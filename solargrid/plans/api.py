@@ -31,9 +31,9 @@ def chips(labels: DataFrame, tiles: DataFrame, key: str, val_tiles: list[str], s
     return training.split(spatial.one_tile(c, tiles, "chip_id").withColumn("n", F.crc32(F.col("chip_id").cast("binary"))), "file", val_tiles, "n")
 
 
-def compose(buildings: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+def compose(buildings: DataFrame, labels: DataFrame, least: int, grid: density.Grid) -> DataFrame:
     """Cells to composite, in order of priority."""
-    return density.priority(density.select_cells(density.cell_histogram(buildings), labels, least))
+    return density.priority(density.select_cells(density.cell_histogram(buildings, grid), labels, least, grid))
 
 
 def score(predicted: DataFrame, threshold: float) -> DataFrame:
@@ -76,21 +76,21 @@ def calibrate_sample(cands: DataFrame, mapped: DataFrame, per_bin: int, seed: in
     return s.select(F.concat_ws("-", B.bin_label(F.col("stratum")), "pick").alias("sample_uid"), B.bin_label(F.col("stratum")).alias("bin_label"), F.round("area_m2", 1).alias("area_m2"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.lit("").alias("verdict"), "pool")
 
 
-def run_density(cands: DataFrame, buildings: DataFrame, pixel_cells: DataFrame, table: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+def run_density(cands: DataFrame, buildings: DataFrame, pixel_cells: DataFrame, table: DataFrame, regions: DataFrame, grid: density.Grid) -> tuple[DataFrame, DataFrame]:
     """Cells and regions with detected, calibrated, expected and recall-corrected area and capacity."""
     c = calibration.candidate_p_real(cands, table)
-    cells = density.cell_summary(buildings, density.detected_on_buildings(c, buildings), c, pixel_cells)
-    rc = calibration.recall_corrected(density.with_cell(c), ["ix", "iy"])
+    cells = density.cell_summary(buildings, density.detected_on_buildings(c, buildings), c, pixel_cells, grid)
+    rc = calibration.recall_corrected(density.with_cell(c, grid), ["ix", "iy"])
     cells = cells.join(rc, ["ix", "iy"], "left").fillna(0.0, ["rc_m2", "rc_roof_m2"])
     measures = ["n_buildings", "roof_area_m2", "n_pv", "det_roof_m2", "cal_roof_m2", "det_total_m2", "cal_total_m2", "exp_m2", "rc_m2", "rc_roof_m2"]
-    rolled = density.region_rollup(cells, regions, measures)
+    rolled = density.region_rollup(cells, regions, measures, grid)
     more = {"det_mwp": density.mwp(F.col("det_total_m2")), "cal_mwp": density.mwp(F.col("cal_total_m2")), "exp_mwp": density.mwp(F.col("exp_m2")), "pv_ratio": density.ratio(F.col("det_roof_m2"), F.col("roof_area_m2"))}
     return cells.withColumns(more), rolled.withColumns(more)
 
 
-def density_intervals(cands: DataFrame, draws: DataFrame) -> DataFrame:
+def density_intervals(cands: DataFrame, draws: DataFrame, grid: density.Grid) -> DataFrame:
     """90 % intervals of calibrated area by cell, from draws that all cells share."""
-    return density.intervals(density.draw_sums(density.with_cell(cands), draws, ["ix", "iy"]), ["ix", "iy"])
+    return density.intervals(density.draw_sums(density.with_cell(cands, grid), draws, ["ix", "iy"]), ["ix", "iy"])
 
 
 def register(units: DataFrame, cutoff: str) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from solargrid.operators.density import Grid
+
+#: The grid of the fixtures' area.
+GRID = Grid(60.0, 24.0)
 #: Doubles leave a query as scaled integers, so that engines compare equal.
 SCALE = 1_000_000
 

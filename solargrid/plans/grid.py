@@ -10,14 +10,14 @@ from solargrid.operators import calibration as K
 from solargrid.operators import candidates as C
 from solargrid.operators import density as D
 from solargrid.operators import spatial as S
-from solargrid.plans.common import scale, scaled, sql_scaled
+from solargrid.plans.common import GRID, scale, scaled, sql_scaled
 from solargrid.sources.fixtures import fixture, with_views
 
 CUTOFF = "1996-06-30"
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.cell_histogram(fixture(spark, sf_dir, "fx_buildings"))
+    return D.cell_histogram(fixture(spark, sf_dir, "fx_buildings"), GRID)
 
 
 def cell_histogram(spark, sf_dir):
@@ -25,7 +25,7 @@ def cell_histogram(spark, sf_dir):
 
 
 def select_cells(spark, sf_dir):
-    return D.select_cells(_cells(spark, sf_dir), fixture(spark, sf_dir, "fx_mapped").where("placement = 'ground'"), 75)
+    return D.select_cells(_cells(spark, sf_dir), fixture(spark, sf_dir, "fx_mapped").where("placement = 'ground'"), 75, GRID)
 
 
 def region_capacity(spark, sf_dir):
@@ -34,7 +34,7 @@ def region_capacity(spark, sf_dir):
     regions = fixture(spark, sf_dir, "fx_regions")
     out = None
     for level in ("region", "county"):
-        part = D.region_rollup(cells, regions.where(F.col("level") == level), ["n_buildings", "roof_area_m2"]).withColumn("level", F.lit(level))
+        part = D.region_rollup(cells, regions.where(F.col("level") == level), ["n_buildings", "roof_area_m2"], GRID).withColumn("level", F.lit(level))
         out = part if out is None else out.unionByName(part)
     return out.select("level", "region_id", "region_name", "n_cells", "n_buildings", scaled("roof_area_m2", 1000).alias("roof_area_m2"), scaled(F.col("roof_area_m2") * B.KWP_PER_M2 / 1000, 1000).alias("mwp"))
 
@@ -95,7 +95,7 @@ def p_real_candidate(spark, sf_dir):
 
 def recall_corrected(spark, sf_dir):
     c = K.candidate_p_real(fixture(spark, sf_dir, "fx_candidates"), _bin_table(spark, sf_dir))
-    c = D.with_cell(c.withColumn("placement", F.when(F.col("cand_id") % 2 == 0, "rooftop").otherwise("ground")))
+    c = D.with_cell(c.withColumn("placement", F.when(F.col("cand_id") % 2 == 0, "rooftop").otherwise("ground")), GRID)
     return scale(K.recall_corrected(c, ["ix", "iy"]), "rc_m2", "rc_roof_m2", by=100)
 
 
@@ -157,7 +157,7 @@ def suspicion_rank(spark, sf_dir):
 
 def growth_delta(spark, sf_dir):
     b = fixture(spark, sf_dir, "fx_buildings")
-    now, old = D.cell_histogram(b), D.cell_histogram(b.where("id % 3 > 0 AND id % 50 < 40"))
+    now, old = D.cell_histogram(b, GRID), D.cell_histogram(b.where("id % 3 > 0 AND id % 50 < 40"), GRID)
     return D.growth(now, old, ["ix", "iy"], ["n_buildings"]).select("ix", "iy", F.col("n_buildings_delta").cast("long").alias("n_delta"))
 
 

@@ -13,7 +13,7 @@ from solargrid.operators import evaluate as E
 from solargrid.operators import pixels as P
 from solargrid.operators import spatial as S
 from solargrid.operators import training as T
-from solargrid.plans.common import scale, scaled, sql_scaled
+from solargrid.plans.common import GRID, scale, scaled, sql_scaled
 from solargrid.sources import tables
 from solargrid.sources.fixtures import fixture, with_views
 
@@ -155,7 +155,7 @@ def cell_summary(spark, sf_dir):
     c = fixture(spark, sf_dir, "fx_candidates").withColumn("p_real", F.col("confidence"))
     b = fixture(spark, sf_dir, "fx_buildings")
     exp = _pixels(spark, sf_dir).groupBy("ix", "iy").agg((F.sum(B.floor_noise(F.col("prob"))) * 100).alias("exp_m2"))
-    s = D.cell_summary(b, D.detected_on_buildings(c, b), c, exp)
+    s = D.cell_summary(b, D.detected_on_buildings(c, b), c, exp, GRID)
     return scale(s, "roof_area_m2", "det_roof_m2", "cal_roof_m2", "det_total_m2", "cal_total_m2", "exp_m2", by=100)
 
 

@@ -17,14 +17,14 @@ from solargrid.operators import spatial as S
 from solargrid.operators import studies as T
 from solargrid.operators import training as N
 from solargrid.plans import api, series
-from solargrid.plans.common import scale, scaled, sql_scaled
+from solargrid.plans.common import GRID, scale, scaled, sql_scaled
 from solargrid.plans.grid import _BIN, _CLOSE, _GAP, _IX, _IY, _SHARED
 from solargrid.plans.pixels import PX, _pixels
 from solargrid.sources import tables
 from solargrid.sources.fixtures import fixture, with_views
 
-#: The study area's box and the lower left corner of its grid.
-X0, Y0 = 60.0, 24.0
+#: A box in the study area, and the lower left corner of its grid.
+X0, Y0 = GRID.x0, GRID.y0
 BOX = {"xmin": 60.5, "ymin": 24.2, "xmax": 61.2, "ymax": 24.7}
 
 
@@ -154,7 +154,7 @@ def hexagon_roofs(spark, sf_dir):
 @query(f"WITH {_HEX}, c AS (SELECT {_IX} AS ix, {_IY} AS iy, sum(area_m2)*0.0002E0 AS mwp FROM fx_candidates GROUP BY 1, 2), b AS (SELECT *, 60.0E0+(ix+0.5E0)*0.1E0 AS lon, 24.0E0+(iy+0.5E0)*0.1E0 AS lat FROM c), j AS (SELECT h.region_id AS hex, sum(mwp) AS mwp FROM b JOIN h ON b.lon BETWEEN h.xmin AND h.xmax AND b.lat BETWEEN h.ymin AND h.ymax AND {_sql_in_hexagon()} GROUP BY 1), o AS (SELECT h.region_id AS hex, coalesce(mwp, 0) AS mwp, 1.0E0 + h.region_id % 7 AS value FROM h LEFT JOIN j ON j.hex = h.region_id) SELECT hex, {sql_scaled('100*mwp/(SELECT sum(mwp) FROM o) - 100*value/(SELECT sum(value) FROM o)', 'difference', '1E4')} FROM o", "fx_candidates", "fx_regions")
 def hexagon_share_difference(spark, sf_dir):
     """Own share of capacity minus a reference share, by hexagon of the cells' centres."""
-    cells = D.with_cell(_candidates(spark, sf_dir)).groupBy("ix", "iy").agg((F.sum("area_m2") * 0.0002).alias("mwp"))
+    cells = D.with_cell(_candidates(spark, sf_dir), GRID).groupBy("ix", "iy").agg((F.sum("area_m2") * 0.0002).alias("mwp"))
     cells = cells.withColumn("cell", G.cell_key(F.col("ix"), F.col("iy"))).withColumn("lon", X0 + (F.col("ix") + 0.5) * 0.1).withColumn("lat", Y0 + (F.col("iy") + 0.5) * 0.1)
     hexes = _hexagons(spark, sf_dir)
     return T.share_difference(cells, hexes.drop("rings"), S.in_polygons(cells, hexes, "cell", "hex")).select("hex", scaled("difference", 10_000).alias("difference"))
@@ -392,7 +392,7 @@ def nearest_regrid(spark, sf_dir):
 @query(f"WITH t AS (SELECT osm_id, {_IX} AS ix, {_IY} AS iy, (lon-60)/{_P} AS gx, (lat-24)/{_P} AS gy FROM fx_mapped WHERE area_m2 >= 5000), q AS (SELECT osm_id, ix, iy, gx-64*ix-1 AS x1, gx-64*ix+1 AS x2, gy-64*iy-1 AS y1, gy-64*iy+1 AS y2 FROM t), j AS (SELECT osm_id, r, c, c+1 > x1 AND c < x2 AND r+1 > y1 AND r < y2 AS truth FROM fx_pixels JOIN q USING (ix, iy) WHERE c >= floor(x1)-4 AND c <= floor(x2)+4 AND r >= floor(y1)-4 AND r <= floor(y2)+4) SELECT osm_id, r, c, truth FROM j WHERE osm_id IN (SELECT osm_id FROM j WHERE truth)", "fx_mapped", "fx_pixels")
 def target_pixels(spark, sf_dir):
     """Pixels around large targets, with those that the target touches."""
-    m = D.with_cell(fixture(spark, sf_dir, "fx_mapped").where("area_m2 >= 5000"))
+    m = D.with_cell(fixture(spark, sf_dir, "fx_mapped").where("area_m2 >= 5000"), GRID)
     x, y = (F.col("lon") - X0) / PX - 64 * F.col("ix"), (F.col("lat") - Y0) / PX - 64 * F.col("iy")
     t = m.select("osm_id", "ix", "iy", (x - 1).alias("x1"), (y - 1).alias("y1"), (x + 1).alias("x2"), (y + 1).alias("y2"))
     return P.around(t, fixture(spark, sf_dir, "fx_pixels").drop("prob_u8"), "osm_id", 4).select("osm_id", "r", "c", "truth")
@@ -423,7 +423,7 @@ _BATCH = f"t AS (SELECT osm_id AS pid, {_IX} AS ix, {_IY} AS iy, CAST(floor((lat
 @query(f"WITH {_BATCH}, j AS (SELECT pid, item, time, v, greatest(abs(r-r0), abs(c-c0)) AS far FROM sp JOIN t USING (ix, iy) WHERE greatest(abs(r-r0), abs(c-c0)) <= 9), s AS (SELECT pid, item, time, quantile_cont(v, 0.98E0) FILTER (far <= 3) AS p98, median(v) FILTER (far > 3) AS ring, count(*) FILTER (far <= 3) AS npx FROM j GROUP BY ALL) SELECT pid, item, npx, {sql_scaled('p98', 'p98', '100')}, {sql_scaled('ring', 'ring', '100')} FROM s WHERE npx > 0 QUALIFY row_number() OVER (PARTITION BY pid, date_trunc('minute', time) ORDER BY npx DESC, item) = 1", "fx_mapped", "fx_pixels")
 def target_batch(spark, sf_dir):
     """Series of all mapped targets from the scene pixels of their tiles, in one pass."""
-    m = D.with_cell(fixture(spark, sf_dir, "fx_mapped"))
+    m = D.with_cell(fixture(spark, sf_dir, "fx_mapped"), GRID)
     t = m.select(F.col("osm_id").alias("pid"), "ix", "iy", (F.floor((F.col("lat") - Y0) / PX) % 64).alias("r0"), (F.floor((F.col("lon") - X0) / PX) % 64).alias("c0"), F.lit(3).alias("half"))
     item = (F.col("prob_u8") % 3).cast("long")
     sp = fixture(spark, sf_dir, "fx_pixels").select("ix", "iy", "r", "c", item.alias("item"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, 30) * (prob_u8 % 3)").alias("time"), F.col("prob_u8").cast("double").alias("v"))
@@ -443,7 +443,7 @@ _CELLS = f"g AS (SELECT {_IX} AS ix, {_IY} AS iy, count(*) AS n, sum(area_m2) AS
 
 
 def _study_cells(spark, sf_dir) -> DataFrame:
-    return D.with_cell(_candidates(spark, sf_dir)).groupBy("ix", "iy").agg(F.count("*").alias("n"), F.sum("area_m2").alias("area_m2"), F.sum("glint_consistent").alias("spikes"))
+    return D.with_cell(_candidates(spark, sf_dir), GRID).groupBy("ix", "iy").agg(F.count("*").alias("n"), F.sum("area_m2").alias("area_m2"), F.sum("glint_consistent").alias("spikes"))
 
 
 @query(f"WITH {_CELLS} SELECT {sql_scaled('corr(spikes, area_m2)', 'r_area', '1E5')}, {sql_scaled('corr(spikes, n)', 'r_n', '1E5')}, {sql_scaled('corr(spikes, ln(1+area_m2))', 'r_log', '1E5')} FROM g", "fx_candidates")
@@ -543,7 +543,7 @@ _GRID = f"c AS (SELECT a.ix, a.iy, coalesce(g.m2, 0) AS area_m2, a.ix*10000 + a.
 def cell_sample(spark, sf_dir):
     """Cells for a study: the fullest, some in the middle, and empty ones."""
     grid = spark.range(200).select((F.col("id") % 20).cast("int").alias("ix"), F.floor(F.col("id") / 20).cast("int").alias("iy"))
-    own = D.with_cell(_candidates(spark, sf_dir).where("cand_id % 9 = 0 AND area_m2 < 3000")).groupBy("ix", "iy").agg(F.sum("area_m2").alias("area_m2"))
+    own = D.with_cell(_candidates(spark, sf_dir).where("cand_id % 9 = 0 AND area_m2 < 3000"), GRID).groupBy("ix", "iy").agg(F.sum("area_m2").alias("area_m2"))
     s = C.cell_strata(grid.join(own, ["ix", "iy"], "left").fillna(0.0, ["area_m2"]))
     return s.select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), "stratum")
 
@@ -568,7 +568,7 @@ def resume_set(spark, sf_dir):
 
 @query(f"SELECT {_IX} AS ix, {_IY} AS iy, count(*) AS n_labels FROM fx_mapped WHERE area_m2 >= 400 GROUP BY 1, 2 ORDER BY n_labels DESC, ix, iy LIMIT 25", "fx_mapped")
 def top_label_cells(spark, sf_dir):
-    return D.top_cells(fixture(spark, sf_dir, "fx_mapped"), 25)
+    return D.top_cells(fixture(spark, sf_dir, "fx_mapped"), 25, GRID)
 
 
 @query("SELECT osm_id AS key FROM fx_mapped INTERSECT SELECT cand_id FROM fx_candidates", "fx_mapped", "fx_candidates")
@@ -647,7 +647,7 @@ def vegetation_negatives(spark, sf_dir):
 @query(f"WITH a AS (SELECT {_IX} AS ix, {_IY} AS iy, count(*) AS n FROM fx_buildings GROUP BY 1, 2), b AS (SELECT {_IX} AS ix, {_IY} AS iy, count(*) AS k FROM fx_candidates GROUP BY 1, 2) SELECT a.ix, a.iy, n, k FROM a JOIN b ON b.ix = a.ix + 3 AND b.iy = a.iy + 2", "fx_buildings", "fx_candidates")
 def linked_cells(spark, sf_dir):
     """Cells with those of a grid that is numbered further by three and two."""
-    count = lambda df, n: D.with_cell(df).groupBy("ix", "iy").agg(F.count("*").alias(n))
+    count = lambda df, n: D.with_cell(df, GRID).groupBy("ix", "iy").agg(F.count("*").alias(n))
     return N.linked_cells(count(_buildings(spark, sf_dir), "n"), count(_candidates(spark, sf_dir), "k"), 3, 2).select("ix", "iy", "n", F.col("o_k").alias("k"))
 
 
@@ -748,7 +748,7 @@ def missed_and_controls(spark, sf_dir):
 
 @query(f"WITH h AS (SELECT {_IX} AS ix, {_IY} AS iy, count(*) AS n FROM fx_buildings GROUP BY 1, 2), l AS (SELECT {_IX} AS ix, {_IY} AS iy, count(*) AS k FROM fx_mapped WHERE placement = 'ground' GROUP BY 1, 2) SELECT ix, iy, coalesce(n, 0) AS n_buildings, coalesce(k, 0) AS n_labels FROM h FULL JOIN l USING (ix, iy) WHERE coalesce(n, 0) >= 70 OR coalesce(k, 0) > 0", "fx_buildings", "fx_mapped")
 def compose_cells(spark, sf_dir):
-    return api.compose(_buildings(spark, sf_dir), fixture(spark, sf_dir, "fx_mapped").where("placement = 'ground'"), 70)
+    return api.compose(_buildings(spark, sf_dir), fixture(spark, sf_dir, "fx_mapped").where("placement = 'ground'"), 70, GRID)
 
 
 QUERIES = _QUERIES

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from solargrid.functions import business as B
 from solargrid.operators import calibration as K
 from solargrid.plans import api, series
-from solargrid.plans.common import scaled, sql_scaled
+from solargrid.plans.common import GRID, scaled, sql_scaled
 from solargrid.plans.grid import _ALL, _BIN, _CLOSE, _GAP, _HIST, _IX, _IY, _NEAREST, _SHARED, _TABLE
 from solargrid.sources.fixtures import fixture, with_views
 
@@ -29,7 +29,7 @@ def posterior_intervals(spark, sf_dir):
 
 
 def density_draws(spark, sf_dir):
-    d = api.density_intervals(fixture(spark, sf_dir, "fx_candidates"), _draws(spark, sf_dir, 200))
+    d = api.density_intervals(fixture(spark, sf_dir, "fx_candidates"), _draws(spark, sf_dir, 200), GRID)
     return d.select("ix", "iy", scaled("lo", 10).alias("lo"), scaled("hi", 10).alias("hi"))
 
 
@@ -48,7 +48,7 @@ def density_chain(spark, sf_dir):
     table = api.calibrate_candidates(c, m, fixture(spark, sf_dir, "fx_reviews"), fixture(spark, sf_dir, "fx_bins"))
     px = fixture(spark, sf_dir, "fx_pixels").groupBy("ix", "iy").agg((F.sum(B.floor_noise(F.col("prob_u8") / 255.0)) * 100).alias("exp_m2"))
     placed = c.withColumn("placement", F.when(F.col("cand_id") % 2 == 0, "rooftop").otherwise("ground"))
-    _, regions = api.run_density(placed, fixture(spark, sf_dir, "fx_buildings"), px, table, fixture(spark, sf_dir, "fx_regions").where("level = 'county'"))
+    _, regions = api.run_density(placed, fixture(spark, sf_dir, "fx_buildings"), px, table, fixture(spark, sf_dir, "fx_regions").where("level = 'county'"), GRID)
     return regions.select("region_id", "region_name", "n_cells", "n_buildings", scaled("det_mwp", 1000).alias("det_mwp"), scaled("rc_m2", 10).alias("rc_m2"))
 
 
