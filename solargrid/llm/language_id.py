@@ -21,6 +21,7 @@ hashes as the empty string and is kept. Empty tables give an empty result. Other
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,6 +35,8 @@ from solargrid.llm import vocabulary as V
 
 FOLDS, HELD = 3, 1
 STRETCH = 256
+#: Below U+0300 there are no combining marks, and a plain class (without the superscripts and fractions) is faster.
+BEYOND, PLAIN = re.compile("[\u0300-\U0010ffff]"), re.compile(rf"[^\W\d_²³¹¼½¾]{{1,{STRETCH}}}")
 LETTERS = regex.compile(rf"\p{{L}}[\p{{L}}\p{{M}}]{{0,{STRETCH - 1}}}")
 #: Pseudo-counts of the prior in each language.
 PRIOR_COUNT = 20_000.0
@@ -141,7 +144,8 @@ def by_length(words: list[str]) -> Iterator[list[int]]:
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    low = text.lower()
+    return (LETTERS if BEYOND.search(low) else PLAIN).findall(low)
 
 
 _kept: dict = {}
