@@ -41,11 +41,11 @@ from solargrid.llm.storage import stored
 CHUNK = 20_000
 BLOCK = 64
 #: Characters that a task segments at once.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 19
 #: A Python worker forgets its solved stretches beyond so many; longer ones than WIDE are solved one by one.
-CACHE, WIDE = 400_000, 48
+CACHE, WIDE = 300_000, 48
 #: Stretches that are solved together.
-ROWS = 20_000
+ROWS = 10_000
 LOW = float("-inf")
 
 
