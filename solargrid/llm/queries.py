@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solargrid.llm import decontaminate, language_id, license_scan, lm_score, ngram_jaccard, piece_codec, quality_classifier, quality_rules, suffix_dedup, warc
+from solargrid.llm import decontaminate, language_id, license_scan, lm_score, ngram_jaccard, piece_codec, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_decontaminate": op9_decontaminate,
     "op10_license_scan": op10_license_scan,
+    "op11_simhash_dedup": op11_simhash_dedup,
 }
 
 ORACLES: dict[str, str] = {
