@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from solargrid.llm import decontaminate, language_id, license_scan, lm_score, ngram_jaccard, piece_codec, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, warc
+from solargrid.llm import decontaminate, hard_negatives, language_id, license_scan, lm_score, ngram_jaccard, piece_codec, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,14 @@ def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -73,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_license_scan": op10_license_scan,
     "op11_simhash_dedup": op11_simhash_dedup,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -80,4 +90,5 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": quality_rules.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_license_scan": license_scan.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
