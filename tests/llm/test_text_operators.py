@@ -518,11 +518,28 @@ def test_leaks_bear_substitutions_and_leave_others(spark):
     swapped = " ".join(x if k % 9 else "other" for k, x in enumerate(w))
     loose = " ".join(x if k % 2 else "other" for k, x in enumerate(w))
     d = spark.createDataFrame([(1, "before " + item.upper() + " after"), (2, "x y " + swapped), (3, loose), (4, "nothing of the kind " * 20), (5, " ".join(w[10:32])), (6, None)], "doc_id long, text string")
-    b = spark.createDataFrame([(7, item), (8, "too short"), (9, None)], "item_id long, text string")
+    b = spark.createDataFrame([(7, item), (8, "too long to be here"), (9, None)], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()) == [(1, 7), (2, 7), (5, 7)]
     assert {r.doc_id for r in decontaminate.without_leaks(d, b).collect()} == {3, 4, 6}
 
 
+def test_short_items_must_stand_whole(spark, monkeypatch):
+    import duckdb
+
+    texts = {1: "So, what is the capital city of France? Paris.", 2: "what is the capital of france", 3: "Eureka!", 4: None, 5: "a-b c, D e f g H", 6: "eureka " * 3}
+    items = {1: "Eureka", 5: "b c d e f", 8: "a b c d e f g h", 7: "what is the capital city of france", 9: "a b c d x f g h", 10: "", 11: None}
+    d, b = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = [(1, 7, 7, 7), (3, 1, 1, 1), (5, 5, 5, 5), (5, 8, 8, 8), (6, 1, 1, 1)]
+    assert sorted((r.doc_id, r.item_id, r.matched, r.compared) for r in decontaminate.leaks(d, b).collect()) == want
+    con = duckdb.connect()
+    con.register("documents", d.toPandas())
+    con.register("benchmark", b.toPandas())
+    assert sorted((x["doc_id"], x["item_id"], x["matched"], x["compared"]) for x in con.execute(decontaminate.ORACLE).df().to_dict("records")) == want
+    assert {r.doc_id for r in decontaminate.without_leaks(d, b).collect()} == {2, 4}
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 2)
+    assert sorted((r.doc_id, r.item_id, r.matched, r.compared) for r in decontaminate.leaks(d, b).collect()) == want
+
+
 def test_leaks_on_odd_input(spark, odd):
     b = odd.where("doc_id = 4").limit(1).select(F.col("doc_id").alias("item_id"), "text")
     assert sorted((str(r.doc_id), r.item_id) for r in decontaminate.leaks(odd, b).collect()) == [("4", 4), ("None", 4)]
