@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from solargrid.llm.components import components
 from solargrid.llm.key_filter import passing
-from solargrid.llm.row_ids import row_id
+from solargrid.llm.row_ids import carried, row_id
 from solargrid.llm.shingles import P, blocks, mix, shingles, texts
 from solargrid.llm.storage import input_partitions, stored
 
@@ -295,12 +295,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by all their columns; of rows that are equal throughout one stays, as they are copies of each other.
     """
-    d = docs.withColumn("q_id", row_id(docs))
-    found = stored(join(d, id_col="q_id"), "groups")
+    found = stored(join(docs.select(row_id(docs).alias("q_id"), "text"), id_col="q_id"), "groups")
     own = found.select("doc_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("q_first")).groupBy("doc_id").agg(F.max("q_first").alias("q_first"), F.count("*").alias("q_n"))
-    own = stored(own.where("q_first").select(F.col("doc_id").alias("k_id"), "q_n"), "kept-rows")
-    kept = d.join(own, d["q_id"] == own["k_id"])
+    own = stored(own.where("q_first").select(F.col("doc_id").alias("q_id"), "q_n"), "kept-rows")
+    kept = carried(docs).join(own, "q_id")
     if own.where("q_n > 1").isEmpty():
-        return kept.select(*docs.columns)
+        return kept.select("q_row.*")
     once, again = kept.where("q_n = 1"), kept.where("q_n > 1").dropDuplicates(["q_id"])
-    return once.unionByName(again).select(*docs.columns)
+    return once.unionByName(again).select("q_row.*")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from solargrid.llm.row_ids import row_id
+from solargrid.llm.row_ids import carried, row_id
 from solargrid.llm.storage import stored
 
 #: ASCII white space between words, and the symbols that count.
@@ -152,9 +152,9 @@ def judged(docs: DataFrame, min_group: int = MIN_GROUP, **columns: str) -> DataF
 
 def keep_good(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """The rows of documents whose verdict is to keep them, with their own columns; each row is judged on its own text."""
-    d = docs.withColumn("q_id", row_id(docs))
-    kept = judged(d, min_group, id_col="q_id").where("kept").select(F.col("doc_id").alias("k_id")).distinct()
-    return d.join(kept, d["q_id"] == kept["k_id"], "left_semi").drop("q_id")
+    own = docs.select(row_id(docs).alias("q_id"), "text", "lang", "source")
+    kept = judged(own, min_group, id_col="q_id").where("kept").select(F.col("doc_id").alias("q_id")).distinct()
+    return carried(docs).join(kept, "q_id", "left_semi").select("q_row.*")
 
 
 def _oracle() -> str:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from solargrid.llm.key_filter import passing
-from solargrid.llm.row_ids import row_id
+from solargrid.llm.row_ids import carried, row_id
 from solargrid.llm.shingles import blocks, mix, powers, prefix_sums, texts
 from solargrid.llm.storage import input_partitions, stored
 from solargrid.llm.suffix_array import repeated
@@ -326,10 +326,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Bytes of a character that was cut in two go with it. n_chars, if there, is set to the new length. A text that loses
     everything stays as an empty one. Each row is cut by its own text, also where rows share a doc_id.
     """
-    d = docs.withColumn("q_id", row_id(docs))
-    shorter = dedup(d, id_col="q_id").where("n_removed > 0").select(F.col("doc_id").alias("k_id"), F.expr("replace(make_valid_utf8(CAST(kept AS STRING)), '\ufffd', '')").alias("k_text")).dropDuplicates(["k_id"])
-    j = d.join(shorter, d["q_id"] == shorter["k_id"], "left")
-    cols = {"text": F.coalesce("k_text", "text")}
+    own = docs.select(row_id(docs).alias("q_id"), "text")
+    shorter = dedup(own, id_col="q_id").where("n_removed > 0").select(F.col("doc_id").alias("q_id"), F.expr("replace(make_valid_utf8(CAST(kept AS STRING)), '\ufffd', '')").alias("q_text")).dropDuplicates(["q_id"])
+    j = carried(docs).join(shorter, "q_id", "left")
+    old = F.col("q_row").getField
+    cols = {"text": F.coalesce("q_text", old("text"))}
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(F.col("k_text").isNotNull(), F.length("k_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return j.select(*[cols.get(c, F.col(c)).alias(c) for c in docs.columns])
+        cols["n_chars"] = F.when(F.col("q_text").isNotNull(), F.length("q_text").cast(docs.schema["n_chars"].dataType)).otherwise(old("n_chars"))
+    return j.select(*[cols.get(c, old(c)).alias(c) for c in docs.columns])
