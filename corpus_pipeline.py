@@ -3,6 +3,11 @@
 Quality rules reject documents; of each group of near copies the one with the smallest doc_id stays; strings of 400 bytes that
 stand at several places are cut out of what is left; documents that hold a passage of the benchmark go; and the
 rest is encoded. Each stage takes and returns whole tables; all but the last return the columns of documents.
+
+A row is told apart by all its columns, so ids may be null or repeat. Extra columns come back unchanged, whatever they are
+called. A null text counts as an empty one and is rejected by the first stage for having no words; so is an empty text. Rows
+that are equal throughout are copies, of which one stays. Very long texts are processed whole. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
