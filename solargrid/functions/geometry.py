@@ -44,7 +44,7 @@ def geodesic_area_m2(rings: Column) -> Column:
     """Area on the ellipsoid by the equal-area projection's shoelace; holes subtract if wound the other way. 0 for null."""
 
     # Coordinates count from the first point, so that the products of a small polygon keep their digits.
-    ox, oy = equal_area(rings[0][0]["x"], rings[0][0]["y"])
+    ox, oy = equal_area(F.get(F.get(rings, F.lit(0)), F.lit(0))["x"], F.get(F.get(rings, F.lit(0)), F.lit(0))["y"])
 
     def term(ax, ay, bx, by):
         (x1, y1), (x2, y2) = equal_area(ax, ay), equal_area(bx, by)
@@ -55,7 +55,7 @@ def geodesic_area_m2(rings: Column) -> Column:
 
 def centroid(rings: Column) -> tuple[Column, Column]:
     """Shoelace centroid in degrees."""
-    ox, oy = rings[0][0]["x"], rings[0][0]["y"]
+    ox, oy = F.get(F.get(rings, F.lit(0)), F.lit(0))["x"], F.get(F.get(rings, F.lit(0)), F.lit(0))["y"]
     cross = lambda ax, ay, bx, by: (ax - ox) * (by - oy) - (bx - ox) * (ay - oy)
     area = _ring_sum(rings, cross)
     cx = _ring_sum(rings, lambda ax, ay, bx, by: (ax + bx - 2 * ox) * cross(ax, ay, bx, by))
@@ -181,28 +181,6 @@ def south_gap(axis: Column) -> Column:
     return F.least(gap(axis + 90), gap(axis + 270))
 
 
-def _clip(subject: np.ndarray, convex: np.ndarray) -> np.ndarray:
-    """Sutherland-Hodgman: the part of a polygon in a convex one (counter-clockwise)."""
-    for a, b in zip(convex, np.roll(convex, -1, axis=0), strict=True):
-        if not len(subject):
-            break
-        side = (b[0] - a[0]) * (subject[:, 1] - a[1]) - (b[1] - a[1]) * (subject[:, 0] - a[0])
-        after = np.roll(subject, -1, axis=0)
-        side_after = np.roll(side, -1)
-        out = []
-        for p, q, s, t in zip(subject, after, side, side_after, strict=True):
-            if s >= 0:
-                out.append(p)
-            if (s >= 0) != (t >= 0):
-                out.append(p + (q - p) * (s / (s - t)))
-        subject = np.array(out).reshape(-1, 2)
-    return subject
-
-
-def _shoelace(p: np.ndarray) -> float:
-    return float((p[:, 0] * np.roll(p[:, 1], -1) - np.roll(p[:, 0], -1) * p[:, 1]).sum() / 2) if len(p) > 2 else 0.0
-
-
 def _points(rings) -> np.ndarray:
     p = np.array([(q["x"], q["y"]) for q in rings[0]])
     return p[:-1] if len(p) > 1 and (p[0] == p[-1]).all() else p
@@ -222,20 +200,6 @@ def _hull(p: np.ndarray) -> np.ndarray:
     return np.array(half)
 
 
-@F.pandas_udf(T.DoubleType())
-def intersection_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Area shared by outer rings, in the units of their coordinates; b is taken as convex."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        subject, clip = _points(x), _points(y)
-        subject, clip = subject - subject[0], clip - subject[0]  # small polygons keep their digits
-        out.append(abs(_shoelace(_clip(subject, clip if _shoelace(clip) > 0 else clip[::-1]))))
-    return pd.Series(out, dtype="float64")
-
-
 @F.pandas_udf(T.DoubleType())
 def long_axis_bearing(rings: pd.Series) -> pd.Series:
     """Bearing (0 to 180) of the longest side of the least rectangle around a polygon, by rotating over its hull."""

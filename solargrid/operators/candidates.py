@@ -25,11 +25,10 @@ def place_on_buildings(candidates: DataFrame, buildings: DataFrame, reach_m: flo
     return out.withColumn("building_id", F.when(F.col("placement") != "no_building", F.col("near_id"))).drop("dist_m", "near_id", "overlap_m2")
 
 
-def best_overlap(candidates: DataFrame, buildings: DataFrame) -> DataFrame:
-    """Fallback placement: the building with the largest intersection decides (ties: the smallest id)."""
-    a, b = S.renamed(S.with_box(candidates), "l_"), S.renamed(S.with_box(buildings), "r_")
-    shared = S.box_overlap_m2(*[F.col(f"{s}_{c}") for s in "lr" for c in ("lon", "lat", "area_m2")])
-    hits = S.box_pairs(a, b).withColumn("shared", shared)
+def best_overlap(candidates: DataFrame, buildings: DataFrame, least_m2: float | None = None) -> DataFrame:
+    """Fallback placement: the building with the largest intersection (of more than least_m2, if given) decides; ties: the smallest id."""
+    hits = S.overlaps(candidates, buildings)
+    hits = hits if least_m2 is None else hits.where(F.col("shared") > least_m2)
     top = hits.groupBy(F.col("l_cand_id").alias("cand_id")).agg(F.max(F.struct("shared", (-F.col("r_id")).alias("neg"))).alias("t"))
     j = candidates.join(top, "cand_id", "left")
     share = F.col("t.shared") / F.col("area_m2")
@@ -39,9 +38,7 @@ def best_overlap(candidates: DataFrame, buildings: DataFrame) -> DataFrame:
 def label_placement(labels: DataFrame, buildings: DataFrame, least_share: float = 0.5) -> DataFrame:
     """Labels of unknown placement become rooftop if buildings cover half of them, else ground."""
     unknown = labels.where("placement = 'unknown'")
-    a, b = S.renamed(S.with_box(unknown), "l_"), S.renamed(S.with_box(buildings), "r_")
-    shared = S.box_overlap_m2(*[F.col(f"{s}_{c}") for s in "lr" for c in ("lon", "lat", "area_m2")])
-    cover = S.box_pairs(a, b).groupBy(F.col("l_osm_id").alias("osm_id")).agg((F.sum(shared) / F.first("l_area_m2")).alias("share"))
+    cover = S.overlaps(unknown, buildings).groupBy(F.col("l_osm_id").alias("osm_id")).agg((F.sum("shared") / F.first("l_area_m2")).alias("share"))
     solved = F.when(F.col("placement") != "unknown", F.col("placement")).when(F.col("share") >= least_share, "rooftop").otherwise("ground")
     return labels.join(cover, "osm_id", "left").withColumn("placement", solved).drop("share")
 

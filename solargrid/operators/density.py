@@ -48,9 +48,7 @@ def tile_manifest(tiles: DataFrame) -> DataFrame:
 
 def detected_on_buildings(candidates: DataFrame, buildings: DataFrame) -> DataFrame:
     """Per building: detected and calibrated candidate area on it (at most its roof) and its main candidate."""
-    a, b = S.renamed(S.with_box(candidates), "l_"), S.renamed(S.with_box(buildings), "r_")
-    shared = S.box_overlap_m2(*[F.col(f"{s}_{c}") for s in "lr" for c in ("lon", "lat", "area_m2")])
-    hits = S.box_pairs(a, b).withColumn("shared", shared).where("shared > 0")
+    hits = S.overlaps(candidates, buildings).where("shared > 0")
     return hits.groupBy(F.col("r_id").alias("id")).agg(
         F.least(F.sum("shared"), F.first("r_area_m2")).alias("det_m2"),
         F.least(F.sum(F.col("shared") * F.col("l_p_real")), F.first("r_area_m2")).alias("cal_m2"),

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solargrid.functions import business as B
+from solargrid.functions import shapes
 from solargrid.operators.components import components
 
 TILE = ["ix", "iy"]
@@ -27,6 +31,48 @@ def footprints_to_pixels(df: DataFrame, pixel_deg: float, x0: float, y0: float,
     return d.select(*keep, F.floor(F.col("px") / SIDE).cast("int").alias("ix"), F.floor(F.col("py") / SIDE).cast("int").alias("iy"), F.pmod("py", F.lit(SIDE)).cast("int").alias("r"), F.pmod("px", F.lit(SIDE)).cast("int").alias("c"))
 
 
+def polygon_spans(df: DataFrame, pixel_deg: float, x0: float, y0: float, keep: list[str]) -> DataFrame:
+    """keep, py, x1 and x2: for each row of pixels of the whole grid the stretches whose centres lie in a polygon (rings).
+
+    Scan lines, without a shuffle; a polygon of any size gives as many rows as it has stretches, not pixels.
+    """
+    schema = df.select(*keep).schema
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    names = [*keep, "py", "x1", "x2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, line, first, last in shapes.spans(shapes.Edges(b.column(len(keep))), pixel_deg, x0, y0):
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in range(len(keep))], pa.array(line), pa.array(first), pa.array(last)], names)
+
+    return df.select(*keep, "rings").mapInArrow(run, f"{fields}, py long, x1 long, x2 long")
+
+
+def polygons_to_pixels(df: DataFrame, pixel_deg: float, x0: float, y0: float, keep: list[str]) -> DataFrame:
+    """A row for each pixel whose centre lies in a row's polygon: tile, r, c, like footprints_to_pixels for boxes."""
+    d = polygon_spans(df, pixel_deg, x0, y0, keep).withColumn("px", F.explode(F.sequence("x1", "x2")))
+    return d.select(*keep, F.floor(F.col("px") / SIDE).cast("int").alias("ix"), F.floor(F.col("py") / SIDE).cast("int").alias("iy"), F.pmod("py", F.lit(SIDE)).cast("int").alias("r"), F.pmod("px", F.lit(SIDE)).cast("int").alias("c"))
+
+
+def pixels_in_polygons(pixels: DataFrame, polygons: DataFrame, key: str, pixel_deg: float, x0: float, y0: float) -> DataFrame:
+    """Pixels (tile, r, c and more) with the key of each polygon that holds their centre: stretches meet the pixels of their row of a tile."""
+    s = polygon_spans(polygons, pixel_deg, x0, y0, [key])
+    tile = lambda c: F.floor(F.col(c) / SIDE)
+    s = s.withColumn("ix", F.explode(F.sequence(tile("x1").cast("int"), tile("x2").cast("int"))))
+    s = s.select(F.col(key), "ix", tile("py").cast("int").alias("iy"), F.pmod("py", F.lit(SIDE)).cast("int").alias("r"), (F.col("x1") - F.col("ix") * SIDE).alias("c1"), (F.col("x2") - F.col("ix") * SIDE).alias("c2"))
+    return pixels.join(s, [*TILE, "r"]).where((F.col("c") >= F.col("c1")) & (F.col("c") <= F.col("c2"))).drop("c1", "c2")
+
+
+def polygon_zonal(pixels: DataFrame, polygons: DataFrame, key: str, pixel_deg: float, x0: float, y0: float, by_order: str | None = None, least: float = 0.05) -> DataFrame:
+    """exp_m2, n_px and max_prob of every polygon, 0 and null where it holds no pixel. With by_order as in zonal: later ones overwrite."""
+    hits = pixels_in_polygons(pixels, polygons.select(F.struct(*([by_order] if by_order else []), key).alias("s_key"), "rings"), "s_key", pixel_deg, x0, y0)
+    if by_order:
+        hits = hits.groupBy(*TILE, "r", "c").agg(F.max("s_key").alias("s_key"), F.first("prob").alias("prob"))
+    own = hits.groupBy(F.col(f"s_key.{key}").alias(key)).agg((F.sum(B.floor_noise(F.col("prob"), least)) * PIXEL_M2).alias("exp_m2"), F.count("*").alias("n_px"), F.max("prob").alias("max_prob"))
+    return polygons.select(key).join(own, key, "left").fillna(0, ["exp_m2", "n_px"])
+
+
 def zonal(footprints: DataFrame, pixels: DataFrame, key: str, by_order: str | None = None, least: float = 0.05) -> DataFrame:
     """exp_m2 (noise floored), n_px and max_prob of each footprint's pixels.
 
@@ -113,8 +159,8 @@ def burned(footprints: DataFrame, least_m2: float = 400.0) -> DataFrame:
 
 
 def coverage_fraction(boxes: DataFrame, pixel_deg: float, x0: float, y0: float, keep: list[str], parts: int = 10) -> DataFrame:
-    """Share of each pixel that a box covers, by the centres of a finer grid."""
-    fine = footprints_to_pixels(boxes, pixel_deg / parts, x0, y0, keep)
+    """Share of each pixel that boxes or polygons (rings) cover, by the centres of a finer grid."""
+    fine = (polygons_to_pixels if "rings" in boxes.columns else footprints_to_pixels)(boxes, pixel_deg / parts, x0, y0, keep)
     gx, gy = F.col("ix") * SIDE + F.col("c"), F.col("iy") * SIDE + F.col("r")
     px, py = F.floor(gx / parts).cast("int"), F.floor(gy / parts).cast("int")
     cells = fine.select(*keep, px.alias("px"), py.alias("py"), F.pmod(gx, F.lit(parts)).alias("sx"), F.pmod(gy, F.lit(parts)).alias("sy"))

@@ -3,6 +3,9 @@
 Both sides carry boxes. Each row goes to every cell its box touches, and a pair counts only in the cell that holds the lower
 left corner of the boxes' intersection, so no pair needs a distinct. Cells are about the size of the search distance, so a
 cell holds few rows whatever the table's extent; a dense cell is split by adaptive execution like any skewed key.
+
+Tables with a column of rings are taken as polygons, others as squares of area_m2 around lon and lat; where only one of two
+tables has rings, the other one's squares become polygons. Distances and shares are exact for both.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from solargrid.functions import geometry as G
+from solargrid.functions import shapes
+from solargrid.operators.components import cut_lineage
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 #: Metres in a degree of latitude; of longitude, see geometry.lon_metres.
@@ -63,24 +68,87 @@ def box_overlap_m2(l_lon: Column, l_lat: Column, l_area: Column, r_lon: Column,
     return shared(r_lon - l_lon, G.lon_metres(l_lat)) * shared(r_lat - l_lat, LAT_M)
 
 
+def are_polygons(*tables: DataFrame) -> bool:
+    return any("rings" in t.columns for t in tables)
+
+
+def shaped(df: DataFrame, prefix: str, reach_m: float = 0.0) -> DataFrame:
+    """Rows with rings and their bounds, grown by reach_m; all columns get the prefix."""
+    d = df if "rings" in df.columns else df.withColumn("rings", G.box_rings(F.col("lon"), F.col("lat"), F.col("area_m2")))
+    d = d.withColumn("s_box", shapes.bounds("rings")).where("s_box.xmin IS NOT NULL")
+    at = lambda n: F.col(f"s_box.{n}")
+    dx, dy = reach_m / G.lon_metres((at("ymin") + at("ymax")) / 2), reach_m / LAT_M
+    return renamed(d.withColumns({"xmin": at("xmin") - dx, "ymin": at("ymin") - dy, "xmax": at("xmax") + dx, "ymax": at("ymax") + dy}).drop("s_box"), prefix)
+
+
+def _middle() -> Column:
+    return (F.col("l_ymin") + F.col("l_ymax")) / 2
+
+
+def polygon_pairs(left: DataFrame, right: DataFrame, reach_m: float = 0.0, size: float = 0.01) -> DataFrame:
+    """Pairs of polygons up to reach_m apart, with gap_m; left columns get l_, right ones r_."""
+    pairs = box_pairs(shaped(left, "l_", reach_m), shaped(right, "r_"), size)
+    return pairs.withColumn("gap_m", shapes.gap_m(F.col("l_rings"), F.col("r_rings"), _middle())).where(F.col("gap_m") <= reach_m)
+
+
+def _square_columns() -> list[Column]:
+    return [F.col(f"{s}_{c}") for s in "lr" for c in ("lon", "lat", "area_m2")]
+
+
 def _near(left: DataFrame, right: DataFrame, reach_m: float) -> DataFrame:
-    """Pairs of squares up to reach_m apart, with gap_m; left columns get l_, right ones r_."""
+    """Pairs up to reach_m apart, with gap_m; left columns get l_, right ones r_."""
+    if are_polygons(left, right):
+        return polygon_pairs(left, right, reach_m)
     a = renamed(with_box(left, reach_m=reach_m), "l_")
     b = renamed(with_box(right), "r_")
-    gap = box_gap_m(*[F.col(f"{s}_{c}") for s in "lr" for c in ("lon", "lat", "area_m2")])
-    return box_pairs(a, b).withColumn("gap_m", gap).where(F.col("gap_m") <= reach_m)
+    return box_pairs(a, b).withColumn("gap_m", box_gap_m(*_square_columns())).where(F.col("gap_m") <= reach_m)
+
+
+def _shared_m2(polygons: bool) -> Column:
+    if not polygons:
+        return box_overlap_m2(*_square_columns())
+    return shapes.intersection_area("l_rings", "r_rings") * G.lon_metres(_middle()) * LAT_M
+
+
+def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs whose boxes meet, with shared: the area in m2 that both cover (0 is possible)."""
+    polygons = are_polygons(left, right)
+    pairs = box_pairs(shaped(left, "l_"), shaped(right, "r_")) if polygons else box_pairs(renamed(with_box(left), "l_"), renamed(with_box(right), "r_"))
+    return pairs.withColumn("shared", _shared_m2(polygons))
 
 
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, reach_m: float) -> DataFrame:
     """Per left row with a neighbour: dist_m, near_id (ties: the smallest id) and overlap_m2 over all that it touches."""
-    area = box_overlap_m2(*[F.col(f"{s}_{c}") for s in "lr" for c in ("lon", "lat", "area_m2")])
-    pairs = _near(left, right, reach_m).withColumn("shared", area)
+    pairs = _near(left, right, reach_m).withColumn("shared", _shared_m2(are_polygons(left, right)))
     best = F.min(F.struct("gap_m", F.col(f"r_{right_id}").alias("id")))
     return pairs.groupBy(F.col(f"l_{left_id}").alias(left_id)).agg(best.alias("b"), F.sum("shared").alias("overlap_m2")).select(left_id, F.col("b.gap_m").alias("dist_m"), F.col("b.id").alias("near_id"), "overlap_m2")
 
 
+def nearest_anywhere(left: DataFrame, right: DataFrame, left_id: str, right_id: str, first_m: float = 100.0, most_m: float = 100_000.0) -> DataFrame:
+    """The same up to most_m, by a reach that grows fourfold for the rows that have found nothing yet."""
+    todo, found, reach = cut_lineage(left), None, min(first_m, most_m)
+    while True:
+        own = cut_lineage(nearest(todo, right, left_id, right_id, reach))
+        found = own if found is None else found.unionByName(own)
+        if reach >= most_m:
+            return found
+        todo = cut_lineage(todo.join(own, left_id, "left_anti"))
+        if todo.isEmpty():
+            return found
+        reach = min(4 * reach, most_m)
+
+
+def nearest_feature(left: DataFrame, features: DataFrame, left_id: str, feature_id: str, match_m: float = 200.0, most_m: float = 100_000.0) -> DataFrame:
+    """left_id, near_id (the feature nearest on the plane, null beyond most_m), geodesic distance of both points, is_match within match_m."""
+    near = nearest_anywhere(left, features, left_id, feature_id, most_m=most_m).select(left_id, "near_id")
+    other = features.select(F.col(feature_id).alias("near_id"), F.col("lon").alias("f_lon"), F.col("lat").alias("f_lat"))
+    j = left.select(left_id, "lon", "lat").join(near, left_id, "left").join(other, "near_id", "left")
+    d = G.haversine_m(F.col("lon"), F.col("lat"), F.col("f_lon"), F.col("f_lat"))
+    return j.select(left_id, "near_id", d.alias("distance_m"), F.coalesce(d <= match_m, F.lit(False)).alias("is_match"))
+
+
 def matched(left: DataFrame, right: DataFrame, left_id: str, distance_m: float) -> DataFrame:
-    """Left ids with a right square up to distance_m away; at 0 they must intersect."""
+    """Left ids with a right square or polygon up to distance_m away; at 0 they must intersect."""
     return _near(left, right, distance_m).select(F.col(f"l_{left_id}").alias(left_id)).distinct()
 
 
@@ -106,20 +174,60 @@ def small_enough(df: DataFrame, most_rows: int) -> bool:
     return df.limit(most_rows + 1).count() <= most_rows
 
 
-def attach_region(points: DataFrame, regions: DataFrame, how: str = "inner", key: str = "id", most_rows: int = 50_000) -> DataFrame:
+def _by_cell(boxes: DataFrame, size: float, most_rows: int, *keep: str) -> DataFrame:
+    """s_kx, s_ky, s_here: the rows of a cell as an array of structs of keep; broadcast up to most_rows of them."""
+    spread = _cells(boxes, "r_", size)
+    cells = spread.groupBy("s_kx", "s_ky").agg(F.collect_list(F.struct(*keep)).alias("s_here"))
+    return F.broadcast(cells) if small_enough(spread, most_rows) else cells
+
+
+def attach_region(points: DataFrame, regions: DataFrame, how: str = "inner", key: str = "id", most_rows: int = 50_000, size: float = 0.1) -> DataFrame:
     """Points with the region that holds them; of several, the one with the smallest region_id.
 
-    Regions are broadcast up to most_rows; more of them meet the points on grid cells.
+    Regions are boxes (xmin.. columns) or polygons (rings); points with rings take the first region that they touch. Each grid
+    cell lists its regions, and a point looks into the list of its own cell: the points are not shuffled while the lists are
+    few enough to be broadcast, and once otherwise.
     """
-    r = renamed(regions, "g_")
-    if small_enough(regions, most_rows):
-        hit = points.select(key, "lon", "lat").join(F.broadcast(r), in_box(F.col("lon"), F.col("lat"), "g_"))
+    if are_polygons(regions):
+        return _attach_polygon(points, regions, how, key)
+    r = renamed(regions, "r_")
+    cells = _by_cell(r, size, most_rows, "r_region_id", "r_name", *[f"r_{c}" for c in BOX])
+    p = points.withColumn("s_kx", F.floor(F.col("lon") / size)).withColumn("s_ky", F.floor(F.col("lat") / size))
+    lon, lat = F.col("lon"), F.col("lat")
+    holds = F.filter("s_here", lambda b: (lon >= b["r_xmin"]) & (lon < b["r_xmax"]) & (lat >= b["r_ymin"]) & (lat < b["r_ymax"]))
+    out = p.join(cells, ["s_kx", "s_ky"], "left").withColumn("s_one", F.array_min(holds))
+    out = out if how == "left" else out.where("s_one IS NOT NULL")
+    return out.select(*points.columns, F.col("s_one.r_region_id").alias("region_id"), F.col("s_one.r_name").alias("region_name"))
+
+
+def _attach_polygon(points: DataFrame, regions: DataFrame, how: str, key: str) -> DataFrame:
+    if are_polygons(points):
+        hit = touching(points, regions, key, "region_id")
     else:
-        spread = _cells(r.withColumnsRenamed({f"g_{c}": f"r_{c}" for c in BOX}), "r_", 0.1)
-        p = points.select(key, "lon", "lat").withColumn("s_kx", F.floor(F.col("lon") / 0.1)).withColumn("s_ky", F.floor(F.col("lat") / 0.1))
-        hit = p.join(spread, ["s_kx", "s_ky"]).where(in_box(F.col("lon"), F.col("lat"), "r_"))
-    one = hit.groupBy(key).agg(F.min_by(F.struct(F.col("g_region_id").alias("region_id"), F.col("g_name").alias("region_name")), "g_region_id").alias("r"))
-    return points.join(one, key, how).select(*points.columns, "r.region_id", "r.region_name")
+        hit = in_polygons(points, regions, key, "region_id")
+    one = hit.groupBy(key).agg(F.min("region_id").alias("region_id"))
+    names = regions.select("region_id", F.col("name").alias("region_name"))
+    return points.join(one.join(names, "region_id"), key, how).select(*points.columns, "region_id", "region_name")
+
+
+def touching(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float = 0.1) -> DataFrame:
+    """left_id and right_id of polygons that share a point."""
+    pairs = box_pairs(shaped(left, "l_"), shaped(right, "r_"), size).where(shapes.intersects("l_rings", "r_rings"))
+    return pairs.select(F.col(f"l_{left_id}").alias(left_id), F.col(f"r_{right_id}").alias(right_id))
+
+
+def covered(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float = 0.1) -> DataFrame:
+    """left_id and right_id where the right polygon covers the whole left one."""
+    pairs = box_pairs(shaped(left, "l_"), shaped(right, "r_"), size).where(shapes.covers("r_rings", "l_rings"))
+    return pairs.select(F.col(f"l_{left_id}").alias(left_id), F.col(f"r_{right_id}").alias(right_id))
+
+
+def within_reach(df: DataFrame, geometries: DataFrame, key: str, reach_m: float = 2000.0, size: float = 0.1) -> DataFrame:
+    """Rows that come within reach_m of some geometry: first those of the cells that the grown geometries touch, then by distance."""
+    g = geometries.select("rings") if are_polygons(geometries) else geometries.select("lon", "lat", "area_m2")
+    hit = box_pairs(shaped(df.select(key, *([c for c in ("rings", "lon", "lat", "area_m2") if c in df.columns])), "l_", reach_m), shaped(g, "r_"), size)
+    near = hit.where(shapes.gap_m(F.col("l_rings"), F.col("r_rings"), _middle()) <= reach_m).select(F.col(f"l_{key}").alias(key)).distinct()
+    return df.join(near, key, "left_semi")
 
 
 def in_coverage(points: DataFrame, tiles: DataFrame, key: str) -> DataFrame:
@@ -159,12 +267,12 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
     return best.select("b.*").withColumnRenamed("s_gap", "gap_s")
 
 
-def in_polygons(points: DataFrame, polygons: DataFrame, key: str, polygon_id: str, size: float = 0.1) -> DataFrame:
-    """key and polygon_id of every point (key, lon, lat) inside a polygon (polygon_id, rings), by grid cells of the polygons' bounds."""
-    b = G.bounds(F.col("r_rings"))
-    r = polygons.select(F.col(polygon_id).alias("r_id"), F.col("rings").alias("r_rings")).select("r_id", "r_rings", *[c.alias(f"r_{n}") for n, c in b.items()])
-    p = points.select(F.col(key).alias("p_key"), F.col("lon").alias("l_xmin"), F.col("lat").alias("l_ymin"), F.col("lon").alias("l_xmax"), F.col("lat").alias("l_ymax"))
-    return box_pairs(p, r, size, G.contains_xy(F.col("r_rings"), F.col("l_xmin"), F.col("l_ymin"))).select(F.col("p_key").alias(key), F.col("r_id").alias(polygon_id))
+def in_polygons(points: DataFrame, polygons: DataFrame, key: str, polygon_id: str, *carry: str, size: float = 0.1) -> DataFrame:
+    """key, polygon_id and the columns in carry of every point (lon, lat) inside a polygon (rings), by grid cells of the polygons' bounds."""
+    r = shaped(polygons.select(polygon_id, "rings"), "r_")
+    p = points.select(F.col(key).alias("p_key"), F.struct(*(carry or (key,))).alias("p_more"), *[F.col(c).alias(f"l_{b}") for c, b in (("lon", "xmin"), ("lat", "ymin"), ("lon", "xmax"), ("lat", "ymax"))])
+    inside = box_pairs(p, r, size).where(shapes.contains_point("r_rings", "l_xmin", "l_ymin"))
+    return inside.select(F.col("p_key").alias(key), F.col(f"r_{polygon_id}").alias(polygon_id), *[F.col(f"p_more.{c}").alias(c) for c in carry])
 
 
 def first_polygon(points: DataFrame, polygons: DataFrame, key: str, polygon_id: str, how: str = "left") -> DataFrame:
@@ -173,20 +281,16 @@ def first_polygon(points: DataFrame, polygons: DataFrame, key: str, polygon_id:
     return points.join(one, key, how)
 
 
-def polygon_sums(points: DataFrame, polygons: DataFrame, key: str, polygon_id: str, measure: str) -> DataFrame:
-    """Sum of a measure over the points in each polygon; 0 where none lies."""
-    own = in_polygons(points, polygons, key, polygon_id).join(points.select(key, measure), key).groupBy(polygon_id).agg(F.sum(measure).alias(measure))
-    return polygons.select(polygon_id).join(own, polygon_id, "left").fillna(0, [measure])
+def polygon_sums(points: DataFrame, polygons: DataFrame, key: str, polygon_id: str, *measures: str) -> DataFrame:
+    """Sums of measures over the points in each polygon; 0 where none lies."""
+    own = in_polygons(points, polygons, key, polygon_id, *measures).groupBy(polygon_id).agg(*[F.sum(m).alias(m) for m in measures])
+    return polygons.select(polygon_id).join(own, polygon_id, "left").fillna(0, list(measures))
 
 
 def polygon_overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float = 0.01) -> DataFrame:
-    """left_id, right_id and shared area (in the squared units of the coordinates) of polygons that overlap; right ones are convex."""
-
-    def boxed(df: DataFrame, key: str, side: str) -> DataFrame:
-        return df.select(F.col(key).alias(f"{side}_id"), F.col("rings").alias(f"{side}_rings"), *[c.alias(f"{side}_{n}") for n, c in G.bounds(F.col("rings")).items()])
-
-    pairs = box_pairs(boxed(left, left_id, "l"), boxed(right, right_id, "r"), size)
-    out = pairs.select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id), G.intersection_area("l_rings", "r_rings").alias("shared"))
+    """left_id, right_id and shared area (in the squared units of the coordinates) of polygons that overlap."""
+    pairs = box_pairs(shaped(left.select(left_id, "rings"), "l_"), shaped(right.select(right_id, "rings"), "r_"), size)
+    out = pairs.select(F.col(f"l_{left_id}").alias(left_id), F.col(f"r_{right_id}").alias(right_id), shapes.intersection_area("l_rings", "r_rings").alias("shared"))
     return out.where("shared > 0")
 
 

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from solargrid.functions import business as B
 from solargrid.functions import geometry as G
-from solargrid.operators import calibration, candidates, density, evaluate, glint, pixels, spatial, studies, training
+from solargrid.operators import calibration, candidates, density, evaluate, glint, outlines, pixels, spatial, studies, training
+from solargrid.operators.components import cut_lineage
 from solargrid.sources import tables
 
 
-def build_labels(features: DataFrame, buildings: DataFrame, regions: DataFrame) -> DataFrame:
-    """Solar features with placement (from tags, else from roofs) and the first region they fall in."""
-    placed = candidates.label_placement(features, buildings)
+def build_labels(features: DataFrame, buildings: DataFrame, regions: DataFrame, least_share: float = 0.5) -> DataFrame:
+    """Solar features with placement (from tags, else from roofs) and the first region they fall in or, as polygons, touch."""
+    placed = candidates.label_placement(features, buildings, least_share)
     return spatial.attach_region(placed.withColumnRenamed("osm_id", "id"), regions, how="left").withColumnRenamed("id", "osm_id")
 
 
@@ -40,6 +41,21 @@ def score(predicted: DataFrame, threshold: float) -> DataFrame:
     return evaluate.confusion(predicted, threshold)
 
 
+def polygonise(likely: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fragments of likely pixels (id, tile, r, c, prob): each tile is outlined by itself, then those that touch are dissolved.
+
+    The first table has component, n_px and confidence (the largest of its fragments), the second the rings of each component.
+    """
+    whole = cut_lineage(pixels.labelled(likely))
+    own = pixels.local_labels(likely).withColumnRenamed("label", "fragment")
+    parts = cut_lineage(whole.join(own, "id"))
+    fragments = parts.groupBy("component", "fragment").agg(F.count("*").alias("n_px"), F.max("prob").alias("confidence"))
+    rings = outlines.strung(outlines.pixel_pieces(parts.withColumn("component", F.col("fragment")), alone=True))
+    shaped = outlines.polygons(rings, "fragment").join(fragments.select("fragment", F.col("component").alias("key")), "fragment")
+    found = fragments.groupBy("component").agg(F.sum("n_px").alias("n_px"), F.max("confidence").alias("confidence"))
+    return found, outlines.dissolved(shaped, size=8.0)
+
+
 def postprocess(found: DataFrame, buildings: DataFrame, least_m2: float = 50.0, most_distance: float = 0.0) -> DataFrame:
     """Candidates (cand_id, lon, lat, area_m2, confidence) placed, ranked and filtered."""
     c = candidates.place_on_buildings(found.where(F.col("area_m2") >= least_m2), buildings)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from solargrid.functions import business as B
 from solargrid.functions import geometry as G
+from solargrid.functions import shapes
 from solargrid.functions import solar
 from solargrid.operators import candidates as C
 from solargrid.operators import density as D
@@ -92,10 +93,9 @@ def point_measures(spark, sf_dir):
 def footprint_measures(spark, sf_dir):
     """Area on the ellipsoid, centroid, a point inside and bounds of every footprint."""
     b = _buildings(spark, sf_dir).withColumn("rings", G.box_rings(F.col("lon"), F.col("lat"), F.col("area_m2")))
-    cx, cy = G.centroid(F.col("rings"))
-    px, py = G.representative_point(F.col("rings"))
-    box = G.bounds(F.col("rings"))
-    return b.select("id", scaled(G.geodesic_area_m2(F.col("rings")), 10).alias("area"), scaled(cx, 100_000).alias("cx"), scaled(cy, 100_000).alias("cy"), scaled(px, 100_000).alias("px"), scaled(py, 100_000).alias("py"), scaled(box["xmin"]).alias("xmin"), scaled(box["ymax"]).alias("ymax"))
+    m = b.select("id", shapes.measures("rings").alias("m")).select("id", "m.*")
+    by = {"area_m2": 10, "cx": 100_000, "cy": 100_000, "px": 100_000, "py": 100_000, "xmin": 1_000_000, "ymax": 1_000_000}
+    return m.select("id", *[scaled(c, k).alias(c.removesuffix("_m2")) for c, k in by.items()])
 
 
 def _sql_utm() -> tuple[str, str]:
@@ -147,8 +147,7 @@ def hexagon_roofs(spark, sf_dir):
     """Buildings and roof area inside each hexagon."""
     b = _buildings(spark, sf_dir).withColumn("n", F.lit(1))
     hexes = _hexagons(spark, sf_dir)
-    n, m2 = (S.polygon_sums(b, hexes, "id", "hex", c) for c in ("n", "area_m2"))
-    return n.join(m2, "hex").select("hex", F.col("n").cast("long").alias("n"), scaled("area_m2", 10).alias("roof_m2"))
+    return S.polygon_sums(b, hexes, "id", "hex", "n", "area_m2").select("hex", F.col("n").cast("long").alias("n"), scaled("area_m2", 10).alias("roof_m2"))
 
 
 @query(f"WITH {_HEX}, c AS (SELECT {_IX} AS ix, {_IY} AS iy, sum(area_m2)*0.0002E0 AS mwp FROM fx_candidates GROUP BY 1, 2), b AS (SELECT *, 60.0E0+(ix+0.5E0)*0.1E0 AS lon, 24.0E0+(iy+0.5E0)*0.1E0 AS lat FROM c), j AS (SELECT h.region_id AS hex, sum(mwp) AS mwp FROM b JOIN h ON b.lon BETWEEN h.xmin AND h.xmax AND b.lat BETWEEN h.ymin AND h.ymax AND {_sql_in_hexagon()} GROUP BY 1), o AS (SELECT h.region_id AS hex, coalesce(mwp, 0) AS mwp, 1.0E0 + h.region_id % 7 AS value FROM h LEFT JOIN j ON j.hex = h.region_id) SELECT hex, {sql_scaled('100*mwp/(SELECT sum(mwp) FROM o) - 100*value/(SELECT sum(value) FROM o)', 'difference', '1E4')} FROM o", "fx_candidates", "fx_regions")

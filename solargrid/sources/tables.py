@@ -155,14 +155,16 @@ def admin_geojson(spark: SparkSession, path: str, iso3: str) -> DataFrame:
     return f.select(F.col("f.properties.shapeID").alias("region_id"), F.col("f.properties.shapeName").alias("name"), F.coalesce("f.properties.shapeGroup", F.lit(iso3)).alias("country"), geojson_rings(F.col("f.geometry")).alias("rings"))
 
 
-def municipalities(df: DataFrame | None, districts: DataFrame | None = None) -> DataFrame:
-    """Rings by AGS: only land areas if the table marks them; keys are padded to eight digits. Without municipalities the
-    districts stand in, by keys of five digits."""
-    if df is None:
-        return districts.withColumn("ags", F.lpad(F.col("ags").cast("string"), 5, "0")).groupBy("ags").agg(F.flatten(F.collect_list("rings")).alias("rings"))
-    if "GF" in df.columns and not df.where("GF = 4").isEmpty():
-        df = df.where("GF = 4")
-    return df.withColumn("ags", F.lpad(F.col("ags").cast("string"), 8, "0")).groupBy("ags").agg(F.flatten(F.collect_list("rings")).alias("rings"))
+def municipalities(df: DataFrame | None, districts: DataFrame | None = None, size: float = 0.01) -> DataFrame:
+    """ags and rings of each municipality, its parts dissolved: only land areas if the table marks them, keys padded to eight
+    digits. Without municipalities the districts stand in, by keys of five digits. size: about the length of an edge, in degrees."""
+    from solargrid.operators import outlines
+
+    width, rows = (8, df) if df is not None else (5, districts)
+    if df is not None and "GF" in df.columns and not df.where("GF = 4").isEmpty():
+        rows = df.where("GF = 4")
+    whole = outlines.polygons(outlines.dissolved(rows.select(F.col("ags").cast("long").alias("key"), "rings"), size), "key")
+    return whole.select(F.lpad(F.col("key").cast("string"), width, "0").alias("ags"), "rings")
 
 
 def hexagons(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from solargrid.functions import business as B
-from solargrid.functions import geometry as G
+from solargrid.functions import geometry as G, shapes
 from solargrid.functions import solar
 
 
@@ -100,7 +100,7 @@ def test_projection_round_trip(spark):
 def test_kernels(spark):
     tall = ring((0, 0), (1, 0), (1, 3), (0, 3), (0, 0))
     shifted = ring((0.5, 0.5), (1.5, 0.5), (1.5, 1.5), (0.5, 1.5), (0.5, 0.5))
-    a, b = one(spark, G.intersection_area(tall, shifted), G.long_axis_bearing(tall))
+    a, b = one(spark, shapes.intersection_area(tall, shifted), G.long_axis_bearing(tall))
     assert a == pytest.approx(0.5) and b % 180 == pytest.approx(0, abs=1e-6)
     s = one(spark, G.simplified(ring((0, 0), (0.5, 0.001), (1, 0), (1, 1), (0, 0))))[0]
     assert len(s) == 4
