@@ -265,12 +265,12 @@ def raster_catalog(spark, sf_dir):
     return scale(tables.tile_catalog(p, PX).select("tile.ix", "tile.iy", *S.BOX), *S.BOX)
 
 
-@query("SELECT p.pid, count(item) AS n, max(item) AS last_item FROM (SELECT DISTINCT pid FROM fx_scenes UNION SELECT region_id + 1000 FROM fx_regions WHERE level = 'region') p LEFT JOIN fx_scenes s ON s.pid = p.pid AND s.pid % 2 = 0 GROUP BY p.pid", "fx_scenes", "fx_regions")
+@query("SELECT p.pid, count(item) AS n, max(item) AS last_item FROM (SELECT DISTINCT pid FROM fx_scenes UNION SELECT region_id + 1000 FROM fx_regions WHERE level = 'region') p LEFT JOIN fx_scenes s ON s.pid = p.pid AND s.cloud < 40 GROUP BY p.pid", "fx_scenes", "fx_regions")
 def pulled_series(spark, sf_dir):
     """Scenes of all targets that were pulled, also of those without one."""
     s = fixture(spark, sf_dir, "fx_scenes")
     pulled = s.select("pid").union(fixture(spark, sf_dir, "fx_regions").where("level = 'region'").select((F.col("region_id") + 1000).cast("long")))
-    return tables.scene_series(s.where("pid % 2 = 0").select("pid", "item"), pulled).groupBy("pid").agg(F.count("item").alias("n"), F.max("item").alias("last_item"))
+    return tables.scene_series(s.where("cloud < 40").select("pid", "item"), pulled).groupBy("pid").agg(F.count("item").alias("n"), F.max("item").alias("last_item"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT key) AS n_keys, count(area_m2) AS n_areas FROM (SELECT osm_id AS key, area_m2 FROM fx_mapped UNION ALL SELECT cand_id, area_m2 FROM fx_candidates WHERE glint_consistent >= 3 UNION ALL SELECT el_id, NULL FROM fx_osm)", "fx_mapped", "fx_candidates", "fx_osm")
@@ -513,11 +513,12 @@ def detection_report(spark, sf_dir):
     return scale(T.detection_report(_fits(spark, sf_dir).withColumn("is_mapped", F.col("pid") % 3 > 0)), "recall", "flagged")
 
 
-@query(f"WITH {_FITS}, q AS (SELECT {_RBIN} AS bucket, count(*) AS n, avg(CASE WHEN n_consistent >= 2 THEN 100 ELSE 0 END) AS pct FROM f WHERE pid % 2 = 0 GROUP BY 1), k AS (SELECT bin AS bucket, 100.0E0*sens_k/sens_n AS country FROM fx_bins) SELECT q.bucket, n, {sql_scaled('pct', 'box_pct', '1E3')}, {sql_scaled('country', 'country_pct', '1E3')}, {sql_scaled('pct-country', 'difference', '1E3')} FROM q LEFT JOIN k USING (bucket)", "fx_candidates", "fx_bins")
+@query(f"WITH {_FITS}, q AS (SELECT {_RBIN} AS bucket, count(*) AS n, avg(CASE WHEN n_consistent >= 2 THEN 100 ELSE 0 END) AS pct FROM (SELECT f.* FROM f JOIN fx_candidates p ON p.cand_id = f.pid AND p.lon < 61) GROUP BY 1), k AS (SELECT bin AS bucket, 100.0E0*sens_k/sens_n AS country FROM fx_bins) SELECT q.bucket, n, {sql_scaled('pct', 'box_pct', '1E3')}, {sql_scaled('country', 'country_pct', '1E3')}, {sql_scaled('pct-country', 'difference', '1E3')} FROM q LEFT JOIN k USING (bucket)", "fx_candidates", "fx_bins")
 def box_rates(spark, sf_dir):
     """Validated share by size among half of the targets, beside the study's."""
     country = fixture(spark, sf_dir, "fx_bins").select(F.col("bin").alias("bucket"), (100.0 * F.col("sens_k") / F.col("sens_n")).alias("pct"))
-    return scale(T.box_against_country(_fits(spark, sf_dir).where("pid % 2 = 0"), country), "box_pct", "country_pct", "difference", by=1000)
+    west = _fits(spark, sf_dir).join(_candidates(spark, sf_dir).where("lon < 61").select(F.col("cand_id").alias("pid")), "pid")
+    return scale(T.box_against_country(west, country), "box_pct", "country_pct", "difference", by=1000)
 
 
 @query(f"WITH {_FITS} SELECT pid, CAST(floor(fit_az/15.0E0) AS BIGINT) AS az_bin, CAST((fit_az+90) % 180 AS BIGINT) AS row_axis FROM f WHERE fit_az IS NOT NULL QUALIFY row_number() OVER (PARTITION BY floor(fit_az/15.0E0) ORDER BY n_consistent DESC, n_spikes DESC, pid) <= 3", "fx_candidates")
@@ -535,14 +536,14 @@ def tercile_sample(spark, sf_dir):
     return T.terciles(_buildings(spark, sf_dir), 60, "id").select("id", "stratum")
 
 
-_GRID = f"c AS (SELECT a.ix, a.iy, coalesce(g.m2, 0) AS area_m2, a.ix*10000 + a.iy AS k FROM (SELECT unnest(range(20)) AS ix, iy FROM (SELECT unnest(range(10)) AS iy)) a LEFT JOIN (SELECT {_IX} AS ix, {_IY} AS iy, sum(area_m2) AS m2 FROM fx_candidates WHERE cand_id % 9 = 0 AND area_m2 < 3000 GROUP BY 1, 2) g USING (ix, iy))"
+_GRID = f"c AS (SELECT a.ix, a.iy, coalesce(g.m2, 0) AS area_m2, a.ix*10000 + a.iy AS k FROM (SELECT unnest(range(20)) AS ix, iy FROM (SELECT unnest(range(10)) AS iy)) a LEFT JOIN (SELECT {_IX} AS ix, {_IY} AS iy, sum(area_m2) AS m2 FROM fx_candidates WHERE confidence >= 0.9E0 AND area_m2 < 3000 GROUP BY 1, 2) g USING (ix, iy))"
 
 
 @query(f"WITH {_GRID}, d AS (SELECT ix, iy, k FROM c WHERE area_m2 > 0 ORDER BY area_m2 DESC, k LIMIT 15), m AS (SELECT ix, iy FROM c WHERE k NOT IN (SELECT k FROM d) AND area_m2 BETWEEN 500 AND 3000 ORDER BY (k*7919) % 10007, k LIMIT 10), z AS (SELECT ix, iy FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.area_m2 > 0 AND abs(o.ix-c.ix) <= 1 AND abs(o.iy-c.iy) <= 1) ORDER BY (k*7919) % 10007, k LIMIT 15) SELECT CAST(ix AS BIGINT) AS ix, CAST(iy AS BIGINT) AS iy, stratum FROM (SELECT ix, iy, 'dense' AS stratum FROM d UNION ALL SELECT ix, iy, 'mid' FROM m UNION ALL SELECT ix, iy, 'zero' FROM z)", "fx_candidates")
 def cell_sample(spark, sf_dir):
     """Cells for a study: the fullest, some in the middle, and empty ones."""
     grid = spark.range(200).select((F.col("id") % 20).cast("int").alias("ix"), F.floor(F.col("id") / 20).cast("int").alias("iy"))
-    own = D.with_cell(_candidates(spark, sf_dir).where("cand_id % 9 = 0 AND area_m2 < 3000"), GRID).groupBy("ix", "iy").agg(F.sum("area_m2").alias("area_m2"))
+    own = D.with_cell(_candidates(spark, sf_dir).where("confidence >= 0.9 AND area_m2 < 3000"), GRID).groupBy("ix", "iy").agg(F.sum("area_m2").alias("area_m2"))
     s = C.cell_strata(grid.join(own, ["ix", "iy"], "left").fillna(0.0, ["area_m2"]))
     return s.select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), "stratum")
 
@@ -597,11 +598,11 @@ def strongest_spikes(spark, sf_dir):
     return glint.strongest(_annotated(spark, sf_dir), "b03")
 
 
-@query(f"WITH {_FITS}, c AS (SELECT cand_id, area_m2, confidence, list_extract([0.025E0,0.088E0,0.162E0,0.306E0,0.293E0,0.261E0], {_BIN} + 1)/0.087E0 AS r FROM fx_candidates), j AS (SELECT cand_id, confidence, r, coalesce(n_spikes, 0) AS s, coalesce(n_consistent, 0) AS glint_consistent FROM c LEFT JOIN (SELECT pid, n_spikes, n_consistent FROM f WHERE pid % 2 = 0) f ON pid = cand_id) SELECT cand_id, CAST(s AS BIGINT) AS glint_spikes, CAST(glint_consistent AS BIGINT) AS glint_consistent, {sql_scaled(_BOOST, 'glint_prior', '1E4')} FROM j", "fx_candidates")
+@query(f"WITH {_FITS}, c AS (SELECT cand_id, area_m2, confidence, list_extract([0.025E0,0.088E0,0.162E0,0.306E0,0.293E0,0.261E0], {_BIN} + 1)/0.087E0 AS r FROM fx_candidates), j AS (SELECT cand_id, confidence, r, coalesce(n_spikes, 0) AS s, coalesce(n_consistent, 0) AS glint_consistent FROM c LEFT JOIN (SELECT pid, n_spikes, n_consistent FROM f WHERE n_scenes >= 22) f ON pid = cand_id) SELECT cand_id, CAST(s AS BIGINT) AS glint_spikes, CAST(glint_consistent AS BIGINT) AS glint_consistent, {sql_scaled(_BOOST, 'glint_prior', '1E4')} FROM j", "fx_candidates")
 def glint_prior(spark, sf_dir):
     """Candidates with the reward of their fit; those never queried keep zeros."""
     c = _candidates(spark, sf_dir).withColumn("rank_score", F.col("confidence"))
-    out = glint.glint_prior(c, _fits(spark, sf_dir).where("pid % 2 = 0"))
+    out = glint.glint_prior(c, _fits(spark, sf_dir).where("n_scenes >= 22"))
     return out.select("cand_id", F.col("glint_spikes").cast("long").alias("glint_spikes"), F.col("glint_consistent").cast("long").alias("glint_consistent"), scaled("glint_prior", 10_000).alias("glint_prior"))
 
 
