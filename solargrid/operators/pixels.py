@@ -173,6 +173,30 @@ def windows(width: int, height: int, size: int = 224, stride: int = 104) -> Colu
     return F.flatten(F.transform(line(height), lambda y: F.transform(line(width), lambda x: F.struct(x.alias("x"), y.alias("y")))))
 
 
+def _lattice(at: str, size: int, stride: int) -> Column:
+    """The origins, by multiples of stride, of the windows that hold a place; a row for each."""
+    return F.explode(F.sequence((F.floor((F.col(at) - size) / stride) + 1) * stride, F.floor(F.col(at) / stride) * stride, F.lit(stride).cast("long")))
+
+
+def window_values(pixels: DataFrame, size: int, stride: int, value: str) -> DataFrame:
+    """wx, wy and values (by row, then column; 0 where there is no pixel) of the windows of a lattice that hold a pixel.
+
+    Windows lie over tiles' borders, so each pixel goes to the (size / stride) ^ 2 windows that it lies in.
+    """
+    g = pixels.select((F.col("ix") * SIDE + F.col("c")).cast("long").alias("gx"), (F.col("iy") * SIDE + F.col("r")).cast("long").alias("gy"), F.col(value).cast("double").alias("v"))
+    g = g.withColumn("wx", _lattice("gx", size, stride)).withColumn("wy", _lattice("gy", size, stride))
+    place = ((F.col("gy") - F.col("wy")) * size + F.col("gx") - F.col("wx")).cast("int")
+    held = g.groupBy("wx", "wy").agg(F.map_from_entries(F.collect_list(F.struct(place.alias("k"), "v"))).alias("m"))
+    return held.select("wx", "wy", F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("values"))
+
+
+def over_pixels(windows_df: DataFrame, pixels: DataFrame, size: int, stride: int) -> DataFrame:
+    """Each pixel with the windows (wx, wy, prob) that it lies in, ready to be blended."""
+    g = pixels.select(*TILE, "r", "c", (F.col("ix") * SIDE + F.col("c")).cast("long").alias("gx"), (F.col("iy") * SIDE + F.col("r")).cast("long").alias("gy"))
+    g = g.withColumn("wx", _lattice("gx", size, stride)).withColumn("wy", _lattice("gy", size, stride)).join(windows_df.select("wx", "wy", "prob"), ["wx", "wy"])
+    return g.select(*TILE, "r", "c", (F.col("gy") - F.col("wy")).alias("wr"), (F.col("gx") - F.col("wx")).alias("wc"), "prob")
+
+
 def hann(offset: Column, size: int) -> Column:
     return F.greatest(0.5 - 0.5 * F.cos(2 * np.pi * (offset + 0.5) / size), F.lit(1e-3))
 
@@ -242,12 +266,12 @@ def inside_and_ring(pixels: DataFrame, keys: list[str], band: str, share: float
     return s.select(*keys, F.when(ok, F.col("p")).alias("inside"), F.when(ok, F.col("m")).alias("ring"), "npx")
 
 
-def scored(windows_df: DataFrame, model_fn, input_col: str, batch: int = 64) -> DataFrame:
-    """Probabilities from a user's model: model_fn builds a predictor of arrays of shape (n, values) once in each task."""
+def scored(windows_df: DataFrame, model_fn, input_col: str, batch: int = 64, shape: list[int] | None = None) -> DataFrame:
+    """Probabilities from a user's model: model_fn builds a predictor of arrays (n, *shape) once in each task; shape is that of an array column."""
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql.types import DoubleType
 
-    udf = predict_batch_udf(model_fn, return_type=DoubleType(), batch_size=batch)
+    udf = predict_batch_udf(model_fn, return_type=DoubleType(), batch_size=batch, input_tensor_shapes=None if shape is None else [shape])
     return windows_df.withColumn("prob", F.greatest(F.lit(0.0), F.least(F.lit(1.0), udf(input_col))))
 
 

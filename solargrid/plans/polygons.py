@@ -308,4 +308,33 @@ def coverage_polygons(spark, sf_dir):
     return f.select("px", "py", scaled("fraction", 10_000).alias("fraction"))
 
 
+# Windows
+
+
+SIZE, STRIDE = 16, 8
+
+
+def _linear_filter():
+    """A stand-in for a user's model: a fixed weighted mean of a window's values."""
+    import numpy as np
+
+    weights = (np.arange(SIZE * SIZE) % 7 + 1) / 1024.0
+
+    def predict(values: np.ndarray) -> np.ndarray:
+        return values @ weights
+
+    return predict
+
+
+_HANN = "greatest(0.5E0 - 0.5E0*cos(2*pi()*({o}+0.5E0)/16), 1E-3)"
+
+
+@query(f"WITH g AS (SELECT ix, iy, r, c, ix*64+c AS gx, iy*64+r AS gy, prob_u8/255.0E0 AS v FROM fx_pixels), w AS (SELECT *, unnest([CAST(floor(gx/8.0E0) AS BIGINT)*8 - 8, CAST(floor(gx/8.0E0) AS BIGINT)*8]) AS wx FROM g), u AS (SELECT *, unnest([CAST(floor(gy/8.0E0) AS BIGINT)*8 - 8, CAST(floor(gy/8.0E0) AS BIGINT)*8]) AS wy FROM w), s AS (SELECT wx, wy, greatest(0.0E0, least(1.0E0, sum(v*((((gy-wy)*16 + gx-wx) % 7) + 1)/1024.0E0))) AS prob FROM u GROUP BY 1, 2), b AS (SELECT ix, iy, r, c, prob, {_HANN.format(o='(gy-wy)')}*{_HANN.format(o='(gx-wx)')} AS k FROM u JOIN s USING (wx, wy)) SELECT ix, iy, r, c, {sql_scaled('sum(prob*k)/sum(k)', 'p')} FROM b GROUP BY ALL", "fx_pixels")
+def scored_windows(spark, sf_dir):
+    """Windows over tiles' borders, scored in batches by a model and blended to one raster."""
+    px = _pixels(spark, sf_dir)
+    scores = P.scored(P.window_values(px, SIZE, STRIDE, "prob"), _linear_filter, "values", shape=[SIZE * SIZE])
+    return P.blended(P.over_pixels(scores, px, SIZE, STRIDE), SIZE).select("ix", "iy", "r", "c", scaled("p").alias("p"))
+
+
 QUERIES = dict(_QUERIES)

@@ -751,4 +751,28 @@ def compose_cells(spark, sf_dir):
     return api.compose(_buildings(spark, sf_dir), fixture(spark, sf_dir, "fx_mapped").where("placement = 'ground'"), 70, GRID)
 
 
+
+
+# Angle grids
+
+_NODES = "nd AS (SELECT ix*100 + iy AS scene, r AS n_row, c AS n_col, prob_u8 AS v FROM fx_pixels WHERE prob_u8 >= 60)"
+_POINTS = "pt AS (SELECT id, CAST(floor((lon-60.0E0)/0.1E0) AS INT)*100 + CAST(floor((lat-24.0E0)/0.1E0) AS INT) AS scene, (lon - 60.0E0 - floor((lon-60.0E0)/0.1E0)*0.1E0)*6300 AS x_m, (lat - 24.0E0 - floor((lat-24.0E0)/0.1E0)*0.1E0)*6300 AS y_m FROM fx_buildings)"
+
+
+@query(f"WITH {_NODES}, {_POINTS}, w AS (SELECT *, CAST(greatest(round_even(x_m/10, 0), 0) AS INT) AS col, CAST(greatest(round_even(y_m/10, 0), 0) AS INT) AS row FROM pt), j AS (SELECT id, pow(row-n_row, 2) + pow(col-n_col, 2) AS d2, n_row, n_col, v FROM w JOIN nd USING (scene)) SELECT id, CAST(arg_min(v, {{'d': d2, 'r': n_row, 'c': n_col}}) AS BIGINT) AS angle, CAST(min(d2) = 0 AS BOOLEAN) AS own_node FROM j GROUP BY id", "fx_pixels", "fx_buildings")
+def view_angles(spark, sf_dir):
+    """The angle at every building from its tile's grid, which comes as lines of text with gaps."""
+    px = fixture(spark, sf_dir, "fx_pixels").withColumn("scene", F.col("ix") * 100 + F.col("iy"))
+    v = F.when(F.col("prob_u8") >= 60, F.col("prob_u8").cast("string")).otherwise("NaN")
+    # A line has a value for each of 64 columns; pixels that are not there are gaps too.
+    line = px.groupBy("scene", F.col("r").alias("row")).agg(F.map_from_entries(F.collect_list(F.struct("c", v.alias("v")))).alias("m"))
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda c: F.coalesce(F.try_element_at("m", c), F.lit("NaN"))), " ")
+    nodes = tables.angle_grid(line.select("scene", "row", text.alias("text")), ["scene"])
+    cell = lambda c, o: F.floor((F.col(c) - o) / 0.1).cast("int")
+    metres = lambda c, o: (F.col(c) - o - F.floor((F.col(c) - o) / 0.1) * 0.1) * 6300
+    points = _buildings(spark, sf_dir).select("id", (cell("lon", X0) * 100 + cell("lat", Y0)).alias("scene"), metres("lon", X0).alias("x_m"), metres("lat", Y0).alias("y_m"))
+    found = tables.angle_at(points, nodes.withColumns({"n_row": F.col("row"), "n_col": F.col("col")}), 10.0)
+    return found.select("id", F.col("value").cast("long").alias("angle"), ((F.col("n_row") == F.col("row")) & (F.col("n_col") == F.col("col"))).alias("own_node"))
+
+
 QUERIES = _QUERIES

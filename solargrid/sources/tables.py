@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from solargrid.functions import business as B
 from solargrid.functions import geometry as G
+from solargrid.operators.components import cut_lineage
 from solargrid.schemas import POINT
 
 
@@ -210,15 +211,46 @@ def angle_nodes(views: DataFrame, band: int = 3) -> DataFrame:
     return v.groupBy("scene", "row", "col").agg(F.avg(e).alias("e"), F.avg(n).alias("n"), F.avg(u).alias("u"))
 
 
+def angle_grid(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, row, col and value of the nodes of an angle grid. lines has keys, row and text: a grid line's values, NaN for none."""
+    cells = lines.select(*keys, "row", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("col", "v"))
+    return cells.select(*keys, "row", "col", F.col("v").try_cast("double").alias("value")).where(~F.isnan("value") & F.col("value").isNotNull())
+
+
 def angle_at(points: DataFrame, nodes: DataFrame, step_m: float) -> DataFrame:
-    """The node nearest to each point (scene, x_m, y_m from the upper left corner); if it has no angles, the nearest that has."""
-    want = points.withColumn("row", F.greatest(F.bround(F.col("y_m") / step_m), F.lit(0)).cast("int")).withColumn("col", F.greatest(F.bround(F.col("x_m") / step_m), F.lit(0)).cast("int"))
-    hit = want.join(nodes, ["scene", "row", "col"])
-    lost = want.join(nodes.select("scene", "row", "col"), ["scene", "row", "col"], "left_anti")
-    n = nodes.select("scene", F.col("row").alias("n_row"), F.col("col").alias("n_col"), "e", "n", "u")
-    near = lost.join(n, "scene").withColumn("d2", F.pow(F.col("row") - F.col("n_row"), 2) + F.pow(F.col("col") - F.col("n_col"), 2))
-    best = near.groupBy(*lost.columns).agg(F.min_by(F.struct("e", "n", "u"), F.struct("d2", "n_row", "n_col")).alias("b")).select(*lost.columns, "b.*")
-    return hit.select(*lost.columns, "e", "n", "u").unionByName(best)
+    """The node nearest to each point (scene, x_m, y_m from the upper left corner); if it has no angles, the nearest that has.
+
+    nodes has scene, row, col and whatever is to be known at the points. Points without a node of their own look into the cells
+    around them, of a side that doubles for those that have found nothing so near that no other cell can hold a nearer one.
+    """
+    at = lambda c: F.greatest(F.bround(F.col(c) / step_m), F.lit(0)).cast("int")
+    want = points.withColumn("row", at("y_m")).withColumn("col", at("x_m"))
+    more = [c for c in nodes.columns if c not in ("scene", "row", "col")]
+    out = want.join(nodes, ["scene", "row", "col"]).select(*want.columns, *more)
+    lost = cut_lineage(want.join(nodes.select("scene", "row", "col"), ["scene", "row", "col"], "left_anti").join(nodes.select("scene").distinct(), "scene", "left_semi"))
+    if lost.isEmpty():
+        return out
+    span = nodes.agg(F.max("row"), F.max("col")).first()
+    edge = lost.agg(F.max("row"), F.max("col")).first()
+    farthest, side = 1 + max(*span, *edge), 2
+    n = nodes.select("scene", F.col("row").alias("n_row"), F.col("col").alias("n_col"), F.struct(*more).alias("n_more"))
+    cell = lambda c, k: F.floor(F.col(c) / k)
+    around = lambda c, k: F.explode(F.sequence(cell(c, k) - 1, cell(c, k) + 1))
+    while True:
+        keyed = n.withColumn("k_r", cell("n_row", side)).withColumn("k_c", cell("n_col", side))
+        near = lost.withColumn("k_r", around("row", side)).withColumn("k_c", around("col", side)).join(keyed, ["scene", "k_r", "k_c"])
+        near = near.withColumn("d2", F.pow(F.col("row") - F.col("n_row"), 2) + F.pow(F.col("col") - F.col("n_col"), 2))
+        best = near.groupBy(*lost.columns).agg(F.min_by("n_more", F.struct("d2", "n_row", "n_col")).alias("b"), F.min("d2").alias("d2"))
+        if side < farthest:
+            best = best.where(F.col("d2") <= side * side)
+        found = cut_lineage(best.select(*lost.columns, "b.*"))
+        out = out.unionByName(found)
+        if side >= farthest:
+            return out
+        lost = cut_lineage(lost.join(found.select(*lost.columns), lost.columns, "left_anti"))
+        if lost.isEmpty():
+            return out
+        side *= 2
 
 
 def calibration_table(spark: SparkSession, path: str) -> DataFrame:

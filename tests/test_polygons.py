@@ -181,3 +181,29 @@ def test_nearest_anywhere_grows_its_reach(spark):
     b = spark.createDataFrame([(7, 60.001, 24.0, 100.0), (8, 60.45, 24.0, 100.0), (9, 60.55, 24.0, 100.0)], "osm_id int, lon double, lat double, area_m2 double")
     got = {r.cand_id: (r.near_id, r.is_match) for r in S.nearest_feature(a, b, "cand_id", "osm_id").collect()}
     assert got == {1: (7, True), 2: (8, False), 3: (None, False)}
+
+
+def test_angles_of_the_nearest_node_that_has_some(spark):
+    r = np.random.default_rng(6)
+    text = lambda row: " ".join("NaN" if r.random() < 0.93 else str(row * 100 + c) for c in range(40))
+    lines = spark.createDataFrame([(s, y, f" {text(y)} ") for s in (1, 2) for y in range(30)] + [(3, 0, "NaN x 5")], "scene int, row int, text string").cache()
+    nodes = tables.angle_grid(lines, ["scene"])
+    known = {(n.scene, n.row, n.col): n.value for n in nodes.collect()}
+    assert known[3, 0, 2] == 5 and all(v == y * 100 + c for (s, y, c), v in known.items() if s < 3)
+    points = [(i, int(1 + i % 3), float(x), float(y)) for i, (x, y) in enumerate(r.random((90, 2)) * [500, 320] - 20)] + [(99, 4, 1.0, 1.0)]
+    got = {p.id: p.value for p in tables.angle_at(spark.createDataFrame(points, "id int, scene int, x_m double, y_m double"), nodes, 10.0).collect()}
+    want = {}
+    for i, s, x, y in points:
+        col, row = max(round(x / 10), 0), max(round(y / 10), 0)
+        if own := [((row - a) ** 2 + (col - b) ** 2, a, b) for t, a, b in known if t == s]:
+            want[i] = known[(s, *min(own)[1:])]
+    assert got == want and len(got) == 90
+
+
+def test_windows_hold_their_pixels_over_tiles(spark):
+    px = spark.createDataFrame([(0, 0, 5, 62, 1.0), (1, 0, 5, 1, 2.0)], "ix int, iy int, r int, c int, prob double")
+    w = {(x.wx, x.wy): x["values"] for x in P.window_values(px, 8, 4, "prob").collect()}
+    assert set(w) == {(56, 0), (60, 0), (64, 0), (56, 4), (60, 4), (64, 4)}
+    assert w[60, 4][1 * 8 + 2] == 1 and w[60, 4][1 * 8 + 5] == 2 and sum(w[60, 4]) == 3 and sum(w[56, 0]) == 1
+    scores = spark.createDataFrame([(60, 4, 0.5)], "wx long, wy long, prob double")
+    assert {(x.ix, x.c, x.wr, x.wc, x.prob) for x in P.over_pixels(scores, px, 8, 4).collect()} == {(0, 62, 1, 2, 0.5), (1, 1, 1, 5, 0.5)}
