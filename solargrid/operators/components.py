@@ -21,13 +21,18 @@ def _shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back.
 
     A checkpoint would cut the lineage too, but keeps the constraints of the plan that made it, and these double with each
     round of an iteration.
     """
-    path = f"{_shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

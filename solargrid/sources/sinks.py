@@ -83,6 +83,19 @@ def share_payload(hexes: DataFrame) -> DataFrame:
     return hexes.select(F.to_json(F.struct("hex", F.round("share", 3).alias("reference"), F.round("own", 3).alias("own"), F.round("difference", 3).alias("difference"))).alias("value"))
 
 
+def cell_payload(cells: DataFrame, measures: list[str]) -> DataFrame:
+    """A JSON line for each cell with something in it: its key, the corner of its box, and the measures to three decimals."""
+    some = F.greatest(*[F.coalesce(m, F.lit(0.0)) for m in measures]) if len(measures) > 1 else F.coalesce(measures[0], F.lit(0.0))
+    props = [F.round(F.coalesce(m, F.lit(0.0)), 3).alias(m) for m in measures]
+    return cells.where(some > 0).select(F.to_json(F.struct("cell", F.round("lon0", 6).alias("lon"), F.round("lat0", 6).alias("lat"), *props)).alias("value"))
+
+
+def read_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """Rows of a file of features, one a line: geometry (JSON text) and the properties by their schema."""
+    f = spark.read.schema(f"geometry string, properties struct<{properties}>").json(path)
+    return f.select("geometry", "properties.*")
+
+
 def write_calibration(table: DataFrame, path: str) -> None:
     """All counts stay with the rates, so posteriors can be drawn again from the table alone."""
     table.coalesce(1).write.mode("overwrite").parquet(path)
