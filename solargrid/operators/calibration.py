@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solargrid.functions import business as B
 
 LEAST_MANUAL, LEAST_SAMPLE, LEAST_RECALL = 20, 30, 20
-GRID = 201
+#: Cells of the sums of a Beta density, and points of the mixture's grid.
+BETA_CELLS, GRID = 2000, 201
 
 
 def review_counts(reviews: DataFrame) -> DataFrame:
@@ -58,23 +57,46 @@ def recall_corrected(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return candidates.groupBy(*keys).agg(F.sum(m2).alias("rc_m2"), F.sum(F.when(F.col("placement") == "rooftop", m2).otherwise(0.0)).alias("rc_roof_m2"))
 
 
-def jeffreys_draws(counts: DataFrame, n_draws: int = 1000, seed: int = 7) -> DataFrame:
-    """bin, rate, draw, value: Beta(k + 1/2, n - k + 1/2) draws of each counted rate; a rate without counts is a point mass.
+def beta_quantiles(counts: DataFrame, keys: list[str], n_levels: int, cells: int = BETA_CELLS) -> DataFrame:
+    """keys, level (0 to n_levels - 1) and value: quantiles (level + 1/2) / n_levels of Beta(k + 1/2, n - k + 1/2) for each row of counts.
 
-    counts has bin, rate (a name), k, n and fixed. A row's generator is seeded by its bin and rate, so draws do not depend on
-    where the row is.
+    With x = sin(t)^2 the density is sin(t)^2k cos(t)^2(n - k), which has no poles. It is summed over equal cells of t within ten
+    standard deviations of its middle, and a quantile lies in its cell by linear interpolation, so the error is a ten thousandth
+    of a standard deviation whatever the counts are. counts has keys, k and n; each row meets its own cells only.
     """
+    reach, middle = 5 / F.sqrt(F.col("n") + 1), F.asin(F.sqrt((F.col("k") + 0.5) / (F.col("n") + 1)))
+    c = counts.select(*keys, "k", "n", F.greatest(middle - reach, F.lit(0.0)).alias("lo"), F.least(middle + reach, F.lit(math.pi / 2)).alias("hi"))
+    c = c.withColumn("width", (F.col("hi") - F.col("lo")) / cells).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    t = F.col("lo") + (F.col("i") + 0.5) * F.col("width")
+    c = c.withColumn("loglik", 2 * F.col("k") * F.log(F.sin(t)) + 2 * (F.col("n") - F.col("k")) * F.log(F.cos(t)))
+    w = Window.partitionBy(*keys)
+    c = c.withColumn("weight", F.exp(F.col("loglik") - F.max("loglik").over(w))).withColumn("upto", F.sum("weight").over(w.orderBy("i")))
+    c = c.withColumn("before", F.coalesce(F.lag("upto").over(w.orderBy("i")), F.lit(0.0))).withColumn("total", F.max("upto").over(w))
+    c = c.withColumn("before", F.col("before") / F.col("total")).withColumn("after", F.col("upto") / F.col("total"))
+    first = lambda p: F.ceil(F.col(p) * n_levels - 0.5).cast("int")
+    c = c.where(first("after") > first("before")).withColumn("level", F.explode(F.sequence(first("before"), first("after") - 1)))
+    share = ((F.col("level") + 0.5) / n_levels - F.col("before")) / (F.col("after") - F.col("before"))
+    return c.select(*keys, "level", F.pow(F.sin(F.col("lo") + (F.col("i") + share) * F.col("width")), 2).alias("value"))
+
+
+def shuffled(level: Column, bin_no: Column, salt: Column, seed: int) -> Column:
+    """What levels are sorted by to become draws: an order of its own for each bin and salt, in integers that any engine repeats."""
+    one = level.cast("long") + 1
+    return (one * one * 7919 + one * ((bin_no + 1) * 104_729 + salt * 15_013) + seed) % 1_000_003
 
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zlib
 
-        for f in frames:
-            for r in f.itertuples():
-                rng = np.random.default_rng([seed, int(r.bin), zlib.crc32(r.rate.encode())])
-                v = rng.beta(r.k + 0.5, r.n - r.k + 0.5, n_draws) if r.n else np.full(n_draws, r.fixed)
-                yield pd.DataFrame({"bin": r.bin, "rate": r.rate, "draw": np.arange(n_draws), "value": v})
+def jeffreys_draws(counts: DataFrame, n_draws: int = 1000, seed: int = 7) -> DataFrame:
+    """bin, rate, draw, value: stratified draws of Beta(k + 1/2, n - k + 1/2) of each counted rate; a rate without counts is a point mass.
 
-    return counts.select("bin", "rate", "k", "n", "fixed").mapInPandas(draw, "bin int, rate string, draw int, value double")
+    counts has bin, rate (a name), k, n and fixed. The draws of a rate are its n_draws middle quantiles in an order that depends
+    on its bin and name, so that rates vary independently and every engine gets the same ones.
+    """
+    known = beta_quantiles(counts.where("n > 0"), ["bin", "rate"], n_draws)
+    order = shuffled(F.col("level"), F.col("bin"), F.crc32(F.col("rate").cast("binary")) % 997, seed)
+    w = Window.partitionBy("bin", "rate").orderBy(order, "level")
+    own = known.select("bin", "rate", (F.row_number().over(w) - 1).alias("draw"), "value")
+    flat = counts.where("n = 0").select("bin", "rate", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw"), F.col("fixed").cast("double").alias("value"))
+    return own.unionByName(flat)
 
 
 def mixture_posterior(draws: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from solargrid.functions import business as B
@@ -68,6 +70,20 @@ p1 AS (SELECT *, CASE WHEN share >= 0.3E0 THEN 'rooftop' WHEN d >= 0 AND d <= 30
 p2 AS (SELECT *, round_even(round_even(confidence*(0.5E0+0.5E0*prior), 4) * CASE WHEN glint_consistent < 2 THEN 1.0E0 ELSE 1 + (greatest(1.0E0, least(4.0E0, r)) - 1)*greatest(0.0E0, least(1.0E0, glint_consistent/4)) END, 4) AS score FROM p1),
 p3 AS (SELECT *, row_number() OVER (ORDER BY score DESC, cand_id) AS k FROM p2)"""
 
+def _sql_draws(n: int) -> str:
+    """dw (bin, draw, validated, weight): what _draws gives, by the same sums in SQL."""
+    cells, salt = K.BETA_CELLS, zlib.crc32(b"p_real") % 997
+    return f"""ct AS (SELECT {_BIN} AS bin, count(*) AS n, count(*) FILTER (glint_consistent >= 2) AS k FROM fx_candidates GROUP BY 1),
+cb AS (SELECT *, greatest(asin(sqrt((k+0.5E0)/(n+1))) - 5/sqrt(n+1), 0.0E0) AS lo, least(asin(sqrt((k+0.5E0)/(n+1))) + 5/sqrt(n+1), pi()/2) AS hi FROM ct),
+cg AS (SELECT *, (hi-lo)/{cells} AS width, unnest(range({cells})) AS i FROM cb), cl AS (SELECT *, 2*k*ln(sin(lo + (i+0.5E0)*width)) + 2*(n-k)*ln(cos(lo + (i+0.5E0)*width)) AS ll FROM cg),
+cw AS (SELECT *, exp(ll - max(ll) OVER (PARTITION BY bin)) AS weight FROM cl), cu AS (SELECT *, sum(weight) OVER (PARTITION BY bin ORDER BY i) AS upto FROM cw),
+cp AS (SELECT *, coalesce(lag(upto) OVER (PARTITION BY bin ORDER BY i), 0)/max(upto) OVER (PARTITION BY bin) AS p0, upto/max(upto) OVER (PARTITION BY bin) AS p1 FROM cu),
+cv AS (SELECT *, unnest(range(CAST(ceil(p0*{n}-0.5E0) AS BIGINT), CAST(ceil(p1*{n}-0.5E0) AS BIGINT))) AS level FROM cp),
+cd AS (SELECT bin, pow(sin(lo + (i + ((level+0.5E0)/{n}-p0)/(p1-p0))*width), 2) AS v, row_number() OVER (PARTITION BY bin ORDER BY ((level+1)*(level+1)*7919 + (level+1)*((bin+1)*104729 + {salt}*15013) + 7) % 1000003, level) - 1 AS draw FROM cv),
+dv AS (SELECT bin, draw, v, v/(1-v)*list_extract([0.025E0,0.088E0,0.162E0,0.306E0,0.293E0,0.261E0], bin + 1)/0.087E0 AS odds FROM cd),
+dw AS (SELECT bin, draw, false AS validated, v AS weight FROM dv UNION ALL SELECT bin, draw, true, odds/(1+odds) FROM dv)"""
+
+
 ORACLES: dict[str, str] = {
     "export_chain": with_views("fx_candidates", "fx_buildings", "fx_mapped", sql=f"WITH {_CHAIN} SELECT cand_id, CAST(k AS INT) AS rank, 'fx-pv-' || lpad(CAST(k - 1 AS VARCHAR), 6, '0') AS candidate_id, placement, '' AS note, printf('https://www.openstreetmap.org/#map=19/%.5f/%.5f', lat, lon) AS link FROM p3 a WHERE NOT EXISTS (SELECT 1 FROM fx_mapped b WHERE {_CLOSE} AND {_GAP} <= 100)"),
     "review_sample": with_views("fx_candidates", "fx_mapped", "fx_bins", sql=f"WITH u AS (SELECT *, {_BIN} AS bin FROM fx_candidates a WHERE NOT EXISTS (SELECT 1 FROM fx_mapped b WHERE {_CLOSE} AND {_GAP} <= 0)), k AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY (cand_id*7919) % 10007, cand_id) AS pick, count(*) OVER (PARTITION BY bin) AS pool FROM u) SELECT label || '-' || CAST(pick AS VARCHAR) AS sample_uid, label AS bin_label, round(area_m2, 1) AS area_m2, round(lon, 6) AS lon, round(lat, 6) AS lat, '' AS verdict, pool FROM k JOIN fx_bins USING (bin) WHERE pick <= 20"),
@@ -75,4 +91,5 @@ ORACLES: dict[str, str] = {
     "density_chain": with_views(*_ALL, "fx_buildings", "fx_pixels", "fx_regions", sql=f"WITH {_TABLE}, h AS ({_HIST}), ct AS (SELECT {_IX} AS ix, {_IY} AS iy, sum(area_m2) AS dt FROM fx_candidates GROUP BY 1, 2), rcx AS (SELECT {_IX} AS ix, {_IY} AS iy, sum(area_m2*p_real/recall_used) AS rc FROM pc GROUP BY 1, 2), k AS (SELECT ix, iy FROM h UNION SELECT ix, iy FROM ct UNION SELECT ix, iy FROM fx_pixels) SELECT g.region_id, g.name AS region_name, count(*) AS n_cells, CAST(sum(coalesce(n_buildings, 0)) AS BIGINT) AS n_buildings, {sql_scaled('round_even(sum(coalesce(dt, 0))*0.2E0/1000, 4)', 'det_mwp', '1E3')}, {sql_scaled('sum(coalesce(rc, 0))', 'rc_m2', '10')} FROM k LEFT JOIN h USING (ix, iy) LEFT JOIN ct USING (ix, iy) LEFT JOIN rcx USING (ix, iy) JOIN fx_regions g ON g.level = 'county' AND 60.0E0+(ix+0.5E0)*0.1E0 >= xmin AND 60.0E0+(ix+0.5E0)*0.1E0 < xmax AND 24.0E0+(iy+0.5E0)*0.1E0 >= ymin AND 24.0E0+(iy+0.5E0)*0.1E0 < ymax GROUP BY ALL"),
     "glint_chain": with_views("fx_scenes", sql=f"WITH one AS (SELECT * FROM fx_scenes QUALIFY row_number() OVER (PARTITION BY pid, date_trunc('minute', time) ORDER BY npx DESC, item) = 1), {series._annotated(True).replace('FROM fx_scenes', 'FROM one')}, {series._fit('a')} SELECT pid, n_scenes, n_clear, n_spikes, n_consistent FROM z"),
 }
-#: Draws are seeded random numbers; tests check what must hold of them.
+ORACLES["posterior_intervals"] = with_views("fx_candidates", sql=f"WITH {_sql_draws(1000)} SELECT bin, {sql_scaled('quantile_cont(weight, 0.05E0)', 'lo', '1E4')}, {sql_scaled('quantile_cont(weight, 0.95E0)', 'hi', '1E4')} FROM dw WHERE NOT validated GROUP BY bin")
+ORACLES["density_draws"] = with_views("fx_candidates", sql=f"WITH {_sql_draws(200)}, a AS (SELECT {_IX} AS ix, {_IY} AS iy, {_BIN} AS bin, glint_consistent >= 2 AS validated, sum(area_m2) AS m2 FROM fx_candidates GROUP BY ALL), s AS (SELECT ix, iy, draw, sum(m2*weight) AS m2 FROM a JOIN dw USING (bin, validated) GROUP BY ALL) SELECT ix, iy, {sql_scaled('quantile_cont(m2, 0.05E0)', 'lo', '10')}, {sql_scaled('quantile_cont(m2, 0.95E0)', 'hi', '10')} FROM s GROUP BY ALL")

@@ -285,3 +285,39 @@ def test_overlap_of_tilted_polygons(spark):
     p = spark.createDataFrame([(1, 10.0, 50.0), (2, 9.2, 49.2), (3, 9.5, 50.4)], "k long, lon double, lat double")
     assert {r.k for r in spatial.in_polygons(p, a, "k", "a").collect()} == {1, 3}
     assert spatial.first_polygon(p, a, "k", "a").where("a IS NULL").count() == 1
+
+
+def test_beta_quantiles_are_those_of_the_density(spark):
+    import numpy as np
+
+    from solargrid.operators import calibration as K
+
+    rows = [(0, 0, 1), (1, 5, 5), (2, 3, 80), (3, 0, 400), (4, 400_000, 1_000_000), (5, 999_999, 1_000_000)]
+    got = {}
+    for r in K.beta_quantiles(spark.createDataFrame(rows, "bin int, k long, n long"), ["bin"], 100).collect():
+        got.setdefault(r.bin, {})[r.level] = r.value
+    for bin_no, k, n in rows:
+        a, b = k + 0.5, n - k + 0.5
+        middle, reach = np.arcsin(np.sqrt(a / (n + 1))), 8 / np.sqrt(n + 1)
+        edge = np.linspace(max(middle - reach, 0), min(middle + reach, np.pi / 2), 2_000_001)
+        t = (edge[1:] + edge[:-1]) / 2
+        d = 2 * k * np.log(np.sin(t)) + 2 * (n - k) * np.log(np.cos(t))
+        cdf = np.concatenate(([0], np.cumsum(np.exp(d - d.max()))))
+        want = np.sin(np.interp((np.arange(100) + 0.5) / 100, cdf / cdf[-1], edge)) ** 2
+        assert sorted(got[bin_no]) == list(range(100))
+        assert np.abs(np.array([got[bin_no][j] for j in range(100)]) - want).max() < 2e-4 * np.sqrt(a * b / (n + 1) ** 2 / (n + 2)) + 1e-12
+
+
+def test_draws_are_the_quantiles_in_orders_of_their_own(spark):
+    import numpy as np
+
+    from solargrid.operators import calibration as K
+
+    counts = spark.createDataFrame([(0, "p", 8, 20, 1.0), (1, "p", 8, 20, 1.0), (0, "recall", 8, 20, 1.0), (2, "p", 0, 0, 0.25)], "bin int, rate string, k long, n long, fixed double")
+    d = {}
+    for r in K.jeffreys_draws(counts, 400).orderBy("bin", "rate", "draw").collect():
+        d.setdefault((r.bin, r.rate), []).append(r.value)
+    assert {len(v) for v in d.values()} == {400} and set(d[2, "p"]) == {0.25}
+    a, b, c = d[0, "p"], d[1, "p"], d[0, "recall"]
+    assert sorted(a) == pytest.approx(sorted(b)) and sorted(a) == pytest.approx(sorted(c)) and np.mean(a) == pytest.approx(8.5 / 21, abs=1e-3)
+    assert all(abs(np.corrcoef(x, y)[0, 1]) < 0.2 for x, y in ((a, b), (a, c), (b, c)))
