@@ -128,6 +128,51 @@ def test_suffix_array_and_common_prefixes():
             assert shared[b] == n
 
 
+def in_order(s, sa):
+    """Whether a permutation of the places sorts the suffixes: by first symbols, then by the ranks of what follows."""
+    rank = np.empty(len(s) + 1, np.int64)
+    rank[sa], rank[len(s)] = np.arange(len(s)), -1
+    a, b = sa[:-1], sa[1:]
+    return (np.bincount(sa, minlength=len(s)) == 1).all() and ((s[a] < s[b]) | ((s[a] == s[b]) & (rank[a + 1] < rank[b + 1]))).all()
+
+
+def test_shards_are_sorted_by_induction_alone(monkeypatch):
+    """2 MB of documents, as large as a shard: every level of the recursion is induced, by either way of filling buckets."""
+    import pyarrow.parquet as pq
+
+    text = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    data = np.frombuffer(b"\0".join((t or "").encode() for t in text)[:2_000_000], np.uint8)
+    s = np.append(data.astype(np.int32) + 1, 0).astype(np.int32)
+    levels = []
+    for name in ("induce_each", "induce_waves"):
+        own = getattr(suffix_array, name)
+        monkeypatch.setattr(suffix_array, name, lambda *a, own=own, name=name: levels.append((name, len(a[0]))) or own(*a))
+    sa = suffix_array.suffix_array(s, int(s.max()) + 1)
+    assert in_order(s, sa)
+    assert levels[0] == ("induce_waves", len(s)) and {n for n, _ in levels} == {"induce_waves", "induce_each"}
+    assert not hasattr(suffix_array, "by_doubling") and len({n for _, n in levels}) > 2  # a level under a level
+    shared = suffix_array.permuted_common_prefixes(s, sa, 400)
+    raw = s.tobytes()
+    for k in range(1, len(sa), 5003):
+        i, j, most = int(sa[k]), int(sa[k - 1]), int(shared[sa[k]])
+        assert raw[4 * i : 4 * (i + most)] == raw[4 * j : 4 * (j + most)] and (most == 400 or s[i + most] != s[j + most])
+
+
+def test_both_ways_to_fill_buckets_agree():
+    rng = np.random.default_rng(1)
+    for n, sigma in ((3000, 4), (20_000, 30), (5000, 2)):
+        s = np.append(rng.integers(1, sigma, n), 0).astype(np.int32)
+        smaller = suffix_array.smaller_types(s)
+        order = suffix_array.leftmost(smaller).astype(np.int32)
+        one = suffix_array.induce_each(s, smaller, order, sigma)
+        many = suffix_array.induce_waves(s, smaller, order, sigma)
+        assert many is None or (one == many).all()
+    run = np.append(np.ones(200_000, np.int32), 0).astype(np.int32)  # a bucket that fills one by one
+    smaller = suffix_array.smaller_types(run)
+    assert suffix_array.induce_waves(run, smaller, suffix_array.leftmost(smaller).astype(np.int32), 2) is None
+    assert in_order(run, suffix_array.suffix_array(run, 2))
+
+
 def brute_removed(rows, length):
     count = collections.Counter()
     for _, t in rows:
