@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ColumnLike = Column | str | float
 Vector = tuple[Column, Column, Column]
@@ -51,6 +53,49 @@ def misalignment(tilt: ColumnLike, azimuth: ColumnLike, sun: Vector, view: Vecto
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(mirrored, view)))))
 
 
+#: What `facing` returns: the panel that would glint, its normal (n), and the directions of sun (s) and view (v).
+FACING = ("tilt", "az", "ne", "nn", "nu", "se", "sn", "su", "ve", "vn", "vu")
+
+
+@F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in FACING]))
+def facing(sun_zen: pa.Array, sun_az: pa.Array, view_zen: pa.Array, view_az: pa.Array) -> pa.Array:
+    """required_orientation with all its directions, by the C library's functions, for a few distinct angles.
+
+    Whole degrees put many scenes exactly at a tolerance, where the last digit decides. The JVM's sine and arc tangent differ
+    from the C library's there.
+    """
+
+    def direction(zen: float, az: float) -> tuple[float, float, float]:
+        z, a = math.radians(zen), math.radians(az)
+        return math.sin(a) * math.sin(z), math.cos(a) * math.sin(z), math.cos(z)
+
+    def one(sz, sa, vz, va):
+        if None in (sz, sa, vz, va) or not all(map(math.isfinite, (sz, sa, vz, va))):
+            return None
+        sun, view = direction(sz, sa), direction(vz, va)
+        e, n, u = (x + y for x, y in zip(sun, view, strict=True))
+        size = math.sqrt(e * e + n * n + u * u)
+        if size == 0:
+            return None
+        tilt, az = math.degrees(math.acos(max(-1.0, min(1.0, u / size)))), math.degrees(math.atan2(e, n))
+        az -= 360.0 * math.floor(az / 360.0)
+        return dict(zip(FACING, (tilt, az, *direction(tilt, az), *sun, *view), strict=True))
+
+    rows = zip(*[c.to_pylist() for c in (sun_zen, sun_az, view_zen, view_az)], strict=True)
+    return pa.array([one(*r) for r in rows], pa.struct([(n, pa.float64()) for n in FACING]))
+
+
+def least_cosine(degrees: float) -> float:
+    """The smallest cosine whose angle is at most so many degrees, to the last digit."""
+    lo, hi = -1.0, 1.0
+    if math.degrees(math.acos(lo)) <= degrees:
+        return lo
+    while math.nextafter(lo, hi) < hi:
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if math.degrees(math.acos(mid)) <= degrees else (mid, hi)
+    return hi
+
+
 def reflectance(dn: ColumnLike, offset: float = 1000.0, scale: float = 10_000.0) -> Column:
     return F.greatest((_c(dn) - offset) / scale, F.lit(0.0))
 
