@@ -77,7 +77,7 @@ def scene_match(spark, sf_dir):
     s = fixture(spark, sf_dir, "fx_scenes")
     bright, hazy = s.where("p98_b03 > 4000").select("pid", "item", "time"), s.where("ring_b03 > 4000").select("pid", "item", "time")
     m = S.as_of(bright, hazy, "pid", "time", "time", 36_000)
-    return m.select("pid", "item", "r_item", scaled("gap_s", 1000).alias("gap_ms"))
+    return m.select("pid", "item", "r_item", F.floor(F.col("gap_us") / 1000 + 0.5).alias("gap_ms"))
 
 
 def run_agreement(spark, sf_dir):

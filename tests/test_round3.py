@@ -21,3 +21,23 @@ def test_votes_at_the_tolerance_follow_the_sql(spark):
     df = spark.createDataFrame(rows, names).withColumns({"is_clear": F.lit(True), "is_spike": F.lit(True)})
     got = glint.fit_summary(df).select("pid", "n_consistent", "fit_tilt", "fit_az").orderBy("pid").collect()
     assert [tuple(r) for r in got] == want
+
+
+def test_gaps_in_time_are_whole_microseconds(spark):
+    """8817.4055 s is half a millisecond more than 8817405 ms; as a difference of seconds it was less."""
+    from solargrid.operators import spatial as S
+
+    at = dt.datetime(2024, 1, 10, 3, 2, 1, 345)
+    a = spark.createDataFrame([(1, 7, at)], "pid bigint, item bigint, time timestamp")
+    b = spark.createDataFrame([(1, 9, at + dt.timedelta(microseconds=8_817_405_500)), (1, 8, at + dt.timedelta(microseconds=8_817_405_500)), (1, 5, at - dt.timedelta(hours=9)), (2, 6, at)], "pid bigint, item bigint, time timestamp")
+    assert [(r.r_item, r.gap_us) for r in S.as_of(a, b, "pid", "time", "time", 36_000).collect()] == [(8, 8_817_405_500)]
+
+
+def test_nearest_pass_makes_no_pairs(spark):
+    """Sixty thousand passes and twenty thousand spikes of one target in two days: 1.2e9 pairs, if they were all compared."""
+    n = spark.range(60_000).select(F.lit(1).cast("long").alias("pid"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 1_000_000).alias("time"), (F.col("id") % 9).cast("double").alias("misalignment"))
+    s = spark.range(20_000).select(F.lit(1).cast("long").alias("pid"), F.col("id").alias("item"), F.timestamp_micros(F.lit(1_704_067_200_300_000) + F.col("id") * 3_000_000).alias("time"))
+    out = glint.nearest_pass(s, n)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    r = out.agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.max("gap").alias("gap")).first()
+    assert r.n == 20_000 and r.hits == sum(i * 3 % 9 <= 3 for i in range(20_000)) and abs(r.gap * 86_400 - 0.3) < 1e-5
