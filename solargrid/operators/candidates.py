@@ -27,9 +27,10 @@ def place_on_buildings(candidates: DataFrame, buildings: DataFrame, reach_m: flo
 
 def best_overlap(candidates: DataFrame, buildings: DataFrame, least_m2: float | None = None) -> DataFrame:
     """Fallback placement: the building with the largest intersection (of more than least_m2, if given) decides; ties: the smallest id."""
-    hits = S.overlaps(candidates, buildings)
+    own, _, hits = S.shape_overlaps(candidates, buildings, "cand_id", "id")
     hits = hits if least_m2 is None else hits.where(F.col("shared") > least_m2)
-    top = hits.groupBy(F.col("l_cand_id").alias("cand_id")).agg(F.max(F.struct("shared", (-F.col("r_id")).alias("neg"))).alias("t"))
+    top = hits.groupBy(F.col("l_s_id").alias("s_id")).agg(F.max(F.struct("shared", (-F.col("r_s_id")).alias("neg"))).alias("t"))
+    top = S.by_shape(candidates, own, top, "cand_id")
     j = candidates.join(top, "cand_id", "left")
     share = F.col("t.shared") / F.col("area_m2")
     return j.withColumn("building_id", -F.col("t.neg")).withColumn("placement", F.when(share >= ROOF_SHARE, "rooftop").when(share.isNotNull(), "ground_adjacent").otherwise("no_building")).drop("t")
@@ -38,7 +39,9 @@ def best_overlap(candidates: DataFrame, buildings: DataFrame, least_m2: float |
 def label_placement(labels: DataFrame, buildings: DataFrame, least_share: float = 0.5) -> DataFrame:
     """Labels of unknown placement become rooftop if buildings cover half of them, else ground."""
     unknown = labels.where("placement = 'unknown'")
-    cover = S.overlaps(unknown, buildings).groupBy(F.col("l_osm_id").alias("osm_id")).agg((F.sum("shared") / F.first("l_area_m2")).alias("share"))
+    own, _, hits = S.shape_overlaps(unknown, buildings, "osm_id", "id")
+    cover = hits.groupBy(F.col("l_s_id").alias("s_id")).agg(F.sum(F.col("shared") * F.col("r_s_n")).alias("s_m2"))
+    cover = S.by_shape(unknown, own, cover, "osm_id", "area_m2").select("osm_id", (F.col("s_m2") / F.col("area_m2")).alias("share"))
     solved = F.when(F.col("placement") != "unknown", F.col("placement")).when(F.col("share") >= least_share, "rooftop").otherwise("ground")
     return labels.join(cover, "osm_id", "left").withColumn("placement", solved).drop("share")
 

@@ -41,3 +41,26 @@ def test_nearest_pass_makes_no_pairs(spark):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     r = out.agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.max("gap").alias("gap")).first()
     assert r.n == 20_000 and r.hits == sum(i * 3 % 9 <= 3 for i in range(20_000)) and abs(r.gap * 86_400 - 0.3) < 1e-5
+
+
+def test_copies_of_shapes_do_not_meet_each_other(spark):
+    """Fifty candidates and forty buildings of one shape each: one pair of shapes, not two thousand pairs of rows."""
+    from solargrid.operators import candidates as C
+    from solargrid.operators import density as D
+    from solargrid.operators import spatial as S
+
+    square = [F.lit(60.5).alias("lon"), F.lit(24.5).alias("lat"), F.lit(400.0).alias("area_m2")]
+    c = spark.range(100, 150).select(F.col("id").alias("cand_id"), *square, F.lit(0.5).alias("p_real"))
+    b = spark.range(7, 47).select("id", *square)
+    assert S.shape_overlaps(c, b, "cand_id", "id")[2].count() == 1
+    n = S.nearest(c, b, "cand_id", "id", 200.0).collect()
+    assert len(n) == 50 and all(r.near_id == 7 and r.dist_m == 0 and abs(r.overlap_m2 - 16_000) < 1e-6 for r in n)
+    d = D.detected_on_buildings(c, b.withColumn("area_m2", F.lit(400.0))).collect()
+    assert len(d) == 40 and all(r.main_cand == 100 and r.det_m2 == 400 and r.cal_m2 == 400 for r in d)
+    assert {r.building_id for r in C.best_overlap(c, b).collect()} == {7}
+    assert S.matched(c, b, "cand_id", 0.0).count() == 50
+    ring = lambda df: df.withColumn("rings", F.expr("array(array(struct(0D AS x, 0D AS y), struct(1D AS x, 0D AS y), struct(1D AS x, 1D AS y)))"))
+    assert S.polygon_overlaps(ring(c), ring(b), "cand_id", "id").where("abs(shared - 0.5) < 1e-9").count() == 2000
+    tiles = spark.range(30).select(F.format_string("t%02d", "id").alias("file"), F.lit(60.0).alias("xmin"), F.lit(24.0).alias("ymin"), F.lit(61.0).alias("xmax"), F.lit(25.0).alias("ymax"))
+    assert {(r.file, r.n_covering) for r in S.covered_by_one(S.with_box(c), tiles, "cand_id").collect()} == {("t00", 30)}
+    assert {r.file for r in S.one_tile(b, tiles, "id", first=False).collect()} == {"t29"}
