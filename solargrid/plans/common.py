@@ -18,6 +18,11 @@ def scaled(c: Column | str, by: int = SCALE) -> Column:
     return F.floor(c * by + F.lit(0.5)).cast("long")
 
 
+def six_digits(prefix: str, number: Column) -> Column:
+    """The SQL's lpad(number, 6, '0'), which also cuts longer numbers to their first six digits."""
+    return F.concat(F.lit(prefix), F.lpad(number.cast("string"), 6, "0"))
+
+
 def scale(df: DataFrame, *cols: str, by: int = SCALE) -> DataFrame:
     return df.withColumns({c: scaled(c, by) for c in cols})
 

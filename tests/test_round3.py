@@ -64,3 +64,11 @@ def test_copies_of_shapes_do_not_meet_each_other(spark):
     tiles = spark.range(30).select(F.format_string("t%02d", "id").alias("file"), F.lit(60.0).alias("xmin"), F.lit(24.0).alias("ymin"), F.lit(61.0).alias("xmax"), F.lit(25.0).alias("ymax"))
     assert {(r.file, r.n_covering) for r in S.covered_by_one(S.with_box(c), tiles, "cand_id").collect()} == {("t00", 30)}
     assert {r.file for r in S.one_tile(b, tiles, "id", first=False).collect()} == {"t29"}
+
+
+def test_ids_beyond_a_million_follow_the_sql(spark):
+    from solargrid.plans.common import six_digits
+
+    df = spark.createDataFrame([(7,), (999_999,), (1_234_567,)], "n bigint").select(six_digits("fx-pv-", F.col("n")).alias("c"))
+    want = [r[0] for r in duckdb.sql("SELECT 'fx-pv-' || lpad(CAST(n AS VARCHAR), 6, '0') FROM (VALUES (7), (999999), (1234567)) t(n)").fetchall()]
+    assert [r.c for r in df.collect()] == want
