@@ -10,6 +10,7 @@ from solargrid.operators import density as D
 from solargrid.operators import glint
 from solargrid.operators import pixels as P
 from solargrid.operators import refine as R
+from solargrid.operators.components import cut_lineage
 from solargrid.plans import series
 from solargrid.plans.common import GRID, scaled, sql_scaled
 from solargrid.plans.pixels import PX, _pixels
@@ -38,9 +39,10 @@ def _windows(spark, sf_dir) -> DataFrame:
     return P.around(_targets(spark, sf_dir).join(seen, "pid", "left_semi"), _pixels(spark, sf_dir), "pid", 8)
 
 
-def _readings(spark, sf_dir, windows: DataFrame) -> DataFrame:
-    """Every scene's values in its target's window: a pattern over the scene's own value, with gaps; some scenes are mostly gaps."""
+def _readings(spark, sf_dir, windows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Values in its target's window of every scene near a chosen one: a pattern over the scene's own value, with gaps; some scenes are mostly gaps."""
     s = series._series(spark, sf_dir).select("pid", "item", F.expr("time + make_dt_interval(0, 0, 5 * CAST(item % 5 AS INT), 0)").alias("time"), F.col(f"p98_{BAND}").alias("top"))
+    s = R.near_scenes(chosen, s)
     gap = F.when(F.col("item") % 11 == 0, (F.col("r") + F.col("c")) % 3 != 0).otherwise((F.col("r") + F.col("c") + F.col("item")) % 5 == 0)
     own = ((F.col("r") * 7 + F.col("c") * 3) % 8) / 8  # how much of the scene's brightness the pixel has
     v = F.when(~gap, own * F.col("top") + (1 - own) * 0.16 * (1 + (F.col("item") % 5) / 10))
@@ -49,7 +51,8 @@ def _readings(spark, sf_dir, windows: DataFrame) -> DataFrame:
 
 def _maps(spark, sf_dir, windows: DataFrame) -> DataFrame:
     chosen = R.map_scenes(glint.annotated(series._series(spark, sf_dir), series.BANDS), BAND)
-    return R.amplitude_map(R.scene_pixels(chosen, _readings(spark, sf_dir, windows)))
+    chosen = cut_lineage(chosen)  # a dozen rows for each target, used twice
+    return R.amplitude_map(R.scene_pixels(chosen, _readings(spark, sf_dir, windows, chosen)))
 
 
 def amplitude_maps(spark, sf_dir):

@@ -72,3 +72,14 @@ def test_ids_beyond_a_million_follow_the_sql(spark):
     df = spark.createDataFrame([(7,), (999_999,), (1_234_567,)], "n bigint").select(six_digits("fx-pv-", F.col("n")).alias("c"))
     want = [r[0] for r in duckdb.sql("SELECT 'fx-pv-' || lpad(CAST(n AS VARCHAR), 6, '0') FROM (VALUES (7), (999999), (1234567)) t(n)").fetchall()]
     assert [r.c for r in df.collect()] == want
+
+
+def test_only_scenes_near_a_chosen_one_are_read(spark):
+    from solargrid.operators import refine as R
+
+    at = dt.datetime(2024, 1, 1, 12)
+    us = int(at.replace(tzinfo=dt.timezone.utc).timestamp()) * 1_000_000
+    chosen = spark.createDataFrame([(1, 10, us, "spike")], "pid bigint, item bigint, at bigint, role string")
+    gaps = {10: 0, 11: 1800, 12: -1800, 13: 1801, 14: -1801, 15: 86_400}
+    scenes = spark.createDataFrame([(p, i, at + dt.timedelta(seconds=g)) for p in (1, 2) for i, g in gaps.items()], "pid bigint, item bigint, time timestamp")
+    assert {(r.pid, r.item) for r in R.near_scenes(chosen, scenes).collect()} == {(1, 10), (1, 11), (1, 12)}
