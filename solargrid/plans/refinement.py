@@ -69,9 +69,9 @@ def refined_masks(spark, sf_dir):
     return out.select("gate", "strategy", "tp", "fp", "fn", scaled("iou").alias("iou"))
 
 
-def _zones(spark, sf_dir) -> DataFrame:
+def _outlines(spark, sf_dir) -> DataFrame:
     m = fixture(spark, sf_dir, "fx_mapped").withColumn("area_m2", F.col("area_m2") * OUTLINE_TIMES)
-    return R.target_zones(_around(m, DIAMOND), "osm_id", PX, X0, Y0)
+    return R.target_windows(_around(m, DIAMOND), "osm_id", PX, X0, Y0)
 
 
 def _radar(spark, sf_dir) -> DataFrame:
@@ -87,14 +87,14 @@ def _radar(spark, sf_dir) -> DataFrame:
 
 def radar_statistics(spark, sf_dir):
     """Backscatter inside each outline and around it, in every scene."""
-    s = R.backscatter(_zones(spark, sf_dir), _radar(spark, sf_dir), "osm_id", ["vv", "vh"])
+    s = R.window_backscatter(_outlines(spark, sf_dir), _radar(spark, sf_dir), "osm_id", ["vv", "vh"])
     values = [scaled(f"{p}_{z}").alias(f"{p}_{z}") for p in ("vv", "vh") for z in ("inside", "ring")]
     return s.select("osm_id", "item", "orbit", *values, "vv_npx", "vh_npx")
 
 
 def radar_orbit_rates(spark, sf_dir):
     """How often an outline stands out from its usual ratio, by orbit."""
-    s = R.backscatter(_zones(spark, sf_dir), _radar(spark, sf_dir), "osm_id", ["vv", "vh"])
+    s = R.window_backscatter(_outlines(spark, sf_dir), _radar(spark, sf_dir), "osm_id", ["vv", "vh"])
     return R.orbit_rates(s, "osm_id", "vv").select("osm_id", "orbit", "n", scaled("rate").alias("rate"), scaled("median_ratio").alias("median_ratio"))
 
 

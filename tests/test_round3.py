@@ -83,3 +83,47 @@ def test_only_scenes_near_a_chosen_one_are_read(spark):
     gaps = {10: 0, 11: 1800, 12: -1800, 13: 1801, 14: -1801, 15: 86_400}
     scenes = spark.createDataFrame([(p, i, at + dt.timedelta(seconds=g)) for p in (1, 2) for i, g in gaps.items()], "pid bigint, item bigint, time timestamp")
     assert {(r.pid, r.item) for r in R.near_scenes(chosen, scenes).collect()} == {(1, 10), (1, 11), (1, 12)}
+
+
+def test_backscatter_packs_readings_by_tile_and_scene(spark, sf_dir):
+    """Readings move by tile and scene: windows across tiles, a pixel read twice, absent values and many windows of a home."""
+    import numpy as np
+
+    from solargrid.operators import refine as R
+
+    rng = np.random.default_rng(5)
+    zones, readings = [], []
+    for k, (x0, y0) in enumerate([(60, 60), (60, 60), (10, 3), (120, 62)]):  # two alike; three reach over an edge of their tile
+        zones += [(k, x // 64, y // 64, y % 64, x % 64, "inside" if max(abs(x - x0 - 5), abs(y - y0 - 5)) < 2 else "ring") for x in range(x0, x0 + 11) for y in range(y0, y0 + 11) if (x + y) % 7]
+    for x, y, item, band in {tuple(t) for t in zip(*(rng.integers(0, n, 60_000).tolist() for n in (130, 130, 4, 2)), strict=True)}:
+        for _ in range(1 + (x * y % 13 == 0)):
+            readings.append((x // 64, y // 64, y % 64, x % 64, item, item, "up" if item % 2 else None, ("vv", "vh")[band], None if (x + item) % 11 == 0 else float(rng.integers(0, 99)) / 7))
+    readings = [r for r in readings if not (r[4] == 3 and r[7] == "vh" and r[0] == 0)]
+    z = spark.createDataFrame(zones, "id long, ix int, iy int, r int, c int, zone string")
+    m = spark.createDataFrame(readings, "ix int, iy int, r int, c int, item int, time int, orbit string, band string, v double")
+    out = R.backscatter(z, m, "id", ["vv", "vh"])
+    got = {(r["id"], r["item"], r.orbit): tuple(r)[4:] for r in out.collect()}
+    at = {}
+    for k, ix, iy, r, c, zone in zones:
+        at.setdefault((ix, iy, r, c), []).append((k, zone))
+    seen = {}
+    for ix, iy, r, c, item, _, orbit, band, v in readings:
+        for k, zone in at.get((ix, iy, r, c), []):
+            own = seen.setdefault((k, item, orbit), {}).setdefault(band, {"inside": [], "ring": []})[zone]
+            own += [] if v is None else [v]
+    want = {}
+    for k, bands in seen.items():
+        if len(bands) == 2:
+            row = []
+            for band in ("vv", "vh"):
+                i, o = bands[band]["inside"], bands[band]["ring"]
+                row += [np.quantile(i, 0.9), np.median(o), len(i)] if len(i) >= 3 and len(o) >= 20 else [None, None, 0]
+            want[k] = tuple(row)
+    assert set(got) == set(want) and len(want) > 12 and {k[0] for k in want} == {0, 1, 2, 3}
+    for k in want:
+        assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9) for a, b in zip(got[k], want[k], strict=True)), k
+    # The faulty form joined every reading with every target that shows it, a row for each pair; the series was worked out three times.
+    from solargrid.plans import refinement
+
+    plan = refinement.radar_orbit_rates(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(array(vv, vh))") <= 1 and plan.count("zone#") == 0
