@@ -194,7 +194,7 @@ def new_lead_polygons(spark, sf_dir):
 def recall_match_polygons(spark, sf_dir):
     """Mapped features that some candidate's outline touches, and the nearest candidate within 15 m."""
     m, c = _mapped(spark, sf_dir), _candidates(spark, sf_dir)
-    near = S.nearest(m, c, "osm_id", "cand_id", 15.0).select("osm_id", F.col("near_id").alias("within_15m"))
+    near = S.nearest(m, c, "osm_id", "cand_id", 15.0, overlap=False).select("osm_id", F.col("near_id").alias("within_15m"))
     return S.recall_matches(m, c).select("osm_id", "is_matched").join(near, "osm_id", "left")
 
 

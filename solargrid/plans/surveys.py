@@ -186,13 +186,13 @@ def best_overlap_building(spark, sf_dir):
 def ground_truth_match(spark, sf_dir):
     """The nearest candidate within 15 m of each mapped feature, and whether there is one."""
     m = fixture(spark, sf_dir, "fx_mapped")
-    n = S.nearest(m, _candidates(spark, sf_dir), "osm_id", "cand_id", 15.0)
+    n = S.nearest(m, _candidates(spark, sf_dir), "osm_id", "cand_id", 15.0, overlap=False)
     return m.select("osm_id").join(n.select("osm_id", "near_id"), "osm_id", "left").withColumn("is_matched", F.col("near_id").isNotNull())
 
 
 @query(f"WITH n AS (SELECT a.cand_id, min({_GAP}) AS d FROM fx_candidates a JOIN fx_buildings b ON {_CLOSE} AND {_GAP} <= 60 GROUP BY a.cand_id) SELECT cand_id, {sql_scaled('d', 'dist_m', '1E3')} FROM n", "fx_candidates", "fx_buildings")
 def roof_within_60m(spark, sf_dir):
-    return scale(S.nearest(_candidates(spark, sf_dir), _buildings(spark, sf_dir), "cand_id", "id", 60.0).select("cand_id", "dist_m"), "dist_m", by=1000)
+    return scale(S.nearest(_candidates(spark, sf_dir), _buildings(spark, sf_dir), "cand_id", "id", 60.0, overlap=False).select("cand_id", "dist_m"), "dist_m", by=1000)
 
 
 # Places and tiles

@@ -139,3 +139,31 @@ def test_areas_of_boxes_follow_the_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     want = con.execute(f"SELECT id, area FROM ({surveys.ORACLES['footprint_measures']}) ORDER BY id").fetchall()
     assert [tuple(r) for r in surveys.footprint_measures(spark, str(tmp_path)).select("id", "area").orderBy("id").collect()] == want
+
+
+def test_squares_around_one_point_stand_for_each_other(spark):
+    """Sixty squares of different areas around one point: few can be nearest, one decides whether something is near."""
+    from solargrid.operators import spatial as S
+
+    at = [F.lit(60.5).alias("lon"), F.lit(24.5).alias("lat")]
+    b = spark.range(60).select("id", *at, (100.0 + F.pmod(F.col("id") * 37, F.lit(60)) * 10).alias("area_m2"))
+    own = {r.id: r.area_m2 for r in b.collect()}
+    few = {r.s_id for r in S.foremost(S.shapes_of(b, "id")).collect()}
+    assert few == {i for i in own if not any(own[j] > own[i] and j < i for j in own)} and len(few) < 12
+    odd = spark.createDataFrame([(900, 60.5, 24.5, float("nan")), (901, 60.5, 24.5, None), (902, None, 24.5, 9e9), (903, 60.5, 24.5, -1.0)], "id long, lon double, lat double, area_m2 double")
+    b = b.unionByName(odd)
+    c = spark.range(20).select(F.col("id").alias("cand_id"), (60.5 + F.col("id") * 0.00002).alias("lon"), F.lit(24.5).alias("lat"), F.lit(50.0).alias("area_m2"))
+    pairs = S.nearest(c, b, "cand_id", "id", 15.0).select("cand_id", "dist_m", "near_id").orderBy("cand_id").collect()
+    assert S.nearest(c, b, "cand_id", "id", 15.0, overlap=False).orderBy("cand_id").collect() == pairs and 5 < len(pairs) < 20 and len({r.near_id for r in pairs}) > 2
+    assert {r.cand_id for r in S.matched(c, b, "cand_id", 15.0).collect()} == {r.cand_id for r in pairs}
+    seen = []
+
+    def hits(x, y):
+        pairs = S.polygon_pairs(x, y, 15.0)
+        seen.append((x.count(), y.count(), pairs.count()))
+        return pairs
+
+    a, rings = S.shapes_of(c, "cand_id"), S.shaped(b.where("id < 900"), "").select("rings")
+    found = S.hit_shapes(a.withColumn("rings", S.G.box_rings(F.col("lon"), F.col("lat"), F.col("area_m2"))), rings, hits)
+    assert {r.s_id for r in found.collect()} == {r.cand_id for r in pairs}
+    assert seen[0][1] == 1 and seen[1][0] == 20 - len(pairs) and seen[1][2] == 0  # those that hit the widest meet no other
