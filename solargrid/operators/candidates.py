@@ -27,7 +27,8 @@ def place_on_buildings(candidates: DataFrame, buildings: DataFrame, reach_m: flo
 
 def best_overlap(candidates: DataFrame, buildings: DataFrame, least_m2: float | None = None) -> DataFrame:
     """Fallback placement: the building with the largest intersection (of more than least_m2, if given) decides; ties: the smallest id."""
-    own, _, hits = S.shape_overlaps(candidates, buildings, "cand_id", "id")
+    own = S.shapes_of(candidates, "cand_id")
+    hits = S.overlaps(own, S.foremost(S.shapes_of(buildings, "id")))
     hits = hits if least_m2 is None else hits.where(F.col("shared") > least_m2)
     top = hits.groupBy(F.col("l_s_id").alias("s_id")).agg(F.max(F.struct("shared", (-F.col("r_s_id")).alias("neg"))).alias("t"))
     top = S.by_shape(candidates, own, top, "cand_id")
