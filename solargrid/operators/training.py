@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from solargrid.functions import geometry as G
 from solargrid.operators.candidates import hash_order
 
+#: Tasks that the labels of one chip box are dealt over.
+SHARES = 16
+
 
 def uniform(key: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on key and seed only."""
@@ -104,11 +107,19 @@ def chip_counts(chip_pixels: DataFrame) -> DataFrame:
 
 
 def labels_in_chips(labels: DataFrame, chips: DataFrame) -> DataFrame:
-    """chip_id and osm_id of labels (with boxes) that cross a chip's box, edges included."""
+    """chip_id and osm_id of labels (with boxes) that cross a chip's box, edges included.
+
+    Labels meet the different boxes; the chips of a box, however many, are dealt with its labels over SHARES tasks.
+    """
     from solargrid.operators import spatial as S
 
-    pairs = S.box_pairs(S.renamed(labels.select("osm_id", *S.BOX), "l_"), S.renamed(chips.select("chip_id", *S.BOX), "r_"), 0.1)
-    return pairs.select(F.col("r_chip_id").alias("chip_id"), F.col("l_osm_id").alias("osm_id"))
+    boxes = S.cut_lineage(chips.select(*S.BOX).distinct().withColumn("no", F.monotonically_increasing_id()))
+    hit = S.box_pairs(S.renamed(labels.select("osm_id", *S.BOX), "l_"), S.renamed(boxes, "r_"), 0.1)
+    hit = hit.select(F.col("l_osm_id").alias("osm_id"), F.col("r_no").alias("no"), F.pmod(F.hash("l_osm_id"), F.lit(SHARES)).alias("share"))
+    dealt = chips.join(boxes, list(S.BOX)).select("chip_id", "no", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    # By number, so that small inputs of a large result are not put into few tasks.
+    parts = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return hit.repartition(parts, "no", "share").join(dealt.hint("merge"), ["no", "share"]).select("chip_id", "osm_id")
 
 
 def vegetation_negatives(vetoed: DataFrame) -> DataFrame:

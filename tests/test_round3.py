@@ -213,3 +213,36 @@ def test_best_roof_is_sought_among_those_no_other_holds(spark):
         top[r.l_s_id] = max(top.get(r.l_s_id, (0.0, 0)), (round(r.shared, 6), -r.r_s_id))
     got = {r.cand_id: r.building_id for r in C.best_overlap(c, b, least_m2=1e-6).collect()}
     assert all(got[k] == (-top[k][1] if k in top else None) for k in got) and len(top) > 5
+
+
+def test_boxes_share_their_sides_and_pairs_are_named_last(spark):
+    """Boxes, a diamond, a box with a hole and copies on both sides, against the kernel on every pair of rows; boxes alone need no kernel."""
+    from solargrid.functions import shapes
+    from solargrid.operators import spatial as S
+
+    box = lambda x, y, h: [{"x": x + i * h, "y": y + j * h} for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))]
+    diamond = [[{"x": 0.5, "y": 0.0}, {"x": 1.0, "y": 0.5}, {"x": 0.5, "y": 1.0}, {"x": 0.0, "y": 0.5}]]
+    level = [[{"x": 0.0, "y": 0.0}, {"x": 2.0, "y": 0.0}, {"x": 1.0, "y": 0.0}, {"x": 1.0, "y": 1.0}, {"x": 0.0, "y": 1.0}]]
+    holed = [box(0.5, 0.5, 0.5), box(0.5, 0.5, 0.2)[::-1]]
+    schema = "{} long, rings array<array<struct<x:double,y:double>>>"
+    left = [(1, [box(0.1, 0.1, 0.31)]), (2, diamond), (3, holed), (4, [box(0.1, 0.1, 0.31)]), (5, None), (6, level)]
+    right = [(7, [box(0.3, 0.2, 0.17)]), (8, [box(0.3, 0.2, 0.17)]), (9, diamond), (10, [box(5.0, 5.0, 0.1)]), (11, []), (12, holed)]
+    a, b = spark.createDataFrame(left, schema.format("a")), spark.createDataFrame(right, schema.format("b"))
+    rows = a.crossJoin(b.withColumnRenamed("rings", "r_rings")).select("a", "b", shapes.intersection_area("rings", "r_rings").alias("shared")).where("shared > 1e-12").collect()
+    got = S.polygon_overlaps(a, b, "a", "b", 0.5).collect()
+    assert len(got) == len(rows) > 12 and {(r.a, r.b): round(r.shared, 9) for r in got} == {(r.a, r.b): round(r.shared, 9) for r in rows}
+    assert {r.a for r in a.where(shapes.is_box("rings")).collect()} == {1, 4}
+    plain = S.polygon_overlaps(a.where("a IN (1, 4)"), b.where("b IN (7, 8, 10)"), "a", "b", 0.5)
+    assert plain.count() == 4 and "intersection_area" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chips_of_one_box_are_dealt_over_tasks(spark):
+    """Forty chips of one box and four hundred labels: no task makes all the pairs."""
+    from solargrid.operators import training as N
+
+    edge = lambda lo, hi: [F.lit(v).alias(c) for c, v in (("xmin", lo), ("ymin", lo), ("xmax", hi), ("ymax", hi))]
+    labels = spark.range(400).select(F.col("id").alias("osm_id"), *edge(60.02, 60.021))
+    chips = spark.range(40).select(F.col("id").cast("string").alias("chip_id"), *edge(60.0, 60.1))
+    out = N.labels_in_chips(labels, chips.unionByName(spark.range(1).select(F.lit("far").alias("chip_id"), *edge(61.0, 61.1))))
+    per_task = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == out.distinct().count() == 16_000 and max(per_task) < 12_000
