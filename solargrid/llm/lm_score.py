@@ -9,23 +9,23 @@ billion words or pairs agree by chance with a probability below 3 %, and would t
 interpolates its bigrams with its unigrams: p(w | h) = (c(h, w) + WEIGHT p(w)) / (c(h) + WEIGHT),
 p(w) = (c(w) + 1) / (N + V + 1), each without the occurrence scored.
 
-An occurrence's loss is a sum of three parts: log(c(h) + WEIGHT) of its first word, -log(WEIGHT p(w)) of its second, and
--log(1 + c(h, w) / (WEIGHT p(w))) of the pair, which is 0 unless the pair stands elsewhere too. So only pairs that occur
-twice in all need a lookup, and a bitmap of them (of bounded size: beyond that it lets more through, and the result is
-the same) keeps the others out of the shuffle.
-
-Tasks count words and pairs by blocks, and Spark sums the counts. The HOT_ROWS most frequent words and pairs at most are
-broadcast, and what a text owes to them is summed where the text is read. The rest of a text's words and pairs is joined
-to the counts by a shuffle; being rare, none of these keys fills a task. Nothing else has a bound.
+Rows are dealt to blocks of about BLOCK_SIZE characters by a hash of id and text. A block counts its words and pairs, cuts the
+sorted keys into parts of the range of hashes and sends each part once, as packed differences. The task of a part sums the
+counts of all blocks and answers each of them with the sums of its own keys, in their order, so that no key travels back.
+The block then scores its texts with them. A key is sent once for each block, however often it stands there, so no
+word or pair fills a task; nothing is broadcast but the target's ids, and nothing is dropped. Between blocks and parts go
+blocks times parts rows, which for very large inputs outgrows the keys: then raise BLOCK_SIZE and HOT_ROWS.
 
 Nulls and odd input: a null text has no tokens; texts without tokens score 0. A row of the result stands for each row of
 the input, whose doc_id may be of any type; rows that repeat a doc_id are in the target together. Without target rows the
 target model is uniform. Empty tables give an empty result. Other columns are ignored, whatever they are called.
+A block is handled at once; rows with equal doc_id and text share one.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -34,17 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solargrid.llm.key_filter import bitmap
-from solargrid.llm.shingles import Q, mix, powers
-from solargrid.llm.storage import stored
+from solargrid.llm.shingles import mix, powers
 
 WEIGHT = 50.0
 #: Target ids are broadcast up to so many; beyond it both sides are shuffled.
 BROADCAST_IDS = 2_000_000
-#: Words, and pairs, that are broadcast at most.
-HOT_ROWS = 400_000
-#: Characters and tokens that a task handles at once.
-BLOCK_CHARS, BLOCK_TOKENS = 1 << 20, 3_000_000
+#: Characters of a block.
+BLOCK_SIZE = 6_000_000
+#: Words and pairs, each counted once for a block, that a part has at about; one stands in CHARS characters or more.
+HOT_ROWS, CHARS = 1_000_000, 8
+#: Characters that are hashed at once.
+BLOCK_CHARS = 1 << 20
 WORDS = re.compile(r"[\w']+|[^\w\s]")
 #: Stands for a text's start.
 START = np.uint64(0x6A09E667F3BCC909)
@@ -94,10 +94,10 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def paired(h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each token's pair with the one before it (or the start), and whether it is its text's last."""
+    """Each token's pair with the one before it (or the start), and whether it is its text's first."""
     new = np.concatenate(([True], text[1:] != text[:-1]))[: len(h)]
     before = np.where(new, START, np.concatenate(([START], h[:-1]))[: len(h)])
-    return pair_keys(before, h), np.concatenate((new[1:], [True]))[: len(h)]
+    return pair_keys(before, h), new
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -112,200 +112,127 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tupl
             i = j
 
 
-def flagged(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """q_row, doc_id, text, is_target."""
+def flagged(docs: DataFrame, target: DataFrame, id_col: str, text_col: str, blocks: int) -> DataFrame:
+    """q_block, doc_id, text, is_target."""
     ids = target.select(F.col("doc_id").alias("t_id")).where("t_id IS NOT NULL").distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    d = docs.select(F.monotonically_increasing_id().alias("q_row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return d.join(F.broadcast(ids) if few else ids, d["doc_id"] == F.col("t_id"), "left").select("q_row", "doc_id", "text", F.col("t_id").isNotNull().alias("is_target"))
-
-
-def counts(rows: DataFrame) -> DataFrame:
-    """word, key, n_target, n: of every word, and of every pair that occurs twice."""
-
-    def sums(word: bool, keys: list[np.ndarray], own: list[np.ndarray]) -> pa.RecordBatch:
-        kinds, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        n_target = np.bincount(at, np.concatenate(own), len(kinds)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), word)), pa.array(kinds.view(np.int64)), pa.array(n_target), pa.array(n.astype(np.int64))], ["word", "key", "n_target", "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, own, n = [], [], [], 0
-        for b, texts in text_blocks(batches, 0):
-            h, text = hashed(texts)
-            words.append(h)
-            pairs.append(paired(h, text)[0])
-            own.append(b.column(1).to_numpy(zero_copy_only=False)[text])
-            n += len(h)
-            if n > BLOCK_TOKENS:
-                yield sums(True, words, own)
-                yield sums(False, pairs, own)
-                words, pairs, own, n = [], [], [], 0
-        if n:
-            yield sums(True, words, own)
-            yield sums(False, pairs, own)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    d = d.select(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(blocks)).cast("long").alias("q_block"), "doc_id", "text")
+    return d.join(F.broadcast(ids) if few else ids, d["doc_id"] == F.col("t_id"), "left").select("q_block", "doc_id", "text", F.col("t_id").isNotNull().alias("is_target"))
 
-    emitted = rows.select("text", "is_target").mapInArrow(count, "word boolean, key long, n_target long, n long")
-    return emitted.groupBy("word", "key").agg(F.sum("n_target").alias("n_target"), F.sum("n").alias("n")).where("word OR n > 1")
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers by as many bytes as the largest takes; bytes of one rank stand together, so that zeros compress."""
+    x = np.ascontiguousarray(x, dtype=np.uint64)
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
-def hot_limit(of: DataFrame) -> int:
-    """The least count above which no more than HOT_ROWS rows of `of` lie; counts are looked at by logarithmic buckets."""
-    bucket = F.expr("CAST(ceil(log2(n) * 16) AS INT)")  # counts above 2 ^ (k / 16) lie in buckets above k
-    rows, total, least = of.groupBy(bucket.alias("k")).count().orderBy(F.desc("k")).collect(), 0, 1 << 62
-    for r in rows:
-        total += r["count"]
-        if total > HOT_ROWS:
-            break
-        least = int(2 ** ((r["k"] - 1) / 16))
-    return least
 
+def unpacked(data: bytes) -> np.ndarray:
+    n = (len(data) - 1) // data[0]
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, : data[0]] = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(data[0], n).T
+    return out.reshape(-1).view(np.uint64)
 
-def hot_table(of: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys in order, counts in the target, counts: of rows with n above limit, which are HOT_ROWS at most."""
-    t = of.where(F.col("n") > limit).select("key", "n_target", "n").toPandas()
-    keys = t["key"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], t["n_target"].to_numpy(dtype=np.int64)[order], t["n"].to_numpy(dtype=np.int64)[order]
 
+def floors(parts: int) -> np.ndarray:
+    """The least key of each part."""
+    return np.array([-(-(k << 64) // parts) for k in range(parts)], dtype=np.uint64)
 
-def look_up(table: tuple[np.ndarray, np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whether each key is in a table, and its counts (0 if not)."""
-    if not len(table[0]):
-        return np.zeros(len(keys), dtype=bool), np.zeros(len(keys)), np.zeros(len(keys))
-    at = np.searchsorted(table[0], keys)
-    at[at == len(table[0])] = 0
-    hit = table[0][at] == keys
-    return hit, np.where(hit, table[1][at], 0).astype(np.float64), np.where(hit, table[2][at], 0).astype(np.float64)
 
+def read(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, pairs, texts of all tokens of a block, and whether each is its text's first."""
+    out, n = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool))], 0
+    for _, texts in text_blocks(rows.to_batches(), rows.schema.get_field_index("text")):
+        h, text = hashed(texts)
+        pair, new = paired(h, text)
+        out.append((h, pair, text + n, new))
+        n += len(texts)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-class Model:
-    """The parts of a loss in one model. total: tokens; size: words of the vocabulary."""
 
-    def __init__(self, total: int, size: int):
-        self.total, self.size = total, size
+KINDS = ("words", "pairs")
+ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+COUNTED = "q_block long, part int, docs_n long, docs_target long, words binary, words_n binary, words_target binary, pairs binary, pairs_n binary, pairs_target binary"
+SUMMED = "q_block long, part int, docs_n long, docs_target long, words_n binary, words_target binary, pairs_n binary, pairs_target binary, size long, total_n long, total_target long"
 
-    def word(self, u: np.ndarray, own: np.ndarray) -> np.ndarray:
-        return (u - own + 1) / (self.total - own + self.size + 1)
 
-    def first(self, c: np.ndarray, own: np.ndarray) -> np.ndarray:
-        return np.log(c - own + WEIGHT)
+def arrow_table(schema: str, cols: dict) -> pa.Table:
+    return pa.table({c: pa.array(cols[c], ARROW[t]) for c, t in (x.split() for x in schema.split(", "))})
 
-    def second(self, u: np.ndarray, own: np.ndarray) -> np.ndarray:
-        return -np.log(WEIGHT * self.word(u, own))
 
-    def pair(self, n: np.ndarray, u: np.ndarray, own: np.ndarray) -> np.ndarray:
-        return -np.log1p(np.maximum(n - own, 0) / (WEIGHT * self.word(u, own)))
+def counts(rows: DataFrame, parts: int) -> DataFrame:
+    """COUNTED: for each block and part the block's keys there and their counts, in all and in the target."""
 
-    # The same as SQL over columns u, n (those of this model) and own.
-    def sql_word(self, u: str, own: str) -> str:
-        return f"(({u} - {own} + 1) / ({self.total} - {own} + {self.size} + 1D))"
+    def count(block: tuple, b: pa.Table) -> pa.Table:
+        h, pair, text, _ = read(b)
+        is_target = b["is_target"].to_numpy()
+        own, low = is_target[text], floors(parts)
+        cols = {"q_block": [block[0].as_py()] * parts, "part": range(parts), "docs_n": [len(b)] * parts, "docs_target": [int(is_target.sum())] * parts}
+        for kind, keys in zip(KINDS, (h, pair), strict=True):
+            u, n = np.unique(keys, return_counts=True)
+            of_target, m = np.unique(keys[own], return_counts=True)
+            n_target = np.zeros(len(u), np.int64)
+            n_target[np.searchsorted(u, of_target)] = m
+            ends = [*np.searchsorted(u, low).tolist(), len(u)]
+            cuts = [slice(i, j) for i, j in itertools.pairwise(ends)]
+            cols[kind] = [packed(np.diff(u[c], prepend=low[k])) for k, c in enumerate(cuts)]
+            cols[f"{kind}_n"], cols[f"{kind}_target"] = [packed(n[c]) for c in cuts], [packed(n_target[c]) for c in cuts]
+        return arrow_table(COUNTED, cols)
 
-    def sql_text(self, u: str, m: str, m_first: str, own: str) -> str:
-        return f"({m_first} * ln({u} - {own} + {WEIGHT}D) - {m} * ln({WEIGHT}D * {self.sql_word(u, own)}))"
+    return rows.groupBy("q_block").applyInArrow(count, COUNTED)
 
-    def sql_pair(self, n: str, u: str, m: str, own: str) -> str:
-        return f"(-{m} * log1p(greatest({n} - {own}, 0) / ({WEIGHT}D * {self.sql_word(u, own)})))"
 
+def sums(counted: DataFrame, parts: int) -> DataFrame:
+    """SUMMED: the counts of a block's keys over all blocks; size: words of the part's range, total: their occurrences.
 
-#: Kinds of emitted rows: a text's own sums, a rare word, a rare pair whose second word is frequent, another rare pair.
-BASE, RARE_WORD, RARE_PAIR, RARE_BOTH = 0, 1, 2, 3
-EMITTED = "kind byte, key long, word long, own byte, m int, m_first int, u_target int, u int, n_tokens long, t double, b double"
-
-
-def emitted(rows: DataFrame, shared, only_rare: bool) -> DataFrame:
-    """q_row, doc_id (of BASE rows) and EMITTED of every text: its sums over what is broadcast, and a row for each other word and pair.
-
-    shared: the models, hot words, hot pairs, texts (of the target, of all), and the bitmap of pairs. Rows of RARE_BOTH
-    are emitted if only_rare is set, and else all others. m: occurrences; m_first: those followed by another word.
+    Each block has a row in each part, so every part knows the number of texts, and a block learns all totals.
     """
-    names = ["q_row", "doc_id", *[x.split()[0] for x in EMITTED.split(", ")]]
-    kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int8(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
-
-    def per_text(text: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place of the first of each distinct key of a text, its index, and how often it stands there."""
-        _, at, kind, m = np.unique(mix(keys * Q + mix(text.astype(np.uint64) + np.uint64(1))), return_index=True, return_inverse=True, return_counts=True)
-        return at, kind, m
-
-    def batch(q_row, doc_id, kind, key=None, word=None, own=None, m=None, m_first=None, u_target=None, u=None, n_tokens=None, t=None, b=None) -> pa.RecordBatch:
-        n = len(q_row)
-        cols = (np.full(n, kind, np.int8), None if key is None else key.view(np.int64), None if word is None else word.view(np.int64), own, m, m_first, u_target, u, n_tokens, t, b)
-        rest = [pa.nulls(n, k) if c is None else pa.array(np.asarray(c)).cast(k, safe=False) for c, k in zip(cols, kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(q_row), pa.nulls(n, doc_id) if isinstance(doc_id, pa.DataType) else doc_id, *rest], names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, every, hot_words, hot_pairs, texts_in, (bits, width) = shared.value
-        for b, texts in text_blocks(batches, 2):
-            q_row, none, own_text = b.column(0).to_numpy(), b.schema.types[1], b.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
-            h, text = hashed(texts)
-            pair, last = paired(h, text)
-            # Distinct pairs of each text; a pair tells its second word.
-            at, _, m = per_text(text, pair)
-            p_key, p_word, p_text, p_own = pair[at], h[at], text[at], own_text[text[at]]
-            hot_w, w_target, w_all = look_up(hot_words, p_word)
-            hot_p, n_target, n_all = look_up(hot_pairs, p_key)
-            slot = p_key >> np.uint64(64 - width)
-            may = ~hot_p & ((bits[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & 1 == 1)
-            if only_rare:
-                on = may & ~hot_w
-                if on.any():
-                    yield batch(q_row[p_text[on]], none, RARE_BOTH, key=p_key[on], word=p_word[on], own=p_own[on], m=m[on])
-                continue
-            size = len(texts)
-            with np.errstate(divide="ignore", invalid="ignore"):  # in rows that are left out
-                t = np.bincount(p_text, np.where(hot_p, m * target.pair(n_target, w_target, p_own), 0), size)
-                a = np.bincount(p_text, np.where(hot_p, m * every.pair(n_all, w_all, 1), 0), size)
-            on = may & hot_w
-            if on.any():
-                yield batch(q_row[p_text[on]], none, RARE_PAIR, key=p_key[on], own=p_own[on], m=m[on], u_target=w_target[on], u=w_all[on])
-            # Distinct words of each text.
-            at, kind, m = per_text(text, h)
-            m_first = m - np.bincount(kind, last, len(at)).astype(np.int64)
-            w_text, w_own = text[at], own_text[text[at]]
-            hit, w_target, w_all = look_up(hot_words, h[at])
-            t = t + np.bincount(w_text, np.where(hit, m_first * target.first(w_target, np.where(hit, w_own, 0)) + m * target.second(w_target, np.where(hit, w_own, 0)), 0), size)
-            a = a + np.bincount(w_text, np.where(hit, m_first * every.first(w_all, 1) + m * every.second(np.maximum(w_all, 1), 1), 0), size)
-            n_tokens = np.bincount(text, minlength=size)
-            some = n_tokens > 0  # its start is the first word of a pair
-            t = t + np.where(some, target.first(np.full(size, texts_in[0]), own_text), 0)
-            a = a + np.where(some, every.first(np.full(size, texts_in[1]), 1), 0)
-            spread = mix(q_row.view(np.uint64))
-            yield batch(q_row, b.column(1), BASE, key=spread, n_tokens=n_tokens, t=t, b=a)
-            if (on := ~hit).any():
-                yield batch(q_row[w_text[on]], none, RARE_WORD, key=h[at][on], own=w_own[on], m=m[on], m_first=m_first[on])
-
-    return rows.select("q_row", "doc_id", "text", "is_target").mapInArrow(run, f"q_row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, {EMITTED}")
+
+    def total(part: tuple, b: pa.Table) -> pa.Table:
+        low = floors(parts)[part[0].as_py()]
+        cols = {"q_block": b["q_block"].to_pylist(), "part": b["part"].to_pylist()} | {c: [sum(b[c].to_pylist())] * len(b) for c in ("docs_n", "docs_target")}
+        for kind in KINDS:
+            keys = [low + np.cumsum(unpacked(x), dtype=np.uint64) for x in b[kind].to_pylist()]
+            u, at = np.unique(np.concatenate(keys), return_inverse=True)
+            ends = np.cumsum([len(k) for k in keys])[:-1]
+            for c in ("n", "target"):
+                n = np.bincount(at, np.concatenate([unpacked(x) for x in b[f"{kind}_{c}"].to_pylist()]), len(u)).astype(np.uint64)
+                cols[f"{kind}_{c}"] = [packed(x) for x in np.split(n[at], ends)]
+                if kind == "words":
+                    cols |= {"size": [len(u)] * len(b), f"total_{c}": [int(n.sum())] * len(b)}
+        return arrow_table(SUMMED, cols)
+
+    return counted.groupBy("part").applyInArrow(total, SUMMED)
+
+
+def losses(rows: DataFrame, summed: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, t and b (the sums of the losses in the target's and in the whole model) of every row."""
+
+    def score_block(b: pa.Table, s: pa.Table) -> pa.Table:
+        h, pair, text, new = read(b)
+        s = s.sort_by("part")
+        size, own = sum(s["size"].to_pylist()), b["is_target"].to_numpy().astype(np.int64)[text]
+        word_at, pair_at = (np.unique(keys, return_inverse=True)[1] for keys in (h, pair))
+        out = []
+        for c, mine in (("target", own), ("n", 1)):
+            words, pairs = (np.concatenate([unpacked(x) for x in s[f"{kind}_{c}"].to_pylist()]).astype(np.float64) for kind in KINDS)
+            u = words[word_at]
+            first = np.where(new, s[f"docs_{c}"][0].as_py(), np.concatenate(([0.0], u[:-1]))[: len(u)])
+            p = (u - mine + 1) / (sum(s[f"total_{c}"].to_pylist()) - mine + size + 1)
+            loss = np.log((first - mine + WEIGHT) / (pairs[pair_at] - mine + WEIGHT * p))
+            out.append(np.bincount(text, loss, len(b)))
+        return pa.table({"doc_id": b["doc_id"], "n_tokens": np.bincount(text, minlength=len(b)), "t": out[0], "b": out[1]})
+
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, t double, b double"
+    return rows.groupBy("q_block").cogroup(summed.groupBy("q_block")).applyInArrow(score_block, schema)
 
 
 def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background (means over tokens) and score for every row. target: its doc_ids."""
-    spark = docs.sparkSession
-    rows = flagged(docs, target, id_col, text_col)
-    counted = stored(counts(rows), "word-and-pair-counts")
-    words, pairs = counted.where("word").drop("word"), counted.where("NOT word").drop("word")
-    total = words.agg(F.sum("n_target"), F.sum("n"), F.count("*")).first()
-    of_target, of_all = Model(total[0] or 0, total[2]), Model(total[1] or 0, total[2])
-    texts_in = tuple(rows.agg(F.count_if("is_target"), F.count("*")).first())
-    word_limit = hot_limit(words)
-    pair_limit = max(word_limit, hot_limit(pairs))  # so that a hot pair's second word is hot
-    cold = pairs.where(F.col("n") <= pair_limit)
-    shared = spark.sparkContext.broadcast((of_target, of_all, hot_table(words, word_limit), hot_table(pairs, pair_limit), texts_in, bitmap(cold.select(F.col("key").alias("q_key")), hashed=True)))
-
-    # Rare pairs and words find their counts by one join; a text's own sums go along under a key of their own.
-    known = words.where(F.col("n") <= word_limit).unionByName(cold).select(F.col("key").alias("k"), F.col("n_target").alias("c_target"), F.col("n").alias("c"))
-    e = emitted(rows, shared, False)
-    j = e.join(known, e["key"] == known["k"], "left")
-    of = lambda kind, x: F.when(F.col("kind") == kind, F.expr(x))
-    t = F.coalesce(of(RARE_WORD, of_target.sql_text("c_target", "m", "m_first", "own")), of(RARE_PAIR, of_target.sql_pair("c_target", "u_target", "m", "own")), "t", F.lit(0.0))
-    b = F.coalesce(of(RARE_WORD, of_all.sql_text("c", "m", "m_first", "1")), of(RARE_PAIR, of_all.sql_pair("c", "u", "m", "1")), "b", F.lit(0.0))
-    parts = j.select("q_row", "doc_id", "n_tokens", t.alias("t"), b.alias("b"))
-    if not words.where((F.col("n") > 1) & (F.col("n") <= word_limit)).isEmpty():
-        # Pairs that end in a rare word: first the word's counts, then the pair's.
-        r = emitted(rows, shared, True).select("q_row", "key", "word", "own", "m")
-        w = words.where((F.col("n") > 1) & (F.col("n") <= word_limit)).select(F.col("key").alias("w"), F.col("n_target").alias("u_target"), F.col("n").alias("u"))
-        k = cold.select(F.col("key").alias("k"), F.col("n_target").alias("c_target"), F.col("n").alias("c"))
-        r = r.join(w, r["word"] == w["w"])
-        r = r.join(k, r["key"] == k["k"])
-        parts = parts.unionByName(r.select("q_row", F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), F.expr(of_target.sql_pair("c_target", "u_target", "m", "own")).alias("t"), F.expr(of_all.sql_pair("c", "u", "m", "1")).alias("b")))
-    out = parts.groupBy("q_row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    chars = docs.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0
+    blocks, parts = chars // BLOCK_SIZE + 1, chars // (CHARS * max(HOT_ROWS, 1)) + 1
+    rows = flagged(docs, target, id_col, text_col, blocks)
+    out = losses(rows, sums(counts(rows, parts), parts))
     mean = lambda x: F.when(F.col("n_tokens") > 0, F.expr(x) / F.col("n_tokens")).otherwise(0.0)
     return out.select("doc_id", "n_tokens", mean("t").alias("loss_target"), mean("b").alias("loss_background"), mean("b - t").alias("score"))

@@ -534,6 +534,30 @@ def test_lm_scores_with_a_bigram_of_a_third_of_all_tokens(spark, monkeypatch, ho
     assert {d: (r.n_tokens, r.loss_target, r.score) for d, r in got.items()} == {d: pytest.approx(x) for d, x in want.items()}
 
 
+def shuffled_rows(spark):
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_lm_scores_of_many_blocks_and_parts_send_no_row_for_a_word(spark, monkeypatch, tmp_path):
+    """What is shuffled is rows of blocks, parts and documents, not of words and pairs, and scores are the same."""
+    monkeypatch.setattr(lm_score, "HOT_ROWS", 5000)
+    monkeypatch.setattr(lm_score, "BLOCK_SIZE", 40_000, raising=False)
+    dice = random.Random(9)
+    rows = [(k if k % 9 else None, " ".join(f"w{int(3000 * dice.random() ** 3)}" for _ in range(dice.randrange(1, 300)))) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    good = spark.range(0, 400, 5).withColumnRenamed("id", "doc_id")
+    before = shuffled_rows(spark)
+    got = sorted(((r.doc_id is None, r.doc_id, r.n_tokens, r.loss_target, r.score) for r in lm_score.score(spark.read.parquet(str(tmp_path / "d")), good).collect()), key=str)
+    assert shuffled_rows(spark) - before < 2000
+    ids = {x for x in range(0, 400, 5) if x % 9}
+    want = lm_by_hand([((k, d), lm_score.tokens(t)) for k, (d, t) in enumerate(rows)], {(k, k) for k in ids})
+    want = sorted(((d is None, d, *x) for (_, d), x in want.items()), key=str)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert [y for x in got for y in x[3:]] == pytest.approx([y for x in want for y in x[3:]])
+
+
 def test_lm_scores_of_string_ids(spark):
     d = spark.createDataFrame([("a", "one two three"), ("b", "two three four"), ("a", None)], "doc_id string, text string")
     got = lm_score.score(d, d.where("doc_id = 'b'")).collect()
