@@ -16,6 +16,9 @@ Families of near copies fill the same buckets. So first each fingerprint is comp
 alone, which joins most of a family by as many links as it has members; afterwards only buckets that hold several components
 are probed, and only pairs of different components leave the join. No link between components is lost.
 
+All joins grow with the input and are merge joins: Spark sizes probes like the rows that they are made of and stored tables by
+their compressed files, so it would send millions of rows through the driver as a broadcast.
+
 Edge cases: a null, empty or blank text has fingerprint zero, which is linked like any other. A null doc_id keeps its row and
 never names a component, unless all of its members are null (then component_id is null). Repeated ids and rows each keep
 their row. Any other columns are ignored. An empty table gives an empty result. A long text is hashed in stretches.
@@ -270,6 +273,11 @@ def apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _merged(left: DataFrame, right: DataFrame, on: str | Column, how: str = "inner") -> DataFrame:
+    """A join that is never broadcast, whatever sizes Spark takes its sides for."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def linked(prints: DataFrame, tau: int = TAU) -> DataFrame:
     """fp and root: the same one for all fingerprints that links of at most tau bits connect. prints: distinct fp, n rows."""
     both, n = bit_counts(prints)
@@ -278,30 +286,30 @@ def linked(prints: DataFrame, tau: int = TAU) -> DataFrame:
 
     index = stored(indexed(prints.select("fp", "n"), parts), "simhash-index")
     lead = stored(index.groupBy("key").agg(F.max(F.struct("tag", "fp"))["fp"].alias("lead")), "simhash-leads")
-    stars = index.join(lead, "key").where((F.col("fp") != F.col("lead")) & (apart("fp", "lead") <= tau)).select(F.col("fp").alias("a"), F.col("lead").alias("b")).distinct()
+    stars = _merged(index, lead, "key").where((F.col("fp") != F.col("lead")) & (apart("fp", "lead") <= tau)).select(F.col("fp").alias("a"), F.col("lead").alias("b")).distinct()
     roots = _rooted(prints.select("fp"), components(stars))
 
     member = indexed(roots, parts).withColumnsRenamed({"fp": "r_fp", "tag": "r_root"})
     member = stored(member, "simhash-members")
     bucket = member.groupBy("key").agg(F.min("r_root").alias("low"), F.max("r_root").alias("high"))
     probe = probed(roots, parts, near, n, tau).withColumnRenamed("tag", "root")
-    open_ = probe.join(bucket, "key").where((F.col("low") != F.col("root")) | (F.col("high") != F.col("root"))).select("key", "fp", "root")
-    found = open_.join(member, (open_["key"] == member["key"]) & (open_["root"] != member["r_root"]) & (apart("fp", "r_fp") <= tau))
+    open_ = _merged(probe, bucket, "key").where((F.col("low") != F.col("root")) | (F.col("high") != F.col("root"))).select("key", "fp", "root")
+    found = _merged(open_, member, (open_["key"] == member["key"]) & (open_["root"] != member["r_root"]) & (apart("fp", "r_fp") <= tau))
     pairs = found.select(F.least("root", "r_root").alias("a"), F.greatest("root", "r_root").alias("b")).distinct()
     above = components(pairs).withColumnsRenamed({"node": "root", "component": "above"})
-    return stored(roots.join(above, "root", "left").select("fp", F.coalesce("above", "root").alias("root")), "simhash-roots")
+    return stored(_merged(roots, above, "root", "left").select("fp", F.coalesce("above", "root").alias("root")), "simhash-roots")
 
 
 def _rooted(prints: DataFrame, labels: DataFrame) -> DataFrame:
     own = labels.withColumnRenamed("node", "fp")
-    return stored(prints.join(own, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root")), "simhash-stars")
+    return stored(_merged(prints, own, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root")), "simhash-stars")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
     """id_col, fingerprint (16 hex digits) and component_id (the smallest id that links lead to) of every row."""
     prints = stored(fingerprints(docs, id_col, text_col), "simhash-prints")
     distinct = stored(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min(id_col).alias("least")), "simhash-distinct")
-    roots = linked(distinct, tau).join(distinct.select("fp", "least"), "fp")
+    roots = _merged(linked(distinct, tau), distinct.select("fp", "least"), "fp")
     names = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(roots.select("fp", "root").join(names, "root").select("fp", "component_id"), "simhash-named")
-    return prints.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = stored(_merged(roots.select("fp", "root"), names, "root").select("fp", "component_id"), "simhash-named")
+    return _merged(prints, named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -69,6 +69,16 @@ def test_links_of_planted_families_and_chains(spark):
     assert all(len(g) == 1 for g in groups.values()) and len(set(got.values())) == len(groups)
 
 
+def test_no_join_of_prints_is_broadcast(spark, docs, monkeypatch):
+    plans, write, join = [], simhash_dedup.stored, simhash_dedup.components
+    plan = lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString())
+    monkeypatch.setattr(simhash_dedup, "stored", lambda df, name: plan(df) or write(df, name))
+    monkeypatch.setattr(simhash_dedup, "components", lambda edges: plan(edges) or join(edges))
+    plan(simhash_dedup.dedup(docs))
+    joins = [p for p in plans if "Join" in p]
+    assert len(joins) == 6 and all("SortMergeJoin" in p and "Broadcast" not in p for p in joins)
+
+
 def test_allotments_cover_every_pair_within_reach():
     r = np.random.default_rng(1)
     fp = r.integers(0, 1 << 63, 300, dtype=np.int64)
